@@ -41,8 +41,8 @@ class TextEncoder:
 
     Right for vocabularies that drop white space before merging (no piece spans it); the registered one does.
     A word of Latin letters (U+0041-5A, 61-7A, C0-FF without the two signs) and then some of `TAIL` consists of
-    two independent pieces, the letters and the tail, and its letters count in lower case, so these are looked up
-    apart. Every other word is encoded as it stands. Known words are kept up to `most` of them, then forgotten.
+    two independent pieces, the letters and the tail, and its letters count in lower case, so these are encoded
+    apart. Every other word is encoded as it stands. Pieces are remembered, up to `most` of them, then forgotten.
     """
 
     TAIL = ".,!?;:*$%&#|<>"
@@ -58,14 +58,14 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.known: dict[str, int] = {"": 0}
+        self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 18, np.int64)
+        self.count = np.zeros(1 << 18, np.int64)
 
-    def _add(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
-        n, k = len(self.known), len(words)
+    def _add(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        n, k = len(self.known), len(pieces)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + k > len(self.start):
@@ -74,59 +74,66 @@ class TextEncoder:
         self.start[n : n + k] = self.used + np.cumsum(counts) - counts
         self.count[n : n + k] = counts
         self.used += len(flat)
-        self.known.update(zip(words, range(n, n + k), strict=True))
-
-    def _plain(self, words: list[str]) -> None:
-        """Learn words as they stand."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._add(words, np.array([i for ids in got for i in ids], np.uint32), np.array([len(i) for i in got], np.int64))
-
-    def _lower(self, words: list[str]) -> None:
-        """Learn words of lower-case letters only: many at a time, as each ends with the first closing piece."""
-        for at in range(0, len(words), 1 << 14):
-            some = words[at : at + (1 << 14)]
-            joined = [" ".join(some[i : i + 256]) for i in range(0, len(some), 256)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int64)
+        self.known.update(zip(pieces, range(n, n + k), strict=True))
+
+    def _plain(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 1 << 14):
+            some = pieces[at : at + (1 << 14)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.array([i for ids in got for i in ids], np.uint32), np.array([len(i) for i in got], np.int64))
+
+    def _letters(self, pieces: list[str]) -> None:
+        """Pieces of lower-case letters only: many at a time, as each ends with its first closing id."""
+        for at in range(0, len(pieces), 1 << 14):
+            some = pieces[at : at + (1 << 14)]
+            joined = [" ".join(some[i : i + 512]) for i in range(0, len(some), 512)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) != len(some):
                 self._plain(some)
             else:
                 self._add(some, ids.astype(np.uint32), np.diff(ends, prepend=0))
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
-        """Entry of each distinct word."""
-        if len(self.known) > self.most:
-            self._forget()
-        texts = words.to_pylist()
-        new = [i for i, w in enumerate(texts) if w not in self.known]
+    def _entries(self, pieces: pa.Array, learn) -> np.ndarray:
+        """The entry of each piece; what is not known yet is learnt."""
+        coded = pieces.dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        known = self.known
+        new = [t for t in texts if t not in known]
         if new:
-            fresh = words.take(pa.array(new))
-            stems = pc.utf8_rtrim(fresh, characters=self.TAIL)
-            simple = pc.match_substring_regex(stems, self.LETTERS).to_numpy(zero_copy_only=False)
-            lower = pc.utf8_lower(stems).to_pylist()
-            odd = list(dict.fromkeys(texts[i] for i, s in zip(new, simple, strict=True) if not s))
-            self._lower([w for w in dict.fromkeys(w for w, s in zip(lower, simple, strict=True) if s) if w not in self.known])
-            cut = pc.binary_length(stems).to_pylist()
-            pairs = [(texts[i], w, texts[i].encode()[c:].decode()) for i, s, w, c in zip(new, simple, lower, cut, strict=True) if s and texts[i] not in self.known]
-            odd += [t for t in dict.fromkeys(t for _, _, t in pairs) if t and t not in self.known]
-            if odd:
-                self._plain(list(dict.fromkeys(w for w in odd if w not in self.known)))
-            if pairs:
-                head = np.array([self.known[w] for _, w, _ in pairs], np.int64)
-                tail = np.array([self.known[t] if t else -1 for _, _, t in pairs], np.int64)
-                both = np.stack([self.count[head], np.where(tail < 0, 0, self.count[tail])], 1)
-                starts = np.stack([self.start[head], self.start[tail]], 1)
-                self._add([w for w, _, _ in pairs], self.flat[ragged(starts.ravel(), both.ravel())], both.sum(1))
-        return np.array([self.known[w] for w in texts], np.int64)
+            learn(new)
+        of = np.fromiter((known[t] for t in texts), np.int64, len(texts))
+        return of[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (uint32), each text closed by `end`, and their number in each text."""
+        if len(self.known) > self.most:
+            self._forget()
         words = Words(texts)
-        entry = self._learn(words.dictionary)[words.codes] if len(words) else np.zeros(0, np.int64)
-        counts = self.count[entry]
-        ids = self.flat[ragged(self.start[entry], counts)]
-        upto = np.concatenate([[0], np.cumsum(counts)])[words.bounds]
-        n = np.diff(upto)
+        d = words.dictionary
+        stems = pc.utf8_rtrim(d, characters=self.TAIL)
+        simple = pc.match_substring_regex(stems, self.LETTERS)
+        odd = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        entry = np.zeros((len(d), 2), np.int64)
+        plain = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        if len(plain):
+            entry[plain, 0] = self._entries(pc.utf8_lower(stems.filter(simple)), self._letters)
+            longer = plain[pc.greater(pc.binary_length(d.filter(simple)), pc.binary_length(stems.filter(simple))).to_numpy(zero_copy_only=False)]
+            # The tail is what the stem leaves of the word.
+            cut = pc.utf8_length(stems).to_numpy(zero_copy_only=False)
+            w = d.take(pa.array(longer))
+            tails = [t[c:] for t, c in zip(w.to_pylist(), cut[longer].tolist(), strict=True)]
+            if tails:
+                entry[longer, 1] = self._entries(pa.array(tails), self._plain)
+        if len(odd):
+            entry[odd, 0] = self._entries(d.take(pa.array(odd)), self._plain)
+        two = self.count[entry]
+        each = two.sum(1)
+        flat = self.flat[ragged(self.start[entry].ravel(), two.ravel())]
+        start = np.cumsum(each) - each
+        counts = each[words.codes]
+        ids = flat[ragged(start[words.codes], counts)]
+        n = np.diff(np.concatenate([[0], np.cumsum(counts)])[words.bounds])
         out = np.empty(len(ids) + len(n), np.uint32)
         place = np.ones(len(out), bool)
         last = np.cumsum(n + 1) - 1
@@ -163,7 +170,7 @@ def tokenized(docs: DataFrame, vocab: str, end: int, id_column: str = "doc_id",
         enc = encoder(vocabulary(vocab))
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 ids, n = enc.encode(part.column("text"), end)
                 flat = ids.astype("<u2" if narrow else "<u4")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), binary_rows(flat, n), pa.array(np.full(len(n), not narrow))], ["doc_id", "n_tokens", "ids", "wide"])
