@@ -6,7 +6,6 @@ Words are runs of characters other than space and U+0009 to U+000D everywhere in
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -85,10 +84,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.folder(name)
-        df.write.option("compression", "zstd").parquet(path)
-        # What led here is not needed again: let Spark delete its shuffle files now, not when the driver's heap is full.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        # What led here is not needed again: Spark deletes its shuffle files now, not when the driver's heap is full.
+        flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(flag)
+        self.spark.conf.set(flag, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(flag, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, same, ship, slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -95,14 +96,28 @@ def candidate_windows(text: pa.Array, shared: list[np.ndarray], size: int, seed:
         hit[part] = np.isin(g[at[part]], mine)
     starts, row = starts[hit], row[hit]
     keys = np.stack([run_hash(h[:, 0], size)[starts], run_hash(h[:, 1], size)[starts]], 1) if len(starts) else np.zeros((0, 2), np.uint64)
-    order = np.lexsort((starts, keys[:, 1], keys[:, 0], row))
+    # Twice in one text: equal keys of the same row. Rows are few, so most keys settle it alone.
     again = np.zeros(len(starts), bool)
-    if len(starts):
+    mixed = _mix(keys[:, 0] ^ keys[:, 1] * BASE ^ _mix(row.astype(np.uint64) + np.uint64(1)))
+    in_order = np.sort(mixed)
+    twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, mixed), len(twice) - 1)
+        some = np.flatnonzero(twice[at] == mixed)
+        order = some[np.lexsort((starts[some], keys[some, 1], keys[some, 0], row[some]))]
         a, b = order[:-1], order[1:]
         again[b] = (row[a] == row[b]) & (keys[a] == keys[b]).all(1)
     return row, starts - words.bounds[row], keys, again
 
 
+def spaced(text: str) -> bytes:
+    """The words, joined by one space each."""
+    data = text.encode("utf-8", "surrogatepass").translate(_SPACES)
+    if b"  " in data or data[:1] == b" " or data[-1:] == b" ":
+        data = b" ".join(data.split())
+    return data
+
+
 def _shared(part: pa.RecordBatch) -> list[np.ndarray]:
     return [np.array(x, np.int64).view(np.uint64) for x in part.column("shared").to_pylist()]
 
@@ -122,13 +137,13 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 words = Words(part.column("text"))
                 starts, at, g = anchors(word_hashes(words)[:, 0], words.bounds, size, seed)
                 at = np.unique(at)
                 upto = np.searchsorted(at, words.bounds)
                 runs = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(g[at].view(np.int64)))
-                sha = [hashlib.sha256(b" ".join((t or "").encode("utf-8", "surrogatepass").split())).digest() for t in part.column("text").to_pylist()]
+                sha = [hashlib.sha256(spaced(t or "")).digest() for t in part.column("text").to_pylist()]
                 cols = [c for c in ("_uid", "doc_id", "h") if c in part.schema.names]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(np.diff(words.bounds)), pa.array(sha, pa.binary()), runs], [*cols, "n_words", "sha", "runs"])
 
@@ -151,37 +166,36 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 row, start, keys, again = candidate_windows(part.column("text"), _shared(part), size, seed)
-                row, start, keys = row[~again], start[~again], keys[~again].view(np.int64)
-                ord_ = part.column("ord").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ord_), pa.array(start.astype(np.int32))], ["a", "b", "ord", "start"])
+                short = (keys[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(short), pa.array(part.column("ord").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(again)], ["a", "b", "ord", "start", "again"])
 
-    windows = seeds.mapInArrow(extend, "a long, b long, ord long, start int")
-    earliest = windows.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
-    later = windows.join(earliest, ["a", "b"]).where("ord > least").groupBy("ord").agg(F.collect_list("start").alias("starts"))
+    # 96 bits of key: over all windows of 100 TB of text, a mistaken pair has a chance of about one in a thousand.
+    windows = scratch.keep(seeds.mapInArrow(extend, "a long, b int, ord long, start int, again boolean"), "windows")
+    own_first = windows.where("not again").select("a", "b", "ord", "start")
+    earliest = own_first.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
+    later = own_first.join(earliest, ["a", "b"]).where("ord > least").select("ord", "start").union(windows.where("again").select("ord", "start"))
+    later = later.groupBy("ord").agg(F.collect_list("start").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                row, start, _, again = candidate_windows(part.column("text"), _shared(part), size, seed)
                 removed, sha, gone = [], [], []
-                edge = np.searchsorted(row, np.arange(part.num_rows + 1))
-                for i, (t, starts) in enumerate(zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True)):
+                for t, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
                     words = (t or "").encode("utf-8", "surrogatepass").split()
-                    here = slice(edge[i], edge[i + 1])
-                    s = np.concatenate([np.array(starts or [], np.int64), start[here][again[here]]])
-                    depth = np.bincount(s, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(s + size, minlength=len(words) + 1)[: len(words) + 1]
+                    s = np.array(starts, np.int64)
+                    depth = np.bincount(s, minlength=len(words) + 1) - np.bincount(s + size, minlength=len(words) + 1)
                     out = np.cumsum(depth)[:-1] > 0
                     flips = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
                     gone.append([{"first": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)])
                     removed.append(int(out.sum()))
                     sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])).digest())
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(gone, kind)], ["ord", "removed", "cut_sha", "gone"])
 
-    parts = seeds.join(later, "ord", "left").mapInArrow(cut, "ord long, removed long, cut_sha binary, gone array<struct<first:int,end:int>>")
-    parts = parts.where("removed > 0").dropDuplicates(["ord"])
+    parts = seeds.select("ord", "text").join(later, "ord").mapInArrow(cut, "ord long, removed long, cut_sha binary, gone array<struct<first:int,end:int>>")
+    parts = parts.dropDuplicates(["ord"])
     status = heads.select("_uid", "ord").join(parts, "ord", "left").drop("ord").withColumn("head", F.lit(True))
     whole = F.col("head").isNull() & (F.col("n_words") >= size)
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
