@@ -164,6 +164,10 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
     on = [same(F.col(c), F.col("k_" + c)) if c == "doc_id" else F.col(c) == F.col("k_" + c) for c in key]
     seeds = scratch.keep(text.join(wanted, on).select("ord", "text", "shared"), "seeds")
 
+    # The anchors have done their work; what is left of a row is small.
+    rows = scratch.keep(table.drop("runs"), "rows")
+    scratch.drop(table)
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
@@ -200,7 +204,7 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
     whole = F.col("head").isNull() & (F.col("n_words") >= size)
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
     all_words = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end")))
-    return table.drop("runs").join(status, "_uid", "left").select(
+    return rows.join(status, "_uid", "left").select(
         "_uid",
         "doc_id",
         "n_words",
