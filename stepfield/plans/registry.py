@@ -1,4 +1,664 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the driver's tables, each with DuckDB SQL of its own making."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import model
+from ..functions import calendar
+from ..operators import algebra, events, hist, merge, periods, points, recipes, resample, timeagg
+from ..sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+A, B = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
+A_SQL, B_SQL = "TIMESTAMP '2024-01-01'", "TIMESTAMP '2024-01-31'"
+#: A null measurement instead of every error.
+HOLES = "case when event_type = 'error' then null else value end"
+P = "p as (select user_id as series_id, ts as t, value from events)"
+S = "p as (select user_id as series_id, ts as t, event_type as value from events)"
+N = f"p as (select user_id as series_id, ts as t, {HOLES} as value from events)"
+#: Periods of p on [A, B], the default null before the first point.
+WITHIN = f"""s as (select series_id, t, value from p union all select distinct series_id, null::timestamp, null from p),
+    o as (select *, lead(t) over (partition by series_id order by t nulls first) as n from s),
+    q as (select series_id, greatest(coalesce(t, {A_SQL}), {A_SQL}) as t0, least(coalesce(n, {B_SQL}), {B_SQL}) as t1, value from o),
+    c as (select * from q where t0 < t1)"""
+#: Periods of p from its first to its last point.
+INNER = "c as (select series_id, t as t0, n as t1, value from (select *, lead(t) over (partition by series_id order by t) as n from p) where n is not null)"
+US = "date_diff('microsecond', t0, t1)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def numbers(spark: SparkSession, d: str) -> DataFrame:
+    return model.of(table(spark, d, "events"), "user_id", "ts", "value")
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    return model.of(table(spark, d, "events"), "user_id", "ts", "event_type")
+
+
+def holes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("ts").alias("t"), F.expr(HOLES).alias("value"))
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type."""
+    return model.of(table(spark, d, "events"), "event_type", "ts")
+
+
+def probes(p: DataFrame, hours: int) -> DataFrame:
+    step = F.expr(f"INTERVAL '{hours}' HOUR")
+    return p.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(A).cast("timestamp_ntz"), F.lit(B).cast("timestamp_ntz"), step)).alias("t"))
+
+
+def grid_sql(hours: int) -> str:
+    return f"g as (select series_id, unnest(generate_series({A_SQL}, {B_SQL}, interval {hours} hour)) as t from (select distinct series_id from p))"
+
+
+# --- Periods and aggregates over time ---
+
+
+@query("distribution_state", f"with {S}, {WITHIN} select series_id, value, cast(sum({US}) as bigint) as mass_us, round(sum({US}) / sum(sum({US})) over (partition by series_id), 9) as share from c group by series_id, value")
+def distribution_state(spark, d):
+    h = timeagg.distribution(states(spark, d), A, B)
+    share = F.try_divide("mass", F.sum("mass").over(model.by_series()))
+    return h.select("series_id", "value", F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"), F.round(share, 9).alias("share"))
+
+
+@query("iterperiods", f"with {P}, {INNER} select series_id, t0, t1, value from c")
+def iterperiods(spark, d):
+    return periods.periods(numbers(spark, d))
+
+
+@query("iterperiods_value", f"with {S}, {WITHIN} select series_id, t0, t1, value from c where value = 'click'")
+def iterperiods_value(spark, d):
+    return periods.periods(states(spark, d), A, B, value="click")
+
+
+@query("time_weighted_mean", f"with {N}, {WITHIN} select series_id, round(sum(value * {US}) / sum({US}) filter (where value is not null), 6) as mean from c group by series_id")
+def time_weighted_mean(spark, d):
+    return timeagg.mean(holes(spark, d), A, B).select("series_id", F.round("mean", 6).alias("mean"))
+
+
+@query("mean_linear", f"""with {P}, o as (select *, lead(t) over w as n, lead(value) over w as v2 from p window w as (partition by series_id order by t))
+    select series_id, round(sum((value + v2) / 2 * date_diff('microsecond', t, n)) / sum(date_diff('microsecond', t, n)), 6) as mean from o where n is not null group by series_id""")
+def mean_linear(spark, d):
+    return timeagg.mean(numbers(spark, d), interpolate="linear").select("series_id", F.round("mean", 6).alias("mean"))
+
+
+# --- Lookup and samples ---
+
+
+@query("asof_lookup", f"with {N}, {grid_sql(12)} select g.series_id, g.t, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t")
+def asof_lookup(spark, d):
+    p = holes(spark, d)
+    return points.lookup(p, probes(p, 12))
+
+
+@query("asof_linear", f"""with {P}, {grid_sql(12)}, o as (select *, lead(t) over w as n, lead(value) over w as v2 from p window w as (partition by series_id order by t))
+    select g.series_id, g.t, round(case when o.t is null then -1.0 when n is null then value else value + date_diff('microsecond', o.t, g.t) / date_diff('microsecond', o.t, n) * (v2 - value) end, 6) as value
+    from g asof left join o on g.series_id = o.series_id and g.t >= o.t""")
+def asof_linear(spark, d):
+    p = numbers(spark, d)
+    return points.lookup(p, probes(p, 12), -1.0, "linear").withColumn("value", F.round("value", 6))
+
+
+@query("sample_daily", f"with {P}, {grid_sql(24)} select g.series_id, g.t, coalesce(p.value, 0.0) as value from g asof left join p on g.series_id = p.series_id and g.t >= p.t")
+def sample_daily(spark, d):
+    return resample.sample(numbers(spark, d), dt.timedelta(days=1), A, B, default=0.0)
+
+
+def _moving(placement: str, back: str, ahead: str, days: int = 2) -> None:
+    sql = f"""with {N}, {grid_sql(24)}, w as (select series_id, t, t - interval {back} hour as a, t + interval {ahead} hour as b from g),
+        o as (select series_id, t as t0, coalesce(lead(t) over (partition by series_id order by t), timestamp '2100-01-01') as t1, value from p),
+        x as (select w.series_id, w.t, date_diff('microsecond', greatest(a, t0), least(b, t1)) as u, value from w join o on w.series_id = o.series_id and t0 < b and t1 > a)
+        select w.series_id, w.t, round(sum(value * u) / sum(u) filter (where value is not null), 6) as value from w left join x on w.series_id = x.series_id and w.t = x.t group by w.series_id, w.t"""
+
+    @query(f"moving_average_{placement}", sql)
+    def run(spark, d):
+        m = resample.moving_average(holes(spark, d), dt.timedelta(days=1), dt.timedelta(days=days), A, B, placement)
+        return m.withColumn("value", F.round("value", 6))
+
+
+_moving("center", "24", "24")
+_moving("left", "0", "48")
+_moving("right", "48", "0")
+
+
+def _sampled(operation: str, sql: str) -> None:
+    full = f"""with {P}, {grid_sql(24)}, w as (select series_id, t as a, lead(t) over (partition by series_id order by t) as b from g),
+        o as (select series_id, t as t0, coalesce(lead(t) over (partition by series_id order by t), timestamp '2100-01-01') as t1, value from p),
+        x as (select w.series_id, a, date_diff('microsecond', greatest(a, t0), least(b, t1)) as u, value from w join o on w.series_id = o.series_id and t0 < b and t1 > a)
+        select w.series_id, w.a as t, {sql} as value from w left join x on w.series_id = x.series_id and w.a = x.a where w.b is not null group by w.series_id, w.a"""
+
+    @query(f"sample_interval_{operation}", full)
+    def run(spark, d):
+        s = resample.sample_interval(numbers(spark, d), dt.timedelta(days=1), A, B, operation=operation)
+        return s.withColumn("value", F.round("value", 6))
+
+
+_sampled("mean", "round(sum(value * u) / sum(u), 6)")
+_sampled("max", "round(max(value), 6)")
+_sampled("min", "round(min(value), 6)")
+
+
+# --- Access and changes of points ---
+
+
+@query("first_last", f"with {P} select series_id, count(*) as n, min(t) as first_t, arg_min(value, t) as first_value, max(t) as last_t, arg_max(value, t) as last_value from p group by series_id")
+def first_last(spark, d):
+    return points.ends(numbers(spark, d))
+
+
+@query("item_by_index", f"with {P}, r as (select *, row_number() over (partition by series_id order by t) as i, row_number() over (partition by series_id order by t desc) as j from p) select series_id, t, value, cast(2 as integer) as place from r where i = 3 union all select series_id, t, value, cast(-2 as integer) from r where j = 2")
+def item_by_index(spark, d):
+    p = numbers(spark, d)
+    return points.item(p, 2).withColumn("place", F.lit(2)).union(points.item(p, -2).withColumn("place", F.lit(-2)))
+
+
+@query("upsert_last_wins", "select o_custkey as series_id, o_orderdate as t, arg_max(o_totalprice, o_orderkey) as value from orders group by 1, 2")
+def upsert_last_wins(spark, d):
+    return model.normalize(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "o_orderkey")
+
+
+@query("upsert", f"with {P} select series_id, t, value from p where extract(hour from t) <> 5 union all select series_id, t, value + 1000 from p where extract(hour from t) = 5")
+def upsert(spark, d):
+    p = numbers(spark, d)
+    return points.upsert(p, p.where(F.hour("t") == 5).select("series_id", "t", (F.col("value") + 1000).alias("value"), F.lit(1).alias("seq")))
+
+
+@query("set_many_compact", f"with {S}, b as (select *, lag(value) over (partition by series_id order by t desc) as prev, row_number() over (partition by series_id order by t desc) as k from p) select series_id, t, value from b where value is distinct from (case when k = 1 then 'click' else prev end)")
+def set_many_compact(spark, d):
+    p = states(spark, d).withColumn("seq", -model.micros(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("t")))
+    return points.skip_unchanged_input(p, "click").drop("seq")
+
+
+@query("compact", f"with p as (select user_id as series_id, ts as t, nullif(event_type, 'error') as value from events), b as (select *, lag(value) over w as prev, row_number() over w as k from p window w as (partition by series_id order by t)) select series_id, t, value from b where k = 1 or value is distinct from prev")
+def compact(spark, d):
+    p = states(spark, d)
+    return points.compact(p.withColumn("value", F.nullif("value", F.lit("error"))))
+
+
+@query("set_interval", f"""with {P}, ids as (select distinct series_id from p), e as (select ids.series_id, (select arg_max(value, t) from p where p.series_id = ids.series_id and t <= TIMESTAMP '2024-01-15') as v from ids)
+    select series_id, t, value from p where not (t >= TIMESTAMP '2024-01-10' and t <= TIMESTAMP '2024-01-15')
+    union all select series_id, TIMESTAMP '2024-01-10', 7.0 from ids union all select series_id, TIMESTAMP '2024-01-15', v from e""")
+def set_interval(spark, d):
+    return points.set_interval(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15), 7.0)
+
+
+@query("remove_point", f"with {P} select * from p where t <> (select min(t) from p)")
+def remove_point(spark, d):
+    p = numbers(spark, d)
+    return points.remove(p, p.agg(F.min("t")).first()[0])
+
+
+@query("remove_interval", f"with {P} select * from p where not (t >= TIMESTAMP '2024-01-10' and t < TIMESTAMP '2024-01-15')")
+def remove_interval(spark, d):
+    return points.remove_interval(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15))
+
+
+@query("slice", f"""with {P}, ids as (select distinct series_id from p), b as (select series_id, unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-15']) as t from ids)
+    select series_id, t, value from p where t > TIMESTAMP '2024-01-10' and t < TIMESTAMP '2024-01-15'
+    union all select b.series_id, b.t, p.value from b asof left join p on b.series_id = p.series_id and b.t >= p.t""")
+def slice_(spark, d):
+    return periods.cut(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15))
+
+
+@query("is_not_none", f"with {N} select series_id, t, value is not null as value from p")
+def is_not_none(spark, d):
+    return points.is_not_none(holes(spark, d))
+
+
+@query("iterintervals", f"with {P}, r as (select series_id, t as t0, value as value0, lead(t, 1) over w as t1, lead(value, 1) over w as value1, lead(t, 2) over w as t2, lead(value, 2) over w as value2 from p window w as (partition by series_id order by t)) select * from r where t2 is not null")
+def iterintervals(spark, d):
+    return periods.runs(numbers(spark, d), 3)
+
+
+@query("series_equal", "select true as same, false as other")
+def series_equal(spark, d):
+    p, s = numbers(spark, d), states(spark, d)
+    return spark.createDataFrame([(points.equal(p, p), points.equal(s, points.compact(s)))], "same boolean, other boolean")
+
+
+@query("sorted_items", f"with {P} select series_id, t, value, row_number() over (partition by series_id order by t) - 1 as n, count(*) over (partition by series_id) as size from p")
+def sorted_items(spark, d):
+    return points.numbered(numbers(spark, d)).select("series_id", "t", "value", F.col("n").cast("long").alias("n"), "size")
+
+
+@query("bisect", f"with {P} select series_id, count(*) filter (where t < TIMESTAMP '2024-01-15') as lo, count(*) filter (where t <= TIMESTAMP '2024-01-15') as hi from p group by series_id")
+def bisect(spark, d):
+    p, x = numbers(spark, d), dt.datetime(2024, 1, 15)
+    return points.rank(p, x).withColumnRenamed("rank", "lo").join(points.rank(p, x, "right").withColumnRenamed("rank", "hi"), "series_id")
+
+
+# --- Masks ---
+
+DAYS_SQL = "d as (select unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', interval 1 day)) as d)"
+
+
+@query("hour_of_day", f"with {DAYS_SQL} select d + interval 9 hour as t0, d + interval 10 hour as t1 from d")
+def hour_of_day(spark, d):
+    return calendar.hour_of_day(spark, A, B, 9)
+
+
+@query("day_of_week", f"with {DAYS_SQL} select d as t0, d + interval 1 day as t1 from d where isodow(d) = 2")
+def day_of_week(spark, d):
+    return calendar.day_of_week(spark, A, B, "Tuesday")
+
+
+MASK_SQL = f"{DAYS_SQL}, m as (select d + interval 9 hour as m0, d + interval 10 hour as m1 from d)"
+MASKED = "x as (select series_id, value, greatest(t0, m0) as t0, least(t1, m1) as t1 from c join m on t0 < m1 and t1 > m0)"
+
+
+@query("distribution_masked", f"with {S}, {WITHIN}, {MASK_SQL}, {MASKED} select series_id, value, cast(sum({US}) as bigint) as mass_us from x group by series_id, value")
+def distribution_masked(spark, d):
+    h = timeagg.distribution(states(spark, d), A, B, mask=calendar.hour_of_day(spark, A, B, 9))
+    return h.select("series_id", "value", F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"))
+
+
+@query("mean_masked", f"with {N}, {WITHIN}, {MASK_SQL}, {MASKED} select series_id, round(sum(value * {US}) / sum({US}) filter (where value is not null), 6) as mean from x group by series_id")
+def mean_masked(spark, d):
+    return timeagg.mean(holes(spark, d), A, B, mask=calendar.hour_of_day(spark, A, B, 9)).select("series_id", F.round("mean", 6).alias("mean"))
+
+
+@query("mean_series_mask", f"""with {P}, {INNER}, k as (select user_id as series_id, ts as t0, lead(ts) over (partition by user_id order by ts) as t1, event_type from events),
+    m as (select series_id, t0 as m0, t1 as m1 from k where event_type <> 'click' and t1 is not null),
+    x as (select c.series_id, value, greatest(t0, m0) as t0, least(t1, m1) as t1 from c join m on c.series_id = m.series_id and t0 < m1 and t1 > m0)
+    select series_id, round(sum(value * {US}) / sum({US}), 6) as mean from x group by series_id""")
+def mean_series_mask(spark, d):
+    mask = states(spark, d).withColumn("value", F.col("value") != "click")
+    return timeagg.mean(numbers(spark, d), mask=mask).select("series_id", F.round("mean", 6).alias("mean"))
+
+
+@query("n_points", f"with {P} select series_id, count(*) filter (where t >= TIMESTAMP '2024-01-10' and t < TIMESTAMP '2024-01-20') as n from p group by series_id")
+def n_points(spark, d):
+    return timeagg.n_points(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20))
+
+
+@query("n_points_masked", f"with {P}, {MASK_SQL} select series_id, count(m0) as n from p left join m on t >= m0 and t < m1 group by series_id")
+def n_points_masked(spark, d):
+    return timeagg.n_points(numbers(spark, d), mask=calendar.hour_of_day(spark, A, B, 9))
+
+
+@query("dist_by_hour", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('hour', t0), t1, interval 1 hour)) as e from c),
+    x as (select series_id, cast(extract(hour from e) as integer) as hour, value, greatest(t0, e) as t0, least(t1, e + interval 1 hour) as t1 from h where e < t1)
+    select series_id, hour, value, cast(sum({US}) as bigint) as mass_us from x group by series_id, hour, value""")
+def dist_by_hour(spark, d):
+    h = timeagg.distribution_by(states(spark, d), "hour", A, B, normalized=False)
+    return h.select("series_id", "hour", "value", F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"))
+
+
+@query("dist_by_dow", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('day', t0), t1, interval 1 day)) as e from c),
+    x as (select series_id, cast(isodow(e) - 1 as integer) as weekday, value, greatest(t0, e) as t0, least(t1, e + interval 1 day) as t1 from h where e < t1)
+    select series_id, weekday, value, round(sum({US}) / sum(sum({US})) over (partition by series_id, weekday), 9) as mass from x group by series_id, weekday, value""")
+def dist_by_dow(spark, d):
+    return timeagg.distribution_by(states(spark, d), "weekday", A, B).withColumn("mass", F.round("mass", 9))
+
+
+# --- Bins ---
+
+
+def _binned(unit: str) -> str:
+    return f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('{unit}', t0), t1, interval 1 {unit})) as e from c),
+        x as (select series_id, e as bin_start, value, greatest(t0, e) as t0, least(t1, e + interval 1 {unit}) as t1 from h where e < t1)
+        select series_id, bin_start, value, cast(sum({US}) as bigint) as mass_us from x where bin_start < {{0}} group by series_id, bin_start, value"""
+
+
+def _us(h: DataFrame) -> DataFrame:
+    return h.select(*(c for c in h.columns if c != "mass"), F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"))
+
+
+@query("bin_days", _binned("day").format("TIMESTAMP '2024-01-30'"))
+def bin_days(spark, d):
+    return _us(timeagg.bins(states(spark, d), "days", 1, A, B))
+
+
+@query("bin_weeks", _binned("week").format("TIMESTAMP '2024-01-29'"))
+def bin_weeks(spark, d):
+    return _us(timeagg.bins(states(spark, d), "weeks", 1, A, B))
+
+
+@query("bin_months", _binned("month").format("TIMESTAMP '2024-02-01'"))
+def bin_months(spark, d):
+    return _us(timeagg.bins(states(spark, d), "months", 1, A, B, keep_last=True))
+
+
+@query("bin_n_points", f"with {P} select series_id, date_trunc('day', t) as bin_start, count(*) as n from p group by 1, 2")
+def bin_n_points(spark, d):
+    return timeagg.bin_points(numbers(spark, d), "days")
+
+
+@query("rebin", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('day', t0), t1, interval 1 day)) as e from c),
+    x as (select series_id, cast(isodow(e) - 1 as integer) as bin, value, greatest(t0, e) as t0, least(t1, e + interval 1 day) as t1 from h where e < t1)
+    select series_id, bin, value, cast(sum({US}) as bigint) as mass_us from x group by series_id, bin, value""")
+def rebin(spark, d):
+    return _us(timeagg.rebin(timeagg.bins(states(spark, d), "days", 1, A, B, keep_last=True), lambda c: F.weekday(c)))
+
+
+# --- Algebra: each even user with the next one ---
+
+PAIR_SQL = """a as (select user_id // 2 as series_id, ts as t, {0} as v from events where user_id % 2 = 0), b as (select user_id // 2 as series_id, ts as t, {0} as v from events where user_id % 2 = 1),
+    u as (select series_id, t from a union select series_id, t from b),
+    x as (select u.series_id, u.t, a.v as x, a.t as xt from u asof left join a on u.series_id = a.series_id and u.t >= a.t),
+    z as (select x.series_id, x.t, x.x, b.v as y from x asof left join b on x.series_id = b.series_id and x.t >= b.t)"""
+
+
+def _pair(spark, d, value: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "events").select(F.expr("user_id div 2").alias("series_id"), F.col("ts").alias("t"), F.expr(value).alias("value"), (F.col("user_id") % 2).alias("odd"))
+    return rows.where("odd = 0").drop("odd"), rows.where("odd = 1").drop("odd")
+
+
+BIG = "event_type = 'click'"
+WHOLE = "cast(case when event_type = 'error' then null else cast(floor(value) as bigint) % 3 end as double)"
+
+
+def _algebra(name: str, value: str, sql: str, f: Callable[[DataFrame, DataFrame], DataFrame], compacted: bool = False) -> None:
+    body = f"with {PAIR_SQL.format(value)}, r as (select series_id, t, {sql} as value from z)"
+    if compacted:
+        body += ", k as (select *, lag(value) over w as prev, row_number() over w as n from r window w as (partition by series_id order by t)) select series_id, t, value from k where n = 1 or value is distinct from prev"
+    else:
+        body += " select series_id, t, value from r"
+
+    @query(name, body)
+    def run(spark, d):
+        out = f(*_pair(spark, d, value))
+        return out.withColumn("value", F.round("value", 6)) if dict(out.dtypes)["value"] == "double" else out
+
+
+_algebra("op_difference", "value", "round(x - y, 6)", algebra.difference)
+_algebra("op_multiply", "value", "round(x * y, 6)", algebra.multiply)
+_algebra("op_sum", WHOLE, "coalesce(x, 0) + coalesce(y, 0)", algebra.add, True)
+_algebra("sum_strict", WHOLE, "x + y", algebra.strict_add, True)
+_algebra("logical_and", WHOLE, "case when x <> 0 then y else x end", algebra.logical_and)
+_algebra("logical_or", WHOLE, "case when x <> 0 then x else y end", algebra.logical_or)
+_algebra("logical_xor", BIG, "coalesce(x, false) <> coalesce(y, false)", algebra.logical_xor)
+
+
+@query("op_scalar", f"with {P} select series_id, t, round(value * 2.5, 6) as value from p")
+def op_scalar(spark, d):
+    return algebra.multiply(numbers(spark, d), 2.5).withColumn("value", F.round("value", 6))
+
+
+@query("to_bool", "select user_id as series_id, ts as t, coalesce(length(nullif(event_type, 'error')) > 0, false) as value from events")
+def to_bool(spark, d):
+    return algebra.to_bool(states(spark, d).withColumn("value", F.nullif("value", F.lit("error"))))
+
+
+@query("invert", f"with {N} select series_id, t, not coalesce(value <> 0, false) as value from p")
+def invert(spark, d):
+    return algebra.to_bool(holes(spark, d), invert=True)
+
+
+@query("threshold", f"with {N} select series_id, t, value > 50.0 as value from p")
+def threshold(spark, d):
+    return algebra.threshold(holes(spark, d), 50.0)
+
+
+# --- Merging ---
+
+
+@query("merge_transitions", f"with {N} select t, series_id, lag(value) over (partition by series_id order by t) as previous, value from p")
+def merge_transitions(spark, d):
+    return merge.transitions(holes(spark, d))
+
+
+CENTS = "cast(round(value * 100) as bigint)"
+
+
+@query("merge_sum", f"""with p as (select user_id as series_id, ts as t, {CENTS} as value from events), l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
+    x as (select t, sum(value - coalesce(prev, 0)) as s, count(*) filter (where prev is null) as k from l group by t)
+    select t, cast(sum(s) over (order by t) as bigint) as sum, cast(sum(k) over (order by t) as bigint) as known from x""")
+def merge_sum(spark, d):
+    return merge.running_sum(numbers(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long")))
+
+
+FEW = f"with p as (select user_id as series_id, ts as t, {HOLES} as value from events where user_id < 5)"
+GRID_FEW = FEW + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
+    v as (select g.t, g.series_id, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)"""
+
+
+def _few(spark, d) -> DataFrame:
+    return holes(spark, d).where("series_id < 5")
+
+
+@query("merge_list", GRID_FEW + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
+def merge_list(spark, d):
+    m = merge.merge(_few(spark, d), compact=False)
+    text = F.transform("value", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
+    return m.select("t", F.array_join(text, ",").alias("l"))
+
+
+@query("merge_max", GRID_FEW + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
+def merge_max(spark, d):
+    return merge.merge(_few(spark, d), F.array_max)
+
+
+@query("merge_ignorant_sum", GRID_FEW + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
+def merge_ignorant_sum(spark, d):
+    return merge.merge(_few(spark, d), merge.ignorant_sum, compact=False).withColumn("value", F.round("value", 6))
+
+
+@query("merge_strict_sum", GRID_FEW + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
+def merge_strict_sum(spark, d):
+    return merge.merge(_few(spark, d), merge.strict(merge.ignorant_sum), compact=False).withColumn("value", F.round("value", 6))
+
+
+@query("count_by_value", f"""with {S}, l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
+    m as (select t, value, 1 as n from l union all select t, prev, -1 from l where prev is not null), x as (select t, value, sum(n) as n from m group by t, value)
+    select value, t, cast(sum(n) over (partition by value order by t) as bigint) as n from x""")
+def count_by_value(spark, d):
+    return merge.counts(states(spark, d))
+
+
+@query("count_by_value_default", f"""with {S}, k as (select count(distinct series_id) as k from p), l as (select *, coalesce(lag(value) over (partition by series_id order by t), 'click') as prev from p),
+    m as (select t, value, 1 as n from l union all select t, prev, -1 from l), x as (select t, value, sum(n) as n from m group by t, value)
+    select value, t, cast(sum(n) over (partition by value order by t) + case when value = 'click' then (select k from k) else 0 end as bigint) as n from x""")
+def count_by_value_default(spark, d):
+    return merge.counts(states(spark, d), "click")
+
+
+@query("conversation_roles", """with p as (select conv_id as series_id, turn as t, role as value from conversations), l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
+    m as (select t, value, 1 as n from l union all select t, prev, -1 from l where prev is not null), x as (select t, value, sum(n) as n from m group by t, value)
+    select value, t, cast(sum(n) over (partition by value order by t) as bigint) as n from x""")
+def conversation_roles(spark, d):
+    c = table(spark, d, "conversations")
+    p = model.normalize(c, "conv_id", "turn", "role", "turn")
+    return merge.counts(p, cell=F.floor(F.col("t") / 16))
+
+
+# --- Histograms ---
+
+PRICES = "h as (select l_suppkey as series_id, l_quantity as value, count(*) as mass from lineitem group by 1, 2)"
+
+
+def _quantities(spark, d) -> DataFrame:
+    return hist.histogram(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
+
+
+@query("hist_moments", f"with {PRICES}, m as (select series_id, sum(value * mass) / sum(mass) as mean from h group by 1) select h.series_id, round(any_value(mean), 6) as mean, round(sum(mass * (value - mean) * (value - mean)) / sum(mass), 6) as variance, round(sqrt(sum(mass * (value - mean) * (value - mean)) / sum(mass)), 6) as std from h join m on h.series_id = m.series_id group by h.series_id")
+def hist_moments(spark, d):
+    return hist.moments(_quantities(spark, d)).select("series_id", *(F.round(c, 6).alias(c) for c in ("mean", "variance", "std")))
+
+
+@query("hist_minmax", f"with {PRICES} select series_id, min(value) as min, max(value) as max from h group by 1")
+def hist_minmax(spark, d):
+    return hist.extremes(_quantities(spark, d))
+
+
+@query("hist_total", f"with {PRICES} select series_id, cast(sum(mass) as bigint) as total from h group by 1")
+def hist_total(spark, d):
+    return hist.total(_quantities(spark, d))
+
+
+@query("hist_normalized", f"with {PRICES} select series_id, value, round(mass / sum(mass) over (partition by series_id), 9) as mass from h")
+def hist_normalized(spark, d):
+    return hist.normalized(_quantities(spark, d)).withColumn("mass", F.round("mass", 9))
+
+
+@query("hist_add", "select l_suppkey as series_id, l_quantity as value, count(*) as mass from lineitem group by 1, 2")
+def hist_add(spark, d):
+    rows = table(spark, d, "lineitem")
+    return hist.add(hist.histogram(rows.where("l_returnflag = 'N'"), "l_suppkey", "l_quantity"), hist.histogram(rows.where("l_returnflag <> 'N'"), "l_suppkey", "l_quantity"))
+
+
+def _quantile_sql(alpha: float, smallest: str) -> str:
+    return f"""with {PRICES}, r as (select series_id, value, mass, coalesce(sum(mass) over (partition by series_id order by value rows between unbounded preceding and 1 preceding), 0) as lo,
+        sum(mass) over (partition by series_id) as w, {alpha} * {smallest} as beta from h),
+        k0 as (select series_id, (lo + beta) / w as x, value as y, beta from r union all select series_id, (lo + mass - beta) / w, value, beta from r),
+        k1 as (select series_id, x, max(y) as y, any_value(beta) as beta from k0 group by series_id, x),
+        k as (select *, lag(y) over (partition by series_id order by x) as prev, min(x) over (partition by series_id) as x0, max(x) over (partition by series_id) as x9 from k1),
+        q as (select *, least(greatest(q, x0), x9) as p from (select *, unnest([0.05, 0.25, 0.5, 0.9]) as q from k)),
+        g as (select series_id, q, any_value(p) as p, any_value(beta) as beta, arg_max(y, x) filter (where x <= p) as ya, max(x) filter (where x <= p) as xa, arg_max(coalesce(prev, y), x) filter (where x <= p) as pa,
+            arg_min(y, x) filter (where x >= p) as yb, min(x) filter (where x >= p) as xb from q group by series_id, q)
+        select series_id, cast(q as double) as q, round(case when beta > 0 then case when xa = p then ya else ya + (p - xa) / (xb - xa) * (yb - ya) end else case when xa = p then (ya + pa) / 2 else ya end end, 6) as value from g"""
+
+
+@query("hist_quantiles", _quantile_sql(0.5, "min(mass) over (partition by series_id)"))
+def hist_quantiles(spark, d):
+    return hist.quantiles(_quantities(spark, d), [0.05, 0.25, 0.5, 0.9]).withColumn("value", F.round("value", 6))
+
+
+@query("hist_quantiles_ecdf", _quantile_sql(0.0, "1"))
+def hist_quantiles_ecdf(spark, d):
+    return hist.quantiles(_quantities(spark, d), [0.05, 0.25, 0.5, 0.9], 0.0).withColumn("value", F.round("value", 6))
+
+
+# --- Events ---
+
+EV = "p as (select event_type as series_id, ts as t from events)"
+
+
+@query("cumsum", f"with {EV}, n as (select series_id, t, count(*) as n from p group by 1, 2) select series_id, t, cast(sum(n) over (partition by series_id order by t) as bigint) as value from n")
+def cumsum(spark, d):
+    return events.cumulative_sum(kinds(spark, d))
+
+
+@query("events_between", f"with {EV} select series_id, count(*) filter (where t between TIMESTAMP '2024-01-10' and TIMESTAMP '2024-01-20') as n from p group by 1")
+def events_between(spark, d):
+    return events.between(kinds(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20))
+
+
+@query("interevent", f"with {EV}, g as (select series_id, t, date_diff('microsecond', lag(t) over (partition by series_id order by t), t) as gap_us from p) select * from g where gap_us is not null")
+def interevent(spark, d):
+    return events.gaps(kinds(spark, d)).select("series_id", "t", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
+
+
+@query("event_clusters", """with p as (select user_id as series_id, ts as t from events), g as (select *, case when date_diff('microsecond', lag(t) over w, t) <= 21600000000 then 0 else 1 end as new from p window w as (partition by series_id order by t)),
+    r as (select *, sum(new) over (partition by series_id order by t) as run from g) select series_id, min(t) as first_t, max(t) as last_t, count(*) as n from r group by series_id, run""")
+def event_clusters(spark, d):
+    return events.clusters(model.of(table(spark, d, "events"), "user_id", "ts"), 6 * 3600)
+
+
+ACTIVE = "with d as (select 'all' as series_id, o_orderdate as t, 1 as n from orders union all select 'all', l_shipdate, -1 from lineitem), x as (select series_id, t, sum(n) as n from d group by 1, 2) select series_id, t, cast(sum(n) over (order by t) as bigint) as value from x"
+
+
+@query("count_active", ACTIVE)
+def count_active(spark, d):
+    opened = table(spark, d, "orders").select(F.lit("all").alias("series_id"), F.col("o_orderdate").alias("t"))
+    closed = table(spark, d, "lineitem").select(F.lit("all").alias("series_id"), F.col("l_shipdate").alias("t"))
+    return events.active(opened, closed, F.date_trunc("month", "t"))
+
+
+# --- Recipes ---
+
+
+@query("band_periods", f"""with {P}, f as (select series_id, t, value between 20 and 80 as v from p), k as (select *, lag(v) over w as prev, row_number() over w as n from f window w as (partition by series_id order by t)),
+    s as (select series_id, t as t0, lead(t) over (partition by series_id order by t) as t1, v from k where n = 1 or v <> prev) select series_id, t0, t1, true as value from s where v and t1 is not null and {US} >= 7200000000""")
+def band_periods(spark, d):
+    return periods.long_periods(numbers(spark, d), lambda v: v.between(20, 80), 7200)
+
+
+@query("threshold_crossings", f"with {P}, f as (select series_id, t, value > 50.0 as rising, lag(value > 50.0) over (partition by series_id order by t) as b from p) select series_id, t, rising from f where b is not null and b <> rising")
+def threshold_crossings(spark, d):
+    return recipes.crossings(numbers(spark, d), 50.0)
+
+
+@query("returns", "with p as (select user_id as series_id, ts as t, value + 1 as value from events), f as (select *, lag(value) over (partition by series_id order by t) as b from p) select series_id, t, round(value / b - 1, 6) as value from f where b is not null")
+def returns(spark, d):
+    p = numbers(spark, d).withColumn("value", F.col("value") + 1)
+    return recipes.returns(p).withColumn("value", F.round("value", 6))
+
+
+@query("vwap", "select l_partkey as series_id, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) as vwap from lineitem group by 1")
+def vwap(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_partkey").alias("series_id"), F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("volume"))
+    return recipes.vwap(p).withColumn("vwap", F.round("vwap", 4))
+
+
+@query("rolling_zscore", """with p as (select user_id as series_id, ts as t, epoch_us(ts) as us, value from events),
+    w as (select *, count(value) over w as n, avg(value) over w as m, stddev_pop(value) over w as s from p window w as (partition by series_id order by us range between 86400000000 preceding and 1 preceding))
+    select series_id, t, value, round((value - m) / s, 4) as z from w where n >= 3 and s >= 0.01 and abs((value - m) / s) > 2""")
+def rolling_zscore(spark, d):
+    return recipes.anomalies(numbers(spark, d), 24).withColumn("z", F.round("z", 4))
+
+
+@query("stacked", f"""with {P}, s as (select unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', interval 5 day)) as start)
+    select series_id, start, round(date_diff('microsecond', start, t) / 1e6, 6) as t, value from p join s on t >= start and t <= start + interval 2 day""")
+def stacked(spark, d):
+    starts = calendar.date_range(spark, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25), "days", 5, True).withColumnRenamed("t", "start")
+    return recipes.stacked(numbers(spark, d), starts, 2 * 86400).withColumn("t", F.round("t", 6))
+
+
+# --- Calendar ---
+
+FLOORS = {
+    "years": ("years", 1, "date_trunc('year', ts)"),
+    "months3": ("months", 3, "date_trunc('quarter', ts)"),
+    "weeks": ("weeks", 1, "date_trunc('week', ts)"),
+    "weeks3": ("weeks", 3, "date_trunc('week', ts) - to_days(cast(7 * ((weekofyear(ts) - 1) % 3) as integer))"),
+    "days2": ("days", 2, "date_trunc('day', ts) - to_days(cast((extract(day from ts) - 1) % 2 as integer))"),
+    "hours10": ("hours", 10, "date_trunc('hour', ts) - to_hours(cast(extract(hour from ts) % 10 as integer))"),
+    "minutes15": ("minutes", 15, "date_trunc('minute', ts) - to_minutes(cast(extract(minute from ts) % 15 as integer))"),
+    "seconds30": ("seconds", 30, "date_trunc('second', ts) - to_seconds(cast(extract(second from ts) % 30 as integer))"),
+}
+
+
+@query("floor_units", f"select event_id, {', '.join(f'cast({sql} as timestamp) as {name}' for name, (_, _, sql) in FLOORS.items())} from events")
+def floor_units(spark, d):
+    return table(spark, d, "events").select("event_id", *(calendar.floor(F.col("ts"), u, n).alias(name) for name, (u, n, _) in FLOORS.items()))
+
+
+@query("datetime_range", "select unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', interval 9 hour)) as t")
+def datetime_range(spark, d):
+    return calendar.date_range(spark, A, B, "hours", 9).where(F.col("t") < F.lit(dt.datetime(2024, 1, 30, 23, 0, 1)))
+
+
+@query("weekday", "select event_id, cast(isodow(ts) - 1 as integer) as weekday from events")
+def weekday(spark, d):
+    return table(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"))
+
+
+@query("time_midpoint", f"with {P}, {INNER} select series_id, t0, t0 + to_microseconds({US} // 2 + ({US} % 2) * (({US} // 2) % 2)) as mid from c")
+def time_midpoint(spark, d):
+    return periods.periods(numbers(spark, d)).select("series_id", "t0", calendar.midpoint(F.col("t0"), F.col("t1")).alias("mid"))
+
+
+# --- Text formats ---
+
+
+@query("json_roundtrip", f"with {N} select series_id, t, value from p")
+def json_roundtrip(spark, d):
+    return io.from_json(io.to_json(holes(spark, d)), "json")
+
+
+@query("json_dict_roundtrip", f"with {P} select series_id, t, value from p")
+def json_dict_roundtrip(spark, d):
+    return io.from_json(io.to_json(numbers(spark, d), dict_format=True), "json")
