@@ -126,26 +126,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (logits + self.bias) + self.shift, -60, 60)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, share: np.ndarray, label: np.ndarray, bits: int, steps: int = 250, rate: float = 0.3, ridge: float = 1e-4, held: int = 4) -> Model | None:
-    """A calibrated model, or None unless both labels are there to train and to calibrate on. Every held-th row calibrates."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, bits: int, epochs: int = 30, batch: int = 128, rate: float = 0.05, ridge: float = 1e-6, held: int = 4) -> Model | None:
+    """A calibrated model of rows (features, shares), or None unless both labels are there to train and to calibrate on.
+
+    Every held-th row calibrates. Memory: the rows and the temporaries of one batch.
+    """
     test = np.arange(len(label)) % held == held - 1
     if any(len(np.unique(label[m])) < 2 for m in (test, ~test)):
         return None
-    used = ~test[row]
-    r, f, x = row[used], feature[used], share[used]
     y = label.astype(float)
-    w, bias = np.zeros(1 << bits), float(np.log((y[~test].sum() + 1) / ((1 - y[~test]).sum() + 1)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    n = (~test).sum()
-    for t in range(1, steps + 1):  # Adam on the whole sample
-        z = np.bincount(r, w[f] * x, minlength=len(y)) + bias
-        err = np.where(test, 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        g, gb = np.bincount(f, err[r] * x, minlength=len(w)) + ridge / n * w, err.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        fix, fix2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        bias -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    z = (np.bincount(row, w[feature] * share, minlength=len(y)) + bias)[test]
+
+    def part(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at])
+        return row, np.concatenate([rows[i][0] for i in at]).astype(np.int64), np.concatenate([rows[i][1] for i in at]).astype(float)
+
+    train = np.flatnonzero(~test)
+    w, bias = np.zeros(1 << bits), float(np.log((y[train].sum() + 1) / ((1 - y[train]).sum() + 1)))
+    m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
+    order = np.random.default_rng(42)
+    for _ in range(epochs):  # Adam
+        for at in np.array_split(order.permutation(train), max(1, len(train) // batch)):
+            t += 1
+            r, f, x = part(at)
+            err = (1 / (1 + np.exp(-np.clip(np.bincount(r, w[f] * x, minlength=len(at)) + bias, -60, 60))) - y[at]) / len(at)
+            g, gb = np.bincount(f, err[r] * x, minlength=len(w)) + ridge * w, err.sum()
+            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            fix, fix2 = 1 - 0.9**t, 1 - 0.999**t
+            w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+            bias -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
+    z = []
+    for at in np.array_split(np.flatnonzero(test), max(1, int(test.sum()) // batch)):
+        r, f, x = part(at)
+        z.append(np.bincount(r, w[f] * x, minlength=len(at)) + bias)
+    z = np.concatenate(z)
     pos, neg = y[test].sum(), (1 - y[test]).sum()
     goal = np.where(y[test] > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))  # Platt's smoothed labels
     a, b = 1.0, 0.0
@@ -165,6 +178,8 @@ def fit(row: np.ndarray, feature: np.ndarray, share: np.ndarray, label: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000, bits: int = 17) -> Model | None:
     """Fit on at most `most` labelled documents: those whose ids have the least hashes, so that reruns agree.
 
+    One task fits, on the features of that bounded sample; the driver gets the weights only.
+
     Labels that are null, or contradict each other for one doc_id, do not count. None where a class is missing.
     """
     ship(docs.sparkSession)
@@ -182,13 +197,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), cut(feature.astype("<u4")), cut(share.astype("<f4"))], ["doc_id", "y", "feature", "share"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, feature binary, share binary").toArrow().sort_by([("doc_id", "ascending"), ("feature", "ascending")])
-    features = [np.frombuffer(b, "<u4") for b in got.column("feature").to_pylist()]
-    if not features:
-        return None
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    share = np.frombuffer(b"".join(got.column("share").to_pylist()), "<f4").astype(float)
-    return fit(row, np.concatenate(features).astype(np.int64), share, got.column("y").to_numpy(), bits)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            got = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("feature", "ascending")])
+            sparse = [(np.frombuffer(f, "<u4"), np.frombuffer(x, "<f4")) for f, x in zip(got.column("feature").to_pylist(), got.column("share").to_pylist(), strict=True)]
+            model = fit(sparse, got.column("y").to_numpy(), bits)
+            if model is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([x]) for x in (model.bias, model.slope, model.shift))], ["weights", "bias", "slope", "shift"])
+
+    features = rows.mapInArrow(run, "doc_id long, y int, feature binary, share binary")
+    got = features.repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, shift double").first()
+    return got and Model(np.frombuffer(bytes(got.weights), np.float32), got.bias, got.slope, got.shift, bits)
 
 
 def judge(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), most: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
