@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import lean, ship, slices
 
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -367,4 +367,4 @@ def extract(pages: DataFrame, field: Field | None = None, id_column: str = "page
                 texts = [main_text(h, shared.value) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_column).cast("long").alias("page_id"), "url", F.col(html_column).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_column).cast("long").alias("page_id"), "url", F.col(html_column).alias("html")).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

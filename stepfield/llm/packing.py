@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, ragged, scaled, ship
+from .common import binary_rows, ragged, release, scaled, ship
 from .tokens import tokenized, unpack
 
 
@@ -119,6 +119,8 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end: int = 2, window
         base = np.cumsum(counts) - counts
         flat = ids[ragged(base[p[:, 0]] + p[:, 1], p[:, 2])].astype("<u4")
         doc, shard = table.column("doc_id").take(pa.array(p[:, 0])), table.column("shard")[0].as_py()
+        del ids
+        release()
         return pa.table([doc, pa.array(p[:, 1]), pa.array(p[:, 2]), pa.array(counts[p[:, 0]]), pa.array((shard << 32) + p[:, 3]), pa.array(p[:, 4]), binary_rows(flat, p[:, 2])], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

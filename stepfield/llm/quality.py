@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ragged, ship, slices
+from .common import Words, lean, ragged, ship, slices
 from .substring import _mix, run_hash, word_hashes
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -206,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             if model is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([x]) for x in (model.bias, model.slope, model.shift))], ["weights", "bias", "slope", "shift"])
 
-    features = rows.mapInArrow(run, "doc_id long, y int, feature binary, share binary")
-    got = features.repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, shift double").first()
+    features = rows.mapInArrow(lean(run), "doc_id long, y int, feature binary, share binary")
+    got = features.repartition(1).mapInArrow(lean(learn), "weights binary, bias double, slope double, shift double").first()
     return got and Model(np.frombuffer(bytes(got.weights), np.float32), got.bias, got.slope, got.shift, bits)
 
 
@@ -242,7 +242,7 @@ def judge(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), most: i
 
     kinds = {"doc_id": "long", **dict.fromkeys(STATISTICS, "long"), "probability": "double", "base_failed": "boolean", "kept": "boolean"}
     schema = ", ".join([*(f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in kinds.items())])
-    return docs.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), most: int = 3000) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, slices
+from .common import Scratch, lean, ship, slices
 from .components import components, forest
 
 ONES = np.uint64(0x0101010101010101)
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *(part.column(c) for c in more)], ["doc_id", "fp", *more])
 
     more = [keep] if keep else []
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *more).mapInArrow(lean(run), ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def block_keys(fp: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +137,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, most: int = 3, chun
             for k, key in block_keys(fp, most):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int16)), pa.array(key.view(np.int64)), batch.column("fp")], ["k", "key", "fp"])
 
-    rows = distinct.select("fp").mapInArrow(keyed, "k short, key long, fp long")
+    rows = distinct.select("fp").mapInArrow(lean(keyed), "k short, key long, fp long")
     hot = scratch.keep(rows.groupBy("k", "key").count().where(F.col("count") > chunk).select("k", "key", F.ceil(F.col("count") / chunk).cast("int").alias("c")), "hot")
     if hot.isEmpty():
         rows = rows.select("k", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).cast("short").alias("side"), "fp")
@@ -176,7 +176,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, most: int = 3, chun
         u, v = forest(*map(np.concatenate, zip(*wait, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.mapInArrow(link, "u long, v long")
+    return rows.mapInArrow(lean(link), "u long, v long")
 
 
 def groups(rows: DataFrame, scratch: Scratch, most: int, chunk: int) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, same, ship, slices
+from .common import Scratch, Words, lean, same, ship, slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -147,7 +147,7 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
                 cols = [c for c in ("_uid", "doc_id", "h") if c in part.schema.names]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(np.diff(words.bounds)), pa.array(sha, pa.binary()), runs], [*cols, "n_words", "sha", "runs"])
 
-    first = text.mapInArrow(scan, ("_uid long, " if own else "") + "doc_id long, h binary, n_words long, sha binary, runs array<long>")
+    first = text.mapInArrow(lean(scan), ("_uid long, " if own else "") + "doc_id long, h binary, n_words long, sha binary, runs array<long>")
     table = scratch.keep(first if own else first.withColumn("_uid", F.monotonically_increasing_id()), "anchors")
 
     # The first of equal texts, in the order of doc_id: ord grows with it.
@@ -176,7 +176,7 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(short), pa.array(part.column("ord").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(again)], ["a", "b", "ord", "start", "again"])
 
     # 96 bits of key: over all windows of 100 TB of text, a mistaken pair has a chance of about one in a thousand.
-    windows = scratch.keep(seeds.mapInArrow(extend, "a long, b int, ord long, start int, again boolean"), "windows")
+    windows = scratch.keep(seeds.mapInArrow(lean(extend), "a long, b int, ord long, start int, again boolean"), "windows")
     own_first = windows.where("not again").select("a", "b", "ord", "start")
     earliest = own_first.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
     later = own_first.join(earliest, ["a", "b"]).where("ord > least").select("ord", "start").union(windows.where("again").select("ord", "start"))
@@ -198,7 +198,7 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
                     sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])).digest())
                 yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(gone, kind)], ["ord", "removed", "cut_sha", "gone"])
 
-    parts = seeds.select("ord", "text").join(later, "ord").mapInArrow(cut, "ord long, removed long, cut_sha binary, gone array<struct<first:int,end:int>>")
+    parts = seeds.select("ord", "text").join(later, "ord").mapInArrow(lean(cut), "ord long, removed long, cut_sha binary, gone array<struct<first:int,end:int>>")
     parts = parts.dropDuplicates(["ord"])
     status = heads.select("_uid", "ord").join(parts, "ord", "left").drop("ord").withColumn("head", F.lit(True))
     whole = F.col("head").isNull() & (F.col("n_words") >= size)
@@ -245,6 +245,6 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 5) -> DataFrame:
 
     joined = base.join(gone, "_uid", "left").select(*(F.col(c).alias(f"c_{c}") for c in names if c != "text"), "text", "gone")
     schema = ", ".join([*(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "cut boolean"])
-    done = joined.mapInArrow(trim, schema)
+    done = joined.mapInArrow(lean(trim), schema)
     size_of = lambda c: F.when(F.col("cut"), F.char_length("c_text").cast(docs.schema[c].dataType)).otherwise(F.col(f"c_{c}"))
     return done.select(*(size_of(c).alias(c) if c == "n_chars" else F.col(f"c_{c}").alias(c) for c in names))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, binary_rows, ragged, ship, slices
+from .common import Scratch, Words, binary_rows, lean, ragged, ship, slices
 
 MAGIC = b"SFTOKEN1"
 HEADER = struct.Struct("<6I")
@@ -175,7 +175,7 @@ def tokenized(docs: DataFrame, vocab: str, end: int, id_column: str = "doc_id",
                 flat = ids.astype("<u2" if narrow else "<u4")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), binary_rows(flat, n), pa.array(np.full(len(n), not narrow))], ["doc_id", "n_tokens", "ids", "wide"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, wide boolean")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, wide boolean")
 
 
 def unpack(ids: pa.Array, wide: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +364,7 @@ def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratc
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     # At most as many rows as the vocabulary has ids.
-    found = rows.select("ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("ids", "wide").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found.id.max()) + 1 if len(found) else 1, np.int64)
     counts[found.id.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
     lengths = code_lengths(counts, limit)
@@ -422,7 +422,7 @@ def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratc
 
     store_bytes(folder, "code.npy", save)
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    files = sorted(map(tuple, ordered.select("doc_id", "ids", "wide").mapInArrow(write, "file string, n long").collect()))  # a row for each file
+    files = sorted(map(tuple, ordered.select("doc_id", "ids", "wide").mapInArrow(lean(write), "file string, n long").collect()))  # a row for each file
     scratch.drop(rows)
     ends = np.cumsum([n for _, n in files]) if files else np.zeros(0, np.int64)
     return spark.createDataFrame([(f, int(e) - n) for (f, n), e in zip(files, ends, strict=True)], "file string, first long")
@@ -448,4 +448,4 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                         start = int(ends[-1])
 
     n = max(1, files.count())
-    return files.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(n, "file").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")

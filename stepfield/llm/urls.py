@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 #: (verdict, rule), a rule being a host and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -91,4 +91,4 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
             cols = [[h for h, _ in parts], [p for _, p in parts], [f and f[0] for f in found], [f[1] if f else default for f in found]]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.string()) for c in cols)], ["id", "host", "path", "rule", "verdict"])
 
-    return pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url")).mapInArrow(run, "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_column)
+    return pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url")).mapInArrow(lean(run), "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_column)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import lean, ship, slices
 from .tokens import open_store, store_bytes
 
 LEAST = 100
@@ -117,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
         store_bytes(folder, name, fill)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "records"])
 
-    return rows.select("page_id", "url", "html", "digest", "first").mapInArrow(write, "file string, records long")
+    return rows.select("page_id", "url", "html", "digest", "first").mapInArrow(lean(write), "file string, records long")
 
 
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
@@ -148,4 +148,4 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], [f for f, _ in fields])
 
-    return files.select("file").mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files.select("file").mapInArrow(lean(read), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
