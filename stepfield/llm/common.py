@@ -128,6 +128,9 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         _remove(self.spark, df._scratch_path)
 
+    def clear(self) -> None:
+        _remove(self.spark, self.path)
+
 
 def same(a: Column, b: Column) -> Column:
     """Equality in which null equals null."""

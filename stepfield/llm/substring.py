@@ -180,7 +180,8 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
     own_first = windows.where("not again").select("a", "b", "ord", "start")
     earliest = own_first.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
     later = own_first.join(earliest, ["a", "b"]).where("ord > least").select("ord", "start").union(windows.where("again").select("ord", "start"))
-    later = later.groupBy("ord").agg(F.collect_list("start").alias("starts"))
+    later = scratch.keep(later.groupBy("ord").agg(F.collect_list("start").alias("starts")), "later")
+    scratch.drop(windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
@@ -221,7 +222,9 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 5) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     base = scratch.keep(docs.withColumn("_uid", F.monotonically_increasing_id()), "documents")
-    gone = repeats(base.select("_uid", "doc_id", "text"), scratch, size, seed).where("n_removed > 0").select("_uid", "gone")
+    work = Scratch(docs.sparkSession)
+    gone = scratch.keep(repeats(base.select("_uid", "doc_id", "text"), work, size, seed).where("n_removed > 0").select("_uid", "gone"), "gone")
+    work.clear()
     word = r"[^\x20\x09-\x0D]+"
     names = docs.columns
 
