@@ -46,18 +46,27 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("full"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size") / F.col("largest")))))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = CAP, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """One row per row of docs: (doc_id, source, size long, source_size long, target double, rate double, copies long, taken long).
-
-    size counts the text's words (null: 0). copies are 0, 1 or 2 (cap rounded down), taken is copies * size. Rows
-    equal in id and text are decided alike. A source without words has target 0 and rate 1. A null source is a
-    source like any other, an empty table gives none. Reruns agree. The table of sources has a row for each; Spark
-    broadcasts it where it is small and else splits a large source's rows.
-    """
-    scratch = Scratch(docs.sparkSession)
+def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
+    """(more columns, doc_id, source, size, u): what the mix needs to know of a row."""
     u = F.pmod(F.xxhash64(id_column, text_column), F.lit(1 << 52)) / F.lit(float(1 << 52))
     size = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.keep(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"), u.alias("u")), "sizes")
+    return docs.select(*more, F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"), u.alias("u"))
+
+
+def _of(left: DataFrame, right: DataFrame) -> DataFrame:
+    s = right.withColumnRenamed("source", "_source")
+    return left.join(s, same(left.source, s._source)).drop("_source")
+
+
+def _copies(cap: float) -> Column:
+    n = F.floor(F.col("rate") + F.col("low") + 1 - F.col("u"))
+    return F.when(F.col("full"), F.lit(int(cap))).otherwise(F.greatest(F.lit(0), F.least(F.lit(int(cap)), n))).cast("long")
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, id_column: str, text_column: str, source_column: str, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Rows by their sizes (written once), and for each source what decides its rows' copies."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(sized(docs, id_column, text_column, source_column), "sizes")
     counted = scratch.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sizes = counted.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.greatest(F.max("size"), F.lit(1)).alias("largest"))
     full = (F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size")) & (F.col("source_size") > 0)
@@ -68,14 +77,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         "dual",
     )
 
-    def of(left: DataFrame, right: DataFrame) -> DataFrame:
-        s = right.withColumnRenamed("source", "_source")
-        return left.join(s, same(left.source, s._source)).drop("_source")
-
     for _ in range(rounds):
         if state.where(~F.col("done")).isEmpty():
             break
-        rated = of(counted, state.where(~F.col("done"))).withColumn("rate", _rate(cap))
+        rated = _of(counted, state.where(~F.col("done"))).withColumn("rate", _rate(cap))
         words = F.col("n") * F.col("size") * F.col("rate")
         slope = F.when(F.col("rate") < cap, words * F.col("size") / F.col("largest")).otherwise(0.0)
         step = rated.groupBy("source").agg((F.sum(words) - F.first("target")).alias("over"), F.sum(slope).alias("slope"))
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     at = chosen.withColumns({"low": F.lit(-3.0), "width": F.lit(6.0 / BINS), "base": F.lit(0)})
     step = F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1)))
     for _ in range(3):
-        jumps = of(rows, at).withColumn("step", step).select("source", "size", "low", "width", "base", "target", (F.col("u") - _rate(cap) + F.col("step")).alias("jump"))
+        jumps = _of(rows, at).withColumn("step", step).select("source", "size", "low", "width", "base", "target", (F.col("u") - _rate(cap) + F.col("step")).alias("jump"))
         cell = F.floor((F.col("jump") - F.col("low")) / F.col("width"))
         cells = jumps.withColumn("cell", cell).where(F.col("cell").between(0, BINS - 1)).groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("target").alias("target"))
         run = Window.partitionBy("source").orderBy("cell")
@@ -113,24 +118,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         both = both.withColumns({"low": F.col("low") + F.coalesce("cross", F.lit(BINS)) * F.col("width"), "base": F.coalesce("reached", "base"), "width": F.col("width") / BINS})
         at = scratch.keep(both.drop("reached", "cross"), "shift")
 
-    copies = F.greatest(F.lit(0), F.least(F.lit(int(cap)), F.floor(F.col("rate") + F.col("low") + 1 - F.col("u")))).cast("long")
-    dealt = of(rows, at).withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("full"), F.lit(int(cap))).otherwise(copies).cast("long"))
+    dealt = _of(rows, at).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
     had = dealt.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("had")).withColumnRenamed("source", "_source")
     short = scratch.keep(at.join(had, same(at.source, had._source), "left").drop("_source").withColumn("short", F.col("target") - F.col("had")), "short")
-    dealt = of(rows, short).withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("full"), F.lit(int(cap))).otherwise(copies).cast("long"))
+    dealt = _of(rows, short).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
     apart = F.abs(F.col("short") - F.col("size"))
     more = dealt.where((F.col("copies") < int(cap)) & (apart < F.col("short"))).groupBy("source").agg(F.min(F.struct(apart.alias("apart"), F.col("u"), F.col("size"))).alias("m"))
     more = more.select(F.col("source").alias("_source"), F.col("m.u").alias("pick_u"), F.col("m.size").alias("pick_size"))
     last = scratch.keep(short.join(more, same(short.source, more._source), "left").drop("_source"), "picked")
-    dealt = of(rows, last).withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("full"), F.lit(int(cap))).otherwise(copies).cast("long"))
+    return rows, last
+
+
+def decide(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """rows with source_size, target, rate and copies. The sources' table is joined only; no row meets another."""
+    dealt = _of(rows, sources).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
     extra = F.coalesce((F.col("u") == F.col("pick_u")) & (F.col("size") == F.col("pick_size")) & (F.col("copies") < int(cap)), F.lit(False)).cast("long")
-    final = F.col("copies") + extra
-    return dealt.select("doc_id", "source", "size", "source_size", "target", "rate", final.alias("copies"), (final * F.col("size")).alias("taken"))
+    return dealt.withColumn("copies", F.col("copies") + extra)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it (rows that are taken no time are gone); all columns kept."""
-    scratch = Scratch(docs.sparkSession)
-    plan = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_doc_id")
-    plan = scratch.keep(plan, "copies")
-    return docs.join(plan, same(docs.doc_id, plan._doc_id)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = CAP, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """One row per row of docs: (doc_id, source, size long, source_size long, target double, rate double, copies long, taken long).
+
+    size counts the text's words (null: 0). copies are 0, 1 or 2 (cap rounded down), taken is copies * size. Rows
+    equal in id and text are decided alike. A source without words has target 0 and rate 1. A null source is a
+    source like any other, an empty table gives none. Reruns agree. The table of sources has a row for each; Spark
+    broadcasts it where it is small and else splits a large source's rows.
+    """
+    rows, sources = plan(docs, weights, share, cap, id_column, text_column, source_column, rounds, tolerance)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return decide(rows, sources, cap).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = CAP) -> DataFrame:
+    """docs with each row as often as the mix takes it (rows that are taken no time are gone); all columns kept.
+
+    Rows are decided where they are read, by the table of sources: texts are not shuffled.
+    """
+    _, sources = plan(docs, weights, share, cap, "doc_id", "text", "source", 60, 1e-9)
+    rows = sized(docs, "doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    taken = decide(rows, sources, cap).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

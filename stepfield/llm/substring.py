@@ -160,7 +160,7 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
     twice = runs.groupBy("run").count().where("count > 1").select("run")
     found = lone.select("ord", F.explode(F.array_distinct("runs")).alias("run")).join(twice, "run").groupBy("ord").agg(F.collect_list("run").alias("shared"))
     key = ["_uid"] if own else ["doc_id", "h"]
-    wanted = found.join(heads, "ord").select(*(F.col(c).alias("k_" + c) for c in key), "ord", "shared")
+    wanted = scratch.keep(found.join(heads, "ord").select(*(F.col(c).alias("k_" + c) for c in key), "ord", "shared"), "shared")
     on = [same(F.col(c), F.col("k_" + c)) if c == "doc_id" else F.col(c) == F.col("k_" + c) for c in key]
     seeds = scratch.keep(text.join(wanted, on).select("ord", "text", "shared"), "seeds")
 
