@@ -211,18 +211,20 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
             out.append(f"</{tag}>")
 
         title = words(3, 9)
-        out.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-        gold.append((title, 0))
-        for kind in ("header", "nav", "notice", "ad"):
+        bare = rnd.random() < 0.2  # a fragment: nothing but the text
+        if not bare:
+            out.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
+            gold.append((title, 0))
+        for kind in () if bare else ("header", "nav", "notice", "ad"):
             if rnd.random() < (0.7 if kind == "nav" else 0.4):
                 other(kind)
-        if rnd.random() < 0.25:
+        if not bare and rnd.random() < 0.25:
             other("aside")
-        shape = rnd.random()
+        shape = rnd.random() if not bare else rnd.choice((0.0, 0.8, 1.0, 1.0))
         tags = ["article"] if shape < 0.45 else ["main", "article"] if shape < 0.55 else ["main"] if shape < 0.65 else ["div"] if shape < 0.92 else []
         for t in tags:
             out.append(f'<{t} class="{rnd.choice(MAIN_NAMES)}">' if t == "div" or rnd.random() < 0.3 else f"<{t}>")
-        if rnd.random() < 0.85:
+        if rnd.random() < (0.4 if bare else 0.85):
             put("h1", title if rnd.random() < 0.7 else words(3, 9), 1)
         for i in range(rnd.choice((1, 1, 2, 3, 5, 8, 12))):
             kind = rnd.random()
@@ -248,10 +250,10 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
                 other(rnd.choice(("ad", "aside", "form", "notice")))
             else:
                 put("p", words(1, 6) + ".", 1)
-        if tags and rnd.random() < 0.2:
+        if tags and not bare and rnd.random() < 0.2:
             other(rnd.choice(("comments", "nav", "footer", "aside")))
         out += [f"</{t}>" for t in reversed(tags)]
-        for kind in ("aside", "comments", "form", "ad", "notice", "footer"):
+        for kind in () if bare else ("aside", "comments", "form", "ad", "notice", "footer"):
             if rnd.random() < (0.75 if kind == "footer" else 0.3):
                 other(kind)
         if rnd.random() < 0.8:

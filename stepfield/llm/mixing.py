@@ -101,7 +101,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float,
         state = after
 
     # Copies as a function of the shift: one at u - rate, the second at u - rate + 1.
-    chosen = state.select("source", "source_size", "largest", "target", "full", "tilt")
+    # The last digits of lambda depend on the order in which Spark adds; reruns shall agree.
+    chosen = state.select("source", "source_size", "largest", "target", "full", F.round("tilt", 9).alias("tilt"))
     at = chosen.withColumns({"low": F.lit(-3.0), "width": F.lit(6.0 / BINS), "base": F.lit(0)})
     step = F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1)))
     for _ in range(3):

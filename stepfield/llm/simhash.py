@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_column: s
 def keep_one(docs: DataFrame, words: int = 3, most: int = 3, chunk: int = 8192) -> DataFrame:
     """One row of each group, all columns kept: that with the smallest doc_id (null last; of equal ids the first read)."""
     scratch = Scratch(docs.sparkSession)
-    base = scratch.keep(docs.withColumn("_uid", F.monotonically_increasing_id()), "documents")
-    rows = scratch.keep(fingerprints(base, words, keep="_uid"), "fingerprints")
+    base = scratch.keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_uid")), "documents")
+    rows = scratch.keep(fingerprints(base.select("row.doc_id", "row.text", "_uid"), words, keep="_uid"), "fingerprints")
     member, _ = groups(rows, scratch, most, chunk)
     rooted = rows.join(member.select("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")).alias("m")).select(F.col("m._uid").alias("_uid"))
-    return base.join(first, "_uid", "left_semi").drop("_uid")
+    return base.join(first, "_uid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -122,8 +122,8 @@ def _shared(part: pa.RecordBatch) -> list[np.ndarray]:
     return [np.array(x, np.int64).view(np.uint64) for x in part.column("shared").to_pylist()]
 
 
-def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) -> DataFrame:
-    """One row per row of docs (doc_id, text and, if it has one, a unique _uid):
+def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5, own: bool = False) -> DataFrame:
+    """One row per row of docs (doc_id, text and, if own, a unique long _uid; other columns are not read):
     (_uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, gone array<struct<first int, end int>>).
 
     gone: the removed words as ranges of word numbers. A null text has no words. Of rows with equal texts the one
@@ -132,7 +132,6 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5) ->
     """
     spark = docs.sparkSession
     ship(spark)
-    own = "_uid" in docs.columns
     text = docs.select(*(["_uid"] if own else []), F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +220,9 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 5) -> DataFrame:
     Texts without a removed word are untouched. In the others kept words keep the white space before them.
     """
     scratch = Scratch(docs.sparkSession)
-    base = scratch.keep(docs.withColumn("_uid", F.monotonically_increasing_id()), "documents")
+    base = scratch.keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_uid")), "documents")
     work = Scratch(docs.sparkSession)
-    gone = scratch.keep(repeats(base.select("_uid", "doc_id", "text"), work, size, seed).where("n_removed > 0").select("_uid", "gone"), "gone")
+    gone = scratch.keep(repeats(base.select("_uid", "row.doc_id", "row.text"), work, size, seed, True).where("n_removed > 0").select("_uid", "gone"), "gone")
     work.clear()
     word = r"[^\x20\x09-\x0D]+"
     names = docs.columns
@@ -246,7 +245,7 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 5) -> DataFrame:
             cols = [pa.array(out, pa.string()) if c == "text" else batch.column(f"c_{c}") for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pc.is_valid(batch.column("gone"))], [*(f"c_{c}" for c in names), "cut"])
 
-    joined = base.join(gone, "_uid", "left").select(*(F.col(c).alias(f"c_{c}") for c in names if c != "text"), "text", "gone")
+    joined = base.join(gone, "_uid", "left").select(*(F.col("row")[c].alias(f"c_{c}") for c in names if c != "text"), "row.text", "gone")
     schema = ", ".join([*(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "cut boolean"])
     done = joined.mapInArrow(lean(trim), schema)
     size_of = lambda c: F.when(F.col("cut"), F.char_length("c_text").cast(docs.schema[c].dataType)).otherwise(F.col(f"c_{c}"))
