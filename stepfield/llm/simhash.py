@@ -77,18 +77,17 @@ def fingerprint_rows(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text", keep: str | None = None) -> DataFrame:
-    """(doc_id long, fp long and, if named, the long column `keep`) for every row. Null and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id long, fp long) for every row. Null and blank texts have fingerprint 0."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprint_rows(part.column("text").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *(part.column(c) for c in more)], ["doc_id", "fp", *more])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    more = [keep] if keep else []
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *more).mapInArrow(lean(run), ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def block_keys(fp: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -202,14 +201,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_column: s
     linked = member.join(of, "root").select(F.col("fp").alias("_fp"), "component_id")
     every = distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return rows.join(every, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 3, most: int = 3, chunk: int = 8192) -> DataFrame:
-    """One row of each group, all columns kept: that with the smallest doc_id (null last; of equal ids the first read)."""
-    scratch = Scratch(docs.sparkSession)
-    base = scratch.keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_uid")), "documents")
-    rows = scratch.keep(fingerprints(base.select("row.doc_id", "row.text", "_uid"), words, keep="_uid"), "fingerprints")
-    member, _ = groups(rows, scratch, most, chunk)
-    rooted = rows.join(member.select("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")).alias("m")).select(F.col("m._uid").alias("_uid"))
-    return base.join(first, "_uid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))

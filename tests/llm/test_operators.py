@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stepfield.llm import components, html, mixing, packing, quality, simhash, substring, tokens, topk, urls, warc
+from stepfield.llm import components, html, mixing, nearcopies, packing, quality, simhash, substring, tokens, topk, urls, warc
 from stepfield.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -128,13 +128,75 @@ def test_simhash(spark):
         fps = [fingerprint(t) for _, t, _ in rows]
         want = sorted(zip([i for i, _, _ in rows], fps, linked([i for i, _, _ in rows], fps), strict=True), key=str)
         assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == want
-    kept = simhash.keep_one(d).collect()
-    assert kept[0].__fields__ == d.columns
+    assert simhash.near_duplicates(d.limit(0)).collect() == []
+
+
+def shingles(text, n=5):
+    w = ("".join(c.lower() if c.isascii() else c for c in text or "")).encode().split()
+    return frozenset(b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([b" ".join(w)] if w else [])
+
+
+def alike_groups(ids, texts, least=0.8):
+    """For each row, the smallest id in its group by exact similarity of shingle sets, and the rows of the group."""
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(ids)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (a and b and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b)):
+                label[find(i)] = find(j)
     groups = {}
-    for (i, _, _), c, f in zip(rows, linked([i for i, _, _ in rows], fps), fps, strict=True):
-        groups.setdefault(("c", c) if c is not None else ("f", f), []).append(i)
-    assert sorted((r.doc_id for r in kept), key=str) == sorted((min((i for i in g if i is not None), default=None) for g in groups.values()), key=str)
-    assert simhash.near_duplicates(d.limit(0)).collect() == [] and simhash.keep_one(d.limit(0)).collect() == []
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(i)
+    return [min((ids[j] for j in groups[find(i)] if ids[j] is not None), default=None) for i in range(len(ids))]
+
+
+def test_near_copies(spark):
+    rows = odd_rows()
+    for g in range(6):  # similarity to the first is about 1 - 10 * edits / 400
+        base = prose(900 + g, 400).split()
+        for i in range(12):
+            w = list(base)
+            for e in range((0, 1, 2, 3, 4, 24)[i % 6]):
+                w[random.Random(100 * i + e).randrange(400)] = f"changed{g}x{i}x{e}"
+            rows.append((1000 - 20 * g - i, " ".join(w), "a"))
+    chain = prose(990, 500).split()  # each is like the next, the first not like the last
+    rows += [(2000 + i, " ".join(chain[i * 30 : i * 30 + 320]), "b") for i in range(6)]
+    d = docs(spark, rows)
+    ids, texts = [i for i, _, _ in rows], [t for _, t, _ in rows]
+    want = alike_groups(ids, texts)
+    for chunk in (2048, 3):
+        got = nearcopies.near_copies(d, chunk=chunk).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(zip(ids, want, strict=True), key=str)
+    kept = nearcopies.keep_one(d)
+    assert kept.columns == d.columns
+    alone = [i for i, w in zip(ids, want, strict=True) if w is None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({w for w in want if w is not None} | {None for _ in alone}, key=str)
+    assert nearcopies.near_copies(d.limit(0)).collect() == [] and nearcopies.keep_one(d.limit(0)).collect() == []
+
+
+def test_sketch():
+    """Fingerprints, and an estimate near the exact similarity, from texts of many lengths."""
+    texts = [prose(i, n) for i, n in enumerate((1, 3, 5, 6, 40, 300, 2000))] + [None, " "]
+    got = nearcopies.sketches(texts, 5)
+    assert got["size"].tolist() == [len(shingles(t)) for t in texts]
+    for t, f in zip(texts, got["fp"].tolist(), strict=True):
+        import xxhash
+
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles(t)]
+        assert f == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    w = prose(77, 600).split()
+    pairs = [(" ".join(w[:500]), " ".join(w[k : 500 + k])) for k in (0, 20, 55, 100)]
+    for a, b in pairs:
+        c = nearcopies.sketches([a, b], 5)["checks"]
+        exact = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert abs(((c[0] == c[1]).mean() * 256 - 1) / 255 - exact) < 0.08
 
 
 def test_every_close_pair_shares_a_bucket():
@@ -516,7 +578,7 @@ def test_pipeline(spark):
     judged = {r.doc_id for r in quality.judge(d, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     assert {r.doc_id for r in seen[1].collect()} == judged
     one = seen[1].collect()
-    want = linked([r.doc_id for r in one], [fingerprint(r.text) for r in one])
+    want = alike_groups([r.doc_id for r in one], [r.text for r in one])
     assert sorted(r.doc_id for r in seen[2].collect()) == sorted(set(want))
     two = [(r.doc_id, r.text, r.source) for r in seen[2].collect()]
     got = Counter((r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in seen[3].collect())
