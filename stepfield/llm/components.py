@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) for all nodes of the edges but those smallest ones."""
-    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
-    parent = np.arange(len(nodes))
-    a, b = inverse[: len(u)], inverse[len(u) :]
+def absorb(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of a[i] and b[i] in parent, where each node points at the smallest of its component."""
     while True:
         pa, pb = parent[a], parent[b]
         live = pa != pb
         if not live.any():
-            break
+            return
         a, b, pa, pb = a[live], b[live], pa[live], pb[live]
         np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
         while (parent[parent] != parent).any():
-            parent = parent[parent]
+            parent[:] = parent[parent]
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) for all nodes of the edges but those smallest ones."""
+    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    absorb(parent, inverse[: len(u)], inverse[len(u) :])
     own = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[own], nodes[parent[own]]
 
