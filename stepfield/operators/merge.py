@@ -86,6 +86,33 @@ def running_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
     return running(deltas, [], ["sum", "known"], day() if cell is None else cell)
 
 
+def strict_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
+    """(t, value): the sum of all series' values at each t, null where that of any series is; from changes alone."""
+    series = points.select("series_id").distinct().agg(F.count("*").alias("k"))  # one row
+    sums = running_sum(points, cell).crossJoin(F.broadcast(series))
+    return sums.select("t", F.when(F.col("known") == F.col("k"), F.col("sum")).alias("value"))
+
+
+def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
+    """(t, value): the greatest value of all series at each t (null: none is known).
+
+    Each value holds for a run of places among the distinct t. The run is cut into aligned blocks of 2 ** k places, at
+    most two for each k; a place asks the blocks that it is in, one for each k. So n points make n log n rows, however
+    many series there are.
+    """
+    ranks = running(points.select("t").distinct().withColumn("x", F.lit(1)), [], ["x"], day() if cell is None else cell)
+    most = F.broadcast(ranks.agg(F.max("x").alias("most")))  # one row
+    held = points.select("t", "value", F.lead("t").over(in_order()).alias("until")).where("value is not null")
+    runs = held.join(ranks.withColumnRenamed("x", "a"), "t").join(ranks.select(F.col("t").alias("until"), F.col("x").alias("b")), "until", "left").crossJoin(most)
+    runs = runs.select("value", "a", F.coalesce("b", F.col("most") + 1).alias("b"))
+    cut = runs.select("value", "a", "b", F.explode(F.expr("sequence(0, length(bin(b - a)) - 1)")).alias("k"))
+    cut = cut.select("value", "k", F.expr("shiftright(a + shiftleft(1L, k) - 1, k)").alias("a"), F.expr("shiftright(b, k)").alias("b")).where("a < b")
+    ends = F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))
+    blocks = cut.select("value", "k", F.explode(F.array_compact(ends)).alias("block")).groupBy("k", "block").agg(F.max("value").alias("value"))
+    asked = ranks.crossJoin(most).select("t", "x", F.explode(F.expr("sequence(0, length(bin(most)))")).alias("k")).select("t", "k", F.expr("shiftright(x, k)").alias("block"))
+    return asked.join(blocks, ["k", "block"], "left").groupBy("t").agg(F.max("value").alias("value"))
+
+
 def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
     """(value, t, n): how many series have a value, at each t where one takes or leaves it. Before: `default_counts`."""
     tr = transitions(points, default)

@@ -461,6 +461,43 @@ def merge_strict_sum(spark, d):
     return merge.merge(_few(spark, d), merge.strict(merge.ignorant_sum), compact=False).withColumn("value", F.round("value", 6))
 
 
+# The same of all series.
+ALL = f"with p as (select user_id as series_id, ts as t, {HOLES} as value from events)"
+GRID_ALL = ALL + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
+    v as (select g.t, g.series_id, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)"""
+
+
+def _exact(spark, d) -> DataFrame:
+    """Values as decimals, so that running sums of changes leave no rest."""
+    return holes(spark, d).withColumn("value", F.col("value").cast("decimal(18,6)"))
+
+
+def _as_double(df: DataFrame) -> DataFrame:
+    return df.select("t", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("merge_list_all", GRID_ALL + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
+def merge_list_all(spark, d):
+    m = merge.merge(holes(spark, d), compact=False)
+    text = F.transform("value", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
+    return m.select("t", F.array_join(text, ",").alias("l"))
+
+
+@query("merge_max_all", GRID_ALL + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
+def merge_max_all(spark, d):
+    return merge.compacted(merge.running_max(holes(spark, d)))
+
+
+@query("merge_ignorant_sum_all", GRID_ALL + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
+def merge_ignorant_sum_all(spark, d):
+    return _as_double(merge.running_sum(_exact(spark, d)).withColumnRenamed("sum", "value"))
+
+
+@query("merge_strict_sum_all", GRID_ALL + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
+def merge_strict_sum_all(spark, d):
+    return _as_double(merge.strict_sum(_exact(spark, d)))
+
+
 @query("count_by_value", f"""with {S}, l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
     m as (select t, value, 1 as n from l union all select t, prev, -1 from l where prev is not null), x as (select t, value, sum(n) as n from m group by t, value)
     select value, t, cast(sum(n) over (partition by value order by t) as bigint) as n from x""")

@@ -92,6 +92,20 @@ def test_strict_and_ignorant(spark):
     assert strict == {-5: None, 0: 3.0, 3: None, 4: 6.0, 10: None}
 
 
+def test_merges_of_many_series_from_changes(spark):
+    """Of all series, against the lists of their values: also of ids that the queries on few series leave out."""
+    rnd = random.Random(8)
+    rows = [(i, t, rnd.choice([None, rnd.randint(-50, 50)])) for i in range(12) for t in sorted(rnd.sample(range(60), 1 + 2 * i))]
+    p = spark.createDataFrame(rows, "series_id long, t int, value long")
+    lists = {r.t: list(r.value) for r in merge.merge(p, compact=False).collect()}
+    assert {len(v) for v in lists.values()} == {12}
+    cell = F.floor(F.col("t") / 7)
+    known = {t: [x for x in v if x is not None] for t, v in lists.items()}
+    assert dict(pairs(merge.running_max(p, cell))) == {t: max(v, default=None) for t, v in known.items()}
+    assert dict(pairs(merge.strict_sum(p.where("series_id > 8"), cell))) == {r.t: None if None in r.value else sum(r.value) for r in merge.merge(p.where("series_id > 8"), compact=False).collect()}
+    assert {r.t: r["sum"] for r in merge.running_sum(p, cell).collect()} == {t: sum(v) for t, v in known.items()}
+
+
 def test_count_by_value(spark):
     rows = [("a", 1, True), ("a", 3, False), ("b", 1, True), ("b", 4, False), ("c", 2, True), ("c", 5, False)]
     p = spark.createDataFrame(rows, "series_id string, t int, value boolean")
