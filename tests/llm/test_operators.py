@@ -181,6 +181,18 @@ def test_near_copies(spark):
     assert nearcopies.near_copies(d.limit(0)).collect() == [] and nearcopies.keep_one(d.limit(0)).collect() == []
 
 
+def test_near_copies_at_the_limit(spark):
+    """Pairs at a similarity of 0.8 and of 0.798, which an estimate can't tell apart."""
+    rows = []
+    for g in range(40):
+        w = [f"w{g}x{i}" for i in range(1100)]
+        k = 100 + g % 2
+        rows += [(2 * g, " ".join(w[:904]), "a"), (2 * g + 1, " ".join(w[k : 904 + k]), "a")]
+    for chunk in (2048, 1):
+        got = dict(map(tuple, nearcopies.near_copies(docs(spark, rows), chunk=chunk).collect()))
+        assert got == {i: i - 1 if i % 4 == 1 else i for i, _, _ in rows}
+
+
 def test_sketch():
     """Fingerprints, and an estimate near the exact similarity, from texts of many lengths."""
     texts = [prose(i, n) for i, n in enumerate((1, 3, 5, 6, 40, 300, 2000))] + [None, " "]
