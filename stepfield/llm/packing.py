@@ -1,34 +1,73 @@
 """Lexical retrieval packing of documents into fixed windows.
 
-Documents are dealt to shards by hash. Each shard holds a BM25 inverted index of its documents' token ids. A seed
-document opens a window; the unused documents that score best for it follow, best first, and the last one is cut
+Documents are dealt to shards by hash. Each shard holds a BM25 inverted index of its documents' token ids, weighted by
+the document frequencies and the mean length of all documents. Only documents of one shard meet. A seed document opens a window; the unused documents that score best for it follow, best first, and the last one is cut
 where the window is full. Its rest seeds the next window, else the next unused document does. What a shard has left
 when its documents end is dealt to sequences whose lengths are powers of two, so no sequence needs padding.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, ragged, release, scaled, ship
+from .common import Scratch, binary_rows, lean, ragged, release, scaled, ship
 from .tokens import tokenized, unpack
 
 
+@dataclass
+class Statistics:
+    """Of a corpus: documents, their token ids, and how many documents have each id."""
+
+    docs: int
+    tokens: int
+    df: np.ndarray
+
+
+def distinct_pairs(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, document, times) of the distinct ids of each document, in order of id."""
+    n = max(1, len(counts))
+    pairs, tf = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(len(counts)), counts), return_counts=True)
+    return *np.divmod(pairs, n), tf
+
+
+def statistics(tokens: DataFrame) -> Statistics:
+    """Of all rows of what `tokenized` gives; a row for each id of the vocabulary comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            ids, counts = unpack(batch.column("ids"), batch.column("wide"))
+            got = np.bincount(distinct_pairs(ids, counts)[0], minlength=len(df))
+            got[: len(df)] += df
+            df, docs, total = got, docs + len(counts), total + len(ids)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], term])), pa.array(np.concatenate([[docs, total], df[term]]))], ["term", "n"])
+
+    got = tokens.select("ids", "wide").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(max(0, term.max(initial=-1) + 1), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return Statistics(int(n[term == -2].sum()), int(n[term == -1].sum()), df)
+
+
 class Index:
-    """BM25 postings of some documents' token ids."""
+    """BM25 postings of some documents' token ids, by the statistics of a corpus that holds them (None: by their own)."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, k1: float = 1.2, b: float = 0.75, corpus: Statistics | None = None):
         n = len(counts)
         width = np.int64(ids.max(initial=0)) + 1
-        pairs, tf = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), counts), return_counts=True)
-        term, self.doc = np.divmod(pairs, n)
+        term, self.doc, tf = distinct_pairs(ids, counts)
         df = np.bincount(term, minlength=width)
         self.first = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * counts / counts.mean())
+        corpus = corpus or Statistics(n, int(counts.sum()), df)
+        idf = np.log1p((corpus.docs - corpus.df + 0.5) / (corpus.df + 0.5))
+        norm = k1 * (1 - b + b * counts / (corpus.tokens / corpus.docs))
         self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         self.terms = term[by_doc]
@@ -42,9 +81,9 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int, corpus: Statistics | None = None) -> np.ndarray:
     """Pieces as rows (document, start, length, sequence, offset)."""
-    index = Index(ids, counts)
+    index = Index(ids, counts, corpus=corpus)
     free = np.ones(len(counts), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, at, nxt = 0, 0, 0
@@ -104,18 +143,21 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end: int = 2, window
     """(doc_id, start, length, doc_tokens, sequence_id, offset: long, ids binary of little-endian uint32), a row for each piece.
 
     Every id of every row lies in one piece; a null or empty text has the end id only. Shards hold about
-    `shard_bytes` of text, so their number and with it the work follow the input. Rows that share a doc_id are
+    `shard_bytes` of text, so their number and with it the work follow the input; a window's documents are the best of
+    its shard, not of all. Rows that share a doc_id are
     packed each for itself. An empty table gives none. Reruns agree.
     """
     spark = docs.sparkSession
     ship(spark)
     shards = max(1, -(-scaled(spark, docs, text_column) // shard_bytes))
-    rows = tokenized(docs, vocab, end, id_column, text_column).withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("long"))
+    tokens = Scratch(spark).keep(tokenized(docs, vocab, end, id_column, text_column), "tokens")
+    corpus = statistics(tokens)
+    rows = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("long"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
         ids, counts = unpack(table.column("ids").combine_chunks(), table.column("wide").combine_chunks())
-        p = pack_shard(ids, counts, window)
+        p = pack_shard(ids, counts, window, corpus)
         base = np.cumsum(counts) - counts
         flat = ids[ragged(base[p[:, 0]] + p[:, 1], p[:, 2])].astype("<u4")
         doc, shard = table.column("doc_id").take(pa.array(p[:, 0])), table.column("shard")[0].as_py()

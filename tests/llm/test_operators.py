@@ -573,6 +573,22 @@ def test_bm25_finds_the_related():
     assert sum(len(t) == 1 for t in full) >= 12
 
 
+def test_bm25_of_a_shard_scores_by_the_whole_corpus(spark):
+    """As an index of all documents scores them."""
+    rows = odd_rows() + [(400 + i, prose(i, 20 + 7 * i), "a") for i in range(40)]
+    table = tokens.tokenized(docs(spark, rows), "word_bpe_49k.json", 2).repartition(3)
+    corpus = packing.statistics(table)
+    got = sorted(library_ids([t for _, t, _ in rows]), key=len)
+    flat = lambda some: (np.array([x for g in some for x in g], np.uint32), np.array([len(g) for g in some]))
+    df = Counter(x for g in got for x in set(g))
+    assert (corpus.docs, corpus.tokens) == (len(rows), sum(map(len, got)))
+    assert {i: n for i, n in enumerate(corpus.df.tolist()) if n} == df
+    shard = list(range(1, len(got), 3))
+    every = packing.Index(*flat(got)).scores(shard[2])[shard]
+    assert np.allclose(packing.Index(*flat([got[i] for i in shard]), corpus=corpus).scores(2), every)
+    assert packing.statistics(table.limit(0)).docs == 0
+
+
 # --- Pipeline ---
 
 
