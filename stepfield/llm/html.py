@@ -84,7 +84,7 @@ class _Reader(HTMLParser):
         marks = [f"<{tag}>"]
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                marks += [f"{'role' if k == 'role' else 'name'}={w.lower()}" for w in _NAME.split(v[:200]) if w]
+                marks += [f"{'role' if k == 'role' else 'name'}={w.lower()}" for w in _NAME.split(v) if w]
         self.stack.append((tag, tuple(marks)))
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -121,12 +121,12 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        ends = len(_SENTENCE.findall(b.text)) if words < 400 else 9
+        ends = len(_SENTENCE.findall(b.text))
         f = ["any", *b.marks, f"tag={b.tag}", f"words={min(8, words.bit_length())}", f"links={round(4 * b.linked)}", f"sentences={min(3, ends)}"]
         f.append(f"shape={min(3, words.bit_length() // 2)},{b.linked > 0.5},{ends > 0}")
         if b.text[-1] in ".!?…":
             f.append("ends like a sentence")
-        if "©" in b.text[:200] or "copyright" in b.text[:200].lower():
+        if "©" in b.text or "copyright" in b.text.lower():
             f.append("copyright")
         if i == 0:
             f.append("first")

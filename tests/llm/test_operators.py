@@ -481,6 +481,16 @@ def test_html(spark):
     assert html.extract(df).count() == 6 and html.extract(df.limit(0)).collect() == []
 
 
+def test_html_features_of_whole_values():
+    """Names, marks and sentences far into a value or a text."""
+    utility = " ".join(f"px-{i}" for i in range(100))
+    page = f"<div class='{utility} sidebar'><p>{'word ' * 100}© 2024</p><p>{'word ' * 450}</p></div>"
+    first, second = html.features(html.leaf_blocks(page))
+    assert "name=sidebar" in first and "name=sidebar" in second
+    assert "copyright" in first and "copyright" not in second
+    assert "sentences=0" in second
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
