@@ -48,22 +48,36 @@ def odd_rows():
 
 def brute_top(vectors, k, every):
     out = []
-    for q, v in vectors:
-        if q % every == 0:
-            s = sorted(((-int(np.dot(v, w)), i) for i, w in vectors if i != q))[:k]
-            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    for q in {i for i, _ in vectors if i % every == 0}:
+        s = sorted((-int(np.dot(v, w)), i) for own, v in vectors if own == q for i, w in vectors if i != q)[:k]
+        out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
     return sorted(out)
 
 
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vs = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(300)]
-    bad = [(801, None), (802, [1.0] * 7 + [None]), (803, [float("nan")] * 8), (804, [float("inf")] * 8), (None, [1.0] * 8), (820, [1.0, 2.0]), (3, vs[3][1])]
+    vs += [(3, vs[3][1]), (3, [9.0] * 8), (40, [0.9] * 8), (7, [-1.0] * 8)]  # ids that several rows share
+    bad = [(801, None), (802, [1.0] * 7 + [None]), (803, [float("nan")] * 8), (804, [float("inf")] * 8), (None, [1.0] * 8), (820, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in vs + bad], "vec_id long, embedding array<double>, rank string, query int")
-    got = [tuple(r) for r in topk.top_k(df, k=20, every=20, block=128, query_block=8).collect()]
     want = brute_top([(i, np.floor(64 * np.array(v)).astype(int)) for i, v in vs], 20, 20)
-    assert sorted(got) == want
+    for sizes in ({"block": 128, "query_block": 8, "leaf": 16}, {}):
+        assert sorted(tuple(r) for r in topk.top_k(df, k=20, every=20, **sizes).collect()) == want
     assert topk.top_k(df.limit(0)).collect() == []
+    assert topk.top_k(df.where("vec_id = 3")).collect() == []
+
+
+def test_top_k_of_repeated_ids_equals_the_sql(spark):
+    import duckdb
+
+    from stepfield.llm.queries import ORACLE_SQL
+
+    rows = [(1, [0.5, 0.0]), (1, [0.9, 0.0]), (20, [1.0, 0.25]), (20, [-1.0, 0.0]), (40, [0.25, 0.5]), (3, [0.1, 0.1])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    duckdb.sql("create or replace table embeddings (vec_id bigint, embedding double[])")
+    duckdb.executemany("insert into embeddings values (?, ?)", rows)
+    assert sorted(tuple(r) for r in got) == sorted(duckdb.sql(ORACLE_SQL["op1_topk"]).fetchall())
+    duckdb.sql("drop table embeddings")
 
 
 def test_cover_tree_prunes():
