@@ -4,15 +4,13 @@ A window is `size` consecutive words of one text. A word goes if some window ove
 that starts earlier (smaller doc_id, or the same document and an earlier start).
 
 Seeds: of the `size - seed + 1` runs of `seed` words in a window, the one with the least hash is its anchor
-(winnowing), so equal windows always have equal anchors and only one run in about eight is an anchor at all.
-Documents are joined on anchors; one that occurs only once ends there. Extension: from an anchor found twice, the
-text is extended both ways to every window it is the anchor of, and equal windows are found by a 128-bit key of all
-their words. Comparing all pairs of an anchor's occurrences would grow with the square of a passage's copies;
-extending each occurrence to its windows and keeping, of equal ones, the first, costs the same for every copy and
-loses no match. What is removed is the union of the matched windows of a document, its maximal repeats.
-
-Texts equal to an earlier text are settled first: they are gone as a whole (from `size` words on), and only the
-first of them takes part, as any earlier window in a copy is still earlier in the first.
+(winnowing), so equal windows always have equal anchors. Documents are joined on anchors; one that occurs only once
+ends there. Extension: each occurrence of a shared anchor is extended both ways as far as the windows reach that it is
+the anchor of. Occurrences with the same words all the way (a key of 128 bits) are one match, settled by the earliest
+of them in one step for all their windows. Only the earliest of each is extended again, word by word, against the
+others of its anchor: its windows meet theirs by keys of 96 bits. Comparing all pairs of an anchor's occurrences would
+grow with the square of a passage's copies; here each occurrence costs the same, and no match is lost. Matches that
+touch or overlap join to maximal repeats, which are what is removed.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, lean, same, ship, slices
+from .common import Scratch, Words, lean, ragged, same, ship, slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -83,31 +81,62 @@ def anchors(h: np.ndarray, bounds: np.ndarray, size: int, seed: int) -> tuple[np
     return starts, at, g
 
 
-def candidate_windows(text: pa.Array, shared: list[np.ndarray], size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows whose anchor is shared: (row, start in its text, keys of two columns, whether the text has it earlier)."""
-    words = Words(text)
-    h = word_hashes(words)
-    starts, at, g = anchors(h[:, 0], words.bounds, size, seed)
-    row = words.rows[starts] if len(starts) else starts
-    hit = np.zeros(len(starts), bool)
-    edge = np.searchsorted(row, np.arange(len(text) + 1))
-    for i, mine in enumerate(shared):
-        part = slice(edge[i], edge[i + 1])
-        hit[part] = np.isin(g[at[part]], mine)
-    starts, row = starts[hit], row[hit]
-    keys = np.stack([run_hash(h[:, 0], size)[starts], run_hash(h[:, 1], size)[starts]], 1) if len(starts) else np.zeros((0, 2), np.uint64)
-    # Twice in one text: equal keys of the same row. Rows are few, so most keys settle it alone.
-    again = np.zeros(len(starts), bool)
+def again(row: np.ndarray, start: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which items (row, start, keys of two columns) have an earlier start with equal keys in their row."""
+    out = np.zeros(len(row), bool)
     mixed = _mix(keys[:, 0] ^ keys[:, 1] * BASE ^ _mix(row.astype(np.uint64) + np.uint64(1)))
     in_order = np.sort(mixed)
     twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
-    if len(twice):
+    if len(twice):  # few, as a rule
         at = np.minimum(np.searchsorted(twice, mixed), len(twice) - 1)
         some = np.flatnonzero(twice[at] == mixed)
-        order = some[np.lexsort((starts[some], keys[some, 1], keys[some, 0], row[some]))]
+        order = some[np.lexsort((start[some], keys[some, 1], keys[some, 0], row[some]))]
         a, b = order[:-1], order[1:]
-        again[b] = (row[a] == row[b]) & (keys[a] == keys[b]).all(1)
-    return row, starts - words.bounds[row], keys, again
+        out[b] = (row[a] == row[b]) & (keys[a] == keys[b]).all(1)
+    return out
+
+
+def segments(words: Words, h: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, extended over all their windows: (row, first window's start, number of windows, keys of two columns).
+
+    Keys: of the anchor, and of all words of its windows and where in them it lies.
+    """
+    starts, at, g = anchors(h[:, 0], words.bounds, size, seed)
+    if not len(starts):
+        return starts, starts, starts, np.zeros((0, 2), np.uint64)
+    row = words.rows[starts]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
+    n = np.diff(np.append(first, len(starts)))
+    low = starts[first]
+    up = np.cumprod(np.full(len(h), BASE))
+    down = np.cumprod(np.full(len(h), np.uint64(pow(int(BASE), -1, 1 << 64))))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[:, 1] * up)])
+    span = (upto[low + n - 1 + size] - upto[low]) * down[low]
+    span = _mix(span ^ _mix(((at[first] - low) * 4096 + n).astype(np.uint64)))
+    return row[first], low, n, np.stack([g[at[first]], span], 1)
+
+
+def segment_windows(text: pa.Array, wanted: list[np.ndarray], size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the segments whose second key is wanted: (row, start in its text, keys of two columns, whether the text has it earlier)."""
+    words = Words(text)
+    h = word_hashes(words)
+    row, low, n, keys = segments(words, h, size, seed)
+    hit = np.zeros(len(row), bool)
+    edge = np.searchsorted(row, np.arange(len(text) + 1))
+    for i, mine in enumerate(wanted):
+        part = slice(edge[i], edge[i + 1])
+        hit[part] = np.isin(keys[part, 1], mine)
+    starts, row = ragged(low[hit], n[hit]), np.repeat(row[hit], n[hit])
+    keys = np.stack([run_hash(h[:, 0], size)[starts], run_hash(h[:, 1], size)[starts]], 1) if len(starts) else np.zeros((0, 2), np.uint64)
+    return row, starts - words.bounds[row], keys, again(row, starts, keys)
+
+
+def covered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The union of ranges, as rows (first, end): those that touch are one."""
+    order = np.argsort(starts, kind="stable")
+    first, end = starts[order], np.maximum.accumulate((starts + lengths)[order])
+    new = np.concatenate([[True], first[1:] > end[:-1]])
+    return np.stack([first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1)
 
 
 def spaced(text: str) -> bytes:
@@ -118,103 +147,132 @@ def spaced(text: str) -> bytes:
     return data
 
 
-def _shared(part: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.array(x, np.int64).view(np.uint64) for x in part.column("shared").to_pylist()]
+#: Starts and counts of windows are sent as one number.
+PACK = 4096
 
 
-def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 5, own: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 8, own: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text and, if own, a unique long _uid; other columns are not read):
-    (_uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, gone array<struct<first int, end int>>).
+    (_uid long, doc_id long, n_words long, n_removed long, gone array<struct<first int, end int>>) and, unless own,
+    kept_sha256 string.
 
-    gone: the removed words as ranges of word numbers. A null text has no words. Of rows with equal texts the one
-    with the smallest doc_id is the first (null before all, ties in the order they are read); rows that share a
-    doc_id with different texts count as documents of their own, in a fixed order.
+    gone: the removed words as ranges of word numbers. A null text has no words and loses none, nor does one of fewer
+    than `size` words. Rows are in order of doc_id (null before all); rows that share a doc_id count as documents of
+    their own, in the order they are read. An empty table gives none.
     """
+    if not seed <= size < PACK:
+        raise ValueError(f"size must be from seed to {PACK - 1}")
     spark = docs.sparkSession
     ship(spark)
-    text = docs.select(*(["_uid"] if own else []), F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"))
+    md5 = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h")
+    text = docs.select(*(["_uid"] if own else []), F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if own else [md5]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("g", pa.int64()), ("s", pa.int64()), ("at", pa.int64())])
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 words = Words(part.column("text"))
-                starts, at, g = anchors(word_hashes(words)[:, 0], words.bounds, size, seed)
-                at = np.unique(at)
-                upto = np.searchsorted(at, words.bounds)
-                runs = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(g[at].view(np.int64)))
-                sha = [hashlib.sha256(spaced(t or "")).digest() for t in part.column("text").to_pylist()]
+                row, low, n, keys = segments(words, word_hashes(words), size, seed)
+                at, later = (low - words.bounds[row]) * PACK + n, again(row, low, keys)
+                upto = lambda which, row=row, rows=part.num_rows: pa.array(np.searchsorted(row[which], np.arange(rows + 1)), pa.int32())
+                segs = pa.StructArray.from_arrays([pa.array(x[~later]) for x in (keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), at)], fields=list(kind))
                 cols = [c for c in ("_uid", "doc_id", "h") if c in part.schema.names]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(np.diff(words.bounds)), pa.array(sha, pa.binary()), runs], [*cols, "n_words", "sha", "runs"])
-
-    first = text.mapInArrow(lean(scan), ("_uid long, " if own else "") + "doc_id long, h binary, n_words long, sha binary, runs array<long>")
-    table = scratch.keep(first if own else first.withColumn("_uid", F.monotonically_increasing_id()), "anchors")
-
-    # The first of equal texts, in the order of doc_id: ord grows with it.
-    heads = table.groupBy("h").agg(F.min(F.struct("doc_id", "_uid")).alias("m")).select("m.doc_id", "m._uid", "h")
-    heads = heads.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_uid")
-    heads = scratch.keep(heads.withColumn("ord", F.monotonically_increasing_id()), "heads")
-    lone = table.join(heads.select("_uid", "ord"), "_uid").select("ord", "runs")
-
-    runs = lone.select("ord", F.explode("runs").alias("run"))
-    twice = runs.groupBy("run").count().where("count > 1").select("run")
-    found = lone.select("ord", F.explode(F.array_distinct("runs")).alias("run")).join(twice, "run").groupBy("ord").agg(F.collect_list("run").alias("shared"))
-    key = ["_uid"] if own else ["doc_id", "h"]
-    wanted = scratch.keep(found.join(heads, "ord").select(*(F.col(c).alias("k_" + c) for c in key), "ord", "shared"), "shared")
-    on = [same(F.col(c), F.col("k_" + c)) if c == "doc_id" else F.col(c) == F.col("k_" + c) for c in key]
-    seeds = scratch.keep(text.join(wanted, on).select("ord", "text", "shared"), "seeds")
-
-    # The anchors have done their work; what is left of a row is small.
-    rows = scratch.keep(table.drop("runs"), "rows")
-    scratch.drop(table)
+                out = {c: part.column(c) for c in cols} | {"n_words": pa.array(np.diff(words.bounds))}
+                if not own:
+                    out["sha"] = pa.array([hashlib.sha256(spaced(t or "")).digest() for t in part.column("text").to_pylist()], pa.binary())
+                out |= {"segs": pa.ListArray.from_arrays(upto(~later), segs), "again": pa.ListArray.from_arrays(upto(later), pa.array(at[later]))}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    schema = ("_uid long, doc_id long, n_words long" if own else "doc_id long, h binary, n_words long, sha binary") + ", segs array<struct<g:long,s:long,at:long>>, again array<long>"
+    table = text.mapInArrow(lean(scan), schema)
+    table = scratch.keep(table if own else table.withColumn("_uid", F.monotonically_increasing_id()), "segments")
+
+    # Seeds: anchors that occur twice. Written by itself, so that Spark can split the join of one that very many texts have.
+    twice = table.select(F.explode("segs.g").alias("g")).groupBy("g").count().where("count > 1").select("g")
+    shared = scratch.keep(table.select("doc_id", "_uid", F.inline("segs")).join(twice, "g"), "shared")
+    least = F.min(F.struct("doc_id", "_uid")).alias("least")
+    matches = scratch.keep(shared.groupBy("g", "s").agg(least, F.count("*").alias("n")), "matches")
+    later = shared.join(matches.where("n > 1").select("g", "s", F.col("least._uid").alias("head")), ["g", "s"]).where("_uid <> head").select("_uid", "at")
+    later = scratch.keep(later, "later")
+    scratch.drop(shared)
+
+    # Anchors whose matches differ: the earliest of each is extended window by window.
+    several = matches.groupBy("g").count().where("count > 1").select("g")
+    wanted = matches.join(several, "g").select(F.col("least._uid").alias("_uid"), "s").groupBy("_uid").agg(F.collect_list("s").alias("wanted"))
+    if own:
+        source = text.join(scratch.keep(wanted, "wanted"), "_uid")
+    else:
+        wanted = scratch.keep(wanted.join(table.select("_uid", "doc_id", "h"), "_uid").select("_uid", F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "wanted"), "wanted")
+        source = text.join(wanted, same(F.col("doc_id"), F.col("_doc")) & (F.col("h") == F.col("_h")))
+    scratch.drop(matches)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                row, start, keys, again = candidate_windows(part.column("text"), _shared(part), size, seed)
+                lists = [np.array(x, np.int64).view(np.uint64) for x in part.column("wanted").to_pylist()]
+                row, start, keys, twice = segment_windows(part.column("text"), lists, size, seed)
                 short = (keys[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(short), pa.array(part.column("ord").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(again)], ["a", "b", "ord", "start", "again"])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(short), part.column("doc_id").take(at), part.column("_uid").take(at), pa.array(start.astype(np.int32)), pa.array(twice)], ["a", "b", "doc_id", "_uid", "start", "again"])
 
     # 96 bits of key: over all windows of 100 TB of text, a mistaken pair has a chance of about one in a thousand.
-    windows = scratch.keep(seeds.mapInArrow(lean(extend), "a long, b int, ord long, start int, again boolean"), "windows")
-    own_first = windows.where("not again").select("a", "b", "ord", "start")
-    earliest = own_first.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
-    later = own_first.join(earliest, ["a", "b"]).where("ord > least").select("ord", "start").union(windows.where("again").select("ord", "start"))
-    later = scratch.keep(later.groupBy("ord").agg(F.collect_list("start").alias("starts")), "later")
+    windows = scratch.keep(source.select("doc_id", "_uid", "text", "wanted").mapInArrow(lean(extend), "a long, b int, doc_id long, _uid long, start int, again boolean"), "windows")
+    own_first = windows.where("not again").select("a", "b", "doc_id", "_uid", "start")
+    earliest = own_first.groupBy("a", "b").agg(least, F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("least._uid").alias("head"))
+    single = own_first.join(earliest, ["a", "b"]).where("_uid <> head").select("_uid", "start").union(windows.where("again").select("_uid", "start"))
+    every = later.union(table.select("_uid", F.explode("again"))).union(single.select("_uid", F.col("start").cast("long") * PACK + 1))
+    every = scratch.keep(every.groupBy("_uid").agg(F.collect_list("at").alias("at")), "found")
     scratch.drop(windows)
+    scratch.drop(later)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            removed, gone = [], []
+            for at in batch.column("at"):
+                start, n = np.divmod(at.values.to_numpy(), PACK)
+                ranges = covered(start, n - 1 + size)
+                removed.append(int((ranges[:, 1] - ranges[:, 0]).sum()))
+                gone.append([{"first": a, "end": b} for a, b in ranges.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(removed, pa.int64()), pa.array(gone, kind)], ["_uid", "removed", "gone"])
+
+    ranges = "gone array<struct<first:int,end:int>>"
+    merged = every.mapInArrow(lean(merge), f"_uid long, removed long, {ranges}")
+    none = F.array().cast(ranges.removeprefix("gone "))
+    if own:
+        return table.select("_uid", "doc_id", "n_words").join(merged, "_uid", "left").select("_uid", "doc_id", "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("gone", none).alias("gone"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                removed, sha, gone = [], [], []
-                for t, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
+                sha = []
+                for t, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
                     words = (t or "").encode("utf-8", "surrogatepass").split()
-                    s = np.array(starts, np.int64)
-                    depth = np.bincount(s, minlength=len(words) + 1) - np.bincount(s + size, minlength=len(words) + 1)
-                    out = np.cumsum(depth)[:-1] > 0
-                    flips = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                    gone.append([{"first": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)])
-                    removed.append(int(out.sum()))
-                    sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])).digest())
-                yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(gone, kind)], ["ord", "removed", "cut_sha", "gone"])
-
-    parts = seeds.select("ord", "text").join(later, "ord").mapInArrow(lean(cut), "ord long, removed long, cut_sha binary, gone array<struct<first:int,end:int>>")
-    parts = parts.dropDuplicates(["ord"])
-    status = heads.select("_uid", "ord").join(parts, "ord", "left").drop("ord").withColumn("head", F.lit(True))
-    whole = F.col("head").isNull() & (F.col("n_words") >= size)
-    nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
-    all_words = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end")))
-    return rows.join(status, "_uid", "left").select(
+                    kept, upto = [], 0
+                    for r in gone:
+                        kept += words[upto : r["first"]]
+                        upto = r["end"]
+                    sha.append(hashlib.sha256(b" ".join(kept + words[upto:])).digest())
+                yield pa.RecordBatch.from_arrays([part.column("_uid"), pa.array(sha, pa.binary())], ["_uid", "cut_sha"])
+
+    merged = scratch.keep(table.select("_uid", "doc_id", "n_words", "h").join(merged, "_uid"), "merged")
+    # A text that is gone as a whole need not be read again.
+    partly = merged.where("removed < n_words").select("_uid", F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "gone")
+    hashed = text.join(partly, same(F.col("doc_id"), F.col("_doc")) & (F.col("h") == F.col("_h"))).select("_uid", "text", "gone")
+    hashed = hashed.mapInArrow(lean(cut), "_uid long, cut_sha binary").dropDuplicates(["_uid"])
+    nothing = F.when(F.col("removed") == F.col("n_words"), F.unhex(F.lit(hashlib.sha256(b"").hexdigest())))
+    rows = table.select("_uid", "doc_id", "n_words", "sha").join(merged.select("_uid", "removed", "gone"), "_uid", "left").join(hashed, "_uid", "left")
+    return rows.select(
         "_uid",
         "doc_id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.lower(F.hex(F.when(whole, nothing).otherwise(F.coalesce("cut_sha", "sha")))).alias("kept_sha256"),
-        F.when(whole, all_words).otherwise(F.coalesce("gone", F.array().cast("array<struct<first:int,end:int>>"))).alias("gone"),
+        F.coalesce("removed", F.lit(0)).alias("n_removed"),
+        F.lower(F.hex(F.coalesce(nothing, "cut_sha", "sha"))).alias("kept_sha256"),
+        F.coalesce("gone", none).alias("gone"),
     )
 
 
-def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 5) -> DataFrame:
+def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 8) -> DataFrame:
     """docs with the repeated words cut out of `text`; all rows and columns stay (n_chars, where there, is counted anew).
 
     Texts without a removed word are untouched. In the others kept words keep the white space before them.
