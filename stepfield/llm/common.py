@@ -8,15 +8,17 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles together.
@@ -51,9 +53,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests) a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset: on one machine a new temporary one, on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stepfield-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -132,6 +136,81 @@ class Scratch:
         _remove(self.spark, self.path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct with fields c0, c1, ..., whatever the columns' names."""
+    return F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
+
+
+def unpacked(row: str, df: DataFrame) -> list[Column]:
+    """The columns of df, from a struct column that `whole_row` made."""
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
+def numbered(rows: DataFrame, repeated: DataFrame, scratch: Scratch, parts: int = 64) -> DataFrame:
+    """rows (key, ...) with _n and _place: how many rows share the key, and a number from 0, where `repeated` (_key, n) has the key.
+
+    Other rows have a null _n and place 0. Which row gets which number is left open. The rows of a key are numbered in
+    `parts` parts at a time, so that one task needn't hold them all.
+    """
+    joined = rows.join(repeated.withColumnRenamed("n", "_n"), F.col("key") == F.col("_key"), "left").drop("_key")
+    some = scratch.keep(joined.where("_n is not null").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts))), "repeated")
+    of_part = some.groupBy("key", "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = of_part.select(F.col("key").alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("key", "_part").orderBy("_part")) - 1
+    moved = some.withColumn("_nth", place).join(of_part, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_p")))
+    moved = moved.withColumn("_place", F.col("_before") + F.col("_nth")).select(*rows.columns, "_n", "_place")
+    return joined.where("_n is null").withColumn("_place", F.lit(0).cast("long")).select(*rows.columns, "_n", "_place").union(moved)
+
+
+class Sieve:
+    """A Bloom filter of fixed size over long ids: most rows of a large table that have no partner stay where they are.
+
+    The filter is the only thing broadcast, `bits` / 8 bytes whatever the number of ids. It is exact on ids that it was
+    built of and lets others through by mistake, more of them the more ids there are; a join must follow.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 26):
+        spark = ids.sparkSession
+        ship(spark)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.concatenate(Sieve.places(batch.column(0).to_numpy(), bits))
+                word, first = np.unique(at >> 6, return_inverse=True)
+                mask = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(mask, first, np.uint64(1) << (at & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+        got = ids.select(F.col(column).cast("long")).mapInArrow(build, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(bits >> 6, np.uint64)
+        words[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+        held = spark.sparkContext.broadcast(words)
+
+        @F.pandas_udf("boolean")
+        def may_hold(x: pd.Series) -> pd.Series:
+            out = np.ones(len(x), bool)
+            for at in Sieve.places(x.to_numpy(), bits):
+                out &= (held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            return pd.Series(out)
+
+        self.may_hold = may_hold
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        h = ids.astype(np.int64).view(np.uint64)
+        out = []
+        for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (h ^ (h >> np.uint64(29))) * np.uint64(odd)
+            out.append((((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)).astype(np.int64) & (bits - 1))
+        return out
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality in which null equals null."""
     return a.eqNullSafe(b)

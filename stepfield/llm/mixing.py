@@ -6,7 +6,8 @@ document are exponentially tilted: rate = min(2, exp(lambda * size / largest siz
 which are aggregated once; a step that leaves its bracket is replaced by halving. Rates become copies by a
 threshold: a document has floor(rate + shift + 1 - u) copies, u from a hash of its row, with the source's shift set
 so that its words come as close below the target as one document allows, and one more copy of the document whose
-size fits what is still missing.
+size fits what is still missing. Of n rows equal in id, text and source the i-th has u + i / n (modulo 1) in place of u, so
+that their copies are spread over them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, same
+from .common import Scratch, numbered, same, unpacked, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 2.0
@@ -47,10 +48,19 @@ def _rate(cap: float) -> Column:
 
 
 def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
-    """(more columns, doc_id, source, size, u): what the mix needs to know of a row."""
+    """(more columns, doc_id, source, key, size, u): what the mix needs to know of a row."""
     u = F.pmod(F.xxhash64(id_column, text_column), F.lit(1 << 52)) / F.lit(float(1 << 52))
     size = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*more, F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"), u.alias("u"))
+    key = F.xxhash64(id_column, text_column, source_column)
+    return docs.select(*more, F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), key.alias("key"), size.alias("size"), u.alias("u"))
+
+
+def spread(rows: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (key, u, ...) with u moved where rows share a key. repeated: (_key, n) of such keys."""
+    if repeated.isEmpty():
+        return rows
+    u = F.pmod(F.col("u") + F.col("_place") / F.coalesce("_n", F.lit(1)), F.lit(1.0))
+    return numbered(rows, repeated, scratch).withColumn("u", u).select(*rows.columns)
 
 
 def _of(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -63,10 +73,15 @@ def _copies(cap: float) -> Column:
     return F.when(F.col("full"), F.lit(int(cap))).otherwise(F.greatest(F.lit(0), F.least(F.lit(int(cap)), n))).cast("long")
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, id_column: str, text_column: str, source_column: str, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Rows by their sizes (written once), and for each source what decides its rows' copies."""
+def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, id_column: str, text_column: str, source_column: str, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows by their sizes (written once), for each source what decides its rows' copies, and the keys of repeated rows.
+
+    Raises RuntimeError where a source's dual isn't solved in `rounds` steps.
+    """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(sized(docs, id_column, text_column, source_column), "sizes")
+    repeated = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n"), "keys")
+    rows = spread(rows, repeated, scratch)
     counted = scratch.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sizes = counted.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.greatest(F.max("size"), F.lit(1)).alias("largest"))
     full = (F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size")) & (F.col("source_size") > 0)
@@ -100,6 +115,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float,
         scratch.drop(state)
         state = after
 
+    else:
+        if not state.where(~F.col("done")).isEmpty():
+            raise RuntimeError(f"the mix's dual is not solved after {rounds} steps")
+
     # Copies as a function of the shift: one at u - rate, the second at u - rate + 1.
     # The last digits of lambda depend on the order in which Spark adds; reruns shall agree.
     chosen = state.select("source", "source_size", "largest", "target", "full", F.round("tilt", 9).alias("tilt"))
@@ -127,7 +146,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float,
     more = dealt.where((F.col("copies") < int(cap)) & (apart < F.col("short"))).groupBy("source").agg(F.min(F.struct(apart.alias("apart"), F.col("u"), F.col("size"))).alias("m"))
     more = more.select(F.col("source").alias("_source"), F.col("m.u").alias("pick_u"), F.col("m.size").alias("pick_size"))
     last = scratch.keep(short.join(more, same(short.source, more._source), "left").drop("_source"), "picked")
-    return rows, last
+    return rows, last, repeated
 
 
 def decide(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
@@ -140,22 +159,23 @@ def decide(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = CAP, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
     """One row per row of docs: (doc_id, source, size long, source_size long, target double, rate double, copies long, taken long).
 
-    size counts the text's words (null: 0). copies are 0, 1 or 2 (cap rounded down), taken is copies * size. Rows
-    equal in id and text are decided alike. A source without words has target 0 and rate 1. A null source is a
+    size counts the text's words (null: 0). copies are 0, 1 or 2 (cap rounded down), taken is copies * size. Of
+    rows equal in id, text and source some may have a copy more; which of them is left open. A source without words has target 0 and rate 1. A null source is a
     source like any other, an empty table gives none. Reruns agree. The table of sources has a row for each; Spark
     broadcasts it where it is small and else splits a large source's rows.
     """
-    rows, sources = plan(docs, weights, share, cap, id_column, text_column, source_column, rounds, tolerance)
+    rows, sources, _ = plan(docs, weights, share, cap, id_column, text_column, source_column, rounds, tolerance)
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return decide(rows, sources, cap).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken)
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = CAP) -> DataFrame:
-    """docs with each row as often as the mix takes it (rows that are taken no time are gone); all columns kept.
+    """docs with each row as often as the mix takes it (rows that are taken no time are gone); all columns kept, whatever their names.
 
-    Rows are decided where they are read, by the table of sources: texts are not shuffled.
+    Nulls, ties, repeated rows and an empty table as in `mix`. Rows are decided where they are read, by the table of
+    sources: texts are not shuffled, unless there are too many repeated rows to broadcast their keys.
     """
-    _, sources = plan(docs, weights, share, cap, "doc_id", "text", "source", 60, 1e-9)
-    rows = sized(docs, "doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    _, sources, repeated = plan(docs, weights, share, cap, "doc_id", "text", "source", 60, 1e-9)
+    rows = spread(sized(docs, "doc_id", "text", "source", whole_row(docs).alias("_row")), repeated, Scratch(docs.sparkSession))
     taken = decide(rows, sources, cap).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    return taken.select(*unpacked("_row", docs))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lean, ragged, ship, slices
+from .common import Words, lean, named, ragged, ship, slices
 from .substring import _mix, run_hash, word_hashes
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -238,14 +238,14 @@ def judge(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), most: i
                 failed = (n < limits.min_words) | (100 * repeat > limits.repeat_percent * n)
                 kept = ~failed & (p >= limits.probability) if m else ~failed
                 cols = [n, chars, symbols, repeated_lines(texts), repeat]
-                yield pa.RecordBatch.from_arrays([*(part.column(f"_{c}") for c in keep), part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(p, pa.float64()) if m else pa.nulls(len(n), pa.float64()), pa.array(failed), pa.array(kept)], [*(f"_{c}" for c in keep), "doc_id", *STATISTICS, "probability", "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"_{i}") for i in range(len(keep))), part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(p, pa.float64()) if m else pa.nulls(len(n), pa.float64()), pa.array(failed), pa.array(kept)], [*(f"_{i}" for i in range(len(keep))), "doc_id", *STATISTICS, "probability", "base_failed", "kept"])
 
     kinds = {"doc_id": "long", **dict.fromkeys(STATISTICS, "long"), "probability": "double", "base_failed": "boolean", "kept": "boolean"}
-    schema = ", ".join([*(f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in kinds.items())])
-    return docs.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{c} {t}" for c, t in kinds.items())])
+    return docs.select(*(named(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), most: int = 3000) -> DataFrame:
     """The rows of docs that `judge` keeps; all columns kept. Rows that share a doc_id are judged each for itself."""
     judged = judge(docs, labels, limits, most, tuple(docs.columns))
-    return judged.where("kept").select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    return judged.where("kept").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
