@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, Words, lean, ragged, same, ship, slices
+from .common import Scratch, Sieve, Words, lean, ragged, same, ship, slices, unpacked, whole_row
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -275,15 +275,18 @@ def repeats(docs: DataFrame, scratch: Scratch, size: int = 20, seed: int = 8, ow
 def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 8) -> DataFrame:
     """docs with the repeated words cut out of `text`; all rows and columns stay (n_chars, where there, is counted anew).
 
-    Texts without a removed word are untouched. In the others kept words keep the white space before them.
+    Texts without a removed word are untouched, as are null and empty ones. In the others kept words keep the white
+    space before them. Order, ties and repeated rows are those of `repeats`; columns of any name pass through; an empty
+    table gives none.
     """
     scratch = Scratch(docs.sparkSession)
-    base = scratch.keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_uid")), "documents")
+    base = scratch.keep(docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("_uid")), "documents")
+    place = docs.columns.index("text")
     work = Scratch(docs.sparkSession)
-    gone = scratch.keep(repeats(base.select("_uid", "row.doc_id", "row.text"), work, size, seed, True).where("n_removed > 0").select("_uid", "gone"), "gone")
+    text = base.select("_uid", "doc_id", F.col(f"row.c{place}").alias("text"))
+    gone = scratch.keep(repeats(text, work, size, seed, True).where("n_removed > 0").select("_uid", "gone"), "gone")
     work.clear()
     word = r"[^\x20\x09-\x0D]+"
-    names = docs.columns
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -292,19 +295,25 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 8) -> DataFrame:
         for batch in batches:
             out = []
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                if ranges:
-                    spans = [m.span() for m in find.finditer(t)]
-                    keep, at = [], 0
-                    for r in ranges:
-                        keep.append(t[at : spans[r["first"] - 1][1] if r["first"] else 0])
-                        at = spans[r["end"] - 1][1]
-                    t = "".join([*keep, t[at:]]).strip("\x20\t\n\x0b\x0c\r")
-                out.append(t)
-            cols = [pa.array(out, pa.string()) if c == "text" else batch.column(f"c_{c}") for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pc.is_valid(batch.column("gone"))], [*(f"c_{c}" for c in names), "cut"])
-
-    joined = base.join(gone, "_uid", "left").select(*(F.col("row")[c].alias(f"c_{c}") for c in names if c != "text"), "row.text", "gone")
-    schema = ", ".join([*(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "cut boolean"])
-    done = joined.mapInArrow(lean(trim), schema)
-    size_of = lambda c: F.when(F.col("cut"), F.char_length("c_text").cast(docs.schema[c].dataType)).otherwise(F.col(f"c_{c}"))
-    return done.select(*(size_of(c).alias(c) if c == "n_chars" else F.col(f"c_{c}").alias(c) for c in names))
+                spans = [m.span() for m in find.finditer(t)]
+                keep, at = [], 0
+                for r in ranges:
+                    keep.append(t[at : spans[r["first"] - 1][1] if r["first"] else 0])
+                    at = spans[r["end"] - 1][1]
+                out.append("".join([*keep, t[at:]]).strip("\x20\t\n\x0b\x0c\r"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "cut"])
+
+    # Rows that surely lose nothing stay where they are; the filter's others are looked up.
+    may = Sieve(gone, "_uid").may_hold("_uid")
+    looked_up = base.where(may).join(gone, "_uid", "left")
+    untouched = base.where(~may).select("row").union(looked_up.where("gone is null").select("row"))
+    cut = looked_up.where("gone is not null").select("row", F.col(f"row.c{place}").alias("text"), "gone")
+    cut = cut.mapInArrow(lean(trim), T.StructType([base.schema["row"], T.StructField("cut", T.StringType())]))
+
+    def column(i: int) -> Column:
+        name = docs.columns[i]
+        if i == place:
+            return F.col("cut").alias(name)
+        return (F.char_length("cut").cast(docs.schema[name].dataType) if name == "n_chars" else F.col(f"row.c{i}")).alias(name)
+
+    return untouched.select(*unpacked("row", docs)).union(cut.select(*(column(i) for i in range(len(docs.columns)))))

@@ -18,11 +18,11 @@ from stepfield.llm import components, html, mixing, nearcopies, packing, quality
 from stepfield.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, source string, _uid string, gone int, row string, size string, fp string, copies string, n_words int"
+DOCS = "doc_id long, text string, source string, _uid string, gone int, row string, size string, fp string, copies string, n_words int, `a.b` string, c1 string"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, s, "x", 1, "r", "s", "f", "c", 2) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, s, "x", 1, "r", "s", "f", "c", 2, "d", "e") for i, t, s in rows], DOCS)
 
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -433,14 +433,35 @@ def test_mixing(spark):
         largest[r.source] = max(largest[r.source], r["size"])
     for s in order:  # a source that is hardly more than one document can't come nearer than that one
         assert abs(taken[s] - want[s]) <= (0.02 * want[s] + 30 if largest[s] < 0.1 * want[s] else largest[s])
+    tilt = {}
     for r in got:  # exponentially tilted: log rates are proportional to size within a source, up to the cap
         assert 0 < r.rate <= 2
+        if r["size"] and r.rate < 2:
+            assert np.log(r.rate) / r["size"] == pytest.approx(tilt.setdefault(r.source, np.log(r.rate) / r["size"]), rel=1e-6, abs=1e-12)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(7)).collect()))
     many = mixing.mixed(d)
     assert many.columns == d.columns and Counter(r.doc_id for r in many.collect()) == Counter({r.doc_id: 0 for r in got}) + sum((Counter({r.doc_id: r.copies}) for r in got), Counter())
     assert mixing.mix(d.limit(0)).collect() == [] and mixing.mixed(d.limit(0)).collect() == []
 
 
+def test_mixing_of_equal_rows(spark):
+    """200 equal rows among 250: their copies are spread over them, so that the source comes near its target."""
+    rows = [(7, prose(1, 60), "a")] * 200 + [(100 + i, prose(i, 40 + i), "a") for i in range(50)] + [(1000 + i, prose(5, 200), "b") for i in range(90)]
+    d = docs(spark, rows)
+    got = mixing.mix(d).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(5)).collect()))
+    assert mixing.mixed(d).count() == sum(r.copies for r in got)
+
+
+def test_mixing_says_when_it_is_not_solved(spark):
+    d = docs(spark, [(i, prose(i, 10 + i), "ab"[i % 2]) for i in range(40)])
+    with pytest.raises(RuntimeError):
+        mixing.mix(d, weights=(3, 1), rounds=1)
+
+
 # --- 7 ---
 
 
@@ -578,10 +599,13 @@ def check_packing(got, rows, window):
 def test_packing(spark):
     rows = odd_rows() + [(400 + i, prose(i, 20 + 7 * i), "a") for i in range(80)]
     d = docs(spark, rows)
-    got = packing.pack(d, window=256, shard_bytes=1 << 15).collect()
+    got = packing.pack(d, window=256, shard_tokens=1 << 13).collect()
     check_packing(got, rows, 256)
-    assert sorted(map(str, got)) == sorted(map(str, packing.pack(d.repartition(3), window=256, shard_bytes=1 << 15).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, packing.pack(d.repartition(3), window=256, shard_tokens=1 << 13).collect()))
+    assert len({r.sequence_id >> 32 for r in got}) > 3
     assert packing.pack(d.limit(0)).collect() == []
+    equal = [(1, prose(1, 40), "a")] * 600 + [(2, prose(2, 9000), "a")]
+    check_packing(packing.pack(docs(spark, equal), window=256, shard_tokens=1 << 12).collect(), equal, 256)
     check_packing(packing.pack(docs(spark, [(1, None, None)])).collect(), [(1, None, None)], 4096)
 
 
@@ -597,6 +621,46 @@ def test_bm25_finds_the_related():
     assert sum(len(t) == 1 for t in full) >= 12
 
 
+def test_greedy_windows_by_brute_force():
+    """The documents of each window: best first, of those not used yet, for its first document."""
+    rng = np.random.default_rng(9)
+    pieces = [rng.integers(0, 60, rng.integers(5, 40)) for _ in range(50)]
+    ids, counts = np.concatenate(pieces).astype(np.uint32), np.array([len(p) for p in pieces])
+    n, mean = len(pieces), counts.mean()
+    df = Counter(x for p in pieces for x in set(p.tolist()))
+
+    def score(a, b):
+        tf = Counter(pieces[b].tolist())
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * counts[b] / mean)) for t in set(pieces[a].tolist()) if tf[t])
+
+    got, used, window = packing.pack_shard(ids, counts, 100), set(), 100
+    for q in np.unique(got[:, 3]).tolist():
+        own = got[got[:, 3] == q]
+        own = own[np.argsort(own[:, 4])]
+        if own[:, 2].sum() < window:
+            break  # the rest
+        seed = int(own[0, 0])
+        assert seed == (min(set(range(n)) - used) if own[0, 1] == 0 else last)
+        used.add(seed)
+        for d in own[1:, 0].tolist():
+            free = [x for x in range(n) if x not in used]
+            best = max(score(seed, x) for x in free)
+            assert score(seed, d) == pytest.approx(best)
+            used.add(d)
+        last = int(own[-1, 0])
+
+
+def test_shards_of_like_documents(spark):
+    """Documents of one topic meet more often than by chance."""
+    rows = [(i, " ".join(f"{WORDS[i % 8]}{random.Random(i).choice('abc')}{WORDS[(i % 8 + random.Random(j + i).randint(0, 2)) % 24]}" for j in range(120)), "a") for i in range(160)]
+    got = packing.pack(docs(spark, rows), window=256, shard_tokens=1 << 13).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    together = [a % 8 == b % 8 for s in shards.values() for a in s for b in s if a < b]
+    assert len(shards) > 4 and np.mean(together) > 3 / 8
+
+
 def test_bm25_of_a_shard_scores_by_the_whole_corpus(spark):
     """As an index of all documents scores them."""
     rows = odd_rows() + [(400 + i, prose(i, 20 + 7 * i), "a") for i in range(40)]
