@@ -64,7 +64,7 @@ def literal(df: DataFrame, x, column: str = "t") -> Column:
 
 def check_bounds(start, end) -> None:
     if start is not None and end is not None and not isinstance(start, Column) and not isinstance(end, Column) and start >= end:
-        raise ValueError(f"start can't be >= end ({start} >= {end})")
+        raise ValueError(f"empty range: it starts at {start} and ends at {end}")
 
 
 def truthy(c: Column, kind: T.DataType) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import in_order, same
-from .points import lookup
+from ..model import in_order, is_clock, same
 
 
 def transitions(points: DataFrame, default=None) -> DataFrame:
@@ -19,30 +19,95 @@ def transitions(points: DataFrame, default=None) -> DataFrame:
     return points.select("t", "series_id", prev.alias("previous"), "value")
 
 
-def merged_values(points: DataFrame, default=None) -> DataFrame:
-    """(t, values): at each t of any series the values of all series, in order of series_id, as array<struct<v>>.
+def merged_values(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
+    """(t, values): at each t of any series the values of all series, in order of series_id, as an array.
 
-    The result has as many values as there are distinct t times series; use `running_sum` or `counts` where a sum will do.
+    The result has as many values as there are distinct t times series; use `running_sum`, `running_max` or `counts`
+    where they will do. A task has the points of one cell of t and what each series held before it, and fills the
+    cell's times one after another; no row is made for each time and series.
     """
-    ids, times = points.select("series_id").distinct(), points.select("t").distinct()
-    # Every series is asked at every time: this many rows are the result itself.
-    probes = times.crossJoin(ids).select("series_id", "t")
-    all_ = lookup(points, probes, default)
-    listed = all_.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("series_id", "value"))).alias("l"))
-    return listed.select("t", F.transform("l", lambda x: F.struct(x["value"].alias("v"))).alias("values"))
-
-
-def merge(points: DataFrame, operation: Callable[[Column], Column] | None = None, default=None, compact: bool = True) -> DataFrame:
+    kind = points.schema["value"].dataType
+    # A row of the result holds a value of each series, so one task can number them.
+    ids = points.select("series_id").distinct().withColumn("i", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("int"))
+    rows = points.select("series_id", "t", "value").withColumn("_cell", default_cell(points) if cell is None else cell)
+    ends = rows.groupBy("series_id", "_cell").agg(F.max_by(F.struct("value"), "t").alias("v"))
+    cells = rows.select("_cell").distinct()
+    # What a series holds when a cell begins: a row for each cell and series.
+    before = Window.partitionBy("series_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cells.crossJoin(ids).join(ends, ["series_id", "_cell"], "left")
+    start = grid.select("i", "_cell", F.last("v", ignorenulls=True).over(before).alias("v"))
+    start = start.select("_cell", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "i", F.when(F.col("v").isNull(), F.lit(default).cast(kind)).otherwise(F.col("v.value")).alias("value"))
+    moves = rows.join(ids, "series_id").select("_cell", "t", "i", "value")
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lists(held):
+            """A cell's times and values, in blocks of some millions of values."""
+            part = pa.Table.from_batches(held).combine_chunks()
+            i, value, t = part.column("i").to_numpy(), part.column("value").combine_chunks(), part.column("t").combine_chunks()
+            value, t = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (value, t))
+            k = t.null_count  # series: their rows without a time come first
+            now = np.empty(k, np.int64)
+            now[i[:k]] = np.arange(k)
+            later = t.slice(k)
+            code = pc.rank(later, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            step = max(1, (1 << 21) // max(1, k))
+            for at in range(0, len(first), step):
+                upto = first[at + step] if at + step < len(first) else len(code)
+                rows = slice(first[at], upto)
+                n = len(first[at : at + step])
+                table = np.full((n + 1, k), -1)
+                table[0] = now
+                table[code[rows] - at + 1, i[k:][rows]] = k + np.arange(len(code))[rows]
+                where = np.where(table >= 0, np.arange(n + 1)[:, None], 0)
+                np.maximum.accumulate(where, axis=0, out=where)
+                full = np.take_along_axis(table, where, 0)
+                now = full[-1]
+                offsets = pa.array(np.arange(n + 1) * k, pa.int32())
+                yield pa.RecordBatch.from_arrays([later.take(pa.array(first[at : at + step])), pa.ListArray.from_arrays(offsets, value.take(pa.array(full[1:].reshape(-1))))], ["t", "values"])
+
+        held, cell_of = [], None
+        for batch in batches:
+            cells_of = batch.column("_cell").to_pylist()
+            begin = 0
+            for row, c in enumerate(cells_of):
+                if held and c != cell_of or row > begin and c != cell_of:
+                    if row > begin:
+                        held.append(batch.slice(begin, row - begin))
+                    yield from lists(held)
+                    held, begin = [], row
+                cell_of = c
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield from lists(held)
+
+    both = start.union(moves).repartition("_cell").sortWithinPartitions("_cell", F.col("t").asc_nulls_first())
+    return both.mapInArrow(fill, T.StructType([T.StructField("t", points.schema["t"].dataType), T.StructField("values", T.ArrayType(kind))]))
+
+
+def merge(points: DataFrame, operation: Callable[[Column], Column] | None = None, default=None, compact: bool = True, cell: Column | None = None) -> DataFrame:
     """(t, value) of operation(array of values), or the array itself; compact leaves out what doesn't change it."""
-    rows = merged_values(points, default).select("t", F.transform("values", lambda x: x["v"]).alias("values"))
+    rows = merged_values(points, default, cell)
     out = rows.select("t", (operation(F.col("values")) if operation else F.col("values")).alias("value"))
-    return compacted(out) if compact else out
+    return compacted(out, cell) if compact else out
 
 
-def compacted(series: DataFrame) -> DataFrame:
-    """One series (t, value) without points that repeat the value before."""
-    before = F.lag(F.struct("value")).over(Window.partitionBy(F.lit(0)).orderBy("t"))
-    return series.withColumn("_b", before).where(F.col("_b").isNull() | ~same(F.col("value"), F.col("_b.value"))).drop("_b")
+def compacted(series: DataFrame, cell: Column | None = None) -> DataFrame:
+    """One series (t, value) without points that repeat the value before.
+
+    Points are compared within cells of t; the first of a cell with the last of the cell before, of which there is a
+    row for each cell in one task.
+    """
+    rows = series.withColumn("_cell", default_cell(series) if cell is None else cell)
+    last = rows.groupBy("_cell").agg(F.max_by(F.struct("value"), "t").alias("v"))
+    carried = last.select("_cell", F.lag("v").over(Window.orderBy("_cell")).alias("_v"))
+    before = F.coalesce(F.lag(F.struct("value")).over(Window.partitionBy("_cell").orderBy("t")), F.col("_v"))
+    return rows.join(carried, "_cell").withColumn("_b", before).where(F.col("_b").isNull() | ~same(F.col("value"), F.col("_b.value"))).select(*series.columns)
 
 
 def ignorant(values: Column) -> Column:
@@ -77,13 +142,18 @@ def day(t: str = "t") -> Column:
     return F.date_trunc("day", t)
 
 
+def default_cell(df: DataFrame) -> Column:
+    """Days of times, runs of 4096 of numbers."""
+    return day() if is_clock(df) else F.floor(F.col("t") / 4096)
+
+
 def running_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
     """(t, sum, known): the sum of all series' values at each t (null: nothing) and how many are known, from changes alone."""
     tr = transitions(points)
     change = F.coalesce("value", F.lit(0)) - F.coalesce("previous", F.lit(0))
     known = F.col("value").isNotNull().cast("long") - F.col("previous").isNotNull().cast("long")
     deltas = tr.groupBy("t").agg(F.sum(change).alias("sum"), F.sum(known).alias("known"))
-    return running(deltas, [], ["sum", "known"], day() if cell is None else cell)
+    return running(deltas, [], ["sum", "known"], default_cell(points) if cell is None else cell)
 
 
 def strict_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
@@ -93,6 +163,15 @@ def strict_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
     return sums.select("t", F.when(F.col("known") == F.col("k"), F.col("sum")).alias("value"))
 
 
+def aligned(runs: DataFrame) -> DataFrame:
+    """Runs of places [a, b) (longs, a > 0) cut into aligned blocks of 2 ** k places, at most two for each k: k and block in place of a and b."""
+    rest = [c for c in runs.columns if c not in ("a", "b")]
+    cut = runs.where("a < b").select(*rest, "a", "b", F.explode(F.expr("sequence(0, length(bin(b - a)) - 1)")).alias("k"))
+    cut = cut.select(*rest, "k", F.expr("shiftright(a + shiftleft(1L, k) - 1, k)").alias("a"), F.expr("shiftright(b, k)").alias("b")).where("a < b")
+    ends = F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))
+    return cut.select(*rest, "k", F.explode(F.array_compact(ends)).alias("block"))
+
+
 def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
     """(t, value): the greatest value of all series at each t (null: none is known).
 
@@ -100,15 +179,12 @@ def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
     most two for each k; a place asks the blocks that it is in, one for each k. So n points make n log n rows, however
     many series there are.
     """
-    ranks = running(points.select("t").distinct().withColumn("x", F.lit(1)), [], ["x"], day() if cell is None else cell)
+    ranks = running(points.select("t").distinct().withColumn("x", F.lit(1)), [], ["x"], default_cell(points) if cell is None else cell)
     most = F.broadcast(ranks.agg(F.max("x").alias("most")))  # one row
     held = points.select("t", "value", F.lead("t").over(in_order()).alias("until")).where("value is not null")
     runs = held.join(ranks.withColumnRenamed("x", "a"), "t").join(ranks.select(F.col("t").alias("until"), F.col("x").alias("b")), "until", "left").crossJoin(most)
     runs = runs.select("value", "a", F.coalesce("b", F.col("most") + 1).alias("b"))
-    cut = runs.select("value", "a", "b", F.explode(F.expr("sequence(0, length(bin(b - a)) - 1)")).alias("k"))
-    cut = cut.select("value", "k", F.expr("shiftright(a + shiftleft(1L, k) - 1, k)").alias("a"), F.expr("shiftright(b, k)").alias("b")).where("a < b")
-    ends = F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))
-    blocks = cut.select("value", "k", F.explode(F.array_compact(ends)).alias("block")).groupBy("k", "block").agg(F.max("value").alias("value"))
+    blocks = aligned(runs).groupBy("k", "block").agg(F.max("value").alias("value"))
     asked = ranks.crossJoin(most).select("t", "x", F.explode(F.expr("sequence(0, length(bin(most)))")).alias("k")).select("t", "k", F.expr("shiftright(x, k)").alias("block"))
     return asked.join(blocks, ["k", "block"], "left").groupBy("t").agg(F.max("value").alias("value"))
 
@@ -119,7 +195,7 @@ def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataF
     moves = tr.select("t", F.inline(F.array(F.struct(F.col("previous").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("value"), F.lit(1).alias("n")))))
     deltas = moves.groupBy("t", "value").agg(F.sum("n").alias("n"))
     start = points.select("series_id").distinct().agg(F.count("*").alias("k"))  # one row
-    out = running(deltas.where(F.col("value").isNotNull()), ["value"], ["n"], day() if cell is None else cell)
+    out = running(deltas.where(F.col("value").isNotNull()), ["value"], ["n"], default_cell(points) if cell is None else cell)
     if default is None:
         return out.select("value", "t", "n")
     return out.crossJoin(F.broadcast(start)).select("value", "t", (F.col("n") + F.when(same(F.col("value"), F.lit(default)), F.col("k")).otherwise(0)).alias("n"))

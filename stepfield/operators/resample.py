@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import check_bounds, is_clock, length, literal
+from .merge import aligned
 from .points import lookup
 
 
@@ -21,7 +22,7 @@ def _step(points: DataFrame, period) -> Column:
 def check_period(start, end, period) -> None:
     zero = datetime.timedelta(0) if isinstance(period, datetime.timedelta) else 0
     if period <= zero:
-        raise ValueError("sampling_period must be > 0")
+        raise ValueError("the sampling period has to be positive")
     if start is not None and end is not None and period > end - start:
         raise ValueError("sampling_period is longer than the series")
 
@@ -52,40 +53,42 @@ def sample(points: DataFrame, period, start=None, end=None, default=None, interp
     return lookup(points, probes, default, interpolate)
 
 
-def integral(points: DataFrame, probes: DataFrame, default=None) -> DataFrame:
-    """probes with `area` (integral of the values up to t, null as nothing) and `known` (length with a value), from one sort.
+def window_means(points: DataFrame, windows: DataFrame, default=None) -> DataFrame:
+    """(series_id, t, value): the mean over time of each window (series_id, g, low, high), null values left out; g becomes t.
 
-    Before the first point the default counts from there backwards, so differences are right anywhere.
+    The windows' edges cut each series into panes; a pane's integral is added up from the values within it, and panes
+    meet in aligned blocks of 2 ** k, of which a window takes two for each k at most. Nothing is subtracted: what lies
+    outside a window, NaN and infinity included, has no part in its mean, however long the series. The work grows with
+    the logarithm of a window's length.
     """
-    order = Window.partitionBy("series_id").orderBy("t")
-    d = F.lit(default).cast("double")
-    v = F.col("value").cast("double")
-    dt = length(points, F.col("t"), F.lead("t").over(order))
-    steps = points.select("series_id", "t", v.alias("v"), dt.alias("dt"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = steps.select("series_id", "t", "v", F.coalesce(F.sum(F.coalesce("v", F.lit(0.0)) * F.col("dt")).over(before), F.lit(0.0)).alias("area"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("dt"))).over(before), F.lit(0)).alias("known"))
-    held = sums.select("series_id", "t", F.struct("t", "v", "area", "known").alias("value"))
-    first = points.groupBy("series_id").agg(F.min("t").alias("_first"))
-    got = lookup(held, probes).join(first, "series_id")
-    after = length(points, F.col("value.t"), F.col("t"))
-    ahead = length(points, F.col("t"), F.col("_first"))
-    inside = F.col("value").isNotNull()
-    area = F.when(inside, F.col("value.area") + F.coalesce("value.v", F.lit(0.0)) * after).otherwise(-ahead * F.coalesce(d, F.lit(0.0)))
-    known = F.when(inside, F.col("value.known") + F.when(F.col("value.v").isNotNull(), after).otherwise(0)).otherwise(-ahead if default is not None else F.lit(0))
-    return got.select(*(c for c in got.columns if c not in ("value", "_first")), area.alias("area"), known.cast("double").alias("known"))
-
-
-def _means(at: DataFrame) -> DataFrame:
-    """(series_id, t, value) from integrals at both ends (upper or not) of the window or bin named g."""
-    top = lambda c: F.sum(F.when(F.col("upper"), F.col(c)).otherwise(-F.col(c)))
-    out = at.groupBy("series_id", "g").agg(top("area").alias("a"), top("known").alias("k"))
-    return out.select("series_id", F.col("g").alias("t"), F.when(F.col("k") > 0, F.col("a") / F.col("k")).alias("value"))
+    kind = points.schema["value"].dataType
+    held = F.struct(F.col("value").alias("value"))
+    edges = windows.select("series_id", F.col("low").alias("t")).union(windows.select("series_id", "high")).distinct()
+    rows = points.select("series_id", "t", F.lit(0).alias("k"), held.alias("p"))
+    rows = rows.union(edges.select("series_id", "t", F.lit(1), F.lit(None).cast(rows.schema["p"].dataType)))
+    order = Window.partitionBy("series_id").orderBy("t", "k")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("series_id", "t", "k", F.last("p", ignorenulls=True).over(upto).alias("p"), F.sum(F.col("k").cast("long")).over(upto).alias("pane"), F.lead("t").over(order).alias("until"))
+    v = F.when(F.col("p").isNull(), F.lit(default).cast(kind)).otherwise(F.col("p.value")).cast("double")
+    piece = length(points, F.col("t"), F.col("until"))
+    pieces = rows.where("pane > 0 and until > t").select("series_id", "pane", v.alias("v"), piece.alias("w"))
+    known = pieces.where("v is not null").groupBy("series_id", "pane").agg(F.sum(F.col("v") * F.col("w")).alias("area"), F.sum("w").alias("known"))
+    places = rows.where("k = 1").select("series_id", "t", "pane")
+    low = places.select(F.col("series_id").alias("_a"), F.col("t").alias("_t"), F.col("pane").alias("a"))
+    high = places.select(F.col("series_id").alias("_b"), F.col("t").alias("_u"), F.col("pane").alias("b"))
+    runs = windows.join(low, (F.col("series_id") == F.col("_a")) & (F.col("low") == F.col("_t"))).join(high, (F.col("series_id") == F.col("_b")) & (F.col("high") == F.col("_u"))).select("series_id", "g", "a", "b")
+    wanted = aligned(runs.where("a < b"))
+    most = F.broadcast(runs.agg(F.max(F.col("b") - F.col("a")).alias("most")))  # one row
+    levels = known.crossJoin(most).select("series_id", F.explode(F.expr("sequence(0, length(bin(most)) - 1)")).alias("k"), "pane", "area", "known")
+    blocks = levels.groupBy("series_id", "k", F.expr("shiftright(pane, k)").alias("block")).agg(F.sum("area").alias("area"), F.sum("known").alias("known"))
+    out = wanted.join(blocks, ["series_id", "k", "block"], "left").groupBy("series_id", "g").agg(F.sum("area").alias("area"), F.sum("known").alias("known"))
+    return out.select("series_id", F.col("g").alias("t"), F.when(F.col("known") > 0, F.col("area") / F.col("known")).alias("value"))
 
 
 def moving_average(points: DataFrame, period, window=None, start=None, end=None, placement: str = "center", default=None) -> DataFrame:
     """(series_id, t, value): the mean over a window around, from ("left") or up to ("right") each grid point.
 
-    From the series' integral at both ends of each window: the work does not grow with the window's length.
+    See `window_means`.
     """
     if placement not in ("center", "left", "right"):
         raise ValueError(f"unknown placement '{placement}': center, left or right")
@@ -96,23 +99,22 @@ def moving_average(points: DataFrame, period, window=None, start=None, end=None,
     g = grid(points, period, start, end).withColumn("g", F.col("t"))
     kind = points.schema["t"].dataType if is_clock(points) else "double"
     p = points if is_clock(points) else points.withColumn("t", F.col("t").cast("double"))
-    edge = lambda x, sign, end_: g.select("series_id", (F.col("g") - _step(points, x) if sign < 0 else F.col("g") + _step(points, x)).cast(kind).alias("t"), "g", F.lit(end_).alias("upper"))
-    return _means(integral(p, edge(back, -1, False).union(edge(ahead, 1, True)), default))
+    at = lambda x, sign: (F.col("g") - _step(points, x) if sign < 0 else F.col("g") + _step(points, x)).cast(kind)
+    return window_means(p, g.select("series_id", "g", at(back, -1).alias("low"), at(ahead, 1).alias("high")), default)
 
 
 def sample_interval(points: DataFrame, period=None, start=None, end=None, index: DataFrame | None = None, operation: str = "mean", default=None) -> DataFrame:
     """(series_id, t, value) for bins [t, next t) of the grid or of the index (t): mean over time, max or min of values in effect.
 
-    No pair of a bin and a period is ever joined: means come from the integral at the bins' edges, extremes from the
-    value in effect at a bin's start and the points within it.
+    No pair of a bin and a period is ever joined: means come from panes between the bins' edges (`window_means`),
+    extremes from the value in effect at a bin's start and the points within it.
     """
     if operation not in ("mean", "max", "min"):
         raise KeyError(operation)
     g = grid(points, period, start, end) if index is None else points.select("series_id").distinct().crossJoin(index.select("t"))
     b = g.select("series_id", "t", F.lead("t").over(Window.partitionBy("series_id").orderBy("t")).alias("m1")).where("m1 is not null")
     if operation == "mean":
-        edges = b.select("series_id", "t", F.col("t").alias("g"), F.lit(False).alias("upper")).union(b.select("series_id", "m1", "t", F.lit(True)))
-        return _means(integral(points, edges, default))
+        return window_means(points, b.select("series_id", F.col("t").alias("g"), F.col("t").alias("low"), F.col("m1").alias("high")), default)
     best = F.max if operation == "max" else F.min
     starts = lookup(points, b.select("series_id", "t"), default).select("series_id", F.col("t").alias("g"), "value")
     bins = b.select("series_id", "t", F.struct("t", "m1").alias("value"))

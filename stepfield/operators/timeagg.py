@@ -18,28 +18,34 @@ def true_periods(mask: DataFrame, start=None, end=None) -> DataFrame:
     return p.where(truthy(F.col("value"), p.schema["value"].dataType)).select("series_id", "t0", "t1")
 
 
+def _width(right: DataFrame) -> float:
+    """Mean distance of the starts of periods (t0, t1; series_id if they differ by series): cells of that width hold about one each."""
+    own = "series_id" in right.columns
+    span = seconds(right, length(right, F.min("t0"), F.max("t1"), "t0"), "t0")
+    got = right.agg(span.alias("span"), F.count("*").alias("n"), (F.approx_count_distinct("series_id") if own else F.lit(1)).alias("k")).first()  # one row
+    return float(got.span or 0) * max(1, got.k) / max(1, got.n) or 1.0
+
+
+def _cells(df: DataFrame, column: str, width: float) -> Callable[[Column], Column]:
+    """Numbers of cells of times of the kind that the column has."""
+    number = lambda c: seconds(df, length(df, calendar.origin(df.schema[column].dataType), c, column), column)
+    return lambda c: F.floor(number(c) / F.lit(width))
+
+
 def overlap(left: DataFrame, right: DataFrame, width: float | None = None) -> DataFrame:
     """Pieces of left periods (series_id, t0, t1, any columns) within right ones (t0, t1; series_id if masks differ by series).
 
-    With a series_id on the right this is an equi-join on it. Without, the right side is shared by all series: it is
-    cut to buckets of `width` (seconds or units; default: the longest right period) and joined on them, each pair in the
-    bucket where its overlap starts, so that neither side is compared as a whole with the other.
+    Both sides are cut to cells of `width` (seconds or units; default: the mean distance of right periods) and joined on
+    them, and on series_id if the right has one, each pair in the cell where its overlap starts. So neither side is
+    compared as a whole with the other, and a long period meets about as many cells as there are pieces of it.
     """
     own = "series_id" in right.columns
+    cell = _cells(left, "t0", _width(right) if width is None else float(width))
     r = right.select(*([F.col("series_id").alias("m_id")] if own else []), F.col("t0").alias("m0"), F.col("t1").alias("m1"))
-    cond = (F.col("t0") < F.col("m1")) & (F.col("t1") > F.col("m0"))
-    if own:
-        joined = left.join(r, (F.col("series_id") == F.col("m_id")) & cond).drop("m_id")
-    else:
-        if width is None:
-            longest = r.agg(F.max(seconds(left, length(left, F.col("m0"), F.col("m1"), "t0"), "t0"))).first()[0]
-            width = float(longest or 1)
-        number = lambda c: seconds(left, length(left, calendar.origin(left.schema["t0"].dataType), c, "t0"), "t0")
-        cell = lambda c: F.floor(number(c) / F.lit(float(width)))
-        a = left.withColumn("cell", F.explode(F.sequence(cell(F.col("t0")), cell(F.col("t1")))))
-        b = r.withColumn("m_cell", F.explode(F.sequence(cell(F.col("m0")), cell(F.col("m1")))))
-        once = cell(F.greatest("t0", "m0")) == F.col("cell")
-        joined = a.join(b, (F.col("cell") == F.col("m_cell")) & cond & once).drop("cell", "m_cell")
+    a = left.withColumn("cell", F.explode(F.sequence(cell(F.col("t0")), cell(F.col("t1")))))
+    b = r.withColumn("m_cell", F.explode(F.sequence(cell(F.col("m0")), cell(F.col("m1")))))
+    on = (F.col("cell") == F.col("m_cell")) & (F.col("t0") < F.col("m1")) & (F.col("t1") > F.col("m0")) & (cell(F.greatest("t0", "m0")) == F.col("cell"))
+    joined = a.join(b, on & (F.col("series_id") == F.col("m_id")) if own else on)
     rest = [c for c in left.columns if c not in ("t0", "t1")]
     return joined.select(*rest, F.greatest("t0", "m0").alias("t0"), F.least("t1", "m1").alias("t1"))
 
@@ -113,8 +119,10 @@ def n_points(points: DataFrame, start=None, end=None, mask: DataFrame | None = N
     else:
         true = mask if "t0" in mask.columns else true_periods(mask)
         own = "series_id" in true.columns
-        m = true.select(*([F.col("series_id").alias("m_id")] if own else []), "t0", "t1")
-        on = after(F.col("t0")) & before(F.col("t1"))
+        # A point is in one cell, a period in all that it touches: each pair meets once.
+        cell = _cells(points, "t", _width(true))
+        m = true.select(*([F.col("series_id").alias("m_id")] if own else []), "t0", "t1", F.explode(F.sequence(cell(F.col("t0")), cell(F.col("t1")))).alias("m_cell"))
+        on = (cell(F.col("t")) == F.col("m_cell")) & after(F.col("t0")) & before(F.col("t1"))
         hits = points.where(inside).join(m, ((F.col("series_id") == F.col("m_id")) & on) if own else on).groupBy("series_id").agg(F.count("*").alias("n"))
         out = points.groupBy("series_id").agg(F.count("*").alias("all")).join(hits, "series_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select("series_id", F.try_divide("n", "all").alias("n") if normalized else F.col("n"))

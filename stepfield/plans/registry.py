@@ -232,10 +232,12 @@ def iterintervals(spark, d):
     return periods.runs(numbers(spark, d), 3)
 
 
-@query("series_equal", "select true as same, false as other")
+@query("series_equal", f"""with {S}, c as (select series_id, t, value from (select *, lag(value) over (partition by series_id order by t) as prev from p) where value is distinct from prev)
+    select not exists (select * from p except all select * from p) as same,
+        not exists (select * from p except all select * from c) and not exists (select * from c except all select * from p) as other""")
 def series_equal(spark, d):
-    p, s = numbers(spark, d), states(spark, d)
-    return spark.createDataFrame([(points.equal(p, p), points.equal(s, points.compact(s)))], "same boolean, other boolean")
+    s = states(spark, d)
+    return spark.createDataFrame([(points.equal(s, s), points.equal(s, points.compact(s)))], "same boolean, other boolean")
 
 
 @query("sorted_items", f"with {P} select series_id, t, value, row_number() over (partition by series_id order by t) - 1 as n, count(*) over (partition by series_id) as size from p")
@@ -430,38 +432,6 @@ def merge_sum(spark, d):
     return merge.running_sum(numbers(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long")))
 
 
-FEW = f"with p as (select user_id as series_id, ts as t, {HOLES} as value from events where user_id < 5)"
-GRID_FEW = FEW + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
-    v as (select g.t, g.series_id, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)"""
-
-
-def _few(spark, d) -> DataFrame:
-    return holes(spark, d).where("series_id < 5")
-
-
-@query("merge_list", GRID_FEW + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
-def merge_list(spark, d):
-    m = merge.merge(_few(spark, d), compact=False)
-    text = F.transform("value", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
-    return m.select("t", F.array_join(text, ",").alias("l"))
-
-
-@query("merge_max", GRID_FEW + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
-def merge_max(spark, d):
-    return merge.merge(_few(spark, d), F.array_max)
-
-
-@query("merge_ignorant_sum", GRID_FEW + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
-def merge_ignorant_sum(spark, d):
-    return merge.merge(_few(spark, d), merge.ignorant_sum, compact=False).withColumn("value", F.round("value", 6))
-
-
-@query("merge_strict_sum", GRID_FEW + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
-def merge_strict_sum(spark, d):
-    return merge.merge(_few(spark, d), merge.strict(merge.ignorant_sum), compact=False).withColumn("value", F.round("value", 6))
-
-
-# The same of all series.
 ALL = f"with p as (select user_id as series_id, ts as t, {HOLES} as value from events)"
 GRID_ALL = ALL + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
     v as (select g.t, g.series_id, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)"""
@@ -476,25 +446,25 @@ def _as_double(df: DataFrame) -> DataFrame:
     return df.select("t", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query("merge_list_all", GRID_ALL + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
-def merge_list_all(spark, d):
+@query("merge_list", GRID_ALL + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
+def merge_list(spark, d):
     m = merge.merge(holes(spark, d), compact=False)
     text = F.transform("value", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
     return m.select("t", F.array_join(text, ",").alias("l"))
 
 
-@query("merge_max_all", GRID_ALL + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
-def merge_max_all(spark, d):
+@query("merge_max", GRID_ALL + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
+def merge_max(spark, d):
     return merge.compacted(merge.running_max(holes(spark, d)))
 
 
-@query("merge_ignorant_sum_all", GRID_ALL + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
-def merge_ignorant_sum_all(spark, d):
+@query("merge_ignorant_sum", GRID_ALL + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
+def merge_ignorant_sum(spark, d):
     return _as_double(merge.running_sum(_exact(spark, d)).withColumnRenamed("sum", "value"))
 
 
-@query("merge_strict_sum_all", GRID_ALL + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
-def merge_strict_sum_all(spark, d):
+@query("merge_strict_sum", GRID_ALL + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
+def merge_strict_sum(spark, d):
     return _as_double(merge.strict_sum(_exact(spark, d)))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,79 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("closed").orderBy("t0").collect()] == [("a", t(0), t(5), 1.0), ("a", t(5), t(9), 2.0)]
+
+def test_means_do_not_see_what_lies_outside(spark):
+    """NaN and large values elsewhere in the series have no part in a window's mean."""
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    p = spark.createDataFrame([("a", day(0), float("nan")), ("a", day(1), 2.0), ("a", day(2), 3.0), ("a", day(6), 3.0), ("b", day(0), float("inf")), ("b", day(3), 1.0), ("b", day(6), 1.0)], "series_id string, t timestamp_ntz, value double")
+    one = dt.timedelta(days=1)
+    for got in (resample.sample_interval(p, one, day(0), day(6)), resample.moving_average(p, one, one, day(0), day(5), "left")):
+        by = {(r.series_id, r.t): r.value for r in got.collect()}
+        assert [by["a", day(i)] for i in range(1, 6)] == [2.0, 3.0, 3.0, 3.0, 3.0] and np.isnan(by["a", day(0)])
+        assert [by["b", day(i)] for i in range(6)] == [float("inf")] * 3 + [1.0] * 3
+    late = day(9000)
+    q = spark.createDataFrame([("a", day(0), 1e6), ("a", late, 1.25)], "series_id string, t timestamp_ntz, value double")
+    window = dt.timedelta(milliseconds=100)
+    got = resample.moving_average(q, one, window, late, late + 2 * one, "left").collect()
+    assert [r.value for r in got] == [1.25] * 3
+
+
+def test_window_means_by_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(s, t, rnd.choice([None, 1.0, 2.5, -3.0])) for s in range(4) for t in sorted(rnd.sample(range(60), 12))]
+    p = spark.createDataFrame(rows, "series_id int, t int, value double")
+    for window, default in ((1, None), (7, None), (40, 2.0)):
+        got = {(r.series_id, r.t): r.value for r in resample.moving_average(p, 3, window, -5, 70, "right", default=default).collect()}
+        for (s, t), v in got.items():
+            own = {x: y for a, x, y in rows if a == s}
+            held = [own[max(x for x in own if x <= u)] if min(own) <= u else default for u in range(t - window, t)]
+            known = [x for x in held if x is not None]
+            assert v == (pytest.approx(sum(known) / len(known)) if known else None)
+        assert len(got) == 4 * 26
+
+
+def test_merge_by_brute_force(spark):
+    """All series at all times, over many cells, with nulls and a default."""
+    rnd = random.Random(4)
+    rows = [(s, t, rnd.choice([None, "x", "y"])) for s in range(7) for t in rnd.sample(range(200), 25)]
+    p = spark.createDataFrame(rows, "series_id int, t int, value string").repartition(3)
+    got = {r.t: list(r.value) for r in merge.merge(p, default="d", compact=False, cell=F.floor(F.col("t") / 16)).collect()}
+    of = lambda s, t: max(((x, v) for a, x, v in rows if a == s and x <= t), key=lambda y: y[0], default=(0, "d"))[1]
+    want = {t: [of(s, t) for s in range(7)] for t in {t for _, t, _ in rows}}
+    assert got == want
+    steps = [(t, want[t]) for i, t in enumerate(sorted(want)) if not i or want[t] != want[sorted(want)[i - 1]]]
+    assert [(r.t, list(r.value)) for r in merge.merge(p, default="d", cell=F.floor(F.col("t") / 16)).orderBy("t").collect()] == steps
+
+
+def test_masks_by_brute_force(spark):
+    """Shared masks and masks of their own, long and short periods together."""
+    rnd = random.Random(5)
+    rows = [(s, t, float(rnd.randint(0, 3))) for s in range(3) for t in sorted(rnd.sample(range(300), 30))]
+    p = spark.createDataFrame(rows, "series_id int, t int, value double")
+    own = [(s, a, a + rnd.choice([1, 2, 90])) for s in range(3) for a in range(5, 290, 100)]
+    shared = [(10, 12), (20, 150), (160, 161), (200, 290)]
+    for mask, of in ((spark.createDataFrame(own, "series_id int, t0 int, t1 int"), lambda s: [(a, b) for x, a, b in own if x == s]), (spark.createDataFrame(shared, "t0 int, t1 int"), lambda s: shared)):
+        n = {r.series_id: r.n for r in timeagg.n_points(p, mask=mask, include_end=True).collect()}
+        assert n == {s: sum(a <= t <= b for x, t, _ in rows if x == s for a, b in of(s)) for s in range(3)}
+        got = {(r.series_id, r.value): r.mass for r in timeagg.distribution(p, mask=mask).collect()}
+        want = {}
+        for s in range(3):
+            first = min(a for a, _ in (own_ for x in range(3) for own_ in of(x)))
+            for a, b in of(s):
+                for u in range(a, b):
+                    v = max(((t, v) for x, t, v in rows if x == s and t <= u), default=(0, None))[1]
+                    want[s, v] = want.get((s, v), 0) + 1
+        assert first >= 0 and got == want
+
+
+def test_no_query_compares_all_with_all(spark):
+    """No plan of a series query holds a join of two unbounded sides without an equality."""
+    from stepfield.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("merge_max", "merge_ignorant_sum", "merge_strict_sum", "n_points_masked", "distribution_masked", "moving_average_center", "sample_interval_mean"):
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
