@@ -53,6 +53,32 @@ def sample(points: DataFrame, period, start=None, end=None, default=None, interp
     return lookup(points, probes, default, interpolate)
 
 
+def panes(points: DataFrame, edges: DataFrame, default=None) -> DataFrame:
+    """Series cut at edges (series_id, t, mark), in one sort: rows (series_id, t, mark, pane, v, w) of pieces with one value.
+
+    v is the value, w its length, t and mark are those of the edge before, pane is its number from 1. Edges without a
+    piece have a row with a null w, so that every pane has a row.
+    """
+    kind = points.schema["value"].dataType
+    rows = points.select("series_id", "t", F.struct(F.col("value").alias("value")).alias("p"), F.lit(None).cast(f"struct<t:{edges.schema['t'].dataType.simpleString()},mark:{edges.schema['mark'].dataType.simpleString()}>").alias("e"))
+    rows = rows.union(edges.select("series_id", "t", F.lit(None).cast(rows.schema["p"].dataType), F.struct("t", "mark")))
+    order = Window.partitionBy("series_id").orderBy("t", F.col("e").isNotNull())
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("series_id", "t", "e", F.last("p", ignorenulls=True).over(upto).alias("p"), F.last("e", ignorenulls=True).over(upto).alias("edge"), F.count("e").over(upto).alias("pane"), F.lead("t").over(order).alias("until"))
+    v = F.when(F.col("p").isNull(), F.lit(default).cast(kind)).otherwise(F.col("p.value")).cast("double")
+    w = length(points, F.col("t"), F.col("until"))
+    return rows.where("pane > 0 and (e is not null or until > t)").select("series_id", "edge.t", "edge.mark", "pane", v.alias("v"), F.when(w > 0, w).alias("w"))
+
+
+def _sums() -> list[Column]:
+    used = F.col("v").isNotNull() & F.col("w").isNotNull()
+    return [F.sum(F.when(used, F.col("v") * F.col("w"))).alias("area"), F.sum(F.when(used, F.col("w"))).alias("known")]
+
+
+def _mean() -> Column:
+    return F.when(F.col("known") > 0, F.col("area") / F.col("known")).alias("value")
+
+
 def window_means(points: DataFrame, windows: DataFrame, default=None) -> DataFrame:
     """(series_id, t, value): the mean over time of each window (series_id, g, low, high), null values left out; g becomes t.
 
@@ -61,28 +87,16 @@ def window_means(points: DataFrame, windows: DataFrame, default=None) -> DataFra
     outside a window, NaN and infinity included, has no part in its mean, however long the series. The work grows with
     the logarithm of a window's length.
     """
-    kind = points.schema["value"].dataType
-    held = F.struct(F.col("value").alias("value"))
     edges = windows.select("series_id", F.col("low").alias("t")).union(windows.select("series_id", "high")).distinct()
-    rows = points.select("series_id", "t", F.lit(0).alias("k"), held.alias("p"))
-    rows = rows.union(edges.select("series_id", "t", F.lit(1), F.lit(None).cast(rows.schema["p"].dataType)))
-    order = Window.partitionBy("series_id").orderBy("t", "k")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("series_id", "t", "k", F.last("p", ignorenulls=True).over(upto).alias("p"), F.sum(F.col("k").cast("long")).over(upto).alias("pane"), F.lead("t").over(order).alias("until"))
-    v = F.when(F.col("p").isNull(), F.lit(default).cast(kind)).otherwise(F.col("p.value")).cast("double")
-    piece = length(points, F.col("t"), F.col("until"))
-    pieces = rows.where("pane > 0 and until > t").select("series_id", "pane", v.alias("v"), piece.alias("w"))
-    known = pieces.where("v is not null").groupBy("series_id", "pane").agg(F.sum(F.col("v") * F.col("w")).alias("area"), F.sum("w").alias("known"))
-    places = rows.where("k = 1").select("series_id", "t", "pane")
-    low = places.select(F.col("series_id").alias("_a"), F.col("t").alias("_t"), F.col("pane").alias("a"))
-    high = places.select(F.col("series_id").alias("_b"), F.col("t").alias("_u"), F.col("pane").alias("b"))
+    sums = panes(points, edges.withColumn("mark", F.lit(True)), default).groupBy("series_id", "t", "pane").agg(*_sums())
+    low = sums.select(F.col("series_id").alias("_a"), F.col("t").alias("_t"), F.col("pane").alias("a"))
+    high = sums.select(F.col("series_id").alias("_b"), F.col("t").alias("_u"), F.col("pane").alias("b"))
     runs = windows.join(low, (F.col("series_id") == F.col("_a")) & (F.col("low") == F.col("_t"))).join(high, (F.col("series_id") == F.col("_b")) & (F.col("high") == F.col("_u"))).select("series_id", "g", "a", "b")
-    wanted = aligned(runs.where("a < b"))
     most = F.broadcast(runs.agg(F.max(F.col("b") - F.col("a")).alias("most")))  # one row
-    levels = known.crossJoin(most).select("series_id", F.explode(F.expr("sequence(0, length(bin(most)) - 1)")).alias("k"), "pane", "area", "known")
+    levels = sums.where("known > 0").crossJoin(most).select("series_id", F.explode(F.expr("sequence(0, length(bin(most)) - 1)")).alias("k"), "pane", "area", "known")
     blocks = levels.groupBy("series_id", "k", F.expr("shiftright(pane, k)").alias("block")).agg(F.sum("area").alias("area"), F.sum("known").alias("known"))
-    out = wanted.join(blocks, ["series_id", "k", "block"], "left").groupBy("series_id", "g").agg(F.sum("area").alias("area"), F.sum("known").alias("known"))
-    return out.select("series_id", F.col("g").alias("t"), F.when(F.col("known") > 0, F.col("area") / F.col("known")).alias("value"))
+    out = aligned(runs).join(blocks, ["series_id", "k", "block"], "left").groupBy("series_id", "g").agg(F.sum("area").alias("area"), F.sum("known").alias("known"))
+    return out.select("series_id", F.col("g").alias("t"), _mean())
 
 
 def moving_average(points: DataFrame, period, window=None, start=None, end=None, placement: str = "center", default=None) -> DataFrame:
@@ -106,7 +120,7 @@ def moving_average(points: DataFrame, period, window=None, start=None, end=None,
 def sample_interval(points: DataFrame, period=None, start=None, end=None, index: DataFrame | None = None, operation: str = "mean", default=None) -> DataFrame:
     """(series_id, t, value) for bins [t, next t) of the grid or of the index (t): mean over time, max or min of values in effect.
 
-    No pair of a bin and a period is ever joined: means come from panes between the bins' edges (`window_means`),
+    No pair of a bin and a period is ever joined: means come from the panes between the bins' edges,
     extremes from the value in effect at a bin's start and the points within it.
     """
     if operation not in ("mean", "max", "min"):
@@ -114,7 +128,8 @@ def sample_interval(points: DataFrame, period=None, start=None, end=None, index:
     g = grid(points, period, start, end) if index is None else points.select("series_id").distinct().crossJoin(index.select("t"))
     b = g.select("series_id", "t", F.lead("t").over(Window.partitionBy("series_id").orderBy("t")).alias("m1")).where("m1 is not null")
     if operation == "mean":
-        return window_means(points, b.select("series_id", F.col("t").alias("g"), F.col("t").alias("low"), F.col("m1").alias("high")), default)
+        edges = g.select("series_id", "t", F.lead("t").over(Window.partitionBy("series_id").orderBy("t")).isNotNull().alias("mark"))
+        return panes(points, edges, default).where("mark").groupBy("series_id", "t").agg(*_sums()).select("series_id", "t", _mean())
     best = F.max if operation == "max" else F.min
     starts = lookup(points, b.select("series_id", "t"), default).select("series_id", F.col("t").alias("g"), "value")
     bins = b.select("series_id", "t", F.struct("t", "m1").alias("value"))
