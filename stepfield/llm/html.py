@@ -1,9 +1,11 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
-A leaf block is a run of text between block tags. Its features are the tags, classes, ids and roles of its ancestors and
-what its text looks like. The field has two labels (article or not), weights for each feature and for neighbouring
+A leaf block is a run of text between block tags. Its features are the tags, classes, ids and roles of its ancestors,
+what its text looks like, and whether it lies in the container that holds most of the page's prose or in one of many
+alike. The field has two labels (article or not), weights for each feature and for neighbouring
 labels; it is trained by maximum likelihood on pages of `labelled_pages`, which writes pages of many layouts with the
-label of every block, and decoded by Viterbi. Scripts, styles and comments of the markup are not text at all.
+label of every block, and decoded by Viterbi. Scripts, styles, form controls, fallbacks and comments of the
+markup are not text at all. Reading takes time in proportion to a page's length, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from .common import lean, ship, slices
 
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template".split())
+SILENT = frozenset("script style template noscript textarea select datalist button iframe object svg audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: A closing tag of another element does not reach beyond these.
 SECTIONS = frozenset("html body article section main div nav header footer aside form ul ol table tr td th tbody thead figure dialog fieldset blockquote details".split())
+#: These hold the parts of a page; all other elements belong to the part that they are in.
+PARTS = frozenset("html body article section main div nav header footer aside form td th dialog details center fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _NAME = re.compile(r"[^0-9A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -35,16 +39,28 @@ _SENTENCE = re.compile(r"[.!?…]['\")\]]*(?:\s|$)")
 
 
 class Block:
-    __slots__ = ("text", "marks", "tag", "linked")
+    __slots__ = ("text", "marks", "tag", "linked", "part", "like")
 
-    def __init__(self, text: str, marks: tuple[str, ...], tag: str, linked: float):
-        self.text, self.marks, self.tag, self.linked = text, marks, tag, linked
+    def __init__(self, text: str, marks: tuple[str, ...], tag: str, linked: float, part: int, like: tuple[str, ...] | None):
+        self.text, self.marks, self.tag, self.linked, self.part, self.like = text, marks, tag, linked, part, like
 
 
 class _Reader(HTMLParser):
-    def __init__(self):
+    """known: marks that count (None: all)."""
+
+    def __init__(self, known: frozenset[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag
+        self.sections: list[int] = []
+        self.solid: list[str] = []  # open tags that are not inline
+        self.open_parts = [0]
+        self.named: list[tuple[str, ...]] = []  # marks of open parts with a name
+        self.parents, self.tags = [0], [""]  # of each part
+        self.alike: dict[tuple[str, ...], int] = {}
+        self.marks: dict[str, int] = {}
+        self.now: tuple[str, ...] | None = ()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
@@ -53,24 +69,36 @@ class _Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                marks = tuple(dict.fromkeys(m for _, ms in self.stack for m in ms))
-                tag = next((t for t, _ in reversed(self.stack) if t not in INLINE), "none")
-                self.blocks.append(Block(text, marks, tag, min(1.0, self.linked / len(text))))
+                if self.now is None:
+                    self.now = tuple(self.marks)
+                self.blocks.append(Block(text, self.now, self.solid[-1] if self.solid else "none", min(1.0, self.linked / len(text)), self.open_parts[-1], self.named[-1] if self.named else None))
             self.parts, self.linked = [], 0
 
     def leave(self, depth: int) -> None:
-        for tag, _ in self.stack[depth:]:
+        while len(self.stack) > depth:
+            tag, marks = self.stack.pop()
             self.silent -= tag in SILENT
             self.links -= tag == "a"
-        del self.stack[depth:]
+            self.places[tag].pop()
+            if tag in SECTIONS:
+                self.sections.pop()
+            if tag not in INLINE:
+                self.solid.pop()
+            if tag in PARTS:
+                self.open_parts.pop()
+                if len(marks) > 1:
+                    self.named.pop()
+            for m in marks:
+                if m in self.marks:
+                    self.marks[m] -= 1
+                    if not self.marks[m]:
+                        del self.marks[m]
+                        self.now = None
 
     def close_open(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.leave(i)
-                return
-            if self.stack[i][0] in SECTIONS and tag not in SECTIONS:
-                return
+        at = self.places.get(tag)
+        if at and (tag in SECTIONS or not self.sections or self.sections[-1] < at[-1]):
+            self.leave(at[-1])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -85,7 +113,24 @@ class _Reader(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 marks += [f"{'role' if k == 'role' else 'name'}={w.lower()}" for w in _NAME.split(v) if w]
-        self.stack.append((tag, tuple(marks)))
+        marks = tuple(marks)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SECTIONS:
+            self.sections.append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(tag)
+        if tag in PARTS:
+            self.parents.append(self.open_parts[-1])
+            self.tags.append(tag)
+            self.open_parts.append(len(self.parents) - 1)
+            if len(marks) > 1:
+                self.named.append(marks)
+                self.alike[marks] = self.alike.get(marks, 0) + 1
+        self.stack.append((tag, marks))
+        for m in marks:
+            if self.known is None or m in self.known:
+                self.marks[m] = self.marks.get(m, 0) + 1
+                self.now = None
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -108,25 +153,58 @@ class _Reader(HTMLParser):
         """<![CDATA[ ... ]]> and the like are markup."""
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order. Whatever the markup's faults, no text is lost."""
-    r = _Reader()
+class Page(list):
+    """Leaf blocks in page order; parents and tags of the page's parts, and how many parts have the same names."""
+
+    parents: list[int]
+    tags: list[str]
+    alike: dict[tuple[str, ...], int]
+
+
+def leaf_blocks(html: str, known: frozenset[str] | None = None) -> Page:
+    """Whatever the markup's faults, no text is lost but that of silent elements."""
+    r = _Reader(known)
     r.feed(html)
     r.close()
     r.flush()
-    return r.blocks
-
-
-def features(blocks: list[Block]) -> list[list[str]]:
-    out = []
-    for i, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
-        ends = len(_SENTENCE.findall(b.text))
-        f = ["any", *b.marks, f"tag={b.tag}", f"words={min(8, words.bit_length())}", f"links={round(4 * b.linked)}", f"sentences={min(3, ends)}"]
-        f.append(f"shape={min(3, words.bit_length() // 2)},{b.linked > 0.5},{ends > 0}")
+    page = Page(r.blocks)
+    page.parents, page.tags, page.alike = r.parents, r.tags, r.alike
+    return page
+
+
+def features(blocks: Page) -> list[list[str]]:
+    words = [b.text.count(" ") + 1 for b in blocks]
+    ends = [len(_SENTENCE.findall(b.text)) for b in blocks]
+    def inside(part: int) -> list[bool]:
+        """Of each part, whether it is or lies in that one. A part comes after the one that it is in."""
+        out = [False] * len(blocks.parents)
+        for i, parent in enumerate(blocks.parents):
+            out[i] = i == part or (i > 0 and out[parent])
+        return out
+
+    prose = [0] * len(blocks.parents)
+    for b, n, e in zip(blocks, words, ends, strict=True):
+        if b.linked <= 0.5 and (e or n > 7):
+            prose[b.part] += n
+    # Where a page has one article (or else one main), its text is there; in it the part with most words of prose.
+    sole = next((t for t in ("article", "main") if blocks.tags.count(t) == 1), None)
+    scope = inside(blocks.tags.index(sole) if sole else 0)
+    top = max((i for i, s in enumerate(scope) if s), key=prose.__getitem__)
+    within, total = inside(top), max(1, sum(prose))
+    out, passed = [], False
+    for i, (b, n, e) in enumerate(zip(blocks, words, ends, strict=True)):
+        f = ["any", *b.marks, f"tag={b.tag}", f"words={min(8, n.bit_length())}", f"links={round(4 * b.linked)}", f"sentences={min(3, e)}"]
+        f.append(f"shape={min(3, n.bit_length() // 2)},{b.linked > 0.5},{e > 0}")
+        where = "top" if b.part == top else "within" if within[b.part] else "after" if passed else "before"
+        passed = passed or b.part == top
+        f += [where, f"{where},{b.linked > 0.5},{e > 0}", f"share={round(4 * prose[b.part] / total)}"]
+        if sole:
+            f.append(f"{'in' if scope[b.part] else 'outside'} the {sole}")
+        if b.like is not None and b.part != top:
+            f.append(f"alike={min(3, blocks.alike[b.like])}")
         if b.text[-1] in ".!?…":
             f.append("ends like a sentence")
-        if "©" in b.text or "copyright" in b.text.lower():
+        if "©" in b.text or "(c)" in b.text.lower() or "copyright" in b.text.lower():
             f.append("copyright")
         if i == 0:
             f.append("first")
@@ -169,6 +247,13 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
     for _ in range(n):
         out: list[str] = []
         gold: list[tuple[str, int]] = []
+        own_names = rnd.random() < 0.5  # a page whose names say nothing
+        called: dict[str, str] = {}
+
+        def name(kind: str, own_names=own_names, called=called) -> str:
+            if own_names:
+                return called.setdefault(kind, word())
+            return rnd.choice(MAIN_NAMES if kind == "main" else OTHER[kind])
 
         def put(tag: str, text: str, label: int, inner: str = "", out=out, gold=gold) -> None:
             body = escape(text, quote=False)
@@ -190,10 +275,31 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
         def open_(kind: str, tag: str | None = None) -> str:
             tag = tag or rnd.choice({"nav": ("nav", "div", "ul"), "aside": ("aside", "div", "section"), "ad": ("div", "aside", "ins-box"), "form": ("form", "div"), "comments": ("section", "div", "ol"), "header": ("header", "div"), "footer": ("footer", "div")}.get(kind, ("div", "section")))
             named = tag in ("div", "section", "ul", "ol", "ins-box") or rnd.random() < 0.5
-            out.append(f'<{tag} {rnd.choice(("class", "id"))}="{rnd.choice(OTHER[kind])}">' if named else f"<{tag}>")
+            out.append(f'<{tag} {rnd.choice(("class", "id"))}="{name(kind)}">' if named else f"<{tag}>")
             return tag
 
+        def comments() -> None:
+            """Each in a part of its own, with who and when."""
+            if rnd.random() < 0.5:
+                put(rnd.choice(("h2", "h3", "p")), words(1, 3), 0)
+            tag, own = rnd.choice(("div", "div", "li", "section", "article")), name("comments")
+            for _ in range(rnd.randint(1, 6)):
+                out.append(f'<{tag} class="{own}">')
+                if rnd.random() < 0.7:
+                    put(rnd.choice(("div", "p", "h4")), words(1, 2) + rnd.choice(("", ":", " 12:40", " 2021-03-04", ", May 3")), 0)
+                for _ in range(rnd.randint(1, 2)):
+                    put(rnd.choice(("p", "p", "div")), sentences(rnd.randint(1, 4)), 0)
+                if rnd.random() < 0.3:
+                    t = words(1, 1)
+                    out.append(f'<div><a href="#r">{escape(t)}</a></div>')
+                    gold.append((t, 0))
+                out.append(f"</{tag}>")
+
         def other(kind: str) -> None:
+            if kind == "comments" and rnd.random() < 0.6:
+                return comments()
+            if rnd.random() < 0.15:  # what isn't text
+                out.append(rnd.choice(("<noscript>{}</noscript>", "<textarea name=c>{}</textarea>", "<select><option>{}</option></select>", "<button>{}</button>")).format(escape(sentences(1))))
             tag = open_(kind)
             if kind in ("nav", "footer", "header", "aside") and rnd.random() < 0.7:
                 links(rnd.randint(1, 8))
@@ -201,18 +307,22 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
                 put("p", rnd.choice(("© ", "© 2020 ", "Copyright ", "")) + sentences(rnd.randint(1, 2)), 0)
             elif kind == "form":
                 put("label", words(1, 4), 0)
-                out.append('<input name="q">')
-                put("button", words(1, 2), 0)
+                out.append('<input name="q"><button>')
+                out.append(escape(words(1, 2)) + "</button>")
+                if rnd.random() < 0.4:
+                    put("p", sentences(1), 0)
             elif kind == "comments":
                 for _ in range(rnd.randint(1, 5)):
                     put("p" if tag != "ol" else "li", sentences(rnd.randint(1, 4)), 0)
             elif kind != "nav":
-                put(rnd.choice(("p", "div", "h3", "span") if kind != "ad" else ("p", "div")), sentences(rnd.randint(1, 3)), 0)
+                put(rnd.choice(("p", "div", "h3", "span") if kind != "ad" else ("p", "div")), words(2, 6) + "." if rnd.random() < 0.4 else sentences(rnd.randint(1, 3)), 0)
             out.append(f"</{tag}>")
 
         title = words(3, 9)
         bare = rnd.random() < 0.2  # a fragment: nothing but the text
-        if not bare:
+        if not bare and rnd.random() < 0.2:
+            out.append("<body>")
+        elif not bare:
             out.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
             gold.append((title, 0))
         for kind in () if bare else ("header", "nav", "notice", "ad"):
@@ -221,9 +331,24 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
         if not bare and rnd.random() < 0.25:
             other("aside")
         shape = rnd.random() if not bare else rnd.choice((0.0, 0.8, 1.0, 1.0))
+        table = not bare and rnd.random() < 0.12  # a layout by tables
+        if table:
+            shape = 1.0
+            out.append(f"<table{rnd.choice(('', ' width=100%', ' border=0'))}><tr>")
+            for _ in range(rnd.randint(1, 2)):
+                out.append("<td>")
+                if rnd.random() < 0.6:
+                    links(rnd.randint(1, 6))
+                else:
+                    for _ in range(rnd.randint(1, 5)):
+                        t = words(1, 3)
+                        out.append(f'<a href="/x">{escape(t)}</a><br>')
+                        gold.append((t, 0))
+                out.append("</td>")
+            out.append("<td>")
         tags = ["article"] if shape < 0.45 else ["main", "article"] if shape < 0.55 else ["main"] if shape < 0.65 else ["div"] if shape < 0.92 else []
         for t in tags:
-            out.append(f'<{t} class="{rnd.choice(MAIN_NAMES)}">' if t == "div" or rnd.random() < 0.3 else f"<{t}>")
+            out.append(f'<{t} class="{name("main")}">' if t == "div" or rnd.random() < 0.3 else f"<{t}>")
         if rnd.random() < (0.4 if bare else 0.85):
             put("h1", title if rnd.random() < 0.7 else words(3, 9), 1)
         for i in range(rnd.choice((1, 1, 2, 3, 5, 8, 12))):
@@ -253,6 +378,10 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
         if tags and not bare and rnd.random() < 0.2:
             other(rnd.choice(("comments", "nav", "footer", "aside")))
         out += [f"</{t}>" for t in reversed(tags)]
+        if table:
+            out.append("</td></tr><tr><td>")
+            put("p", rnd.choice(("© ", "(c) 1999 ", "Copyright ", "")) + words(1, 6), 0)
+            out.append("</td></tr></table>")
         for kind in () if bare else ("aside", "comments", "form", "ad", "notice", "footer"):
             if rnd.random() < (0.75 if kind == "footer" else 0.3):
                 other(kind)
@@ -269,6 +398,7 @@ class Field:
 
     def __init__(self, weights: dict[str, float], steps: list[list[float]], opening: list[float]):
         self.weights, self.steps, self.opening = weights, steps, opening
+        self.known = frozenset(weights)
 
     def decode(self, rows: list[list[str]]) -> list[int]:
         """The most probable labels (Viterbi; ties to label 1)."""
@@ -338,7 +468,7 @@ def labels_of(blocks: list[Block], gold: list[tuple[str, int]]) -> list[int] | N
 
 
 @lru_cache
-def default_field(pages: int = 700, seed: int = 7) -> Field:
+def default_field(pages: int = 1000, seed: int = 7) -> Field:
     rows = []
     for html, gold in labelled_pages(pages, seed):
         blocks = leaf_blocks(html)
@@ -349,7 +479,7 @@ def default_field(pages: int = 700, seed: int = 7) -> Field:
 
 
 def main_text(html: str | None, field: Field) -> str:
-    blocks = leaf_blocks(html or "")
+    blocks = leaf_blocks(html or "", field.known)
     return " ".join(b.text for b, y in zip(blocks, field.decode(features(blocks)), strict=True) if y)
 
 
