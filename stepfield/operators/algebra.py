@@ -37,6 +37,16 @@ def add(x: DataFrame, y, **defaults) -> DataFrame:
     return compact(operation(x, y, f, **defaults)) if isinstance(y, DataFrame) else operation(x, y, lambda a, b: a + b)
 
 
+def add_all(series: list[DataFrame]) -> DataFrame:
+    """The sum of several tables of series, series by series, null as nothing; one alone is left as it is."""
+    if not series:
+        raise ValueError("no series to add")
+    out = series[0]
+    for x in series[1:]:
+        out = add(out, x)
+    return out
+
+
 def strict_add(x: DataFrame, y: DataFrame, **defaults) -> DataFrame:
     """x + y, null where one is."""
     return compact(operation(x, y, lambda a, b: a + b, **defaults))

@@ -320,3 +320,11 @@ def test_no_query_compares_all_with_all(spark):
             assert "CartesianProduct" not in plan, name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_add_all(spark):
+    a, b, c = (series(spark, [(t, v) for t, v in x]) for x in ([(0, 1), (4, 2)], [(2, 10)], [(3, None), (4, 5)]))
+    assert pairs(algebra.add_all([a, b, c])) == [(0, 1), (2, 11), (4, 17)]
+    assert pairs(algebra.add_all([a])) == [(0, 1), (4, 2)]
+    with pytest.raises(ValueError):
+        algebra.add_all([])
