@@ -102,6 +102,33 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by keys, in tables of about `rows` rows or `size` bytes; no key is split between two tables.
+
+    Memory is bounded by that and the rows of one key, whatever a partition holds.
+    """
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if held.num_rows >= rows or held.nbytes >= size:
+            cuts = np.flatnonzero(key_edges(held, keys))
+            if len(cuts):  # all but the last key, which may go on
+                yield held.slice(0, cuts[-1] + 1)
+                held = held.slice(cuts[-1] + 1)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def key_edges(part: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row's keys are others than those of the row before, from the second row on."""
+    new = np.zeros(max(0, part.num_rows - 1), bool)
+    for c in keys:
+        v = part.column(c).to_numpy()
+        new |= v[1:] != v[:-1]
+    return new
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive executors."""
 

@@ -10,7 +10,7 @@ verified bit by bit. Distances to any pivot concentrate around 32, so that coord
 machines only with hundreds of copies of each row. What meets on one machine is therefore settled by two levels
 of equal bit blocks: of `most + 1` blocks of a fingerprint one is equal in both, and so is one of `most + 1` parts
 of the rest. Buckets are unlimited: those above `chunk` fingerprints are dealt to many tasks as pairs of chunks.
-A task gives a spanning forest of its links, never all its pairs.
+A task reads its buckets one after another and gives spanning forests of its links, never all its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, ship, slices
+from .common import Scratch, key_edges, lean, ship, slices, whole_keys
 from .components import components, forest
 
 ONES = np.uint64(0x0101010101010101)
@@ -35,6 +35,8 @@ def _hadamard(n: int = 64) -> np.ndarray:
     return (odd.astype(np.uint64) << i.astype(np.uint64)).sum(1, dtype=np.uint64)
 
 
+#: Rows that a task compares together (more where one bucket has more: at most two chunks), and links that it holds.
+GO, LINKS = 1 << 17, 1 << 20
 #: Reference fingerprints; the first (no bits) gives the number of bits.
 PIVOTS = _hadamard()[:24]
 
@@ -147,33 +149,27 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, most: int = 3, chun
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("short")
         rows = rows.select("k", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "fp")
         # Chunks i and j also compare nothing within themselves: that is left to the pair (i, i).
-    rows = rows.repartition("k", "key", "x", "y")
+    place = ["k", "key", "x", "y"]
+    rows = rows.repartition(*place).sortWithinPartitions(*place)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        cols = [t.column(c).to_numpy() for c in ("k", "key", "x", "y")]
-        order = np.lexsort(cols[::-1])
-        cols = [c[order] for c in cols]
-        new = np.zeros(len(order), bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        run = np.cumsum(new)
-        fp = t.column("fp").to_numpy().view(np.uint64)[order]
-        side = t.column("side").to_numpy()[order]
-        many = np.bincount(run)[run] > 1
-        u = v = np.zeros(0, np.int64)
-        wait, size = [(u, v)], 0
-        for a, b in close_pairs(fp[many], run[many], side[many], most):
-            wait.append((a.view(np.int64), b.view(np.int64)))
-            size += len(a)
-            if size > 1 << 20:
-                u, v = forest(*map(np.concatenate, zip(*wait, strict=True)))
-                wait, size = [(u, v)], len(u)
-        u, v = forest(*map(np.concatenate, zip(*wait, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        wait, size = [], 0
+        for t in whole_keys(batches, place, GO, GO * 64):
+            run = np.cumsum(np.concatenate([[False], key_edges(t, place)]))
+            fp = t.column("fp").to_numpy().view(np.uint64)
+            side = t.column("side").to_numpy()
+            many = np.bincount(run)[run] > 1
+            for a, b in close_pairs(fp[many], run[many], side[many], most):
+                wait.append((a.view(np.int64), b.view(np.int64)))
+                size += len(a)
+                if size > LINKS:
+                    wait = [forest(*map(np.concatenate, zip(*wait, strict=True)))]
+                    size = len(wait[0][0])
+                if size > LINKS // 2 and len(wait) == 1:  # the forest itself has grown large
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in wait[0]], ["u", "v"])
+                    wait, size = [], 0
+        if wait:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*wait, strict=True)))], ["u", "v"])
 
     return rows.mapInArrow(lean(link), "u long, v long")
 

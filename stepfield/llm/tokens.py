@@ -27,13 +27,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, binary_rows, lean, ragged, ship, slices
 
 MAGIC = b"SFTOKEN1"
 HEADER = struct.Struct("<6I")
+#: Name of a file by its number.
+FILE = "part-%d.sft"
 
 
 class TextEncoder:
@@ -342,11 +344,11 @@ def store_bytes(folder: str, name: str, fill: Callable) -> None:
 
 
 def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratch: Scratch, *, limit: int = 18, step: int = 128, block: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encode every text and write the files `part-NNNNN.sft` and `code.npy` to `folder`; ids in ascending doc_id order.
+    """Encode every text and write the files `part-N.sft` and `code.npy` to `folder`; ids in ascending doc_id order.
 
     Returns (file, first long): the name of each file and the number of ids in all files before it. Files follow
-    each other by name. Rows with a null doc_id come first; rows that share a doc_id follow each other, ordered by
-    their ids. A block holds about `block` ids; one document's ids are never split. Peak memory of a task: one
+    each other by number. Rows with a null doc_id come first; rows that share a doc_id follow each other, ordered by
+    a hash of their ids, and may lie in several files. A block holds about `block` ids; one document's ids are never split. Peak memory of a task: one
     block and one partition's sorted rows (Spark spills those). Empty input: no file and no row.
     """
     spark = docs.sparkSession
@@ -376,7 +378,7 @@ def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratc
         from pyspark import TaskContext
 
         code, number = Code(lengths), TaskContext.get().partitionId()
-        total, name = 0, f"part-{number:05d}.sft"
+        total, name = 0, FILE % number
 
         def fill(out) -> None:
             nonlocal total
@@ -413,7 +415,7 @@ def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratc
 
         batches = chained()
         store_bytes(folder, name, fill)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total])], ["file", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total])], ["number", "n"])
 
     def save(out) -> None:
         held = io.BytesIO()
@@ -421,11 +423,22 @@ def write_token_files(docs: DataFrame, vocab: str, end: int, folder: str, scratc
         out.write(held.getvalue())
 
     store_bytes(folder, "code.npy", save)
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    files = sorted(map(tuple, ordered.select("doc_id", "ids", "wide").mapInArrow(lean(write), "file string, n long").collect()))  # a row for each file
+    # A doc_id that very many rows share is cut between files too; the row's place in the table settles the order of equal rows.
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "place"]
+    ordered = rows.select("doc_id", "ids", "wide", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("place")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    files = scratch.keep(ordered.select("doc_id", "ids", "wide").mapInArrow(lean(write), "number int, n long"), "files")
     scratch.drop(rows)
-    ends = np.cumsum([n for _, n in files]) if files else np.zeros(0, np.int64)
-    return spark.createDataFrame([(f, int(e) - n) for (f, n), e in zip(files, ends, strict=True)], "file string, first long")
+    return _offsets(files)
+
+
+def _offsets(files: DataFrame, cell: int = 4096) -> DataFrame:
+    """(file, first) from (number, n): the ids before each file. Files are added up in cells; one task sees a row for each cell."""
+    files = files.withColumn("cell", F.floor(F.col("number") / cell))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = files.groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell").alias("_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = files.select("number", "cell", inside.alias("inside")).join(cells, F.col("cell") == F.col("_cell"))
+    return placed.select(F.format_string(FILE, "number").alias("file"), (F.col("base") + F.col("inside")).alias("first"))
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
