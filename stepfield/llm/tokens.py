@@ -1,9 +1,8 @@
 """Token ids of whole texts, and a compressed file format for them.
 
 Encoding: the tokenizers library gives the ids. A text's words are independent of each other for a vocabulary
-whose pre-tokenizer never crosses white space, so each distinct word is encoded once and its ids are reused;
-`TextEncoder` proves this on nothing but the vocabulary it is given to (see its docstring) and tests compare
-it with whole-text encoding.
+whose pre-tokenizer never crosses white space, so each distinct word is encoded once and its ids are reused.
+`TextEncoder` asks the vocabulary whether that holds and gives it whole texts where it does not.
 
 File format (all integers little-endian). A file holds blocks; each block can be decoded alone:
 
@@ -21,6 +20,7 @@ checkpoints are decoded side by side.
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -39,12 +39,14 @@ FILE = "part-%d.sft"
 
 
 class TextEncoder:
-    """Encodes whole texts with a vocabulary file of the tokenizers library, word by word.
+    """Encodes whole texts with a vocabulary file of the tokenizers library, word by word where that gives the same ids.
 
-    Right for vocabularies that drop white space before merging (no piece spans it); the registered one does.
+    It does for vocabularies that drop white space before merging (no piece spans it), as the registered one.
     A word of Latin letters (U+0041-5A, 61-7A, C0-FF without the two signs) and then some of `TAIL` consists of
     two independent pieces, the letters and the tail, and its letters count in lower case, so these are encoded
     apart. Every other word is encoded as it stands. Pieces are remembered, up to `most` of them, then forgotten.
+    All this is tried on every letter, white space, tail and pair of tail characters; a vocabulary that differs
+    anywhere gets whole texts.
     """
 
     TAIL = ".,!?;:*$%&#|<>"
@@ -57,8 +59,29 @@ class TextEncoder:
         self.most = most
         size = self.tokenizer.get_vocab_size()
         self.closing = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        self.apart = self._apart()
         self._forget()
 
+    def _apart(self) -> bool:
+        """Whether the vocabulary keeps words, and the letters and tail of a word, apart and lower-cases letters."""
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        letters = [c for c in map(chr, range(0x41, 0x100)) if re.match(self.LETTERS, c)]
+        stems = [c + rest for c in letters for rest in ("", "ing")]
+        tails = [a + b for a in self.TAIL for b in ("", *self.TAIL)]
+        return (
+            all(ids(w) == ids(w.lower()) and int(self.closing[ids(w)].sum()) == 1 for w in stems)
+            and all(ids(w + t) == ids(w) + ids(t) for w in ("the", "\xe9t\xe9") for t in tails)
+            and all(ids(f"ab{s}cd.{s}") == ids("ab") + ids("cd.") for s in " \t\n\v\f\r")
+        )
+
+    def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        ids = [np.array([*e.ids, end], np.uint32) for e in got]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 20, np.uint32)
@@ -109,6 +132,8 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (uint32), each text closed by `end`, and their number in each text."""
+        if not self.apart:
+            return self._whole(texts, end)
         if len(self.known) > self.most:
             self._forget()
         words = Words(texts)

@@ -73,13 +73,18 @@ class Trie:
         return best
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", id_column: str = "page_id", url_column: str = "url", most_bytes: int = 16 << 20) -> DataFrame:
     """(id, host, path, rule, verdict: string) for every row, where no rule fits with a null rule and the default verdict.
 
-    The rules are the trie's whole size and are sent to every task; keep them below some 100 MB. A null url, or one
+    The trie is sent to every executor, so the rules' size is checked: more than `most_bytes` of hosts and paths is a
+    ValueError (a trie takes some ten times that in memory). A null url, or one
     without ://, has an empty host and path. Rows are judged one by one: repeated rows and ties do not matter, no
     other column is read and an empty table gives none.
     """
+    rules = list(rules)
+    size = sum(len(rule.encode()) for _, rule in rules)
+    if size > most_bytes:
+        raise ValueError(f"rules of {size} bytes are too many to broadcast: at most {most_bytes}")
     ship(pages.sparkSession)
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 

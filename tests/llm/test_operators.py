@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stepfield.llm import components, html, mixing, nearcopies, packing, quality, simhash, substring, tokens, topk, urls, warc
+from stepfield.llm import common, components, html, mixing, nearcopies, packing, quality, simhash, substring, tokens, topk, urls, warc
 from stepfield.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -316,6 +316,33 @@ def test_encoder_equals_the_library():
     assert flat.tolist() == [i for ids in library_ids(texts) for i in ids]
 
 
+def test_encoder_gives_whole_texts_to_other_vocabularies():
+    from tokenizers import Tokenizer
+
+    path, texts = tokens.vocabulary("byte_bpe_50k.json"), ["Hello  there,\n x.", None, "", "éa b|  "]
+    enc = tokens.TextEncoder(path)
+    assert not enc.apart and tokens.TextEncoder(tokens.vocabulary("word_bpe_49k.json")).apart
+    flat, n = enc.encode(pa.array(texts), 2)
+    want = [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+
+
+def test_offsets_of_token_files(spark):
+    n = [5, 0, 7, 1, 2, 9, 4]
+    files = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "number int, n long").repartition(3)
+    got = sorted(tokens._offsets(files, cell=3).collect())
+    assert got == [(f"part-{i}.sft", sum(n[:i])) for i in range(len(n))]
+
+
+def test_whole_keys():
+    key = np.repeat(np.arange(6), [1, 5, 2, 9, 1, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 3])], ["key"]) for i in range(0, len(key), 3)]
+    parts = [t.column("key").to_pylist() for t in common.whole_keys(iter(batches), ["key"], 4, 1 << 20)]
+    assert sum(parts, []) == key.tolist() and len(parts) > 2
+    assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(common.whole_keys(iter([]), ["key"], 4, 1 << 20)) == []
+
+
 @pytest.mark.parametrize("limit", [6, 9, 16])
 def test_code(limit):
     rng = np.random.default_rng(3)
@@ -479,6 +506,8 @@ def test_urls(spark):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == list(cases.values())[r.page_id]
     assert urls.judge_urls(df.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="broadcast"):
+        urls.judge_urls(df, most_bytes=10)
 
 
 def test_trie_takes_the_longest():
