@@ -84,14 +84,29 @@ def compact(points: DataFrame) -> DataFrame:
     return points.withColumn("_b", before).where(F.col("_b").isNull() | ~same(F.col("value"), F.col("_b.value"))).drop("_b")
 
 
-def set_interval(points: DataFrame, start, end, value, default=None) -> DataFrame:
-    """The value on [start, end); what held at end holds from there on."""
+def set_point(points: DataFrame, t, value, default=None, compact: bool = False) -> DataFrame:
+    """The value at t in every series. compact: only in series where another value holds there."""
+    now = at(points, t, default)
+    if compact:
+        now = now.where(~same(F.col("value"), F.lit(value)))
+    return upsert(points, now.withColumn("value", F.lit(value).cast(points.schema["value"].dataType)))
+
+
+def set_interval(points: DataFrame, start, end, value, default=None, compact: bool = False) -> DataFrame:
+    """The value on [start, end); what held at end holds from there on.
+
+    compact: no new point where it would not change the value. A series that has no points outside gets its start anyhow.
+    """
     check_bounds(start, end)
     s, e = literal(points, start), literal(points, end)
-    new = at(points, end, default).select("series_id", "t", "value")
-    kind = points.schema["value"].dataType
-    new = new.union(points.select("series_id").distinct().select("series_id", s, F.lit(value).cast(kind)))
-    return upsert(points.where(~((F.col("t") > s) & (F.col("t") < e))), new)
+    rest = points.where(~((F.col("t") > s) & (F.col("t") < e)))
+    at_start, at_end = at(points, start, default), at(points, end, default)
+    if compact:
+        held = rest.select("series_id").distinct().withColumn("held", F.lit(True))
+        at_start = at_start.join(held, "series_id", "left").where(F.col("held").isNull() | ~same(F.col("value"), F.lit(value)))
+        at_end = at_end.where(~same(F.col("value"), F.lit(value)))
+    at_start = at_start.withColumn("value", F.lit(value).cast(points.schema["value"].dataType))
+    return upsert(rest, at_start.select("series_id", "t", "value").union(at_end.select("series_id", "t", "value")))
 
 
 def remove(points: DataFrame, t) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import in_order, micros
+from ..model import in_order, literal, micros
 
 
 def crossings(points: DataFrame, limit: float) -> DataFrame:
@@ -46,3 +48,21 @@ def stacked(points: DataFrame, starts: DataFrame, span: float) -> DataFrame:
     b = starts.select("start").withColumn("s", us("start")).withColumn("cell", F.floor(us("start") / size))
     d = F.col("us") - F.col("s")
     return a.join(b, "cell").where((d >= 0) & (d <= size)).select("series_id", "start", (d / 1e6).alias("t"), "value")
+
+
+def aligned(points: DataFrame, names: list[str], step: dt.timedelta, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """(t, a column for each name): the values of the named series at start, start + step, ..., at most end; null before the first point.
+
+    Each step keeps the last point that it has seen, which is aggregated before the shuffle: the windows that fill the
+    steps in between hold a row for each step, not the points.
+    """
+    us = step // dt.timedelta(microseconds=1)
+    since = micros(literal(points, start), F.col("t"))
+    slot = F.greatest(F.lit(0), (since + F.pmod(-since, F.lit(us))) / us).cast("long")
+    seen = points.where((F.col("t") <= literal(points, end)) & F.col("series_id").isin(names))
+    seen = seen.groupBy("series_id", slot.alias("n")).agg(F.max_by(F.struct("value"), "t").alias("v"))
+    slots = points.sparkSession.range((end - start) // step + 1).select(F.explode(F.array(*map(F.lit, names))).alias("series_id"), F.col("id").alias("n"))
+    upto = Window.partitionBy("series_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    filled = slots.join(seen, ["series_id", "n"], "left").withColumn("value", F.last("v", ignorenulls=True).over(upto)["value"])
+    wide = filled.groupBy("n").pivot("series_id", names).agg(F.first("value"))
+    return wide.select(F.timestamp_add("MICROSECOND", F.col("n") * us, literal(points, start)).alias("t"), *names)

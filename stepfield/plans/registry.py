@@ -204,6 +204,42 @@ def set_interval(spark, d):
     return points.set_interval(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15), 7.0)
 
 
+H = "ids as (select distinct series_id from p), h as (select series_id, (select arg_max(value, t) from p where p.series_id = ids.series_id and t <= TIMESTAMP '2024-01-10') as v0, (select arg_max(value, t) from p where p.series_id = ids.series_id and t <= TIMESTAMP '2024-01-15') as v1 from ids)"
+
+
+@query("set_point_compact", f"""with {S}, {H}
+    select series_id, t, value from p where t <> TIMESTAMP '2024-01-10'
+    union all select series_id, TIMESTAMP '2024-01-10', 'click' from h where v0 is distinct from 'click' or series_id in (select series_id from p where t = TIMESTAMP '2024-01-10')""")
+def set_point_compact(spark, d):
+    return points.set_point(states(spark, d), dt.datetime(2024, 1, 10), "click", compact=True)
+
+
+@query("set_interval_compact", f"""with {S}, {H}, r as (select * from p where t <= TIMESTAMP '2024-01-10' or t >= TIMESTAMP '2024-01-15')
+    select series_id, t, value from r where t not in (TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-15')
+    union all select series_id, TIMESTAMP '2024-01-10', 'click' from h where v0 is distinct from 'click' or series_id in (select series_id from p where t = TIMESTAMP '2024-01-10') or series_id not in (select series_id from r)
+    union all select series_id, TIMESTAMP '2024-01-15', v1 from h where v1 is distinct from 'click' or series_id in (select series_id from p where t = TIMESTAMP '2024-01-15')""")
+def set_interval_compact(spark, d):
+    return points.set_interval(states(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15), "click", compact=True)
+
+
+@query("periods_below", f"with {P}, {WITHIN} select series_id, t0, t1, value, round({US} / 3600000000, 6) as hours from c where value < 5")
+def periods_below(spark, d):
+    p = periods.periods(numbers(spark, d), A, B, value=lambda t0, t1, v: v < 5)
+    return p.withColumn("hours", F.round(model.micros(F.col("t0"), F.col("t1")) / F.lit(3.6e9), 6))
+
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("aligned", f"""with p as (select event_type as series_id, ts as t, arg_max(value, event_id) as value from events group by 1, 2),
+    g as (select unnest(generate_series({A_SQL}, {B_SQL}, interval 1 day)) as t), k as (select t, unnest({TYPES}) as series_id from g),
+    v as (select k.t, k.series_id, p.value from k asof left join p on k.series_id = p.series_id and k.t >= p.t)
+    select t, {", ".join(f"max(value) filter (where series_id = '{n}') as {n}" for n in TYPES)} from v group by t""")
+def aligned(spark, d):
+    p = model.normalize(table(spark, d, "events"), "event_type", "ts", "value", "event_id")
+    return recipes.aligned(p, TYPES, dt.timedelta(days=1), A, B)
+
+
 @query("remove_point", f"with {P} select * from p where t <> (select min(t) from p)")
 def remove_point(spark, d):
     p = numbers(spark, d)

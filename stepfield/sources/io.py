@@ -50,7 +50,10 @@ def read_json(spark: SparkSession, path: str | None = None, json_string: str | N
 
 
 def to_json(points: DataFrame, dict_format: bool = False, time_format: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") -> DataFrame:
-    """(series_id, json): each series as a list of records, or as an object from times to values, in order of time."""
+    """(series_id, json): each series as a list of records, or as an object from times to values, in order of time.
+
+    A series becomes one value, so it must fit into a task's memory.
+    """
     t = F.date_format("t", time_format) if isinstance(points.schema["t"].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col("t").cast("string")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("t", t.alias("time"), "value"))), lambda x: F.struct(x["time"].alias("time"), x["value"].alias("value")))
     rows = points.groupBy("series_id").agg(listed.alias("l"))
@@ -59,6 +62,13 @@ def to_json(points: DataFrame, dict_format: bool = False, time_format: str = "yy
     return rows.select("series_id", F.to_json("l", {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_json(points: DataFrame, path: str, value_transform: Transform | None = None, **options) -> None:
+    """What `to_json` gives, as text files with a series a line. options: those of `to_json`."""
+    if value_transform is not None:
+        points = points.withColumn("value", value_transform(F.col("value")))
+    to_json(points, **options).select("json").write.mode("overwrite").text(path)
+
+
 def save(points: DataFrame, path: str, defaults: DataFrame | None = None) -> None:
     """Points, and each series' default if given, as Parquet."""
     points.write.mode("overwrite").parquet(f"{path}/points")

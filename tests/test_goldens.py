@@ -208,6 +208,26 @@ def test_csv(spark, tmp_path):
     assert [r.t for r in got.orderBy(F.col("t").asc_nulls_first()).collect()] == [None, dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 1, 0, 0, 10)]
 
 
+def test_compact_sets(spark):
+    p = spark.createDataFrame([("a", 1, 5), ("a", 3, 2), ("a", 5, 4), ("b", 3, 9)], "series_id string, t long, value long")
+
+    def held(df, key):
+        return sorted((r.t, r.value) for r in df.collect() if r.series_id == key)
+
+    assert held(points.set_point(p, 2, 5, compact=True), "a") == [(1, 5), (3, 2), (5, 4)]
+    assert held(points.set_point(p, 2, 6, compact=True), "a") == [(1, 5), (2, 6), (3, 2), (5, 4)]
+    got = points.set_interval(p, 2, 6, 5, compact=True)
+    assert held(got, "a") == [(1, 5), (6, 4)]
+    assert held(got, "b") == [(2, 5), (6, 9)]
+    assert held(points.set_interval(p, 2, 6, 9, default=9, compact=True), "b") == [(2, 9)]
+
+
+def test_write_json(spark, tmp_path):
+    p = spark.createDataFrame([("a", 1, 5), ("a", 3, None)], "series_id string, t long, value long")
+    io.write_json(p, str(tmp_path / "j"), value_transform=lambda v: v * 2, dict_format=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"1":10,"3":null}']
+
+
 def test_json(spark, tmp_path):
     listed = '[{"time": "2000-01-01T00:00:00Z", "value": 1}, {"time": "2000-01-01T00:00:10", "value": null}]'
     want = [(dt.datetime(2000, 1, 1), 1.0), (dt.datetime(2000, 1, 1, 0, 0, 10), None)]
