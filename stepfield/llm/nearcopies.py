@@ -1,12 +1,15 @@
 """SimHash near-copies at a similarity of word shingles.
 
 Two texts are near copies if their sets of word shingles have a Jaccard similarity of at least `similarity`; groups
-are components of these links. A SimHash of 64 bits alone can't find them: at similarity 0.8 fingerprints differ in
-about ten bits, often in more than those of unrelated texts. So:
+are components of these links.
 
 * Texts with equal shingle sets are one node from the start (a key of 128 bits), however many there are.
-* What meets is settled by `BANDS` keys of four min-wise shingles each: texts of similarity 0.8 share a key with a
-  probability of 0.9998, and more alike ones more surely. Keys that only one text has go no further.
+* First the search of `simhash` links all fingerprints within `LINKED` bits of each other by its pivot tables; none is
+  missed. Texts whose fingerprints are in one component meet.
+* Fingerprints of 64 bits can't find the rest: at similarity 0.8 they differ in about ten bits, often in more than those
+  of unrelated texts. So texts that are still apart meet by `BANDS` keys of four min-wise shingles each, too: at
+  similarity 0.8 they share a key with a probability of 0.9998, and more alike ones more surely. Keys that only one text
+  has, or only texts that are joined by then, go no further.
 * Among texts that meet, the pivot table discards pairs (coordinates further apart than `RADIUS`), fingerprints are
   compared bit by bit, and survivors verified: by the sizes of their sets, exactly, and by 512 further min-wise
   values, which estimate the similarity with a standard deviation of 0.018 at 0.8. Where the estimate is within
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Sieve, binary_rows, key_edges, lean, ship, slices, unpacked, whole_keys, whole_row
 from .components import absorb, components
-from .simhash import ONES, PIVOTS
+from .simhash import ONES, PIVOTS, fingerprint_links
 
 BANDS, DEEP, CHECKS = 16, 4, 512
 #: Five-word fingerprints of texts of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9 (sets of four
 #: and five shingles in 12, with one of 3.1); those of unrelated texts in 32, with one of 4.
 RADIUS = 26
+#: Differing bits up to which the search by pivot tables links fingerprints, as in op2.
+LINKED = 3
 #: An estimate of the similarity further from the limit than this is trusted.
 MARGIN = 0.1
 #: Bands whose keys the second pass takes together.
@@ -189,13 +194,14 @@ def _forest(part: pa.Table, similarity: float) -> pa.RecordBatch:
 
 
 def links(keys: DataFrame, sketched: DataFrame, texts: DataFrame, scratch: Scratch, words: int, similarity: float, chunk: int) -> DataFrame:
-    """(u, v): links between distinct texts, reduced to spanning forests. keys: (uid, band, key), sketched: (uid, size, fp, checks), texts: (uid, text).
+    """(u, v): links between distinct texts, reduced to spanning forests. keys: (uid, band, key, root), sketched: (uid, size, fp, checks), texts: (uid, text).
 
+    root is the component that a text is in by now; keys whose texts are all in one are left out.
     A key of more than `chunk` texts is dealt to chunks twice, by two hashes, which joins nearly all of a group at the
     price of two rows a text. Then texts outside the key's largest component are compared with all chunks of the key;
     texts within it are joined already. So no pair is left out, and only what stays apart is dealt more than once.
     """
-    counts = keys.groupBy("key").count().where("count > 1").withColumnRenamed("key", "_key")
+    counts = keys.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select(F.col("key").alias("_key"), "count")
     shared = scratch.keep(keys.join(counts, F.col("key") == F.col("_key")).select("band", "key", "uid", F.ceil(F.col("count") / chunk).cast("int").alias("c")), "shared")
     # Most texts share no key: their sketches stay where they are.
     met = Sieve(shared.select("uid").distinct(), "uid")
@@ -277,8 +283,20 @@ def _pass(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(lean(link), "u long, v long, band int, key long, x int, y int, side short")
 
 
-def grouped(rows: DataFrame, scratch: Scratch, words: int, similarity: float, chunk: int) -> DataFrame:
-    """(uid, doc_id, hash, root): for every row of rows (uid, doc_id, text), the group that it is in. uid is unique."""
+def linked_texts(distinct: DataFrame, sketched: DataFrame, texts: DataFrame, scratch: Scratch, words: int, similarity: float, chunk: int) -> DataFrame:
+    """(node, root): components of the links among texts of different sets. distinct: their (uid, fp, bands), sketched: (uid, size, fp, checks), texts: (uid, text)."""
+    of_fp = components(fingerprint_links(distinct.select("fp").distinct(), scratch, LINKED), scratch).withColumnRenamed("node", "_fp")
+    by_fp = distinct.select("uid", "fp").join(of_fp, F.col("fp") == F.col("_fp"), "left").select("uid", F.lit(0).alias("band"), F.coalesce("root", "fp").alias("key"), F.col("uid").alias("root"))
+    near = scratch.keep(links(scratch.keep(by_fp, "fingerprints"), sketched, texts, scratch, words, similarity, chunk), "near")
+    # Keys of texts that the fingerprints have joined already are left out.
+    joined_so_far = components(near, scratch).withColumnRenamed("node", "_uid")
+    rooted = distinct.select("uid", "bands").join(joined_so_far, F.col("uid") == F.col("_uid"), "left").select("uid", "bands", F.coalesce("root", "uid").alias("root"))
+    keys = scratch.keep(rooted.select("uid", F.posexplode("bands").alias("band", "key"), "root"), "keys")
+    return components(near.union(links(keys, sketched, texts, scratch, words, similarity, chunk)), scratch)
+
+
+def sketch_rows(rows: DataFrame, words: int) -> DataFrame:
+    """What `sketches` gives, with uid, doc_id and a hash of the text, for every row of rows (uid, doc_id, text)."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +311,18 @@ def grouped(rows: DataFrame, scratch: Scratch, words: int, similarity: float, ch
                 )
 
     schema = "uid long, doc_id long, hash long, size long, fp long, same0 long, same1 long, bands array<long>, checks binary"
-    every = scratch.keep(rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(lean(run), schema), "sketches")
+    return rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(lean(run), schema)
+
+
+def grouped(rows: DataFrame, scratch: Scratch, words: int, similarity: float, chunk: int) -> DataFrame:
+    """(uid, doc_id, hash, root): for every row of rows (uid, doc_id, text), the group that it is in. uid is unique."""
+    every = scratch.keep(sketch_rows(rows, words), "sketches")
     # Written by itself, so that Spark can split the join of a set that very many rows have.
     set_key = ["same0", "same1", "size"]
     first = scratch.keep(every.groupBy(*set_key).agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     of = scratch.keep(every.select("uid", "doc_id", "hash", *set_key).join(first, set_key, "left").select("uid", "doc_id", "hash", F.coalesce("first", "uid").alias("rep")), "copies")
     distinct = every.where("size > 0").join(of.where("uid <> rep").select("uid"), "uid", "left_anti")
-    keys = scratch.keep(distinct.select("uid", F.posexplode("bands").alias("band", "key")), "keys")
-    roots = components(links(keys, every.select("uid", "size", "fp", "checks"), rows.select("uid", "text"), scratch, words, similarity, chunk), scratch)
+    roots = linked_texts(scratch.keep(distinct.select("uid", "fp", "bands"), "distinct"), every.select("uid", "size", "fp", "checks"), rows.select("uid", "text"), scratch, words, similarity, chunk)
     return of.join(roots, F.col("rep") == F.col("node"), "left").select("uid", "doc_id", "hash", F.coalesce("root", "rep").alias("root"))
 
 

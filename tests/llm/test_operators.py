@@ -207,6 +207,25 @@ def test_near_copies_at_the_limit(spark):
         assert got == {i: i - 1 if i % 4 == 1 else i for i, _, _ in rows}
 
 
+def test_near_copies_by_fingerprints(spark):
+    """The search by pivot tables finds close texts by itself: here no two texts share a min-wise key."""
+    rows = []
+    for g in range(30):  # similarity to the first: 1 for the first two, 0.99 or so, and below 0.8
+        base = prose(700 + g, 600).split()
+        for i, edits in enumerate((0, 1, 40)):
+            w = list(base)
+            for e in range(edits):
+                w[15 * e + 3] = f"changed{g}x{i}x{e}"
+            rows.append((3 * g + i, " ".join(w), "a"))
+    texts = Scratch(spark).keep(docs(spark, rows).select(F.col("doc_id").alias("uid"), "doc_id", "text"), "texts")
+    sketched = Scratch(spark).keep(nearcopies.sketch_rows(texts, 5), "sketched").withColumn("bands", F.array(*(F.col("uid") * nearcopies.BANDS + b for b in range(nearcopies.BANDS))))
+    fp = {r.uid: r.fp for r in sketched.select("uid", "fp").collect()}
+    close = {i for i in fp if i % 3 == 1 and ((fp[i] ^ fp[i - 1]) % (1 << 64)).bit_count() <= 3}
+    assert len(close) > 20
+    roots = nearcopies.linked_texts(sketched.select("uid", "fp", "bands"), sketched.select("uid", "size", "fp", "checks"), texts.select("uid", "text"), Scratch(spark), 5, 0.8, 2048)
+    assert {r.node: r.root for r in roots.collect()} == {i: i - 1 for i in close}
+
+
 def test_sketch():
     """Fingerprints, and an estimate near the exact similarity, from texts of many lengths."""
     texts = [prose(i, n) for i, n in enumerate((1, 3, 5, 6, 40, 300, 2000))] + [None, " "]
