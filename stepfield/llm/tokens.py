@@ -23,6 +23,7 @@ import io
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ class TextEncoder:
     It does for vocabularies that drop white space before merging (no piece spans it), as the registered one.
     A word of Latin letters (U+0041-5A, 61-7A, C0-FF without the two signs) and then some of `TAIL` consists of
     two independent pieces, the letters and the tail, and its letters count in lower case, so these are encoded
-    apart. Every other word is encoded as it stands. Pieces are remembered, up to `most` of them, then forgotten.
+    apart. Every other word is encoded as it stands. Pieces are remembered, up to `most` of them; then those that
+    several calls have met stay, half as many at most, and the others are forgotten.
     All this is tried on every letter, white space, tail and pair of tail characters; a vocabulary that differs
     anywhere gets whole texts.
     """
@@ -60,7 +62,11 @@ class TextEncoder:
         size = self.tokenizer.get_vocab_size()
         self.closing = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.apart = self._apart()
-        self._forget()
+        self.bare = self._bare() if self.apart else None
+        self.known: dict[str, int] = {"": 0}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.start, self.count, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _apart(self) -> bool:
         """Whether the vocabulary keeps words, and the letters and tail of a word, apart and lower-cases letters."""
@@ -77,24 +83,39 @@ class TextEncoder:
             and all(ids(f"ab{s}cd.{s}") == ids("ab") + ids("cd.") for s in " \t\n\v\f\r")
         )
 
+    def _bare(self) -> dict[int, str] | None:
+        """What the pre-tokenizer makes of each lower-case letter, if that and the model alone give the ids of letters in any place."""
+        letters = sorted({c for c in map(str.lower, map(chr, range(0x41, 0x100))) if re.match(self.LETTERS, c)})
+        before = self.tokenizer.pre_tokenizer
+        table = {ord(c): "".join(t for t, _ in before.pre_tokenize_str(c)) if before else c for c in letters}
+        words = [*letters, *(a + b for a in letters for b in letters), *(f"the{c}ing" for c in letters)]
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return table if all(e.ids == [t.id for t in self.tokenizer.model.tokenize(w.translate(table))] for w, e in zip(words, got, strict=True)) else None
+
     def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
         ids = [np.array([*e.ids, end], np.uint32) for e in got]
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.count = np.zeros(1 << 18, np.int64)
+        n = len(self.known)
+        stay = np.flatnonzero(self.met[:n] > 1)
+        if len(stay) > self.most // 2:
+            stay = np.sort(stay[np.argsort(-self.met[stay], kind="stable")[: self.most // 2]])
+        stay = np.union1d([0], stay)
+        names = list(self.known)
+        self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat = self.flat[ragged(self.start[stay], self.count[stay])]
+        self.used = len(self.flat)
+        self.count, self.met = self.count[stay], self.met[stay]
+        self.start = np.cumsum(self.count) - self.count
 
     def _add(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         n, k = len(self.known), len(pieces)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + k > len(self.start):
-            self.start, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        if n + k > len(self.start):
+            self.start, self.count, self.met = (np.concatenate([a, np.zeros(max(len(a), k), np.int64)]) for a in (self.start, self.count, self.met))
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[n : n + k] = self.used + np.cumsum(counts) - counts
         self.count[n : n + k] = counts
@@ -108,7 +129,13 @@ class TextEncoder:
             self._add(some, np.array([i for ids in got for i in ids], np.uint32), np.array([len(i) for i in got], np.int64))
 
     def _letters(self, pieces: list[str]) -> None:
-        """Pieces of lower-case letters only: many at a time, as each ends with its first closing id."""
+        """Pieces of lower-case letters only: by the model alone where it suffices, else many at a time, as each ends with its first closing id."""
+        if self.bare:
+            tokenize = self.tokenizer.model.tokenize
+            for at in range(0, len(pieces), 1 << 14):
+                got = [[t.id for t in tokenize(p.translate(self.bare))] for p in pieces[at : at + (1 << 14)]]
+                self._add(pieces[at : at + (1 << 14)], np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            return
         for at in range(0, len(pieces), 1 << 14):
             some = pieces[at : at + (1 << 14)]
             joined = [" ".join(some[i : i + 512]) for i in range(0, len(some), 512)]
@@ -123,11 +150,12 @@ class TextEncoder:
         """The entry of each piece; what is not known yet is learnt."""
         coded = pieces.dictionary_encode()
         texts = coded.dictionary.to_pylist()
-        known = self.known
-        new = [t for t in texts if t not in known]
-        if new:
-            learn(new)
-        of = np.fromiter((known[t] for t in texts), np.int64, len(texts))
+        of = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+        new = np.flatnonzero(of < 0)
+        if len(new):  # entries are numbered as they are learnt
+            of[new] = np.arange(len(self.known), len(self.known) + len(new))
+            learn([texts[i] for i in new.tolist()])
+        self.met[of] += 1
         return of[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -335,6 +335,27 @@ def test_encoder_equals_the_library():
     assert flat.tolist() == [i for ids in library_ids(texts) for i in ids]
 
 
+def test_encoder_remembers_what_comes_again():
+    enc = tokens.TextEncoder(tokens.vocabulary("word_bpe_49k.json"), most=50)
+    rare = ["".join(random.Random(i).choices("abcdefghij\xe9", k=9)) for i in range(90)]
+    for at in range(0, 90, 30):
+        texts = ["the often seen \xe9t\xe9. 12 " + " ".join(rare[at : at + 30])]
+        flat, n = enc.encode(pa.array(texts), 2)
+        assert flat.tolist() == library_ids(texts)[0]
+    assert {"the", "often", "\xe9t\xe9", "12", "."} <= set(enc.known) and not set(rare[:30]) & set(enc.known)
+
+
+def test_pairs_of_both_widths():
+    rng = np.random.default_rng(8)
+    for most in (50, 1 << 31):
+        counts = rng.integers(0, 30, 40)
+        ids = rng.integers(0, most, counts.sum()).astype(np.uint32)
+        want = Counter(zip(ids.tolist(), np.repeat(np.arange(40), counts).tolist(), strict=True))
+        term, doc, tf = packing.distinct_pairs(ids, counts)
+        assert list(zip(term.tolist(), doc.tolist(), tf.tolist(), strict=True)) == [(*k, n) for k, n in sorted(want.items())]
+    assert [len(x) for x in packing.distinct_pairs(np.zeros(0, np.uint32), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
 def test_encoder_gives_whole_texts_to_other_vocabularies():
     from tokenizers import Tokenizer
 
