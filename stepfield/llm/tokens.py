@@ -20,6 +20,7 @@ checkpoints are decoded side by side.
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, binary_rows, lean, ragged, ship, slices
+from .common import Scratch, Words, binary_rows, lean, ragged, release, ship, slices
 
 MAGIC = b"SFTOKEN1"
 HEADER = struct.Struct("<6I")
@@ -55,6 +56,8 @@ class TextEncoder:
     LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
     def __init__(self, path: str, most: int = 400_000):
+        # Spark gives each core a task: threads of the library only take memory beside it.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -186,9 +189,12 @@ class TextEncoder:
         each = two.sum(1)
         flat = self.flat[ragged(self.start[entry].ravel(), two.ravel())]
         start = np.cumsum(each) - each
-        counts = each[words.codes]
-        ids = flat[ragged(start[words.codes], counts)]
-        n = np.diff(np.concatenate([[0], np.cumsum(counts)])[words.bounds])
+        ends = np.concatenate([[0], np.cumsum(each[words.codes])])
+        n = np.diff(ends[words.bounds])
+        ids = np.empty(ends[-1], np.uint32)
+        for at in range(0, len(words), 1 << 14):  # places of all ids at once would take many times their bytes
+            some = words.codes[at : at + (1 << 14)]
+            ids[ends[at] : ends[at + len(some)]] = flat[ragged(start[some], each[some])]
         out = np.empty(len(ids) + len(n), np.uint32)
         place = np.ones(len(out), bool)
         last = np.cumsum(n + 1) - 1
@@ -229,6 +235,8 @@ def tokenized(docs: DataFrame, vocab: str, end: int, id_column: str = "doc_id",
                 ids, n = enc.encode(part.column("text"), end)
                 flat = ids.astype("<u2" if narrow else "<u4")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), binary_rows(flat, n), pa.array(np.full(len(n), not narrow))], ["doc_id", "n_tokens", "ids", "wide"])
+                del ids, flat
+                release()  # else what each step has freed adds up while the JVM's heap is full
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, wide boolean")
 

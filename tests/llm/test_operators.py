@@ -356,6 +356,20 @@ def test_pairs_of_both_widths():
     assert [len(x) for x in packing.distinct_pairs(np.zeros(0, np.uint32), np.zeros(0, np.int64))] == [0, 0, 0]
 
 
+def test_memory_of_the_encoder():
+    """Of arrays, per id of a text: its ids twice, its words and a little more, not places of all ids."""
+    import tracemalloc
+
+    enc = tokens.TextEncoder(tokens.vocabulary("word_bpe_49k.json"))
+    text = pa.array(["zqxjvkwzqxjvkw " * 200_000])
+    enc.encode(text, 2)
+    tracemalloc.start()
+    n = len(enc.encode(text, 2)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000_000 and peak < 16 * n
+
+
 def test_encoder_gives_whole_texts_to_other_vocabularies():
     from tokenizers import Tokenizer
 
