@@ -255,7 +255,7 @@ def _compared(dealt: DataFrame, sketched: DataFrame, texts: DataFrame, scratch:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch.filter(pa.array(holds(batch.column("uid").to_numpy()))), "text"):
                 flat, n = shingle_sets(part.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("uid"), binary_rows(flat, n)], ["uid", "set"])
 
@@ -263,8 +263,8 @@ def _compared(dealt: DataFrame, sketched: DataFrame, texts: DataFrame, scratch:
     for low, high in ROUNDS:
         rest = scratch.keep(unjoined(rest), "open")
         if sets is None:
-            wanted = Sieve(rest.select("uid").distinct(), "uid")
-            sets = scratch.keep(texts.where(wanted.may_hold("uid")).select("uid", "text").mapInArrow(lean(shingled), "uid long, set binary"), "sets")
+            holds = Sieve(rest.select("uid").distinct(), "uid").holds
+            sets = scratch.keep(texts.select("uid", "text").mapInArrow(lean(shingled), "uid long, set binary"), "sets")
         rows = with_sketches(rest.where(F.col("band").between(low, high))).join(sets, "uid")
         # The component stands for its texts: they aren't compared with each other again.
         decided = scratch.keep(_pass(rows.drop("uid").withColumnRenamed("root", "uid"), similarity).select("u", "v"), "decided")

@@ -305,7 +305,8 @@ def cut_repeats(docs: DataFrame, size: int = 20, seed: int = 8) -> DataFrame:
 
     # Rows that surely lose nothing stay where they are; the filter's others are looked up.
     may = Sieve(gone, "_uid").may_hold("_uid")
-    looked_up = base.where(may).join(gone, "_uid", "left")
+    # A merge join, as a broadcast would put the filter and `trim` into one task, each with a Python worker of its own.
+    looked_up = base.where(may).join(gone.hint("merge"), "_uid", "left")
     untouched = base.where(~may).select("row").union(looked_up.where("gone is null").select("row"))
     cut = looked_up.where("gone is not null").select("row", F.col(f"row.c{place}").alias("text"), "gone")
     cut = cut.mapInArrow(lean(trim), T.StructType([base.schema["row"], T.StructField("cut", T.StringType())]))

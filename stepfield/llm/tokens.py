@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, binary_rows, lean, ragged, release, ship, slices
+from .common import Scratch, Words, binary_rows, lean, ragged, release, remembered, ship, slices
 
 MAGIC = b"SFTOKEN1"
 HEADER = struct.Struct("<6I")
@@ -204,7 +204,7 @@ class TextEncoder:
         return out, n + 1
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[str, TextEncoder] = remembered("encoder")
 
 
 def encoder(path: str) -> TextEncoder:
@@ -238,7 +238,7 @@ def tokenized(docs: DataFrame, vocab: str, end: int, id_column: str = "doc_id",
                 del ids, flat
                 release()  # else what each step has freed adds up while the JVM's heap is full
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, wide boolean")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run, "encoder"), "doc_id long, n_tokens long, ids binary, wide boolean")
 
 
 def unpack(ids: pa.Array, wide: pa.Array) -> tuple[np.ndarray, np.ndarray]:

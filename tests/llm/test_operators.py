@@ -370,6 +370,27 @@ def test_memory_of_the_encoder():
     assert n > 1_000_000 and peak < 16 * n
 
 
+def test_workers_forget_the_encoder(spark):
+    """Python workers serve all stages: what only the encoder needs does not stay with them while others run."""
+    assert tokens.tokenized(docs(spark, [(i, prose(i, 50), "a") for i in range(20)]), "word_bpe_49k.json", 2).count() == 20
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(tokens._encoders)])], ["n"])
+
+    assert {r.n for r in spark.range(0, 8, numPartitions=8).mapInArrow(common.lean(held), "n long").collect()} == {0}
+
+
+def test_no_second_worker_for_the_filter(spark):
+    """Rows that the filter lets through are shuffled before the next Python step, which else takes a worker beside the filter's."""
+    cut = substring.cut_repeats(docs(spark, [(1, prose(1, 60), "a"), (2, prose(1, 60), "a"), (3, prose(3, 60), "b")]))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" in plan and "BroadcastHashJoin" not in plan
+    ids = spark.range(0, 3000, 3)
+    assert common.Sieve(ids, "id").holds(np.arange(0, 3000)).nonzero()[0].tolist() == list(range(0, 3000, 3))
+
+
 def test_encoder_gives_whole_texts_to_other_vocabularies():
     from tokenizers import Tokenizer
 
