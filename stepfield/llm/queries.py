@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, packing, quality, simhash, substring, tokens, topk, urls, warc
+from . import divergence, html, mixing, packing, quality, simhash, substring, tokens, topk, urls, warc
 from .common import Scratch
 
 
@@ -64,8 +64,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing)
+    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing, op13_divergence)
 }
 
 _FITS = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}')"
@@ -107,4 +111,27 @@ ORACLE_SQL: dict[str, str] = {
             from x left join g on x.doc_id = g.doc_id and x.p = g.p group by x.doc_id)
         select t.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
             sha256(coalesce(kept, '')) as kept_sha256 from t left join m on t.doc_id = m.doc_id""",
+    "op13_divergence": r"""
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        t as (select r, lang, source, unnest(w) as term from d),
+        k as (select lang, term, count(*) as total from t group by all having count(distinct r) >= 10),
+        c as (select t.lang, t.source, t.term, count(*) as n from t join k on t.lang = k.lang and t.term = k.term group by all),
+        g as (select distinct lang, source from d),
+        v as (select lang, count(*) as v, sum(total) as size from k group by lang),
+        x as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.total from g join k on g.lang = k.lang
+            left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        s as (select lang, source, sum(n) as size from x group by all),
+        p as (select x.lang, x.source, x.term, x.n, 1 + cast(1000000000 as hugeint) * (x.n + 2) // (s.size + 2 * v.v) as p,
+            1 + cast(1000000000 as hugeint) * (total + 2) // (v.size + 2 * v.v) as q
+            from x join s on x.lang = s.lang and x.source = s.source join v on x.lang = v.lang),
+        f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+            from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        y as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+            left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+            union all
+            select lang, source, 'term', term, cast((p - q) * (p - q) // (p + q) as bigint) from p where n > 0 and p > q),
+        z as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from y)
+        select * from z where part = 'pair' or rank <= 10""",
 }
