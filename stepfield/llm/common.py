@@ -308,15 +308,15 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def mapped(texts: pa.Array, table: np.ndarray) -> pa.Array:
-    """Texts whose bytes of UTF-8 are looked up in a table of 256; nulls are empty texts."""
+def mapped(texts: pa.Array, change: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """Texts whose bytes of UTF-8, of all of them in a row, are changed one for one; nulls are empty texts."""
     texts = pc.fill_null(texts, "")
     width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, ends, data = texts.buffers()
     if data is None or not len(texts):
         return texts
     ends = np.frombuffer(ends, width)[texts.offset : texts.offset + len(texts) + 1]
-    got = table[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    got = change(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])
     return pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends - ends[0])), pa.py_buffer(got)])
 
 

@@ -37,7 +37,7 @@ def term_counts(docs: DataFrame, lang_column: str, source_column: str, text_colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(mapped(part.column("text"), TERM_BYTES))
+                words = Words(mapped(part.column("text"), TERM_BYTES.take))
                 lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
                 of_row = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
                 size = max(1, len(words.dictionary))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html, mixing, packing, quality, simhash, substring, tokens, topk, urls, warc
+from . import divergence, html, mixing, packing, quality, simhash, spelling, substring, tokens, topk, urls, warc
 from .common import Scratch
 
 
@@ -64,12 +64,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing, op13_divergence)
+    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing, op12_spelling, op13_divergence)
 }
 
 _FITS = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}')"
