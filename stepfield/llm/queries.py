@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html, mixing, packing, quality, simhash, spelling, substring, tokens, topk, urls, warc
+from . import divergence, html, jaccard, mixing, packing, quality, simhash, spelling, substring, tokens, topk, urls, warc
 from .common import Scratch
 
 
@@ -64,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing, op12_spelling, op13_divergence)
+    f.__name__: f for f in (op1_topk, op2_simhash, op3_warc, op4_tokens, op5_quality, op6_mixing, op7_urls, op8_html, op9_substring, op10_packing, op11_jaccard, op12_spelling, op13_divergence)
 }
 
 _FITS = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}')"
@@ -115,6 +119,17 @@ ORACLE_SQL: dict[str, str] = {
             from x left join g on x.doc_id = g.doc_id and x.p = g.p group by x.doc_id)
         select t.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
             sha256(coalesce(kept, '')) as kept_sha256 from t left join m on t.doc_id = m.doc_id""",
+    "op11_jaccard": r"""
+        with recursive t as (select row_number() over () as r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select r, unnest(range(1, greatest(len(w) - 3, 2))) as i, w from t where len(w) > 0),
+        d as (select distinct r, array_to_string(w[i : i + 4], ' ') as g from s),
+        n as (select r, count(*) as n from d group by r),
+        o as (select a.r as a, b.r as b, count(*) as o from d a join d b on a.g = b.g and a.r <> b.r group by all),
+        l as (select a, b from o join n x on a = x.r join n y on b = y.r where 100 * o >= 80 * (x.n + y.n - o)),
+        c as (select r, r as root from t union select l.b, c.root from c join l on c.r = l.a),
+        m as (select c.r, min(t.doc_id) as component_id from c join t on c.root = t.r group by c.r)
+        select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from t left join n on t.r = n.r left join m on t.r = m.r""",
     "op13_divergence": r"""
         with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
