@@ -13,9 +13,11 @@ share what they have in common. A set leaves a subtree when the members that alr
 differ as too many or too few remain, are more than the two sizes allow; and when all sets under it are in the set's
 own component, as only components are asked for.
 
-Members that the same sets have are one member. Keys of more than `chunk` sets are dealt to pairs of chunks. Before
-all members are gone through, an eighth of them is, with each chunk by itself and the key's smallest set in all chunks:
-after that, what a large group of near copies has in common has one component, and is left out.
+Sets that meet, directly or by way of others, are a cluster. One of at most `chunk` sets makes one tree, so that each of
+its sets is sent once. In larger ones a tree holds the sets of one member; members that the same sets have are one, and
+those of more than `chunk` sets are dealt to pairs of chunks. Before all members are gone through there, an eighth of
+them is, with each chunk by itself and the member's smallest set in all chunks: after that, what a large group of near
+copies has in common has one component, and is left out.
 """
 
 from __future__ import annotations
@@ -333,13 +335,27 @@ def links(sets: DataFrame, before: DataFrame, share: tuple[int, int], scratch: S
         sizes = sets.select("node", "n", F.size("path").alias("m")).join(roots.select("node", "root"), "node", "left")
         return rows.join(sizes.select("node", "n", "m", F.coalesce("root", "node").alias("comp")), "node")
 
-    # An eighth of all members, in chunks that share the key's smallest set.
+    # Sets that can meet at all are a cluster. Small ones are compared as a whole: each set is sent once.
     known = components(before, scratch)
+    every = with_component(routes, known)
+    met = scratch.keep(every.join(keys(every), "member").select("node", "least", "m", "comp"), "met")
+    cluster = components(met.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch)
+    nodes = met.groupBy("node").agg(F.first("m").alias("m"), F.first("comp").alias("comp")).join(cluster, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = nodes.groupBy("root").agg(F.count("*").alias("k"), F.sum("m").alias("all"))
+    nodes = scratch.keep(nodes.join(of, "root").withColumn("small", (F.col("k") <= chunk) & (F.col("all") <= MEMBERS)), "nodes")
+    got = nodes.where("small").select(F.xxhash64("root").alias("place"), F.lit(2).alias("side"), "node", "comp")
+    found = scratch.keep(joined(got, sets, share), "links")
+    large = nodes.where("not small").select("node")
+    if large.isEmpty():
+        return found
+
+    # The others member by member. First an eighth of all members, in chunks that share the key's smallest set.
+    routes = scratch.keep(routes.join(large, "node", "left_semi"), "routes")
     some = with_component(routes.where(F.expr(f"(member & {LOW}) % 8 = 0")), known)
     got = some.join(keys(some), "member")
     own = F.pmod(F.xxhash64("node"), F.col("c"))
-    of = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).otherwise(F.array(own))
-    got = got.withColumn("x", F.explode(of)).select(F.xxhash64("member", "x").alias("place"), F.lit(2).alias("side"), "node", "comp")
+    in_chunks = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).otherwise(F.array(own))
+    got = got.withColumn("x", F.explode(in_chunks)).select(F.xxhash64("member", "x").alias("place"), F.lit(2).alias("side"), "node", "comp")
     early = scratch.keep(joined(got, sets, share), "links")
 
     known = components(before.union(early), scratch)
@@ -348,7 +364,7 @@ def links(sets: DataFrame, before: DataFrame, share: tuple[int, int], scratch: S
     got = got.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     got = got.select(F.xxhash64("member", F.least("own", "other"), F.greatest("own", "other")).alias("place"), side.alias("side"), "node", "comp")
-    return early.union(scratch.keep(joined(got, sets, share), "links"))
+    return found.union(early).union(scratch.keep(joined(got, sets, share), "links"))
 
 
 def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE, chunk: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
