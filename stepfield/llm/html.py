@@ -5,7 +5,11 @@ what its text looks like, and whether it lies in the container that holds most o
 alike. The field has two labels (article or not), weights for each feature and for neighbouring
 labels; it is trained by maximum likelihood on pages of `labelled_pages`, which writes pages of many layouts with the
 label of every block, and decoded by Viterbi. Scripts, styles, form controls, fallbacks and comments of the
-markup are not text at all. Reading takes time in proportion to a page's length, however deep its elements lie.
+markup are not text at all.
+
+Pages are cut into tags and text by rules that no markup can break: what HTML calls a bogus comment is one, and a tag,
+comment or quoted value that is never closed takes the rest of the page. Every character is looked at a bounded number
+of times, so reading takes time in proportion to a page's length, whatever its faults and however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -14,8 +18,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,18 @@ SECTIONS = frozenset("html body article section main div nav header footer aside
 PARTS = frozenset("html body article section main div nav header footer aside form td th dialog details center fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: Elements that end at their own end tag only; references are decoded in the latter.
+RAW, PLAIN = frozenset(["script", "style"]), frozenset(["title", "textarea"])
+
+_TAG = re.compile(r"[A-Za-z][^\t\n\r\f />\x00]*")
+_GAP = re.compile(r"[\t\n\r\f /]*")
+_ATTRIBUTE = re.compile(r"([^\t\n\r\f />][^\t\n\r\f />=]*)[\t\n\r\f ]*(=?)[\t\n\r\f ]*")
+_BARE = re.compile(r"[^\t\n\r\f >]*")
+_COMMENT_END = re.compile(r"--!?>")
+_DOCTYPE = re.compile(r"<!doctype[^\[>]*(\[[^\]]*\][\t\n\r\f ]*)?>", re.IGNORECASE)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.IGNORECASE) for t in (*RAW, *PLAIN)}
+_ZEROS, _HUGE = re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#[0-9]{8,};?")
+
 _NAME = re.compile(r"[^0-9A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…]['\")\]]*(?:\s|$)")
 
@@ -45,11 +60,64 @@ class Block:
         self.text, self.marks, self.tag, self.linked, self.part, self.like = text, marks, tag, linked, part, like
 
 
-class _Reader(HTMLParser):
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers of any length are allowed."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"\1", text))
+    return unescape(text)
+
+
+def attributes(html: str, at: int) -> tuple[list[tuple[str, str | None]], int, bool] | None:
+    """Attributes from `at`, where their tag ends, and whether it closes itself. None: the page ends first."""
+    out = []
+    while True:
+        gap = _GAP.match(html, at)
+        at = gap.end()
+        if at >= len(html):
+            return None
+        if html[at] == ">":
+            return out, at + 1, gap[0].endswith("/")
+        m = _ATTRIBUTE.match(html, at)
+        at, value = m.end(), None
+        if m[2]:
+            quote = html[at : at + 1]
+            if quote in ("'", '"'):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+            value = decoded(value)
+        out.append((m[1].lower(), value))
+
+
+def declaration_end(html: str, at: int) -> int:
+    """Where the comment or declaration from `at` ("<!" or "<?") ends."""
+    if html.startswith("<!--", at):
+        for short in ("<!-->", "<!--->"):
+            if html.startswith(short, at):
+                return at + len(short)
+        end = _COMMENT_END.search(html, at + 4)
+        return end.end() if end else len(html)
+    if html.startswith("<![CDATA[", at):
+        end = html.find("]]>", at)
+        if end >= 0:
+            return end + 3
+    doctype = _DOCTYPE.match(html, at)
+    if doctype:
+        return doctype.end()
+    end = html.find(">", at)
+    return end + 1 if end >= 0 else len(html)
+
+
+class _Reader:
     """known: marks that count (None: all)."""
 
     def __init__(self, known: frozenset[str] | None = None):
-        super().__init__(convert_charrefs=True)
         self.known = known
         self.stack: list[tuple[str, tuple[str, ...]]] = []
         self.places: dict[str, list[int]] = {}  # of each open tag
@@ -65,6 +133,47 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
 
+    def feed(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            to = html.find("<", at)
+            if to < 0:
+                to = len(html)
+            if to > at:
+                self.handle_data(decoded(html[at:to]))
+            at = to
+            after = html[at + 1 : at + 3]
+            if not after:
+                self.handle_data(html[at:])
+                return
+            if after[0] in "!?":
+                at = declaration_end(html, at)
+                continue
+            closing = after[0] == "/"
+            name = _TAG.match(html, at + 1 + closing)
+            if name is None:
+                if closing:  # "</>" and the like
+                    at = html.find(">", at) + 1 or len(html)
+                else:
+                    self.handle_data("<")
+                    at += 1
+                continue
+            tag, got = name[0].lower(), attributes(html, name.end())
+            if got is None:
+                return
+            attrs, at, closed = got
+            if closing:
+                self.handle_endtag(tag)
+            elif closed:
+                self.handle_startendtag(tag, attrs)
+            else:
+                self.handle_starttag(tag, attrs)
+                if tag in _RAW_END:
+                    end = _RAW_END[tag].search(html, at)
+                    to = end.start() if end else len(html)
+                    self.handle_data(html[at:to] if tag in RAW else decoded(html[at:to]))
+                    at = to
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -149,9 +258,6 @@ class _Reader(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
-    def unknown_decl(self, data: str) -> None:
-        """<![CDATA[ ... ]]> and the like are markup."""
-
 
 class Page(list):
     """Leaf blocks in page order; parents and tags of the page's parts, and how many parts have the same names."""
@@ -162,10 +268,9 @@ class Page(list):
 
 
 def leaf_blocks(html: str, known: frozenset[str] | None = None) -> Page:
-    """Whatever the markup's faults, no text is lost but that of silent elements."""
+    """No markup raises an error; no text is lost but that of silent elements and that behind a tag, comment or quote that is never closed."""
     r = _Reader(known)
     r.feed(html)
-    r.close()
     r.flush()
     page = Page(r.blocks)
     page.parents, page.tags, page.alike = r.parents, r.tags, r.alike

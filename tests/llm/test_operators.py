@@ -663,6 +663,39 @@ def test_html_of_deep_pages():
         assert time.time() - began < 30
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><![foo[x]]><p>b</p>", "a b"), ("<p>a</p><![if IE]><p>b<![endif]></p>", "a b"), ("<p>a<!-- b", "a"), ("<p>a<!-->b<!--->c", "abc"), ("<p>a<!-- x --!>b", "ab"),
+        ("<!DOCTYPE html [<!ELEMENT a>]><p>a", "a"), ("<!DOCTYPE html [ x><p>a", "a"), ("<p>a<b x='1>c", "a"), ("<p>a<b", "a"), ("<p>1 < 2 <3 & 4</p>", "1 < 2 <3 & 4"), ("<p>a</><b>c", "ac"),
+        ("<p>a</ x>b<?php echo '>'?>c", "ab'?>c"), ("<p>&#x41;&#0000000000000000066;&#" + "9" * 9000 + ";&#xD800;", "AB\ufffd\ufffd"), ("<p>a<", "a<"), ("<p>a</", "a"), ("<script>x</script >a", "a"),
+        ("<p>a<script>b", "a"), ("<title>x <b> y</title>z", "x <b> y z"), ("<p>x<![CDATA[ <p>no ]]>y", "xy"), ("<p =a ==b / c = 'd' e=f/>g", "g"), ("<p>a<!x", "a"),
+    ],
+)
+def test_html_of_broken_markup(page, text):
+    assert " ".join(b.text for b in html.leaf_blocks(page)) == text
+
+
+def test_html_never_fails():
+    rnd = random.Random(12)
+    pieces = ["<", ">", "</", "/>", "<!", "<!--", "-->", "--!>", "<![", "]]>", "[", "]", "<?", "?>", "&", "&#", "&#x", ";", "99", "'", '"', "=", " ", "\n", "\x00", "é", "a", "p", "div", "script", "style", "title", "DOCTYPE", "CDATA[", "if", "class=", "<a ", "<p>", "</p>", "<script>", "</script", "\ud800"]
+    field = html.default_field()
+    for _ in range(10_000):
+        html.main_text("".join(rnd.choices(pieces, k=rnd.randint(1, 40))), field)
+
+
+def test_html_of_unclosed_markup():
+    """Time grows with a page's length, whatever is never closed."""
+    import time
+
+    field = html.default_field()
+    for piece in ("<a ", "<!--", "<![", "<!DOCTYPE [", "<a b='", "<script>", "<title>", "</", "<?", "&#", "&#0", "<a b=\"'", "</a ", "<![CDATA[", "<p>.'", "<a/", "< ", "--!", "<!DOCTYPE a[b]"):
+        page = piece * (600_000 // len(piece))
+        began = time.time()
+        html.main_text(page, field)
+        assert time.time() - began < 5, piece
+
+
 def test_html_features_of_whole_values():
     """Names, marks and sentences far into a value or a text."""
     utility = " ".join(f"px-{i}" for i in range(100))
