@@ -5,8 +5,9 @@ document are exponentially tilted: rate = min(2, exp(lambda * size / largest siz
 (the cap is a bound of the same convex problem). The dual is solved by Newton steps on counts of (source, size),
 which are aggregated once; a step that leaves its bracket is replaced by halving. Rates become copies by a
 threshold: a document has floor(rate + shift + 1 - u) copies, u from a hash of its row, with the source's shift set
-so that its words come as close below the target as one document allows, and one more copy of the document whose
-size fits what is still missing. Of n rows equal in id, text and source the i-th has u + i / n (modulo 1) in place of u, so
+so that its words come as close below the target as the next document allows. What is then still missing is filled by
+copies of smaller ones, past those that are too large; or the next one is taken and smaller ones are left out (`fill`).
+Of n rows equal in id, text and source the i-th has u + i / n (modulo 1) in place of u, so
 that their copies are spread over them.
 """
 
@@ -141,18 +142,82 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float,
     dealt = _of(rows, at).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
     had = dealt.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("had")).withColumnRenamed("source", "_source")
     short = scratch.keep(at.join(had, same(at.source, had._source), "left").drop("_source").withColumn("short", F.col("target") - F.col("had")), "short")
-    dealt = _of(rows, short).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
-    apart = F.abs(F.col("short") - F.col("size"))
-    more = dealt.where((F.col("copies") < int(cap)) & (apart < F.col("short"))).groupBy("source").agg(F.min(F.struct(apart.alias("apart"), F.col("u"), F.col("size"))).alias("m"))
-    more = more.select(F.col("source").alias("_source"), F.col("m.u").alias("pick_u"), F.col("m.size").alias("pick_size"))
-    last = scratch.keep(short.join(more, same(short.source, more._source), "left").drop("_source"), "picked")
+    last = scratch.keep(fill(_of(rows, short), short, cap), "filled")
     return rows, last, repeated
 
 
+NO_PICKS = "cast(array() as array<struct<size: bigint, k: bigint>>)"
+
+
+def _greedy(sizes: str, amount: str) -> Column:
+    """Of (size, n), largest first, how many to take to come near the amount: struct(rest, picks). At last one that is too large, if that comes nearer."""
+
+    def take(so_far: Column, x: Column) -> Column:
+        k = F.least(x["n"], F.floor(so_far["rest"] / x["size"]))
+        more = F.when(k > 0, F.concat(so_far["picks"], F.array(F.struct(x["size"].alias("size"), k.alias("k"))))).otherwise(so_far["picks"])
+        return F.struct((so_far["rest"] - k * x["size"]).alias("rest"), more.alias("picks"))
+
+    def finish(got: Column) -> Column:
+        fits = F.filter(sizes, lambda x: (x["size"] > got["rest"]) & (x["size"] < 2 * got["rest"]) & ~F.exists(got["picks"], lambda p: p["size"] == x["size"]))
+        last = F.array_min(F.transform(fits, lambda x: x["size"]))
+        one = F.when(last.isNotNull(), F.array(F.struct(last.alias("size"), F.lit(1).cast("long").alias("k")))).otherwise(F.expr(NO_PICKS))
+        return F.struct(F.coalesce(last - got["rest"], got["rest"]).alias("rest"), F.concat(got["picks"], one).alias("picks"))
+
+    return F.aggregate(sizes, F.struct(F.col(amount).cast("double").alias("rest"), F.expr(NO_PICKS).alias("picks")), take, finish)
+
+
+def fill(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """sources with `more` and `less`: up to which distance from the source's shift rows of a size get a copy more or less.
+
+    What is still missing is filled from the largest size that fits down to the smallest, past rows that are too large;
+    or the next row behind the shift gets its copy, and what that is too much is taken off in the same way. The way
+    that comes nearer counts. A source's sizes are one array, as long as its longest document at most. Of rows of one
+    size those nearest to the shift are taken; they are ranked among those that can be, whose number does not grow
+    with the rows.
+    """
+    dealt = rows.withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap)).withColumn("behind", _behind()).where(~F.col("full") & (F.col("size") > 0))
+    next_ = dealt.where(F.col("copies") < int(cap)).groupBy("source").agg(F.min(F.struct("behind", "size")).alias("next")).withColumnRenamed("source", "_source")
+    known = sources.join(next_, same(sources.source, next_._source), "left").drop("_source").withColumn("excess", F.greatest(F.lit(0.0), F.col("next.size") - F.col("short")))
+    ways = F.array(
+        F.when(F.col("copies") < int(cap), F.struct(F.lit(True).alias("add"), F.col("behind").alias("d"))),
+        F.when(F.col("copies") > 0, F.struct(F.lit(False).alias("add"), (1 - F.col("behind")).alias("d"))),
+    )
+    left = _of(dealt.select("source", "size", F.inline(F.array_compact(ways))), known.select("source", "short", "excess"))
+    left = left.where(F.col("size") < 2 * F.when(F.col("add"), F.col("short")).otherwise(F.col("excess"))).select("source", "add", "size", "d")
+    held = left.groupBy("source", "add", "size").agg(F.count("*").alias("n"), F.min("d").alias("nearest"))
+    of = lambda add: F.sort_array(F.collect_list(F.when(F.col("add") == F.lit(add), F.struct("size", "n"))), asc=False)
+    lists = held.groupBy("source").agg(of(True).alias("adds"), of(False).alias("drops")).withColumnRenamed("source", "_source")
+    blank = F.expr("cast(array() as array<struct<size: bigint, n: bigint>>)")
+    known = known.join(lists, same(known.source, lists._source), "left").drop("_source").withColumns({"adds": F.coalesce("adds", blank), "drops": F.coalesce("drops", blank)})
+    known = known.withColumns({"up": _greedy("adds", "short"), "down": _greedy("drops", "excess")})
+    cross = F.coalesce((F.col("next.size") > F.col("short")) & (F.col("down.rest") < F.col("up.rest")), F.lit(False))
+    known = known.withColumn("cross", cross)
+    picks = known.select("source", (~F.col("cross")).alias("add"), F.inline(F.when(F.col("cross"), F.col("down.picks")).otherwise(F.col("up.picks"))))
+    p = picks.select(F.col("source").alias("_s"), F.col("add").alias("_a"), F.col("size").alias("_z"), "k")
+    p = p.join(held, same(p._s, held.source) & (F.col("_a") == F.col("add")) & (F.col("_z") == F.col("size")))
+    p = p.select("_s", "_a", "_z", "k", (F.col("nearest") + (F.col("k") + 10 * F.sqrt("k") + 100) / F.col("n")).alias("within"))
+    some = left.join(p, same(left.source, p._s) & (F.col("add") == F.col("_a")) & (F.col("size") == F.col("_z"))).where(F.col("d") <= F.col("within"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("source", "add", "size").orderBy("d"))).where(F.col("nth") <= F.col("k"))
+    upto = some.groupBy("source", "add", "size").agg(F.max("d").alias("upto")).groupBy(F.col("source").alias("_source")).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("add"), F.struct("size", "upto")))).alias("more"), F.map_from_entries(F.collect_list(F.when(~F.col("add"), F.struct("size", "upto")))).alias("less"),
+    )
+    out = known.join(upto, same(known.source, upto._source), "left")
+    more = F.when(F.col("cross"), F.create_map("next.size", "next.behind")).otherwise(F.col("more"))
+    return out.select(*sources.columns, more.alias("more"), "less")
+
+
+def _behind() -> Column:
+    """How far behind the shift a row gets its next copy."""
+    return F.col("u") - F.col("rate") + F.col("copies") - F.col("low")
+
+
 def decide(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """rows with source_size, target, rate and copies. The sources' table is joined only; no row meets another."""
     dealt = _of(rows, sources).withColumn("rate", _rate(cap)).withColumn("copies", _copies(cap))
-    extra = F.coalesce((F.col("u") == F.col("pick_u")) & (F.col("size") == F.col("pick_size")) & (F.col("copies") < int(cap)), F.lit(False)).cast("long")
+    upto = lambda c: F.try_element_at(c, F.col("size"))
+    more = (_behind() <= upto(F.col("more"))) & (F.col("copies") < int(cap))
+    less = (1 - _behind() <= upto(F.col("less"))) & (F.col("copies") > 0)
+    extra = F.when(more, 1).when(less, -1).otherwise(0)
     return dealt.withColumn("copies", F.col("copies") + extra)
 
 
