@@ -82,5 +82,30 @@ def truthy(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def default_cell(df: DataFrame) -> Column:
+    """Days of times, runs of 4096 of numbers."""
+    return F.date_trunc("day", "t") if is_clock(df) else F.floor(F.col("t") / 4096)
+
+
+def neighbour(rows: DataFrame, what: Column, cell: Column | None = None, ahead: bool = False, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """rows with `near`: `what` (a struct) of the row before, or ahead, in order of t within the keys; null where there is none.
+
+    cell: an expression of t that grows with it. Then rows are read in order within cells only, and the last (first) row
+    of each cell is handed to the next one: a task that puts a series in order has a row for each cell, not for each point.
+    """
+    step = F.lead if ahead else F.lag
+    order = F.col("t").asc_nulls_first()
+    if cell is None:
+        return rows.withColumn("near", step(what).over(Window.partitionBy(*keys).orderBy(order)))
+    rows = rows.withColumns({"_cell": cell, "_what": what})
+    edges = rows.groupBy(*keys, "_cell").agg((F.min_by if ahead else F.max_by)("_what", "t").alias("_edge"))
+    edges = edges.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_cell").alias("_c"), step("_edge").over(Window.partitionBy(*keys).orderBy(F.col("_cell").asc_nulls_first())).alias("_edge"))
+    inside = rows.withColumn("near", step("_what").over(Window.partitionBy(*keys, "_cell").orderBy(order)))
+    on = same(F.col("_cell"), F.col("_c"))
+    for i, k in enumerate(keys):
+        on = on & same(F.col(k), F.col(f"_k{i}"))
+    return inside.join(edges, on).withColumn("near", F.coalesce("near", "_edge")).drop("_cell", "_what", "_c", "_edge", *(f"_k{i}" for i in range(len(keys))))
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

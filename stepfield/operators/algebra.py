@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import truthy
+from .merge import SUM, folded
 from .points import compact
 
 Function = Callable[[Column, Column], Column]
@@ -38,13 +40,17 @@ def add(x: DataFrame, y, **defaults) -> DataFrame:
 
 
 def add_all(series: list[DataFrame]) -> DataFrame:
-    """The sum of several tables of series, series by series, null as nothing; one alone is left as it is."""
+    """The sum of several tables of series, series by series, null as nothing, compacted; one alone is left as it is.
+
+    The tables are united once and what holds is added up (`merge.folded`), however many there are.
+    """
     if not series:
         raise ValueError("no series to add")
-    out = series[0]
-    for x in series[1:]:
-        out = add(out, x)
-    return out
+    if len(series) == 1:
+        return series[0]
+    rows = reduce(DataFrame.unionByName, (x.select("series_id", "t", "value", F.lit(i).alias("_table")) for i, x in enumerate(series)))
+    out = folded(rows, {"value": SUM}, by=("series_id",), member="_table")
+    return compact(out.select("series_id", "t", F.coalesce("value", F.lit(0)).alias("value")))
 
 
 def strict_add(x: DataFrame, y: DataFrame, **defaults) -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import in_order, is_clock, same
+from ..model import default_cell, neighbour, same
 
 
-def transitions(points: DataFrame, default=None) -> DataFrame:
-    """(t, series_id, previous, value): every point with what held before it. Sort by (t, series_id) to read them in turn."""
-    before = F.lag(F.struct("value")).over(in_order())
+def transitions(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
+    """(t, series_id, previous, value): every point with what held before it. Sort by (t, series_id) to read them in turn. cell: see `model.neighbour`."""
     kind = points.schema["value"].dataType
-    prev = F.when(before.isNull(), F.lit(default).cast(kind)).otherwise(before["value"])
-    return points.select("t", "series_id", prev.alias("previous"), "value")
+    prev = F.when(F.col("near").isNull(), F.lit(default).cast(kind)).otherwise(F.col("near.value"))
+    return neighbour(points.select("series_id", "t", "value"), F.struct("value"), cell).select("t", "series_id", prev.alias("previous"), "value")
 
 
 def merged_values(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
@@ -124,10 +123,10 @@ def strict(reducer: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda values: F.when(F.exists(values, lambda x: x.isNull()), F.lit(None)).otherwise(reducer(values))
 
 
-def running(deltas: DataFrame, keys: list[str], amounts: list[str], cell: Column) -> DataFrame:
+def running(deltas: DataFrame, keys: list[str], amounts: list[str], cell: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Running sums of `amounts` over t by keys, without one task for all: totals of cells of t, their running sum, then within each cell.
 
-    The totals have a row for each cell (and key); only they go to one task.
+    The totals have a row for each cell (and key); only they go to one task. keep: more columns of deltas that stay.
     """
     rows = deltas.withColumn("_cell", cell)
     totals = rows.groupBy(*keys, "_cell").agg(*(F.sum(a).alias(f"_{a}") for a in amounts))
@@ -135,34 +134,36 @@ def running(deltas: DataFrame, keys: list[str], amounts: list[str], cell: Column
     offsets = totals.select(*keys, "_cell", *(F.coalesce(F.sum(f"_{a}").over(before), F.lit(0)).alias(f"_{a}") for a in amounts))
     inside = Window.partitionBy(*keys, "_cell").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(offsets, [*keys, "_cell"])
-    return out.select(*keys, "t", *((F.sum(a).over(inside) + F.col(f"_{a}")).alias(a) for a in amounts))
-
-
-def day(t: str = "t") -> Column:
-    return F.date_trunc("day", t)
-
-
-def default_cell(df: DataFrame) -> Column:
-    """Days of times, runs of 4096 of numbers."""
-    return day() if is_clock(df) else F.floor(F.col("t") / 4096)
+    return out.select(*keys, "t", *((F.sum(a).over(inside) + F.col(f"_{a}")).alias(a) for a in amounts), *keep)
 
 
 def running_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
-    """(t, sum, known): the sum of all series' values at each t (null: nothing) and how many are known, from changes alone."""
+    """(t, sum, known): the sum of all series' values at each t (null: nothing) and how many are known.
+
+    Whole numbers and decimals come from changes alone, which leave no rest. Of floating-point numbers those that hold
+    are added up (`folded`): one that has ceased to hold, NaN and infinity included, has no part in later sums.
+    """
+    cell = default_cell(points) if cell is None else cell
+    if isinstance(points.schema["value"].dataType, T.FractionalType) and not isinstance(points.schema["value"].dataType, T.DecimalType):
+        return folded(points, {"sum": SUM, "known": COUNT}, cell=cell).withColumn("sum", F.coalesce("sum", F.lit(0.0)))
     tr = transitions(points)
     change = F.coalesce("value", F.lit(0)) - F.coalesce("previous", F.lit(0))
     known = F.col("value").isNotNull().cast("long") - F.col("previous").isNotNull().cast("long")
     deltas = tr.groupBy("t").agg(F.sum(change).alias("sum"), F.sum(known).alias("known"))
-    return running(deltas, [], ["sum", "known"], default_cell(points) if cell is None else cell)
+    return running(deltas, [], ["sum", "known"], cell)
 
 
 def strict_sum(points: DataFrame, cell: Column | None = None) -> DataFrame:
-    """(t, value): the sum of all series' values at each t, null where that of any series is; from changes alone."""
-    series = points.select("series_id").distinct().agg(F.count("*").alias("k"))  # one row
-    sums = running_sum(points, cell).crossJoin(F.broadcast(series))
+    """(t, value): the sum of all series' values at each t, null where that of any series is. See `running_sum`."""
+    sums = running_sum(points, cell).crossJoin(F.broadcast(number_of_series(points)))
     return sums.select("t", F.when(F.col("known") == F.col("k"), F.col("sum")).alias("value"))
 
 
+def number_of_series(points: DataFrame) -> DataFrame:
+    """One row (k)."""
+    return points.select("series_id").distinct().agg(F.count("*").alias("k"))
+
+
 def aligned(runs: DataFrame) -> DataFrame:
     """Runs of places [a, b) (longs, a > 0) cut into aligned blocks of 2 ** k places, at most two for each k: k and block in place of a and b."""
     rest = [c for c in runs.columns if c not in ("a", "b")]
@@ -172,21 +173,47 @@ def aligned(runs: DataFrame) -> DataFrame:
     return cut.select(*rest, "k", F.explode(F.array_compact(ends)).alias("block"))
 
 
-def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
-    """(t, value): the greatest value of all series at each t (null: none is known).
+#: An aggregate of values, and one that puts its results together: associative, and in any order.
+Fold = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+SUM: Fold = (F.sum, F.sum)
+COUNT: Fold = (F.count, F.sum)
+HELD: Fold = (lambda value: F.count(F.lit(1)), F.sum)
+LEAST: Fold = (F.min, F.min)
+GREATEST: Fold = (F.max, F.max)
+ALL: Fold = (F.bool_and, F.bool_and)
+ANY: Fold = (F.bool_or, F.bool_or)
+
 
+def folded(points: DataFrame, folds: dict[str, Fold], by: tuple[str, ...] = (), member: str = "series_id", default=None, cell: Column | None = None) -> DataFrame:
+    """(*by, t, a column for each fold) of the values of all series at each t of any of them, from changes alone.
+
+    Any operation that is associative and heeds no order will do, such as those above; null values are left to it.
     Each value holds for a run of places among the distinct t. The run is cut into aligned blocks of 2 ** k places, at
-    most two for each k; a place asks the blocks that it is in, one for each k. So n points make n log n rows, however
-    many series there are.
+    most two for each k, and a block's values are folded once; a place asks the blocks that it is in, one for each k. So
+    n points make n log n rows, however many series there are, and nothing is ever subtracted.
+
+    by: series are folded for each value of these columns apart; `member` tells them from each other there. default
+    holds before a series' first point (null: nothing does). cell: an expression of t, see `running`.
     """
-    ranks = running(points.select("t").distinct().withColumn("x", F.lit(1)), [], ["x"], default_cell(points) if cell is None else cell)
+    keys = list(by)
+    cell = default_cell(points) if cell is None else cell
+    ranks = running(points.select(*keys, "t").distinct().withColumn("x", F.lit(1)), keys, ["x"], cell)
     most = F.broadcast(ranks.agg(F.max("x").alias("most")))  # one row
-    held = points.select("t", "value", F.lead("t").over(in_order()).alias("until")).where("value is not null")
-    runs = held.join(ranks.withColumnRenamed("x", "a"), "t").join(ranks.select(F.col("t").alias("until"), F.col("x").alias("b")), "until", "left").crossJoin(most)
-    runs = runs.select("value", "a", F.coalesce("b", F.col("most") + 1).alias("b"))
-    blocks = aligned(runs).groupBy("k", "block").agg(F.max("value").alias("value"))
-    asked = ranks.crossJoin(most).select("t", "x", F.explode(F.expr("sequence(0, length(bin(most)))")).alias("k")).select("t", "k", F.expr("shiftright(x, k)").alias("block"))
-    return asked.join(blocks, ["k", "block"], "left").groupBy("t").agg(F.max("value").alias("value"))
+    until = Window.partitionBy(*keys, member).orderBy("t")
+    held = points.select(*keys, "t", "value", F.lead("t").over(until).alias("until"))
+    runs = held.join(ranks.withColumnRenamed("x", "a"), [*keys, "t"]).join(ranks.select(*keys, F.col("t").alias("until"), F.col("x").alias("b")), [*keys, "until"], "left").crossJoin(most)
+    runs = runs.select(*keys, "value", "a", F.coalesce("b", F.col("most") + 1).alias("b"))
+    if default is not None:
+        first = points.groupBy(*keys, member).agg(F.min("t").alias("t")).join(ranks, [*keys, "t"])
+        runs = runs.union(first.select(*keys, F.lit(default).cast(points.schema["value"].dataType), F.lit(1).cast("long"), "x"))
+    blocks = aligned(runs).groupBy(*keys, "k", "block").agg(*(f[0](F.col("value")).alias(name) for name, f in folds.items()))
+    asked = ranks.crossJoin(most).select(*keys, "t", "x", F.explode(F.expr("sequence(0, length(bin(most)))")).alias("k")).select(*keys, "t", "k", F.expr("shiftright(x, k)").alias("block"))
+    return asked.join(blocks, [*keys, "k", "block"]).groupBy(*keys, "t").agg(*(f[1](F.col(name)).alias(name) for name, f in folds.items()))
+
+
+def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
+    """(t, value): the greatest value of all series at each t (null: none is known)."""
+    return folded(points, {"value": GREATEST}, cell=cell)
 
 
 def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
@@ -194,7 +221,7 @@ def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataF
     tr = transitions(points, default)
     moves = tr.select("t", F.inline(F.array(F.struct(F.col("previous").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("value"), F.lit(1).alias("n")))))
     deltas = moves.groupBy("t", "value").agg(F.sum("n").alias("n"))
-    start = points.select("series_id").distinct().agg(F.count("*").alias("k"))  # one row
+    start = number_of_series(points)
     out = running(deltas.where(F.col("value").isNotNull()), ["value"], ["n"], default_cell(points) if cell is None else cell)
     if default is None:
         return out.select("value", "t", "n")

@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import check_bounds, in_order, literal, same
+from ..model import check_bounds, in_order, literal, neighbour, same
 
 ANY = object()
 
 
-def periods(points: DataFrame, start=None, end=None, default=None, value=ANY) -> DataFrame:
+def periods(points: DataFrame, start=None, end=None, default=None, value=ANY, cell: Column | None = None) -> DataFrame:
     """(series_id, t0, t1, value) on [start, end]; a missing bound is the first or last t of the series.
 
     The default holds before the first point. Empty periods are left out. value: only periods with that value, or for
     which value(t0, t1, value) holds. A bound given as a column may differ by series. Points after end are filtered
-    at the scan; those before start are not, as one of them may hold at start.
+    at the scan; those before start are not, as one of them may hold at start. cell: see `model.neighbour`.
     """
     check_bounds(start, end)
     rows = points.select("series_id", "t", F.struct("value").alias("v"))
@@ -26,8 +26,7 @@ def periods(points: DataFrame, start=None, end=None, default=None, value=ANY) ->
     kind = points.schema["value"].dataType
     if start is not None:  # the default's own row, before all others
         rows = rows.union(points.select("series_id").distinct().select("series_id", F.lit(None).cast(points.schema["t"].dataType), F.struct(F.lit(default).cast(kind).alias("value"))))
-    order = Window.partitionBy("series_id").orderBy(F.col("t").asc_nulls_first())
-    rows = rows.withColumn("n", F.lead("t").over(order))
+    rows = neighbour(rows, F.struct("t"), cell, ahead=True).withColumn("n", F.col("near.t"))
     t0 = F.greatest("t", literal(points, start)) if start is not None else F.col("t")
     t1 = F.least("n", literal(points, end)) if end is not None else F.col("n")
     out = rows.select("series_id", t0.alias("t0"), t1.alias("t1"), F.col("v.value").alias("value")).where("t0 < t1")

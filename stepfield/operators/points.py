@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import by_series, check_bounds, in_order, length, literal, same
+from ..model import by_series, check_bounds, in_order, length, literal, neighbour, same
 
 
-def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str = "previous") -> DataFrame:
+def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str = "previous", cell: Column | None = None) -> DataFrame:
     """The value of each series at its probes (series_id, t, any more columns): probes with `value`.
 
     previous: the last value at or before t, else the default. linear: between the neighbours; the default before the
     first point, the last value after the last. One sort by (series_id, t) serves points and probes together.
+
+    cell: an expression of t that grows with it, for series too long for one task. Each cell is sorted by itself; the
+    last point of earlier cells (the first of later ones) comes from a row for each cell.
     """
     if interpolate not in ("previous", "linear"):
         raise ValueError(f"unknown interpolate '{interpolate}': previous or linear")
@@ -21,10 +24,21 @@ def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str
     held = F.struct(F.col("t").alias("t"), F.col("value").alias("value"))
     a = points.select("series_id", "t", F.lit(0).alias("k"), held.alias("p"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in more))
     b = probes.select("series_id", "t", F.lit(1).alias("k"), F.lit(None).cast(a.schema["p"].dataType).alias("p"), *more)
-    order = Window.partitionBy("series_id").orderBy("t", "k")
-    both = a.unionByName(b).withColumn("left", F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = a.unionByName(b).withColumn("_cell", F.lit(0) if cell is None else cell)
+    order = Window.partitionBy("series_id", "_cell").orderBy("t", "k")
+    sides = {"left": F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))}
     if interpolate == "linear":
-        both = both.withColumn("right", F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+        sides["right"] = F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    if cell is None:
+        both = both.withColumns(sides)
+    else:
+        by_cell = Window.partitionBy("series_id").orderBy("_cell")
+        of = both.groupBy("series_id", "_cell").agg(F.max_by("p", F.when(F.col("k") == 0, F.col("t"))).alias("a"), F.min_by("p", F.when(F.col("k") == 0, F.col("t"))).alias("b"))
+        before = F.last("a", ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("b", ignorenulls=True).over(by_cell.rowsBetween(1, Window.unboundedFollowing))
+        of = of.select(F.col("series_id").alias("_s"), F.col("_cell").alias("_c"), before.alias("_left"), after.alias("_right"))
+        both = both.withColumns(sides).join(of, same(F.col("series_id"), F.col("_s")) & same(F.col("_cell"), F.col("_c")))
+        both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in sides})
     found = both.where("k = 1")
     value = F.when(F.col("left").isNull(), F.lit(default).cast(kind)).otherwise(F.col("left.value"))
     if interpolate == "linear":
@@ -78,10 +92,9 @@ def skip_unchanged_input(new: DataFrame, default=None) -> DataFrame:
     return new.withColumn("_p", prev).where(~same(F.col("value"), F.col("_p"))).drop("_p")
 
 
-def compact(points: DataFrame) -> DataFrame:
-    """Points that change the value; the first always stays."""
-    before = F.lag(F.struct("value")).over(in_order())
-    return points.withColumn("_b", before).where(F.col("_b").isNull() | ~same(F.col("value"), F.col("_b.value"))).drop("_b")
+def compact(points: DataFrame, cell: Column | None = None) -> DataFrame:
+    """Points that change the value; the first always stays. cell: see `model.neighbour`."""
+    return neighbour(points, F.struct("value"), cell).where(F.col("near").isNull() | ~same(F.col("value"), F.col("near.value"))).drop("near")
 
 
 def set_point(points: DataFrame, t, value, default=None, compact: bool = False) -> DataFrame:

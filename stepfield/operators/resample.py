@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import check_bounds, is_clock, length, literal
 from .merge import aligned
 from .points import lookup
+from .timeagg import within
 
 
 def _step(points: DataFrame, period) -> Column:
@@ -45,11 +46,10 @@ def grid(points: DataFrame, period, start=None, end=None) -> DataFrame:
 
 
 def sample(points: DataFrame, period, start=None, end=None, default=None, interpolate: str = "previous", mask: DataFrame | None = None) -> DataFrame:
-    """(series_id, t, value) on a regular grid; with a mask (series_id, t0, t1) only where it is true."""
+    """(series_id, t, value) on a regular grid; with a mask (points or true periods, see `timeagg.within`) only where it is true."""
     probes = grid(points, period, start, end)
     if mask is not None:
-        m = mask.select(F.col("series_id").alias("m_id"), "t0", "t1")
-        probes = probes.join(m, (F.col("series_id") == F.col("m_id")) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left_semi")
+        probes = within(probes, mask)
     return lookup(points, probes, default, interpolate)
 
 

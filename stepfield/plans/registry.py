@@ -292,14 +292,22 @@ def bisect(spark, d):
 DAYS_SQL = "d as (select unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', interval 1 day)) as d)"
 
 
-@query("hour_of_day", f"with {DAYS_SQL} select d + interval 9 hour as t0, d + interval 10 hour as t1 from d")
+SPAN_SQL = "b as (select min(ts) as a, max(ts) as z from events), d as (select unnest(generate_series(date_trunc('day', a), z, interval 1 day)) as d from b)"
+
+
+def span(spark, d) -> tuple[dt.datetime, dt.datetime]:
+    """First and last time of events."""
+    return tuple(table(spark, d, "events").agg(F.min("ts"), F.max("ts")).first())
+
+
+@query("hour_of_day", f"with {SPAN_SQL} select greatest(d + interval 9 hour, a) as t0, least(d + interval 10 hour, z) as t1 from d, b where greatest(d + interval 9 hour, a) < least(d + interval 10 hour, z)")
 def hour_of_day(spark, d):
-    return calendar.hour_of_day(spark, A, B, 9)
+    return calendar.hour_of_day(spark, *span(spark, d), 9)
 
 
-@query("day_of_week", f"with {DAYS_SQL} select d as t0, d + interval 1 day as t1 from d where isodow(d) = 2")
+@query("day_of_week", f"with {SPAN_SQL} select greatest(d, a) as t0, least(d + interval 1 day, z) as t1 from d, b where isodow(d) = 2 and greatest(d, a) < least(d + interval 1 day, z)")
 def day_of_week(spark, d):
-    return calendar.day_of_week(spark, A, B, "Tuesday")
+    return calendar.day_of_week(spark, *span(spark, d), "Tuesday")
 
 
 MASK_SQL = f"{DAYS_SQL}, m as (select d + interval 9 hour as m0, d + interval 10 hour as m1 from d)"
@@ -336,6 +344,53 @@ def n_points_masked(spark, d):
     return timeagg.n_points(numbers(spark, d), mask=calendar.hour_of_day(spark, A, B, 9))
 
 
+@query("n_points_bounds", f"with {P} select series_id, count(*) filter (where t > TIMESTAMP '2024-01-10' and t <= TIMESTAMP '2024-01-20') / count(*) as n from p group by series_id")
+def n_points_bounds(spark, d):
+    return timeagg.n_points(numbers(spark, d), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), include_start=False, include_end=True, normalized=True)
+
+
+#: True periods of each user: two hours from each purchase, which may overlap.
+OFTEN_SQL = "o as (select user_id as series_id, ts as t0, ts + interval 2 hour as t1 from events where event_type in ('purchase', 'view'))"
+SWEPT_SQL = f"""{OFTEN_SQL}, e as (select series_id, t0, t1, max(t1) over (partition by series_id order by t0, t1 rows between unbounded preceding and 1 preceding) as reach from o),
+    r as (select *, sum(case when reach is null or t0 > reach then 1 else 0 end) over (partition by series_id order by t0, t1 rows unbounded preceding) as run from e),
+    m as (select series_id, min(t0) as m0, max(t1) as m1 from r group by series_id, run)"""
+
+
+def _often(spark, d) -> DataFrame:
+    e = table(spark, d, "events").where("event_type in ('purchase', 'view')")
+    return e.select(F.col("user_id").alias("series_id"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL '2' HOUR")).alias("t1"))
+
+
+@query("mask_union", f"with {SWEPT_SQL} select series_id, m0 as t0, m1 as t1 from m")
+def mask_union(spark, d):
+    return timeagg.sweep(_often(spark, d))
+
+
+@query("mask_complement", f"""with {SWEPT_SQL}, c as (select series_id, greatest(m0, {A_SQL}) as m0, least(m1, {B_SQL}) as m1 from m where m1 > {A_SQL} and m0 < {B_SQL}),
+    x as (select series_id, {A_SQL} as a from (select distinct series_id from o) union all select series_id, m1 from c),
+    y as (select x.series_id, x.a, (select coalesce(min(m0), {B_SQL}) from c where c.series_id = x.series_id and c.m0 >= x.a) as b from x) select series_id, a as t0, b as t1 from y where a < b""")
+def mask_complement(spark, d):
+    return timeagg.complement(_often(spark, d), A, B)
+
+
+@query("mask_intersection", f"""with {SWEPT_SQL}, {DAYS_SQL}, h as (select d + interval 9 hour as h0, d + interval 12 hour as h1 from d)
+    select series_id, greatest(m0, h0) as t0, least(m1, h1) as t1 from m join h on m0 < h1 and m1 > h0""")
+def mask_intersection(spark, d):
+    often = _often(spark, d)
+    days = calendar.date_range(spark, A, B, "days").select((F.col("t") + F.expr("INTERVAL '9' HOUR")).alias("t0"), (F.col("t") + F.expr("INTERVAL '12' HOUR")).alias("t1"))
+    return timeagg.intersection(often, often.select("series_id").distinct().crossJoin(F.broadcast(days)))
+
+
+@query("sample_masked", f"with {P}, {grid_sql(1)}, {SWEPT_SQL}, k as (select g.series_id, g.t from g semi join m on g.series_id = m.series_id and g.t >= m0 and g.t < m1) select k.series_id, k.t, p.value from k asof left join p on k.series_id = p.series_id and k.t >= p.t")
+def sample_masked(spark, d):
+    return resample.sample(numbers(spark, d), dt.timedelta(hours=1), A, B, mask=_often(spark, d))
+
+
+@query("sample_in_hours", f"with {P}, {grid_sql(1)}, k as (select * from g where extract(hour from t) = 9 and t < {B_SQL}) select k.series_id, k.t, p.value from k asof left join p on k.series_id = p.series_id and k.t >= p.t")
+def sample_in_hours(spark, d):
+    return resample.sample(numbers(spark, d), dt.timedelta(hours=1), A, B, mask=calendar.hour_of_day(spark, A, B, 9))
+
+
 @query("dist_by_hour", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('hour', t0), t1, interval 1 hour)) as e from c),
     x as (select series_id, cast(extract(hour from e) as integer) as hour, value, greatest(t0, e) as t0, least(t1, e + interval 1 hour) as t1 from h where e < t1)
     select series_id, hour, value, cast(sum({US}) as bigint) as mass_us from x group by series_id, hour, value""")
@@ -344,6 +399,14 @@ def dist_by_hour(spark, d):
     return h.select("series_id", "hour", "value", F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"))
 
 
+@query("dist_by_part", f"""with {P}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('hour', t0), t1, interval 1 hour)) as e from c),
+    x as (select series_id, cast(extract(hour from e) as integer) as hour, value > 50 as value, greatest(t0, e) as t0, least(t1, e + interval 1 hour) as t1 from h where e < t1)
+    select series_id, hour, value, cast(sum({US}) as bigint) as mass_us from x where hour between 9 and 17 group by series_id, hour, value""")
+def dist_by_part(spark, d):
+    h = timeagg.distribution_by(numbers(spark, d).withColumn("value", F.col("value") > 50), "hour", A, B, normalized=False, first=9, last=17)
+    return h.select("series_id", "hour", "value", F.round(F.col("mass") * 1e6).cast("long").alias("mass_us"))
+
+
 @query("dist_by_dow", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('day', t0), t1, interval 1 day)) as e from c),
     x as (select series_id, cast(isodow(e) - 1 as integer) as weekday, value, greatest(t0, e) as t0, least(t1, e + interval 1 day) as t1 from h where e < t1)
     select series_id, weekday, value, round(sum({US}) / sum(sum({US})) over (partition by series_id, weekday), 9) as mass from x group by series_id, weekday, value""")
@@ -384,6 +447,13 @@ def bin_n_points(spark, d):
     return timeagg.bin_points(numbers(spark, d), "days")
 
 
+@query("bin_n_points_masked", f"""with {P}, k as (select * from p where t >= TIMESTAMP '2024-01-03' and t < TIMESTAMP '2024-01-20' and extract(hour from t) = 9)
+    select series_id, TIMESTAMP '2024-01-03' + to_days(cast(3 * (date_diff('day', TIMESTAMP '2024-01-03', date_trunc('day', t)) // 3) as integer)) as bin_start, count(*) as n from k
+    where t < TIMESTAMP '2024-01-18' group by 1, 2""")
+def bin_n_points_masked(spark, d):
+    return timeagg.bins(numbers(spark, d), "days", 3, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20), mask=calendar.hour_of_day(spark, A, B, 9), smaller="days", transform="n_points")
+
+
 @query("rebin", f"""with {S}, {WITHIN}, h as (select *, unnest(generate_series(date_trunc('day', t0), t1, interval 1 day)) as e from c),
     x as (select series_id, cast(isodow(e) - 1 as integer) as bin, value, greatest(t0, e) as t0, least(t1, e + interval 1 day) as t1 from h where e < t1)
     select series_id, bin, value, cast(sum({US}) as bigint) as mass_us from x group by series_id, bin, value""")
@@ -450,6 +520,19 @@ def threshold(spark, d):
     return algebra.threshold(holes(spark, d), 50.0)
 
 
+@query("threshold_inclusive", f"with {N} select series_id, t, value >= 50.0 as value from p")
+def threshold_inclusive(spark, d):
+    return algebra.threshold(holes(spark, d), 50.0, inclusive=True)
+
+
+@query("add_all", f"""with x as (select user_id // 3 as series_id, user_id % 3 as k, ts as t, {WHOLE} as v from events), u as (select distinct series_id, t from x), g as (select series_id, t, unnest([0, 1, 2]) as k from u),
+    s as (select g.series_id, g.t, coalesce(sum(v), 0) as value from g asof left join x on g.series_id = x.series_id and g.k = x.k and g.t >= x.t group by 1, 2),
+    l as (select *, lag(value) over w as prev, row_number() over w as n from s window w as (partition by series_id order by t)) select series_id, t, value from l where n = 1 or value <> prev""")
+def add_all(spark, d):
+    rows = table(spark, d, "events").select(F.expr("user_id div 3").alias("series_id"), F.col("ts").alias("t"), F.expr(WHOLE).alias("value"), (F.col("user_id") % 3).alias("k"))
+    return algebra.add_all([rows.where(F.col("k") == k).drop("k") for k in range(3)])
+
+
 # --- Merging ---
 
 
@@ -473,13 +556,13 @@ GRID_ALL = ALL + """, g as (select t.t, s.series_id from (select distinct t from
     v as (select g.t, g.series_id, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)"""
 
 
-def _exact(spark, d) -> DataFrame:
-    """Values as decimals, so that running sums of changes leave no rest."""
-    return holes(spark, d).withColumn("value", F.col("value").cast("decimal(18,6)"))
+#: Raw numbers, some of them null and some not a number.
+NAN = "case when event_type = 'error' then null when event_type = 'signup' and value < 30 then cast('NaN' as double) else value end"
+GRID_NAN = GRID_ALL.replace(HOLES, NAN)
 
 
-def _as_double(df: DataFrame) -> DataFrame:
-    return df.select("t", F.round(F.col("value").cast("double"), 6).alias("value"))
+def rough(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("ts").alias("t"), F.expr(NAN).alias("value"))
 
 
 @query("merge_list", GRID_ALL + " select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v group by t")
@@ -494,14 +577,37 @@ def merge_max(spark, d):
     return merge.compacted(merge.running_max(holes(spark, d)))
 
 
-@query("merge_ignorant_sum", GRID_ALL + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
+@query("merge_ignorant_sum", GRID_NAN + " select t, round(coalesce(sum(value), 0), 6) as value from v group by t")
 def merge_ignorant_sum(spark, d):
-    return _as_double(merge.running_sum(_exact(spark, d)).withColumnRenamed("sum", "value"))
+    return merge.running_sum(rough(spark, d)).select("t", F.round("sum", 6).alias("value"))
 
 
-@query("merge_strict_sum", GRID_ALL + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
+@query("merge_strict_sum", GRID_NAN + " select t, round(case when count(*) = count(value) then sum(value) end, 6) as value from v group by t")
 def merge_strict_sum(spark, d):
-    return _as_double(merge.strict_sum(_exact(spark, d)))
+    return merge.strict_sum(rough(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("merge_folds", GRID_ALL + """ select t, min(value) as least, count(*) filter (where value > 90) as above, coalesce(bool_or(value > 99.5), false) as any_above, bool_and(coalesce(value > 1, false)) as all_above,
+    round(avg(value), 6) as mean from v group by t""")
+def merge_folds(spark, d):
+    """Any operation that is associative, at each t of all series: here five at once."""
+    p = holes(spark, d)
+    above = lambda limit: lambda v: F.bool_or(v > limit)
+    got = merge.folded(p, {
+        "least": merge.LEAST, "above": (lambda v: F.count_if(v > 90), F.sum), "any_above": (above(99.5), F.bool_or),
+        "all_above": (lambda v: F.bool_and(F.coalesce(v > 1, F.lit(False))), F.bool_and), "sum": merge.SUM, "known": merge.COUNT, "held": merge.HELD,
+    })
+    got = got.crossJoin(F.broadcast(merge.number_of_series(p)))
+    # A series without a point so far is null, which no condition holds for.
+    every = F.col("all_above") & (F.col("held") == F.col("k"))
+    return got.select("t", "least", "above", F.coalesce("any_above", F.lit(False)).alias("any_above"), every.alias("all_above"), F.round(F.try_divide("sum", "known"), 6).alias("mean"))
+
+
+@query("merge_default", ALL + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
+    v as (select g.t, case when p.t is null then 50.0 else p.value end as value from g asof left join p on g.series_id = p.series_id and g.t >= p.t)
+    select t, round(sum(value), 6) as sum, max(value) as most from v group by t""")
+def merge_default(spark, d):
+    return merge.folded(holes(spark, d), {"sum": merge.SUM, "most": merge.GREATEST}, default=50.0).withColumn("sum", F.round("sum", 6))
 
 
 @query("count_by_value", f"""with {S}, l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
@@ -591,7 +697,7 @@ EV = "p as (select event_type as series_id, ts as t from events)"
 
 @query("cumsum", f"with {EV}, n as (select series_id, t, count(*) as n from p group by 1, 2) select series_id, t, cast(sum(n) over (partition by series_id order by t) as bigint) as value from n")
 def cumsum(spark, d):
-    return events.cumulative_sum(kinds(spark, d))
+    return events.cumulative_sum(kinds(spark, d), F.date_trunc("day", "t"))
 
 
 @query("events_between", f"with {EV} select series_id, count(*) filter (where t between TIMESTAMP '2024-01-10' and TIMESTAMP '2024-01-20') as n from p group by 1")
@@ -601,7 +707,7 @@ def events_between(spark, d):
 
 @query("interevent", f"with {EV}, g as (select series_id, t, date_diff('microsecond', lag(t) over (partition by series_id order by t), t) as gap_us from p) select * from g where gap_us is not null")
 def interevent(spark, d):
-    return events.gaps(kinds(spark, d)).select("series_id", "t", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
+    return events.gaps(kinds(spark, d), F.date_trunc("day", "t")).select("series_id", "t", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
 
 
 @query("event_clusters", """with p as (select user_id as series_id, ts as t from events), g as (select *, case when date_diff('microsecond', lag(t) over w, t) <= 21600000000 then 0 else 1 end as new from p window w as (partition by series_id order by t)),
@@ -653,11 +759,88 @@ def rolling_zscore(spark, d):
     return recipes.anomalies(numbers(spark, d), 24).withColumn("z", F.round("z", 4))
 
 
-@query("stacked", f"""with {P}, s as (select unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', interval 5 day)) as start)
-    select series_id, start, round(date_diff('microsecond', start, t) / 1e6, 6) as t, value from p join s on t >= start and t <= start + interval 2 day""")
+STACK_SQL = f"""{P}, s as (select unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', interval 1 day)) as start),
+    i as (select series_id, start from (select distinct series_id from p), s),
+    h as (select i.series_id, i.start, 0 as us, p.value from i asof left join p on i.series_id = p.series_id and i.start >= p.t
+        union all select series_id, start, date_diff('microsecond', start, t), value from p join s on t > start and t < start + interval 2 day),
+    l as (select *, lag(value) over w as prev, row_number() over w as n from h window w as (partition by series_id, start order by us)),
+    f as (select series_id, start, us, value from l where n = 1 or value is distinct from prev)"""
+
+
+def _starts(spark) -> DataFrame:
+    return calendar.date_range(spark, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25), "days", 1, True).withColumnRenamed("t", "start")
+
+
+@query("stacked", f"with {STACK_SQL} select series_id, start, us, value from f")
 def stacked(spark, d):
-    starts = calendar.date_range(spark, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25), "days", 5, True).withColumnRenamed("t", "start")
-    return recipes.stacked(numbers(spark, d), starts, 2 * 86400).withColumn("t", F.round("t", 6))
+    return recipes.stacked(numbers(spark, d), _starts(spark), 2 * 86400).withColumnRenamed("t", "us")
+
+
+@query("stack", f"""with {STACK_SQL}, u as (select distinct series_id, us from f), k as (select u.series_id, u.us, s.start from u, s),
+    v as (select k.series_id, k.us, f.value from k asof left join f on k.series_id = f.series_id and k.start = f.start and k.us >= f.us)
+    select series_id, round(us / 1e6, 6) as t, round(avg(value), 6) as value from v group by series_id, us""")
+def stack(spark, d):
+    return recipes.stack(numbers(spark, d), _starts(spark), 2 * 86400).withColumns({"t": F.round("t", 6), "value": F.round("value", 6)})
+
+
+@query("hourly_error_rate", """with n as (select date_trunc('hour', ts) as t, count(*) as n, count(*) filter (where event_type = 'error') as flagged from events group by 1),
+    h as (select unnest(generate_series(min(t), max(t), interval 1 hour)) as t from n)
+    select h.t, coalesce(n, 0) as n, coalesce(flagged, 0) as flagged, round(flagged / n, 9) as rate from h left join n on h.t = n.t""")
+def hourly_error_rate(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").alias("t"), "event_type")
+    return recipes.hourly_rate(e, F.col("event_type") == "error").withColumn("rate", F.round("rate", 9))
+
+
+@query("open_tickets", """with k as (select o_orderkey as id, o_orderdate as opened, min(l_shipdate) as closed from orders left join lineitem on o_orderkey = l_orderkey and l_shipdate > o_orderdate group by 1, 2),
+    m as (select opened as t, 1 as n from k union all select closed, -1 from k where closed is not null), x as (select t, sum(n) as n from m group by t),
+    y as (select t, cast(sum(n) over (order by t) as bigint) as n from x) select t, n as by_sum, n as by_value, n as by_events from y""")
+def open_tickets(spark, d):
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    k = table(spark, d, "orders").join(items, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate")), "left")
+    return recipes.open_tickets(k.groupBy(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("opened")).agg(F.min("l_shipdate").alias("closed")))
+
+
+# --- Long series: each event type as one, in cells of a day ---
+
+LONG = "p as (select event_type as series_id, ts as t, arg_max(value, event_id) as value from events group by 1, 2)"
+
+
+def long_series(spark, d) -> DataFrame:
+    return model.normalize(table(spark, d, "events"), "event_type", "ts", "value", "event_id")
+
+
+def a_day():
+    return F.date_trunc("day", "t")
+
+
+@query("long_lookup", f"with {LONG}, {grid_sql(1)} select g.series_id, g.t, p.value from g asof left join p on g.series_id = p.series_id and g.t >= p.t")
+def long_lookup(spark, d):
+    p = long_series(spark, d)
+    return points.lookup(p, probes(p, 1), cell=a_day())
+
+
+@query("long_lookup_linear", f"""with {LONG}, {grid_sql(1)}, o as (select *, lead(t) over w as n, lead(value) over w as v2 from p window w as (partition by series_id order by t))
+    select g.series_id, g.t, round(case when o.t is null then -1.0 when n is null then value else value + date_diff('microsecond', o.t, g.t) / date_diff('microsecond', o.t, n) * (v2 - value) end, 6) as value
+    from g asof left join o on g.series_id = o.series_id and g.t >= o.t""")
+def long_lookup_linear(spark, d):
+    p = long_series(spark, d)
+    return points.lookup(p, probes(p, 1), -1.0, "linear", a_day()).withColumn("value", F.round("value", 6))
+
+
+@query("long_periods", f"with {LONG}, {WITHIN} select series_id, t0, t1, value from c")
+def long_periods(spark, d):
+    return periods.periods(long_series(spark, d), A, B, cell=a_day())
+
+
+@query("long_compact", f"with {LONG}, f as (select series_id, t, value > 50 as value from p), b as (select *, lag(value) over w as prev, row_number() over w as k from f window w as (partition by series_id order by t)) select series_id, t, value from b where k = 1 or value is distinct from prev")
+def long_compact(spark, d):
+    return points.compact(long_series(spark, d).withColumn("value", F.col("value") > 50), a_day())
+
+
+@query("long_clusters", """with p as (select event_type as series_id, ts as t from events), g as (select *, case when date_diff('microsecond', lag(t) over w, t) <= 600000000 then 0 else 1 end as new from p window w as (partition by series_id order by t)),
+    r as (select *, sum(new) over (partition by series_id order by t) as run from g) select series_id, min(t) as first_t, max(t) as last_t, count(*) as n from r group by series_id, run""")
+def long_clusters(spark, d):
+    return events.clusters(kinds(spark, d), 600, a_day())
 
 
 # --- Calendar ---
@@ -679,14 +862,14 @@ def floor_units(spark, d):
     return table(spark, d, "events").select("event_id", *(calendar.floor(F.col("ts"), u, n).alias(name) for name, (u, n, _) in FLOORS.items()))
 
 
-@query("datetime_range", "select unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', interval 9 hour)) as t")
+@query("datetime_range", "with b as (select min(ts) as a, max(ts) as z from events) select t from (select unnest(generate_series(a, z, interval 9 hour)) as t, z from b) where t < z")
 def datetime_range(spark, d):
-    return calendar.date_range(spark, A, B, "hours", 9).where(F.col("t") < F.lit(dt.datetime(2024, 1, 30, 23, 0, 1)))
+    return calendar.date_range(spark, *span(spark, d), "hours", 9)
 
 
-@query("weekday", "select event_id, cast(isodow(ts) - 1 as integer) as weekday from events")
+@query("weekday", "select event_id, cast(isodow(ts) - 1 as integer) as weekday, isodow(ts) = 3 as is_it from events")
 def weekday(spark, d):
-    return table(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"))
+    return table(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"), (F.weekday("ts") == calendar.weekday_number("Wednesday")).alias("is_it"))
 
 
 @query("time_midpoint", f"with {P}, {INNER} select series_id, t0, t0 + to_microseconds({US} // 2 + ({US} % 2) * (({US} // 2) % 2)) as mid from c")

@@ -348,3 +348,140 @@ def test_add_all(spark):
     assert pairs(algebra.add_all([a])) == [(0, 1), (4, 2)]
     with pytest.raises(ValueError):
         algebra.add_all([])
+
+
+def brute_folds(items, ids, default=None):
+    """Values of all series at each t, from {id: [(t, value)]}."""
+    out = {}
+    for t in sorted({t for pts in items.values() for t, _ in pts}):
+        held = []
+        for i in ids:
+            before = [v for u, v in items[i] if u <= t]
+            held.append(before[-1] if before else default)
+        out[t] = held
+    return out
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ([(1, NAN), (2, 1.0)], [(1, 2.0)], {1: NAN, 2: 3.0}),
+        ([(1, INF), (2, 1.0)], [(1, 2.0)], {1: INF, 2: 3.0}),
+        ([(1, 1e16), (2, 1.0)], [(1, 2.5)], {1: 1e16 + 2.5, 2: 3.5}),
+        ([(1, -INF), (2, INF), (3, None)], [(1, 2.5)], {1: -INF, 2: INF, 3: None}),
+    ],
+)
+def test_sums_forget_what_has_ceased(spark, a, b, want):
+    p = series(spark, a, "double", name="a").union(series(spark, b, "double", name="b"))
+    got = {r.t: r.value for r in merge.strict_sum(p).collect()}
+    assert got == pytest.approx(want, nan_ok=True)
+    ignorant = {r.t: r.sum for r in merge.running_sum(p).collect()}
+    assert ignorant == pytest.approx({t: 2.5 if v is None else v for t, v in want.items()}, nan_ok=True)
+
+
+def test_folded_equals_brute_force(spark):
+    rnd = random.Random(6)
+    items = {i: [(t, rnd.choice([None, 1.5, -2.0, 7.0])) for t in sorted(rnd.sample(range(60), rnd.randint(1, 25)))] for i in "abcdefg"}
+    p = spark.createDataFrame([(i, t, v) for i, pts in items.items() for t, v in pts], "series_id string, t int, value double")
+    for default in (None, 3.0):
+        folds = {"least": merge.LEAST, "most": merge.GREATEST, "sum": merge.SUM, "known": merge.COUNT, "bits": (lambda v: F.bit_or(v.cast("int")), F.bit_or)}
+        got = {r.t: r for r in merge.folded(p, folds, default=default, cell=F.floor(F.col("t") / 7)).collect()}
+        for t, held in brute_folds(items, items, default).items():
+            known = [v for v in held if v is not None]
+            bits = 0
+            for v in known:
+                bits |= int(v)
+            r = got.pop(t)
+            assert (r.least, r.most, r["sum"], r.known, r.bits) == (min(known, default=None), max(known, default=None), sum(known) if known else None, len(known), bits if known else None)
+        assert not got
+
+
+def test_stack_holds_the_value_at_each_start(spark):
+    d = lambda *x: dt.datetime(2024, 1, *x)
+    p = series(spark, [(d(1), 1.0), (d(2, 12), 3.0), (d(3), 5.0), (d(4), 5.0)], "double", "timestamp_ntz")
+    starts = spark.createDataFrame([(d(2),), (d(3),), (dt.datetime(2023, 12, 31),)], "start timestamp_ntz")
+    from stepfield.operators import recipes
+
+    hour = 3_600_000_000
+    got = sorted((r.start, r.t, r.value) for r in recipes.stacked(p, starts, 2 * 86400).collect())
+    old = dt.datetime(2023, 12, 31)
+    assert got == [(old, 0, None), (old, 24 * hour, 1.0), (d(2), 0, 1.0), (d(2), 12 * hour, 3.0), (d(2), 24 * hour, 5.0), (d(3), 0, 5.0)]
+    assert pairs(recipes.stack(p, starts, 2 * 86400)) == [(0.0, 3.0), (43200.0, 4.0), (86400.0, 11 / 3)]
+
+
+def test_cells_change_no_result(spark):
+    rnd = random.Random(9)
+    rows = [(s, t, rnd.choice([None, 1, 2])) for s in "ab" for t in sorted(rnd.sample(range(500), 200))] + [("c", 499, 1)]
+    p = spark.createDataFrame(rows, "series_id string, t int, value int")
+    cell = F.floor(F.col("t") / 37)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(points.compact(p, cell)) == rows(points.compact(p))
+    assert rows(merge.transitions(p, 7, cell)) == rows(merge.transitions(p, 7))
+    for a, b in ((None, None), (10, 400), (None, 333), (100, None)):
+        assert rows(periods.periods(p, a, b, 5, cell=cell)) == rows(periods.periods(p, a, b, 5))
+    probes = spark.createDataFrame([(s, x) for s in "abc" for x in range(-5, 520, 3)], "series_id string, t int")
+    for how in ("previous", "linear"):
+        assert rows(points.lookup(p, probes, 9, how, cell)) == rows(points.lookup(p, probes, 9, how))
+    e = p.select("series_id", "t").union(p.select("series_id", "t").where("t % 3 = 0"))
+    assert rows(events.cumulative_sum(e, cell)) == rows(events.cumulative_sum(e))
+    assert rows(events.gaps(e, cell)) == rows(events.gaps(e))
+    assert rows(events.clusters(e, 3, cell)) == rows(events.clusters(e, 3))
+
+
+def test_no_task_holds_a_long_series(spark):
+    """A million points of one series: every window but that over the cells' edges is over a cell."""
+    p = spark.range(1_000_000).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 7).alias("value"))
+    cell = F.floor(F.col("t") / 10_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (points.compact(p, cell), periods.periods(p, cell=cell), events.gaps(p.select("series_id", "t"), cell), points.lookup(p, p.select("series_id", "t"), cell=cell)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            whole = [line for line in plan.splitlines() if "Window " in line and "_cell" not in line.split("windowspecdefinition")[1].split("ASC")[0]]
+            over_cells = [line for line in whole if "_cell" in line]
+            assert whole == over_cells  # ordered by cells, of which there are 100
+            assert df.count() in (999_999, 1_000_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_masks_as_sets(spark):
+    rnd = random.Random(5)
+    ps = [[(s, a, a + rnd.randint(0, 9)) for s in "ab" for a in (rnd.randint(0, 80) for _ in range(12))] for _ in range(2)]
+    x, y = (spark.createDataFrame(p, "series_id string, t0 int, t1 int") for p in ps)
+
+    def cells(p):
+        return {(s, i) for s, a, b in p for i in range(a, b)}
+
+    def check(df, want):
+        got = sorted(tuple(r) for r in df.collect())
+        assert cells(got) == want and all(g[0] != h[0] or g[2] < h[1] for g, h in zip(got, got[1:]))  # noqa: B905
+
+    check(timeagg.sweep(x), cells(ps[0]))
+    check(timeagg.intersection(x, y), cells(ps[0]) & cells(ps[1]))
+    check(timeagg.complement(x, 5, 70), {(s, i) for s in "ab" for i in range(5, 70)} - cells(ps[0]))
+    check(timeagg.sweep(x.union(y)), cells(ps[0]) | cells(ps[1]))
+    p = spark.createDataFrame([(s, t, t) for s in "abc" for t in range(100)], "series_id string, t int, value int")
+    assert {(r.series_id, r.t) for r in resample.sample(p, 1, 0, 99, mask=x).collect()} == cells(ps[0]) & {(s, t) for s in "ab" for t in range(100)}
+    assert {(r.series_id, r.t) for r in resample.sample(p, 1, 0, 99, mask=x.drop("series_id")).collect()} == {(s, t) for s in "abc" for _, t in cells(ps[0])}
+
+
+def test_a_long_period_makes_a_row_for_each_part(spark):
+    d = dt.datetime
+    p = series(spark, [(d(2010, 1, 1, 5, 30), 1), (d(2020, 1, 1), 2)], t="timestamp_ntz")
+    got = {r.hour: r.mass for r in timeagg.distribution_by(p, "hour", normalized=False).collect()}
+    days = (d(2020, 1, 1) - d(2010, 1, 1)).days
+    assert got == {h: 3600.0 * days - (3600.0 * min(1, max(0, 5.5 - h)) if h <= 5 else 0) for h in range(24)}
+    plan = timeagg.distribution_by(p, "weekday", normalized=False, first=5, last=6)
+    assert sorted(r.weekday for r in plan.collect()) == [5, 6]
+    with pytest.raises(ValueError):
+        timeagg.distribution_by(p, "hour", first=3, last=24)
+
+
+def test_a_mask_that_is_never_true(spark):
+    p = series(spark, [(1, 1), (5, 2)])
+    never = spark.createDataFrame([(1, 1)], "t0 int, t1 int").where("t0 < t1")
+    with pytest.raises(Exception, match="never true"):
+        timeagg.mean(p, mask=never).collect()
