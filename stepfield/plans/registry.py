@@ -444,7 +444,7 @@ def bin_months(spark, d):
 
 @query("bin_n_points", f"with {P} select series_id, date_trunc('day', t) as bin_start, count(*) as n from p group by 1, 2")
 def bin_n_points(spark, d):
-    return timeagg.bin_points(numbers(spark, d), "days")
+    return timeagg.bins(numbers(spark, d), "days", transform="n_points", keep_last=True)
 
 
 @query("bin_n_points_masked", f"""with {P}, k as (select * from p where t >= TIMESTAMP '2024-01-03' and t < TIMESTAMP '2024-01-20' and extract(hour from t) = 9)
@@ -588,19 +588,19 @@ def merge_strict_sum(spark, d):
 
 
 @query("merge_folds", GRID_ALL + """ select t, min(value) as least, count(*) filter (where value > 90) as above, coalesce(bool_or(value > 99.5), false) as any_above, bool_and(coalesce(value > 1, false)) as all_above,
-    round(avg(value), 6) as mean from v group by t""")
+    round(sum(value), 6) as sum from v group by t""")
 def merge_folds(spark, d):
-    """Any operation that is associative, at each t of all series: here five at once."""
+    """Any operation that is associative, at each t of all series: here several at once."""
     p = holes(spark, d)
     above = lambda limit: lambda v: F.bool_or(v > limit)
     got = merge.folded(p, {
         "least": merge.LEAST, "above": (lambda v: F.count_if(v > 90), F.sum), "any_above": (above(99.5), F.bool_or),
-        "all_above": (lambda v: F.bool_and(F.coalesce(v > 1, F.lit(False))), F.bool_and), "sum": merge.SUM, "known": merge.COUNT, "held": merge.HELD,
+        "all_above": (lambda v: F.bool_and(F.coalesce(v > 1, F.lit(False))), F.bool_and), "sum": merge.SUM, "held": merge.HELD,
     })
     got = got.crossJoin(F.broadcast(merge.number_of_series(p)))
     # A series without a point so far is null, which no condition holds for.
     every = F.col("all_above") & (F.col("held") == F.col("k"))
-    return got.select("t", "least", "above", F.coalesce("any_above", F.lit(False)).alias("any_above"), every.alias("all_above"), F.round(F.try_divide("sum", "known"), 6).alias("mean"))
+    return got.select("t", "least", "above", F.coalesce("any_above", F.lit(False)).alias("any_above"), every.alias("all_above"), F.round("sum", 6).alias("sum"))
 
 
 @query("merge_default", ALL + """, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
