@@ -29,14 +29,14 @@ def merged_values(points: DataFrame, default=None, cell: Column | None = None) -
     # A row of the result holds a value of each series, so one task can number them.
     ids = points.select("series_id").distinct().withColumn("i", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("int"))
     rows = points.select("series_id", "t", "value").withColumn("_cell", default_cell(points) if cell is None else cell)
-    ends = rows.groupBy("series_id", "_cell").agg(F.max_by(F.struct("value"), "t").alias("v"))
+    moves = rows.join(ids.withColumnRenamed("series_id", "_id"), same(F.col("series_id"), F.col("_id"))).select("_cell", "t", "i", "value")
+    ends = moves.groupBy("i", "_cell").agg(F.max_by(F.struct("value"), "t").alias("v"))
     cells = rows.select("_cell").distinct()
     # What a series holds when a cell begins: a row for each cell and series.
-    before = Window.partitionBy("series_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    grid = cells.crossJoin(ids).join(ends, ["series_id", "_cell"], "left")
+    before = Window.partitionBy("i").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cells.crossJoin(ids.select("i")).join(ends, ["i", "_cell"], "left")
     start = grid.select("i", "_cell", F.last("v", ignorenulls=True).over(before).alias("v"))
     start = start.select("_cell", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "i", F.when(F.col("v").isNull(), F.lit(default).cast(kind)).otherwise(F.col("v.value")).alias("value"))
-    moves = rows.join(ids, "series_id").select("_cell", "t", "i", "value")
 
     def fill(batches):
         import numpy as np
@@ -71,17 +71,17 @@ def merged_values(points: DataFrame, default=None, cell: Column | None = None) -
 
         held, cell_of = [], None
         for batch in batches:
-            cells_of = batch.column("_cell").to_pylist()
-            begin = 0
-            for row, c in enumerate(cells_of):
-                if held and c != cell_of or row > begin and c != cell_of:
-                    if row > begin:
-                        held.append(batch.slice(begin, row - begin))
-                    yield from lists(held)
-                    held, begin = [], row
-                cell_of = c
-            if begin < batch.num_rows:
-                held.append(batch.slice(begin))
+            cells_of = batch.column("_cell")
+            code = cells_of.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), batch.num_rows]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if begin < end:
+                    c = cells_of[int(begin)].as_py()
+                    if held and c != cell_of:
+                        yield from lists(held)
+                        held = []
+                    held.append(batch.slice(int(begin), int(end - begin)))
+                    cell_of = c
         if held:
             yield from lists(held)
 

@@ -281,6 +281,45 @@ def sorted_items(spark, d):
     return points.numbered(numbers(spark, d)).select("series_id", "t", "value", F.col("n").cast("long").alias("n"), "size")
 
 
+@query("series_same", f"""with {S}, c as (select series_id, t, value from (select *, lag(value) over w as prev, row_number() over w as k from p window w as (partition by series_id order by t)) where k = 1 or value is distinct from prev),
+    n as (select series_id, count(*) as n from c group by 1) select p.series_id, count(*) = any_value(n.n) as equal from p join n on p.series_id = n.series_id group by 1""")
+def series_same(spark, d):
+    s = states(spark, d)
+    return points.equal_series(s, points.compact(s))
+
+
+@query("islice", f"""with {P}, r as (select *, row_number() over (partition by series_id order by t) - 1 as n, count(*) over (partition by series_id) as k from p)
+    select series_id, t, value, n, 'inner' as part from r where n >= 10 and n < 20 union all select series_id, t, value, n, 'tail' from r where n >= greatest(0, k - 5) and n < greatest(0, k - 1)""")
+def islice(spark, d):
+    p = numbers(spark, d)
+    a, b = points.islice(p, 10, 20), points.islice(p, -5, -1)
+    return a.withColumn("part", F.lit("inner")).union(b.withColumn("part", F.lit("tail")))
+
+
+#: A day's first and last event of each type make bounds that points lie on.
+EDGES_SQL = "(select min(ts) from events where ts >= TIMESTAMP '2024-01-10') as a, (select min(ts) from events where ts >= TIMESTAMP '2024-01-20') as b"
+
+
+def _edges(spark, d) -> tuple[dt.datetime, dt.datetime]:
+    """Two times that points lie on."""
+    e = table(spark, d, "events")
+    return tuple(e.where(F.col("ts") >= F.lit(x)).agg(F.min("ts")).first()[0] for x in (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)))
+
+
+@query("irange", f"""with {P}, e as (select {EDGES_SQL}), x as (select p.*, a, b from p, e)
+    select series_id, t, value, true as low, true as high from x where t >= a and t <= b union all select series_id, t, value, true, false from x where t >= a and t < b
+    union all select series_id, t, value, false, true from x where t > a and t <= b union all select series_id, t, value, false, false from x where t > a and t < b""")
+def irange(spark, d):
+    p, (a, b) = numbers(spark, d), _edges(spark, d)
+    parts = [points.irange(p, a, b, (x, y)).withColumns({"low": F.lit(x), "high": F.lit(y)}) for x in (True, False) for y in (True, False)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("remove_interval_bounds", f"with {P}, e as (select {EDGES_SQL}) select series_id, t, value from p, e where not (t > a and t <= b)")
+def remove_interval_bounds(spark, d):
+    return points.remove_interval(numbers(spark, d), *_edges(spark, d), inclusive=(False, True))
+
+
 @query("bisect", f"with {P} select series_id, count(*) filter (where t < TIMESTAMP '2024-01-15') as lo, count(*) filter (where t <= TIMESTAMP '2024-01-15') as hi from p group by series_id")
 def bisect(spark, d):
     p, x = numbers(spark, d), dt.datetime(2024, 1, 15)
@@ -668,8 +707,8 @@ def hist_add(spark, d):
     return hist.add(hist.histogram(rows.where("l_returnflag = 'N'"), "l_suppkey", "l_quantity"), hist.histogram(rows.where("l_returnflag <> 'N'"), "l_suppkey", "l_quantity"))
 
 
-def _quantile_sql(alpha: float, smallest: str) -> str:
-    return f"""with {PRICES}, r as (select series_id, value, mass, coalesce(sum(mass) over (partition by series_id order by value rows between unbounded preceding and 1 preceding), 0) as lo,
+def _quantile_sql(alpha: float, smallest: str, masses: str = PRICES) -> str:
+    return f"""with {masses}, r as (select series_id, value, mass, coalesce(sum(mass) over (partition by series_id order by value rows between unbounded preceding and 1 preceding), 0) as lo,
         sum(mass) over (partition by series_id) as w, {alpha} * {smallest} as beta from h),
         k0 as (select series_id, (lo + beta) / w as x, value as y, beta from r union all select series_id, (lo + mass - beta) / w, value, beta from r),
         k1 as (select series_id, x, max(y) as y, any_value(beta) as beta from k0 group by series_id, x),
@@ -690,6 +729,12 @@ def hist_quantiles_ecdf(spark, d):
     return hist.quantiles(_quantities(spark, d), [0.05, 0.25, 0.5, 0.9], 0.0).withColumn("value", F.round("value", 6))
 
 
+@query("masked_quantiles", _quantile_sql(0.5, "min(mass) over (partition by series_id)", f"h as (with {P}, {WITHIN}, {MASK_SQL}, {MASKED} select series_id, value, sum({US}) / 1e6 as mass from x where value is not null group by 1, 2)"))
+def masked_quantiles(spark, d):
+    h = timeagg.distribution(numbers(spark, d), A, B, mask=calendar.hour_of_day(spark, A, B, 9))
+    return hist.quantiles(h, [0.05, 0.25, 0.5, 0.9]).withColumn("value", F.round("value", 6))
+
+
 # --- Events ---
 
 EV = "p as (select event_type as series_id, ts as t from events)"

@@ -485,3 +485,29 @@ def test_a_mask_that_is_never_true(spark):
     never = spark.createDataFrame([(1, 1)], "t0 int, t1 int").where("t0 < t1")
     with pytest.raises(Exception, match="never true"):
         timeagg.mean(p, mask=never).collect()
+
+
+def test_places_and_ranges(spark):
+    p = spark.createDataFrame([(s, t, t * t) for s, k in (("a", 50), ("b", 3)) for t in range(k)], "series_id string, t int, value int")
+    for i, j in ((None, None), (0, 5), (7, 31), (-5, None), (None, -2), (-40, -30), (10, 5), (60, 70), (-100, 2)):
+        for cell in (None, F.floor(F.col("t") / 8)):
+            got = sorted((r.series_id, r.t, r.n) for r in points.islice(p, i, j, cell).collect())
+            assert got == [(s, t, t) for s, k in (("a", 50), ("b", 3)) for t in range(k)[slice(i, j)]]
+    for low in (True, False):
+        for high in (True, False):
+            want = [t for t in range(50) if (t >= 5 if low else t > 5) and (t <= 9 if high else t < 9)]
+            assert sorted(r.t for r in points.irange(p, 5, 9, (low, high)).where("series_id = 'a'").collect()) == want
+            assert sorted(r.t for r in points.remove_interval(p, 5, 9, (low, high)).where("series_id = 'a'").collect()) == [t for t in range(50) if t not in want]
+    assert points.irange(p, None, 4).count() == 8
+
+
+def test_equal_series(spark):
+    p = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("b", 1, 2.0), (None, 1, 0.0)], "series_id string, t int, value double")
+    q = spark.createDataFrame([("a", 2, None), ("a", 1, 1.0), ("b", 1, 3.0), (None, 1, -0.0), ("c", 1, 1.0)], "series_id string, t int, value double")
+    assert {r.series_id: r.equal for r in points.equal_series(p, q).collect()} == {"a": True, "b": False, None: True, "c": False}
+    assert points.equal(p, p) and not points.equal(p, q) and not points.equal(p, p.union(p.limit(1)))
+
+
+def test_merged_values_of_a_null_id(spark):
+    p = spark.createDataFrame([(None, 1, 5), ("a", 2, 6), (None, 3, None)], "series_id string, t int, value int")
+    assert pairs(merge.merged_values(p), "t", "values") == [(1, [5, None]), (2, [5, 6]), (3, [None, 6])]
