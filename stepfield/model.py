@@ -1,7 +1,8 @@
 """Series as DataFrames.
 
 Points have the columns series_id, t, value: a value holds from its t until the next t of its series. Before the first
-point a default holds. t is a timestamp, a date or a number, and unique in a series (`normalize` sees to that). A null
+point a default holds, null if none is given: one value for all series, or where an operator says so a table
+(series_id, default) with a row for each. t is a timestamp, a date or a number, and unique in a series (`normalize` sees to that). A null
 value is a value like any other: it ends the one before. Infinite bounds are nulls.
 
 Every operator works on all series at once, partitioned by series_id, and is a plan of built-in functions.
@@ -107,5 +108,14 @@ def neighbour(rows: DataFrame, what: Column, cell: Column | None = None, ahead:
     return inside.join(edges, on).withColumn("near", F.coalesce("near", "_edge")).drop("_cell", "_what", "_c", "_edge", *(f"_k{i}" for i in range(len(keys))))
 
 
+def before_first(rows: DataFrame, default, kind: T.DataType, found: Column, value: Column) -> DataFrame:
+    """rows with `value` where found, else with the default: one for all series, or a table (series_id, default), null where it has no row."""
+    if not isinstance(default, DataFrame):
+        return rows.withColumn("value", F.when(found, value).otherwise(F.lit(default).cast(kind)))
+    of = default.select(F.col("series_id").alias("_series"), F.col("default").cast(kind).alias("_default"))
+    picked = rows.withColumn("value", value).withColumn("_found", found).join(of, same(F.col("series_id"), F.col("_series")), "left")
+    return picked.withColumn("value", F.when(F.col("_found"), F.col("value")).otherwise(F.col("_default"))).drop("_series", "_default", "_found")
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import default_cell, neighbour, same
+from ..model import before_first, default_cell, neighbour, same
 
 
 def transitions(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
     """(t, series_id, previous, value): every point with what held before it. Sort by (t, series_id) to read them in turn. cell: see `model.neighbour`."""
     kind = points.schema["value"].dataType
-    prev = F.when(F.col("near").isNull(), F.lit(default).cast(kind)).otherwise(F.col("near.value"))
-    return neighbour(points.select("series_id", "t", "value"), F.struct("value"), cell).select("t", "series_id", prev.alias("previous"), "value")
+    rows = neighbour(points.select("series_id", "t", F.col("value").alias("now")), F.struct(F.col("now").alias("value")), cell)
+    return before_first(rows, default, kind, F.col("near").isNotNull(), F.col("near.value")).select("t", "series_id", F.col("value").alias("previous"), F.col("now").alias("value"))
 
 
 def merged_values(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def folded(points: DataFrame, folds: dict[str, Fold], by: tuple[str, ...] = (),
     n points make n log n rows, however many series there are, and nothing is ever subtracted.
 
     by: series are folded for each value of these columns apart; `member` tells them from each other there. default
-    holds before a series' first point (null: nothing does). cell: an expression of t, see `running`.
+    holds before a series' first point (None: nothing does): a value, or a table (series_id, default). cell: an expression of t, see `running`.
     """
     keys = list(by)
     cell = default_cell(points) if cell is None else cell
@@ -204,8 +204,11 @@ def folded(points: DataFrame, folds: dict[str, Fold], by: tuple[str, ...] = (),
     runs = held.join(ranks.withColumnRenamed("x", "a"), [*keys, "t"]).join(ranks.select(*keys, F.col("t").alias("until"), F.col("x").alias("b")), [*keys, "until"], "left").crossJoin(most)
     runs = runs.select(*keys, "value", "a", F.coalesce("b", F.col("most") + 1).alias("b"))
     if default is not None:
+        if isinstance(default, DataFrame) and member != "series_id":
+            raise ValueError("a table of defaults is by series_id")
         first = points.groupBy(*keys, member).agg(F.min("t").alias("t")).join(ranks, [*keys, "t"])
-        runs = runs.union(first.select(*keys, F.lit(default).cast(points.schema["value"].dataType), F.lit(1).cast("long"), "x"))
+        first = before_first(first, default, points.schema["value"].dataType, F.lit(False), F.lit(None).cast(points.schema["value"].dataType))
+        runs = runs.union(first.select(*keys, "value", F.lit(1).cast("long"), "x"))
     blocks = aligned(runs).groupBy(*keys, "k", "block").agg(*(f[0](F.col("value")).alias(name) for name, f in folds.items()))
     asked = ranks.crossJoin(most).select(*keys, "t", "x", F.explode(F.expr("sequence(0, length(bin(most)))")).alias("k")).select(*keys, "t", "k", F.expr("shiftright(x, k)").alias("block"))
     return asked.join(blocks, [*keys, "k", "block"]).groupBy(*keys, "t").agg(*(f[1](F.col(name)).alias(name) for name, f in folds.items()))
@@ -217,7 +220,10 @@ def running_max(points: DataFrame, cell: Column | None = None) -> DataFrame:
 
 
 def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
-    """(value, t, n): how many series have a value, at each t where one takes or leaves it. Before: `default_counts`."""
+    """(value, t, n): how many series have a value, at each t where one takes or leaves it.
+
+    default: what all series have before their first point, or a table (series_id, default), or null.
+    """
     tr = transitions(points, default)
     moves = tr.select("t", F.inline(F.array(F.struct(F.col("previous").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("value"), F.lit(1).alias("n")))))
     deltas = moves.groupBy("t", "value").agg(F.sum("n").alias("n"))
@@ -225,4 +231,8 @@ def counts(points: DataFrame, default=None, cell: Column | None = None) -> DataF
     out = running(deltas.where(F.col("value").isNotNull()), ["value"], ["n"], default_cell(points) if cell is None else cell)
     if default is None:
         return out.select("value", "t", "n")
+    if isinstance(default, DataFrame):  # series that start with each value
+        kind = points.schema["value"].dataType
+        first = before_first(points.select("series_id").distinct(), default, kind, F.lit(False), F.lit(None).cast(kind)).groupBy(F.col("value").alias("_v")).agg(F.count("*").alias("_k"))
+        return out.join(first, F.col("value") == F.col("_v"), "left").select("value", "t", (F.col("n") + F.coalesce("_k", F.lit(0))).alias("n"))
     return out.crossJoin(F.broadcast(start)).select("value", "t", (F.col("n") + F.when(same(F.col("value"), F.lit(default)), F.col("k")).otherwise(0)).alias("n"))

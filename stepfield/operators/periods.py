@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import check_bounds, in_order, literal, neighbour, same
+from ..model import before_first, check_bounds, in_order, literal, neighbour, same
 
 ANY = object()
 
@@ -15,7 +15,7 @@ ANY = object()
 def periods(points: DataFrame, start=None, end=None, default=None, value=ANY, cell: Column | None = None) -> DataFrame:
     """(series_id, t0, t1, value) on [start, end]; a missing bound is the first or last t of the series.
 
-    The default holds before the first point. Empty periods are left out. value: only periods with that value, or for
+    The default (a value, or a table (series_id, default)) holds before the first point. Empty periods are left out. value: only periods with that value, or for
     which value(t0, t1, value) holds. A bound given as a column may differ by series. Points after end are filtered
     at the scan; those before start are not, as one of them may hold at start. cell: see `model.neighbour`.
     """
@@ -25,7 +25,8 @@ def periods(points: DataFrame, start=None, end=None, default=None, value=ANY, ce
         rows = rows.where(F.col("t") < literal(points, end))
     kind = points.schema["value"].dataType
     if start is not None:  # the default's own row, before all others
-        rows = rows.union(points.select("series_id").distinct().select("series_id", F.lit(None).cast(points.schema["t"].dataType), F.struct(F.lit(default).cast(kind).alias("value"))))
+        first = before_first(points.select("series_id").distinct(), default, kind, F.lit(False), F.lit(None).cast(kind))
+        rows = rows.union(first.select("series_id", F.lit(None).cast(points.schema["t"].dataType), F.struct("value")))
     rows = neighbour(rows, F.struct("t"), cell, ahead=True).withColumn("n", F.col("near.t"))
     t0 = F.greatest("t", literal(points, start)) if start is not None else F.col("t")
     t1 = F.least("n", literal(points, end)) if end is not None else F.col("n")
@@ -38,7 +39,8 @@ def periods(points: DataFrame, start=None, end=None, default=None, value=ANY, ce
 def unbounded(points: DataFrame, default=None) -> DataFrame:
     """All periods, the first with a null t0 and the last with a null t1."""
     kind = points.schema["value"].dataType
-    first = points.select("series_id").distinct().select("series_id", F.lit(None).cast(points.schema["t"].dataType).alias("t"), F.lit(default).cast(kind).alias("value"))
+    first = before_first(points.select("series_id").distinct(), default, kind, F.lit(False), F.lit(None).cast(kind))
+    first = first.select("series_id", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "value")
     order = Window.partitionBy("series_id").orderBy(F.col("t").asc_nulls_first())
     return first.union(points.select("series_id", "t", "value")).select("series_id", F.col("t").alias("t0"), F.lead("t").over(order).alias("t1"), "value")
 

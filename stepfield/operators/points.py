@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import by_series, check_bounds, default_cell, in_order, length, literal, neighbour, same
+from ..model import before_first, by_series, check_bounds, default_cell, in_order, length, literal, neighbour, same
 
 
 def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str = "previous", cell: Column | None = None) -> DataFrame:
     """The value of each series at its probes (series_id, t, any more columns): probes with `value`.
 
-    previous: the last value at or before t, else the default. linear: between the neighbours; the default before the
+    previous: the last value at or before t, else the default (a value, or a table (series_id, default)). linear: between the neighbours; the default before the
     first point, the last value after the last. One sort by (series_id, t) serves points and probes together.
 
     cell: an expression of t that grows with it, for series too long for one task. Each cell is sorted by itself; the
@@ -39,8 +39,8 @@ def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str
         of = of.select(F.col("series_id").alias("_s"), F.col("_cell").alias("_c"), before.alias("_left"), after.alias("_right"))
         both = both.withColumns(sides).join(of, same(F.col("series_id"), F.col("_s")) & same(F.col("_cell"), F.col("_c")))
         both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in sides})
-    found = both.where("k = 1")
-    value = F.when(F.col("left").isNull(), F.lit(default).cast(kind)).otherwise(F.col("left.value"))
+    found = before_first(both.where("k = 1"), default, kind, F.col("left").isNotNull(), F.col("left.value"))
+    value = F.col("value")
     if interpolate == "linear":
         share = length(points, F.col("left.t"), F.col("t")) / length(points, F.col("left.t"), F.col("right.t"))
         between = F.col("left.value") + share * (F.col("right.value") - F.col("left.value"))

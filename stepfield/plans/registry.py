@@ -649,6 +649,43 @@ def merge_default(spark, d):
     return merge.folded(holes(spark, d), {"sum": merge.SUM, "most": merge.GREATEST}, default=50.0).withColumn("sum", F.round("sum", 6))
 
 
+#: A default for each user.
+DEFAULTS_SQL = "d as (select user_id as series_id, cast(user_id % 7 as double) as dflt, case when user_id % 2 = 0 then 'click' else 'view' end as kind from (select distinct user_id from events))"
+
+
+def _defaults(spark, d, value: str) -> DataFrame:
+    return table(spark, d, "events").select("user_id").distinct().select(F.col("user_id").alias("series_id"), F.expr(value).alias("default"))
+
+
+@query("lookup_defaults", f"with {N}, {DEFAULTS_SQL}, {grid_sql(12)} select g.series_id, g.t, case when p.t is null then dflt else p.value end as value from g asof left join p on g.series_id = p.series_id and g.t >= p.t join d on g.series_id = d.series_id")
+def lookup_defaults(spark, d):
+    p = holes(spark, d)
+    return points.lookup(p, probes(p, 12), _defaults(spark, d, "cast(user_id % 7 as double)"))
+
+
+@query("merge_defaults", ALL + f""", {DEFAULTS_SQL}, g as (select t.t, s.series_id from (select distinct t from p) t, (select distinct series_id from p) s),
+    v as (select g.t, case when p.t is null then dflt else p.value end as value from g asof left join p on g.series_id = p.series_id and g.t >= p.t join d on g.series_id = d.series_id)
+    select t, round(sum(value), 6) as sum, max(value) as most from v group by t""")
+def merge_defaults(spark, d):
+    folds = {"sum": merge.SUM, "most": merge.GREATEST}
+    return merge.folded(holes(spark, d), folds, default=_defaults(spark, d, "cast(user_id % 7 as double)")).withColumn("sum", F.round("sum", 6))
+
+
+@query("count_by_value_defaults", f"""with {S}, {DEFAULTS_SQL}, k as (select kind, count(*) as k from d group by 1), l as (select p.*, coalesce(lag(value) over (partition by p.series_id order by t), kind) as prev from p join d on p.series_id = d.series_id),
+    m as (select t, value, 1 as n from l union all select t, prev, -1 from l), x as (select t, value, sum(n) as n from m group by t, value)
+    select value, t, cast(sum(n) over (partition by value order by t) + coalesce((select any_value(k) from k where kind = value), 0) as bigint) as n from x""")
+def count_by_value_defaults(spark, d):
+    return merge.counts(states(spark, d), _defaults(spark, d, "case when user_id % 2 = 0 then 'click' else 'view' end"))
+
+
+@query("distribution_defaults", f"""with {S}, {DEFAULTS_SQL}, s as (select series_id, t, value from p union all select series_id, null::timestamp, kind from d),
+    o as (select *, lead(t) over (partition by series_id order by t nulls first) as n from s),
+    q as (select series_id, greatest(coalesce(t, {A_SQL}), {A_SQL}) as t0, least(coalesce(n, {B_SQL}), {B_SQL}) as t1, value from o)
+    select series_id, value, cast(sum({US}) as bigint) as mass_us from q where t0 < t1 group by series_id, value""")
+def distribution_defaults(spark, d):
+    return _us(timeagg.distribution(states(spark, d), A, B, _defaults(spark, d, "case when user_id % 2 = 0 then 'click' else 'view' end")))
+
+
 @query("count_by_value", f"""with {S}, l as (select *, lag(value) over (partition by series_id order by t) as prev from p),
     m as (select t, value, 1 as n from l union all select t, prev, -1 from l where prev is not null), x as (select t, value, sum(n) as n from m group by t, value)
     select value, t, cast(sum(n) over (partition by value order by t) as bigint) as n from x""")

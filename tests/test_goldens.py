@@ -511,3 +511,16 @@ def test_equal_series(spark):
 def test_merged_values_of_a_null_id(spark):
     p = spark.createDataFrame([(None, 1, 5), ("a", 2, 6), (None, 3, None)], "series_id string, t int, value int")
     assert pairs(merge.merged_values(p), "t", "values") == [(1, [5, None]), (2, [5, 6]), (3, [None, 6])]
+
+
+def test_a_default_for_each_series(spark):
+    p = spark.createDataFrame([("a", 2, 5), ("a", 4, None), ("b", 3, 6), ("c", 3, 1), (None, 4, 2)], "series_id string, t int, value int")
+    d = spark.createDataFrame([("a", 10), ("b", 20), (None, 40), ("x", 99)], "series_id string, default int")
+    probes = spark.createDataFrame([(s, t) for s in ("a", "b", "c", None) for t in (1, 3)], "series_id string, t int")
+    for cell in (None, F.col("t")):
+        assert {(r.series_id, r.t): r.value for r in points.lookup(p, probes, d, cell=cell).collect()} == {("a", 1): 10, ("a", 3): 5, ("b", 1): 20, ("b", 3): 6, ("c", 1): None, ("c", 3): 1, (None, 1): 40, (None, 3): 40}
+    got = {r.t: (r.s, r.n) for r in merge.folded(p, {"s": merge.SUM, "n": merge.COUNT}, default=d).collect()}
+    assert got == {2: (5 + 20 + 40, 3), 3: (5 + 6 + 1 + 40, 4), 4: (6 + 1 + 2, 3)}
+    assert sorted((r.series_id or "", r.t0, r.t1, r.value) for r in periods.periods(p, 0, 3, d).collect()) == [("", 0, 3, 40), ("a", 0, 2, 10), ("a", 2, 3, 5), ("b", 0, 3, 20), ("c", 0, 3, None)]
+    assert sorted((r.t, r.series_id or "", r.previous) for r in merge.transitions(p, d).collect()) == [(2, "a", 10), (3, "b", 20), (3, "c", None), (4, "", 40), (4, "a", 5)]
+    assert {(r.value, r.t): r.n for r in merge.counts(p, d).collect()}[(40, 4)] == 0
