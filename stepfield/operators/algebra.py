@@ -89,8 +89,13 @@ def to_bool(x: DataFrame, invert: bool = False) -> DataFrame:
     return x.withColumn("value", ~t if invert else t)
 
 
-def bool_default(default, invert: bool = False):
-    """What the default becomes: null stays null."""
+NOT_GIVEN = object()
+
+
+def bool_default(default, invert: bool = False, given=NOT_GIVEN):
+    """The default of `to_bool`'s result: one that is given as it is, else null for null, else the truth of the default, inverted with it."""
+    if given is not NOT_GIVEN:
+        return given
     return None if default is None else bool(default) != invert
 
 

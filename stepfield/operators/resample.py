@@ -108,7 +108,7 @@ def moving_average(points: DataFrame, period, window=None, start=None, end=None,
         raise ValueError(f"unknown placement '{placement}': center, left or right")
     window = period if window is None else window
     if window <= (datetime.timedelta(0) if isinstance(window, datetime.timedelta) else 0):
-        raise ValueError("window_size must be > 0")
+        raise ValueError("a window of no length has no mean")
     back, ahead = {"center": (window / 2, window / 2), "left": (0 * window, window), "right": (window, 0 * window)}[placement]
     g = grid(points, period, start, end).withColumn("g", F.col("t"))
     kind = points.schema["t"].dataType if is_clock(points) else "double"

@@ -49,12 +49,22 @@ def read_json(spark: SparkSession, path: str | None = None, json_string: str | N
     return from_json(rows, "j", **options)
 
 
-def to_json(points: DataFrame, dict_format: bool = False, time_format: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") -> DataFrame:
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _written(points: DataFrame, time_format: str, time_transform: Transform | None) -> Column:
+    if time_transform is not None:
+        return time_transform(F.col("t"))
+    return F.date_format("t", time_format) if isinstance(points.schema["t"].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col("t").cast("string")
+
+
+def to_json(points: DataFrame, dict_format: bool = False, time_format: str = TIME_FORMAT, time_transform: Transform | None = None) -> DataFrame:
     """(series_id, json): each series as a list of records, or as an object from times to values, in order of time.
 
-    A series becomes one value, so it must fit into a task's memory.
+    time_transform: how a time is written, in place of the format. A series becomes one value, so it must fit into a
+    task's memory; `write_json_array` has no such bound.
     """
-    t = F.date_format("t", time_format) if isinstance(points.schema["t"].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col("t").cast("string")
+    t = _written(points, time_format, time_transform)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("t", t.alias("time"), "value"))), lambda x: F.struct(x["time"].alias("time"), x["value"].alias("value")))
     rows = points.groupBy("series_id").agg(listed.alias("l"))
     if dict_format:
@@ -69,6 +79,29 @@ def write_json(points: DataFrame, path: str, value_transform: Transform | None =
     to_json(points, **options).select("json").write.mode("overwrite").text(path)
 
 
+def write_json_array(points: DataFrame, path: str, time_format: str = TIME_FORMAT, time_transform: Transform | None = None) -> None:
+    """Each series as one JSON array of records in order of t, in a folder series_id=... of text files.
+
+    A line is a record, the first one behind "[", others behind ",", the last one before "]": the files of a folder, one
+    after another, are the array. Points are dealt to tasks by ranges of (series_id, t), so that no task has a whole
+    long series; no record is ever collected.
+    """
+    ends = points.groupBy("series_id").agg(F.min("t").alias("_a"), F.max("t").alias("_b")).withColumnRenamed("series_id", "_s")
+    rows = points.join(ends, F.col("series_id").eqNullSafe(F.col("_s")))
+    record = F.to_json(F.struct(_written(points, time_format, time_transform).alias("time"), "value"), {"ignoreNullFields": "false"})
+    line = F.concat(F.when(F.col("t") == F.col("_a"), "[").otherwise(","), record, F.when(F.col("t") == F.col("_b"), "]").otherwise(""))
+    in_order = rows.select("series_id", "t", line.alias("line")).repartitionByRange("series_id", "t").sortWithinPartitions("series_id", "t")
+    in_order.select("series_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("series_id").text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, series_type: str = "string", value_type: str = "double", time_transform: Transform = iso) -> DataFrame:
+    """Points of what `write_json_array` wrote; files are split among tasks by lines."""
+    rows = spark.read.schema(f"value string, series_id {series_type}").text(path)
+    record = F.regexp_replace(F.regexp_replace("value", r"^[\[,]", ""), r"\]$", "")
+    p = F.from_json(record, f"struct<time:string,value:{value_type}>")
+    return rows.select("series_id", p.alias("p")).select("series_id", time_transform(F.col("p.time")).alias("t"), "p.value")
+
+
 def save(points: DataFrame, path: str, defaults: DataFrame | None = None) -> None:
     """Points, and each series' default if given, as Parquet."""
     points.write.mode("overwrite").parquet(f"{path}/points")
@@ -77,14 +110,20 @@ def save(points: DataFrame, path: str, defaults: DataFrame | None = None) -> Non
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
+    """The points that `save` wrote."""
     return spark.read.parquet(f"{path}/points")
 
 
-def show(points: DataFrame, n: int = 20) -> str:
-    """The first n points and how many more there are (of a series in memory)."""
+def load_defaults(spark: SparkSession, path: str) -> DataFrame:
+    """The defaults (series_id, default) that `save` wrote, as `lookup` and others take them."""
+    return spark.read.parquet(f"{path}/defaults")
+
+
+def show(points: DataFrame, n: int = 20, default=None) -> str:
+    """The first n points, how many more there are, and the default (of a series in memory)."""
     total = points.count()
     lines = [f"{r.t}: {r.value!r}" for r in points.orderBy("series_id", "t").limit(n).collect()]
-    return "<Series>\n{" + ",\n ".join(lines) + (f",\n <...{total - n} items...>" if total > n else "") + "}"
+    return "<Series>\n{" + ",\n ".join(lines) + (f",\n and {total - n} more items" if total > n else "") + f"}}\ndefault: {default!r}"
 
 
 def plot(points: DataFrame, interpolate: str = "previous", width: float = 12, aspect: float | None = None, color: str = "#4a7aa5", linewidth: float = 1, marker: str = "o", markersize: float = 3):

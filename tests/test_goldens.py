@@ -524,3 +524,38 @@ def test_a_default_for_each_series(spark):
     assert sorted((r.series_id or "", r.t0, r.t1, r.value) for r in periods.periods(p, 0, 3, d).collect()) == [("", 0, 3, 40), ("a", 0, 2, 10), ("a", 2, 3, 5), ("b", 0, 3, 20), ("c", 0, 3, None)]
     assert sorted((r.t, r.series_id or "", r.previous) for r in merge.transitions(p, d).collect()) == [(2, "a", 10), (3, "b", 20), (3, "c", None), (4, "", 40), (4, "a", 5)]
     assert {(r.value, r.t): r.n for r in merge.counts(p, d).collect()}[(40, 4)] == 0
+
+
+def test_json_array_of_a_long_series(spark, tmp_path):
+    import json
+
+    d = dt.datetime(2024, 1, 1)
+    rows = [("a", d + dt.timedelta(seconds=i), None if i % 10 == 3 else i / 4) for i in range(5000)] + [("b", d, 1.5)]
+    p = spark.createDataFrame(rows, "series_id string, t timestamp_ntz, value double")
+    path = str(tmp_path / "series")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # would put so few rows into one task
+    try:
+        io.write_json_array(p, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = sorted((tmp_path / "series" / "series_id=a").glob("part-*.txt"))
+    assert len(files) > 1  # of several tasks
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert [x["value"] for x in whole] == [v for s, _, v in rows if s == "a"]
+    assert sorted(map(str, io.read_json_array(spark, path).collect())) == sorted(map(str, p.collect()))
+
+
+def test_written_times_and_defaults(spark, tmp_path):
+    p = series(spark, [(1, 5), (2, None)])
+    j = io.to_json(p, time_transform=lambda t: F.concat(F.lit("day "), t.cast("string"))).first().json
+    assert j == '[{"time":"day 1","value":5},{"time":"day 2","value":null}]'
+    io.save(p, str(tmp_path), spark.createDataFrame([("a", 7)], "series_id string, default int"))
+    probes = spark.createDataFrame([("a", 0), ("a", 1)], "series_id string, t int")
+    assert pairs(points.lookup(io.load(spark, str(tmp_path)), probes, io.load_defaults(spark, str(tmp_path)))) == [(0, 7), (1, 5)]
+    assert io.show(p, 1, default=7) == "<Series>\n{1: 5,\n and 1 more items}\ndefault: 7"
+
+
+def test_default_of_booleans():
+    assert [algebra.bool_default(x) for x in (None, 0, 3, "")] == [None, False, True, False]
+    assert [algebra.bool_default(x, invert=True) for x in (None, 0, 3)] == [None, True, False]
+    assert algebra.bool_default(5, True, given="as it is") == "as it is" and algebra.bool_default(5, given=None) is None
