@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import before_first, default_cell, neighbour, same
+from ..model import before_first, default_cell, literal, neighbour, same
 
 
 def transitions(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
@@ -18,25 +18,87 @@ def transitions(points: DataFrame, default=None, cell: Column | None = None) ->
     return before_first(rows, default, kind, F.col("near").isNotNull(), F.col("near.value")).select("t", "series_id", F.col("value").alias("previous"), F.col("now").alias("value"))
 
 
+#: The least number of points in a block of `merged_changes`.
+BLOCK = 4096
+
+
+def _in_blocks(points: DataFrame, default, cell: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Points as (block, t, i, value), i the place of their series, and what each series holds when a block begins as (block, i, value).
+
+    A block is a run of t with about as many points as there are series (at least BLOCK), so that the second table is
+    about as large as the first at most, however few points a day has.
+    """
+    kind = points.schema["value"].dataType
+    # A whole list holds a value of each series, so one task can number them.
+    ids = points.select("series_id").distinct().withColumn("i", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("int"))
+    size = F.broadcast(number_of_series(points).select(F.greatest("k", F.lit(BLOCK)).alias("size")))
+    at = running(points.groupBy("t").agg(F.count("*").alias("n")), [], ["n"], default_cell(points) if cell is None else cell)
+    # At most one point of a series has the same t, so no block number is left out.
+    at = at.crossJoin(size).select("t", F.floor((F.col("n") - 1) / F.col("size")).alias("block"))
+    moves = points.select("series_id", "t", "value").join(ids.withColumnRenamed("series_id", "_id"), same(F.col("series_id"), F.col("_id"))).join(at, "t")
+    ends = moves.groupBy("series_id", "i", "block").agg(F.max_by(F.struct("value"), "t").alias("v"))
+    most = F.broadcast(at.agg(F.max("block").alias("most")))  # one row
+    # The last value of a block holds when the next ones begin, up to the series' next block with a point.
+    later = ends.crossJoin(most).withColumn("until", F.coalesce(F.lead("block").over(Window.partitionBy("i").orderBy("block")), "most"))
+    later = later.where("block < until").select(F.explode(F.sequence(F.col("block") + 1, F.col("until"))).alias("block"), "i", "v.value")
+    first = before_first(ends.groupBy("series_id", "i").agg(F.min("block").alias("b")), default, kind, F.lit(False), F.lit(None).cast(kind))
+    return moves.select("block", "t", "i", "value"), later.union(first.select(F.explode(F.sequence(F.lit(0).cast("long"), "b")), "i", "value"))
+
+
+def merged_changes(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
+    """(block, t, places, values): merged lists as changes, in proportion to the points; `expanded` makes lists of any part of them.
+
+    For each t of any series the places, in order of series_id from 0, of those that have a point there, and its values.
+    A row without t and places holds the values of all series when its block of times begins. default: a value, or a
+    table (series_id, default). Written as Parquet sorted by block, a part of it is read by itself.
+    """
+    moves, starts = _in_blocks(points, default, cell)
+    # Sorted by place alone: values may be of a type without an order.
+    listed = F.array_sort(F.collect_list(F.struct("i", "value")), lambda x, y: x["i"] - y["i"])
+    values = F.transform("_l", lambda x: x["value"]).alias("values")
+    changes = moves.groupBy("block", "t").agg(listed.alias("_l")).select("block", "t", F.col("_l.i").alias("places"), values)
+    whole = starts.groupBy("block").agg(listed.alias("_l")).select("block", F.lit(None).cast(points.schema["t"].dataType).alias("t"), F.lit(None).cast("array<int>").alias("places"), values)
+    return whole.union(changes)
+
+
+def expanded(changes: DataFrame, start=None, end=None) -> DataFrame:
+    """(t, values): the lists of `merged_changes` at each of its t in [start, end]; only blocks with such a t are expanded."""
+    within = F.col("t").isNotNull()
+    for bound, ok in ((start, F.col("t").__ge__), (end, F.col("t").__le__)):
+        within = within & ok(literal(changes, bound)) if bound is not None else within
+    rows = changes
+    if start is not None or end is not None:
+        rows = rows.join(changes.where(within).select("block").distinct(), "block", "left_semi")
+    starts = rows.where("t is null").select("block", "t", F.posexplode("values").alias("i", "value"))
+    moves = rows.where("t is not null").select("block", "t", F.inline(F.arrays_zip("places", "values")).alias("i", "value"))
+    return _filled(starts.union(moves)).where(within)
+
+
 def merged_values(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
     """(t, values): at each t of any series the values of all series, in order of series_id, as an array.
 
-    The result has as many values as there are distinct t times series; use `running_sum`, `running_max` or `counts`
-    where they will do. A task has the points of one cell of t and what each series held before it, and fills the
-    cell's times one after another; no row is made for each time and series.
+    The result has as many values as there are distinct t times series; use `running_sum`, `running_max`, `folded` or
+    `counts` where they will do, and `merged_changes` to keep it. A task has the points of one cell of t and what each
+    series held before it, and fills the cell's times one after another; no row is made for each time and series. Where
+    cells have far fewer points than there are series, `expanded(merged_changes(points))` does with fewer rows.
     """
     kind = points.schema["value"].dataType
     # A row of the result holds a value of each series, so one task can number them.
     ids = points.select("series_id").distinct().withColumn("i", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("int"))
-    rows = points.select("series_id", "t", "value").withColumn("_cell", default_cell(points) if cell is None else cell)
-    moves = rows.join(ids.withColumnRenamed("series_id", "_id"), same(F.col("series_id"), F.col("_id"))).select("_cell", "t", "i", "value")
-    ends = moves.groupBy("i", "_cell").agg(F.max_by(F.struct("value"), "t").alias("v"))
-    cells = rows.select("_cell").distinct()
+    rows = points.select("series_id", "t", "value").withColumn("block", default_cell(points) if cell is None else cell)
+    moves = rows.join(ids.withColumnRenamed("series_id", "_id"), same(F.col("series_id"), F.col("_id"))).select("block", "t", "i", "value")
+    ends = moves.groupBy("i", "block").agg(F.max_by(F.struct("value"), "t").alias("v"))
+    cells = rows.select("block").distinct()
     # What a series holds when a cell begins: a row for each cell and series.
-    before = Window.partitionBy("i").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    grid = cells.crossJoin(ids.select("i")).join(ends, ["i", "_cell"], "left")
-    start = grid.select("i", "_cell", F.last("v", ignorenulls=True).over(before).alias("v"))
-    start = start.select("_cell", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "i", F.when(F.col("v").isNull(), F.lit(default).cast(kind)).otherwise(F.col("v.value")).alias("value"))
+    before = Window.partitionBy("i").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cells.crossJoin(ids.select("i")).join(ends, ["i", "block"], "left")
+    start = grid.select("i", "block", F.last("v", ignorenulls=True).over(before).alias("v"))
+    start = start.select("block", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "i", F.when(F.col("v").isNull(), F.lit(default).cast(kind)).otherwise(F.col("v.value")).alias("value"))
+    return _filled(start.union(moves))
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """(t, values) of rows (block, t, i, value): those without t hold when the block begins."""
 
     def fill(batches):
         import numpy as np
@@ -71,7 +133,7 @@ def merged_values(points: DataFrame, default=None, cell: Column | None = None) -
 
         held, cell_of = [], None
         for batch in batches:
-            cells_of = batch.column("_cell")
+            cells_of = batch.column("block")
             code = cells_of.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), batch.num_rows]
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
@@ -85,8 +147,9 @@ def merged_values(points: DataFrame, default=None, cell: Column | None = None) -
         if held:
             yield from lists(held)
 
-    both = start.union(moves).repartition("_cell").sortWithinPartitions("_cell", F.col("t").asc_nulls_first())
-    return both.mapInArrow(fill, T.StructType([T.StructField("t", points.schema["t"].dataType), T.StructField("values", T.ArrayType(kind))]))
+    t, kind = rows.schema["t"].dataType, rows.schema["value"].dataType
+    both = rows.repartition("block").sortWithinPartitions("block", F.col("t").asc_nulls_first())
+    return both.mapInArrow(fill, T.StructType([T.StructField("t", t), T.StructField("values", T.ArrayType(kind))]))
 
 
 def merge(points: DataFrame, operation: Callable[[Column], Column] | None = None, default=None, compact: bool = True, cell: Column | None = None) -> DataFrame:

@@ -611,6 +611,28 @@ def merge_list(spark, d):
     return m.select("t", F.array_join(text, ",").alias("l"))
 
 
+#: From the first third of the times to the second.
+MIDDLE_SQL = "b as (select min(ts) + to_microseconds(date_diff('microsecond', min(ts), max(ts)) // 3) as a, min(ts) + to_microseconds(date_diff('microsecond', min(ts), max(ts)) // 3 * 2) as z from events)"
+
+
+@query("merge_changes", ALL + """, s as (select series_id, row_number() over (order by series_id) - 1 as i from (select distinct series_id from p))
+    select t, string_agg(cast(i as varchar), ',' order by i) as places, string_agg(coalesce(cast(round(value, 2) as varchar), 'null'), ',' order by i) as values from p join s on p.series_id = s.series_id group by t""")
+def merge_changes(spark, d):
+    """Merged lists kept as what changes at each t."""
+    text = F.transform("values", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
+    return merge.merged_changes(holes(spark, d)).where("t is not null").select("t", F.array_join("places", ",").alias("places"), F.array_join(text, ",").alias("values"))
+
+
+@query("merge_list_between", GRID_ALL + f", {MIDDLE_SQL} select t, array_to_string([coalesce(cast(round(x, 2) as varchar), 'null') for x in list(value order by series_id)], ',') as l from v, b where t between a and z group by t")
+def merge_list_between(spark, d):
+    """Lists of the middle third of all times, from blocks of changes."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    a, z = table(spark, d, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).select(us("a"), us("z")).first()
+    at = lambda n: F.timestamp_micros(F.lit(a + (z - a) // 3 * n)).cast("timestamp_ntz")
+    text = F.transform("values", lambda x: F.coalesce(F.round(x, 2).cast("string"), F.lit("null")))
+    return merge.expanded(merge.merged_changes(holes(spark, d)), at(1), at(2)).select("t", F.array_join(text, ",").alias("l"))
+
+
 @query("merge_max", GRID_ALL + ", r as (select t, max(value) as value from v group by t), k as (select *, lag(value) over (order by t) as prev, row_number() over (order by t) as n from r) select t, value from k where n = 1 or value is distinct from prev")
 def merge_max(spark, d):
     return merge.compacted(merge.running_max(holes(spark, d)))
@@ -766,6 +788,19 @@ def hist_quantiles_ecdf(spark, d):
     return hist.quantiles(_quantities(spark, d), [0.05, 0.25, 0.5, 0.9], 0.0).withColumn("value", F.round("value", 6))
 
 
+@query("long_quantiles", _quantile_sql(0.5, "min(mass) over (partition by series_id)", "h as (select event_type as series_id, value, count(*) as mass from events group by 1, 2)"))
+def long_quantiles(spark, d):
+    """A few series of very many values each, by cells of values."""
+    h = hist.histogram(table(spark, d, "events"), "event_type", "value")
+    return hist.quantiles(h, [0.05, 0.25, 0.5, 0.9], by_cells=True).withColumn("value", F.round("value", 6))
+
+
+@query("long_quantiles_ecdf", _quantile_sql(0.0, "1", "h as (select l_returnflag as series_id, l_extendedprice - 50000 as value, count(*) as mass from lineitem group by 1, 2)"))
+def long_quantiles_ecdf(spark, d):
+    h = hist.histogram(table(spark, d, "lineitem").withColumn("less", F.col("l_extendedprice") - 50000), "l_returnflag", "less")
+    return hist.quantiles(h, [0.05, 0.25, 0.5, 0.9], 0.0, by_cells=True).withColumn("value", F.round("value", 6))
+
+
 @query("masked_quantiles", _quantile_sql(0.5, "min(mass) over (partition by series_id)", f"h as (with {P}, {WITHIN}, {MASK_SQL}, {MASKED} select series_id, value, sum({US}) / 1e6 as mass from x where value is not null group by 1, 2)"))
 def masked_quantiles(spark, d):
     h = timeagg.distribution(numbers(spark, d), A, B, mask=calendar.hour_of_day(spark, A, B, 9))

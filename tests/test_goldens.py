@@ -559,3 +559,45 @@ def test_default_of_booleans():
     assert [algebra.bool_default(x) for x in (None, 0, 3, "")] == [None, False, True, False]
     assert [algebra.bool_default(x, invert=True) for x in (None, 0, 3)] == [None, True, False]
     assert algebra.bool_default(5, True, given="as it is") == "as it is" and algebra.bool_default(5, given=None) is None
+
+
+def test_quantiles_by_cells(spark):
+    rng = random.Random(7)
+    near = [1 + i * 2.0**-52 for i in range(40)]
+    odd = [0.0, 5e-324, -1e-310, 1e308, -1e308, float("inf"), float("-inf"), float("nan"), 2.0**40, 2.0**40 * (1 - 2.0**-53)]
+    of = {"few": [3.0], "near": near, "odd": odd, "many": [rng.gauss(0, 1000) for _ in range(3000)], "whole": [float(i) for i in range(-20, 20)], None: [rng.uniform(100, 100.001) for _ in range(500)]}
+    h = spark.createDataFrame([(k, v, float(rng.choice([1, 2, 5]))) for k, vs in of.items() for v in vs], "series_id string, value double, mass double")
+    h = h.union(spark.createDataFrame([("none", 1.0, 0.0), ("null", None, 3.0)], h.schema))
+    qs = [0, 0.05, 0.3, 0.5, 0.95, 1]
+    for alpha, smallest in ((0.5, None), (0.0, None), (0.5, 0.5), (1.0, None)):
+        want = sorted(map(str, hist.quantiles(h, qs, alpha, smallest).collect()))
+        assert sorted(map(str, hist.quantiles(h, qs, alpha, smallest, by_cells=True).collect())) == want and len(want) == 6 * len(of)
+    assert hist.quantiles(h.limit(0), qs, by_cells=True).count() == 0
+    with pytest.raises(ValueError):
+        hist.quantiles(h, qs, 1.5, by_cells=True)
+    values = sorted(odd[:-3] + near + of["many"])
+    cells = [r.c for r in spark.createDataFrame([(v,) for v in values if v == v], "v double").select("v", hist.value_cell(F.col("v")).alias("c")).orderBy("v").collect()]
+    assert cells == sorted(cells)
+
+
+def test_merged_lists_as_changes(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(merge, "BLOCK", 8)
+    rows = sorted({(s, rng.randrange(200)) for s in ("a", "b", "c", "d", None) for _ in range(rng.choice([1, 10, 60]))}, key=str)
+    p = spark.createDataFrame([(s, t, rng.choice([None, 1, 2, 3])) for s, t in rows], "series_id string, t int, value int")
+    held, want = {(s,): 9 if s == "a" else None for s in (None, "a", "b", "c", "d")}, {}
+    points_at = {}
+    for r in p.collect():
+        points_at.setdefault(r.t, {})[(r.series_id,)] = r.value
+    for t in sorted(points_at):
+        held.update(points_at[t])
+        want[t] = list(held.values())
+    default = spark.createDataFrame([("a", 9)], "series_id string, default int")
+    path = str(tmp_path / "changes")
+    merge.merged_changes(p, default, F.floor(F.col("t") / 16)).write.parquet(path)
+    kept = spark.read.parquet(path)
+    assert kept.where("t is not null").count() == len(want) and kept.select("block").distinct().count() > 3
+    assert kept.where("t is null").agg(F.sum(F.size("values"))).first()[0] <= len(rows) + 8  # whole lists: in proportion to points
+    assert {r.t: r["values"] for r in merge.expanded(kept).collect()} == want
+    assert {r.t: r["values"] for r in merge.expanded(kept, 50, 120).collect()} == {t: v for t, v in want.items() if 50 <= t <= 120}
+    assert merge.expanded(merge.merged_changes(p.limit(0))).count() == 0 and merge.expanded(kept, 500).count() == 0
