@@ -232,8 +232,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
 
     Score: inner product of the integer vectors; of equal scores the smaller id ranks first. Rows without an id, or
     whose vector is null or holds a null or non-finite component, take no part. Vectors are compared with those of
-    their own length only. Rows that share an id are candidates one by one, for every query of another id; queries
-    that share an id share its k places. Fewer than k candidates: all of them; no row for a query without any. Other
+    their own length only. Rows that share an id are candidates one by one, for every query of another id, and are dealt
+    to blocks by a salt of their own; queries that share an id share its k places. Where a score might exceed 64 bits,
+    an OverflowError is raised. Fewer than k candidates: all of them; no row for a query without any. Other
     columns are not read.
 
     A task holds at most `block` rows and `query_block` queries (fewer of long vectors). The centres are the distinct
@@ -244,15 +245,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     ship(spark)
     scratch = Scratch(spark)
     rows = quantized(vectors, scale, id_column, vector_column).withColumn("size", F.size("v")).withColumn("query", F.col("id") % every == 0)
-    total, width = rows.agg(F.count("*"), F.max("size")).first()
+    ends = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    total, width, largest = rows.agg(F.count("*"), F.max("size"), F.max(ends)).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if largest and max(1, width) * largest**2 >= 2.0**63:
+        raise OverflowError(f"components up to {largest:g} after scaling: inner products of {width} of them may exceed 64 bits")
     fit = max(1, TASK_BYTES // (8 * max(1, width)))
     block, query_block = min(block, fit), min(query_block, fit)
     sample = rows.select("size", "v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(min(cells, -(-total // block))).toArrow()
     sizes = sample.column("size").to_numpy()
     centres = {s: np.unique(matrix(sample.filter(pa.array(sizes == s)).column("v"), s), axis=0).astype(float) for s in np.unique(sizes).tolist()}
-    every_row = scratch.keep(placed(rows.select("id", "v", "size", "query"), centres), "cells")
+    every_row = scratch.keep(placed(rows.select("id", "v", "size", "query"), centres).withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "cells")
 
     asked = F.col("query")
     stats = every_row.groupBy("size", "cell").agg(
@@ -275,9 +279,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
         to_rows = sorted({(s, d, *deal[s, c][:2]) for s, c, d in pairs})
         to_rows = spark.createDataFrame([(*x, deal[x[0], x[1]][2]) for x in to_rows], "size int, cell int, g0 int, gn int, nb int")
         to_queries = spark.createDataFrame([(s, c, d, *deal[s, c][:2], deal[s, d][2]) for s, c, d in pairs], "size int, cell int, to int, g0 int, gn int, nb int")
-        of = lambda salt, n: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.col(n)).cast("int")
-        points = every_row.join(F.broadcast(to_rows), ["size", "cell"]).withColumn("b", of(1, "nb")).withColumn("g", F.explode(F.sequence(F.col("g0"), F.col("g0") + F.col("gn") - 1)))
-        meet = queries.join(F.broadcast(to_queries), ["size", "cell"]).withColumn("g", F.col("g0") + of(2, "gn"))
+        of = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+        points = every_row.join(F.broadcast(to_rows), ["size", "cell"]).withColumn("b", of("nb", "salt")).withColumn("g", F.explode(F.sequence(F.col("g0"), F.col("g0") + F.col("gn") - 1)))
+        meet = queries.join(F.broadcast(to_queries), ["size", "cell"]).withColumn("g", F.col("g0") + of("gn", "id", "v"))
         meet = meet.select("id", "v", "kth", "size", F.col("to").alias("cell"), "g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
         return searched(points, meet, k, leaf)
 

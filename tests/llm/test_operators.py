@@ -67,6 +67,21 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 3")).collect() == []
 
 
+def test_top_k_of_equal_rows_and_of_large_components(spark):
+    """Rows equal in id and vector are dealt to several blocks; scores that could exceed 64 bits raise."""
+    rows = [(7, [1.0, 0.5])] * 300 + [(20, [1.0, 1.0]), (3, [0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, k=5, every=20, block=16).collect())
+    assert got == [(20, i, 7, 64 * 64 + 32 * 64) for i in range(1, 6)]
+    got = topk.top_k(df, k=400, every=20, block=16).collect()
+    assert len(got) == 301 and sum(r.vec_id == 3 for r in got) == 1
+    for large in (1e300, 2.0**26):
+        with pytest.raises(OverflowError):
+            topk.top_k(spark.createDataFrame([(20, [large, 1.0]), (1, [-large, 0.0])], "vec_id long, embedding array<double>"))
+    wide = spark.createDataFrame([(20, [2.0**24, 1.0]), (1, [-(2.0**24), 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(wide).collect()] == [(20, 1, 1, -(2**60))]
+
+
 def test_top_k_of_repeated_ids_equals_the_sql(spark):
     import duckdb
 
