@@ -108,6 +108,25 @@ def neighbour(rows: DataFrame, what: Column, cell: Column | None = None, ahead:
     return inside.join(edges, on).withColumn("near", F.coalesce("near", "_edge")).drop("_cell", "_what", "_c", "_edge", *(f"_k{i}" for i in range(len(keys))))
 
 
+def carried(rows: DataFrame, columns: tuple[str, ...], cell: Column | None = None) -> DataFrame:
+    """rows with each of the columns taken from the last row of the series up to t that has it.
+
+    cell: see `neighbour`. Each cell is read in order by itself; what earlier cells end with comes from a row for each cell.
+    """
+    def last(c: str, w) -> Column:
+        return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    if cell is None:
+        return rows.withColumns({c: last(c, Window.partitionBy("series_id").orderBy("t")) for c in columns})
+    rows = rows.withColumn("_cell", cell)
+    held = rows.groupBy("series_id", "_cell").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t"))).alias(c) for c in columns))
+    before = Window.partitionBy("series_id").orderBy(F.col("_cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("series_id").alias("_s"), F.col("_cell").alias("_c"), *(F.last(c, ignorenulls=True).over(before).alias(f"_{c}") for c in columns))
+    inside = rows.withColumns({c: last(c, Window.partitionBy("series_id", "_cell").orderBy("t")) for c in columns})
+    out = inside.join(held, same(F.col("series_id"), F.col("_s")) & same(F.col("_cell"), F.col("_c")))
+    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_cell", "_s", "_c", *(f"_{c}" for c in columns))
+
+
 def before_first(rows: DataFrame, default, kind: T.DataType, found: Column, value: Column) -> DataFrame:
     """rows with `value` where found, else with the default: one for all series, or a table (series_id, default), null where it has no row."""
     if not isinstance(default, DataFrame):

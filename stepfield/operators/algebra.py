@@ -5,38 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import truthy
+from ..model import carried, truthy
 from .merge import SUM, folded
 from .points import compact
 
 Function = Callable[[Column, Column], Column]
 
 
-def both(x: DataFrame, y: DataFrame, x_default=None, y_default=None) -> DataFrame:
-    """(series_id, t, x, y) at every t of either: a full outer as-of join, in one sort."""
+def both(x: DataFrame, y: DataFrame, x_default=None, y_default=None, cell: Column | None = None) -> DataFrame:
+    """(series_id, t, x, y) at every t of either: a full outer as-of join, in one sort. cell: see `model.neighbour`."""
     a = x.select("series_id", "t", F.struct("value").alias("a"), F.lit(None).cast(f"struct<value:{y.schema['value'].dataType.simpleString()}>").alias("b"))
     b = y.select("series_id", "t", F.lit(None).cast(a.schema["a"].dataType).alias("a"), F.struct("value").alias("b"))
     one = a.unionByName(b).groupBy("series_id", "t").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    order = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    held = one.select("series_id", "t", F.last("a", True).over(order).alias("a"), F.last("b", True).over(order).alias("b"))
+    held = carried(one, ("a", "b"), cell)
     pick = lambda c, d, k: F.when(F.col(c).isNull(), F.lit(d).cast(k)).otherwise(F.col(f"{c}.value"))
     return held.select("series_id", "t", pick("a", x_default, x.schema["value"].dataType).alias("x"), pick("b", y_default, y.schema["value"].dataType).alias("y"))
 
 
-def operation(x: DataFrame, y, function: Function, x_default=None, y_default=None) -> DataFrame:
-    """Points of function(x, y) at every t of either; y may be a scalar."""
+def operation(x: DataFrame, y, function: Function, x_default=None, y_default=None, cell: Column | None = None) -> DataFrame:
+    """Points of function(x, y) at every t of either; y may be a scalar. cell: see `model.neighbour`."""
     if isinstance(y, DataFrame):
-        return both(x, y, x_default, y_default).select("series_id", "t", function(F.col("x"), F.col("y")).alias("value"))
+        return both(x, y, x_default, y_default, cell).select("series_id", "t", function(F.col("x"), F.col("y")).alias("value"))
     return x.select("series_id", "t", function(F.col("value"), F.lit(y)).alias("value"))
 
 
-def add(x: DataFrame, y, **defaults) -> DataFrame:
+def add(x: DataFrame, y, cell: Column | None = None, **defaults) -> DataFrame:
     """x + y with null as nothing, compacted; a scalar is added as it is."""
     f = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return compact(operation(x, y, f, **defaults)) if isinstance(y, DataFrame) else operation(x, y, lambda a, b: a + b)
+    return compact(operation(x, y, f, cell=cell, **defaults), cell) if isinstance(y, DataFrame) else operation(x, y, lambda a, b: a + b)
 
 
 def add_all(series: list[DataFrame]) -> DataFrame:
@@ -53,9 +52,9 @@ def add_all(series: list[DataFrame]) -> DataFrame:
     return compact(out.select("series_id", "t", F.coalesce("value", F.lit(0)).alias("value")))
 
 
-def strict_add(x: DataFrame, y: DataFrame, **defaults) -> DataFrame:
+def strict_add(x: DataFrame, y: DataFrame, cell: Column | None = None, **defaults) -> DataFrame:
     """x + y, null where one is."""
-    return compact(operation(x, y, lambda a, b: a + b, **defaults))
+    return compact(operation(x, y, lambda a, b: a + b, cell=cell, **defaults), cell)
 
 
 def difference(x: DataFrame, y, **defaults) -> DataFrame:

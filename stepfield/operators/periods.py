@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import before_first, check_bounds, in_order, literal, neighbour, same
@@ -36,19 +36,27 @@ def periods(points: DataFrame, start=None, end=None, default=None, value=ANY, ce
     return out.where(value(F.col("t0"), F.col("t1"), F.col("value")) if callable(value) else same(F.col("value"), F.lit(value)))
 
 
-def unbounded(points: DataFrame, default=None) -> DataFrame:
-    """All periods, the first with a null t0 and the last with a null t1."""
+def unbounded(points: DataFrame, default=None, cell: Column | None = None) -> DataFrame:
+    """All periods, the first with a null t0 and the last with a null t1. cell: see `model.neighbour`."""
     kind = points.schema["value"].dataType
     first = before_first(points.select("series_id").distinct(), default, kind, F.lit(False), F.lit(None).cast(kind))
     first = first.select("series_id", F.lit(None).cast(points.schema["t"].dataType).alias("t"), "value")
-    order = Window.partitionBy("series_id").orderBy(F.col("t").asc_nulls_first())
-    return first.union(points.select("series_id", "t", "value")).select("series_id", F.col("t").alias("t0"), F.lead("t").over(order).alias("t1"), "value")
+    rows = neighbour(first.union(points.select("series_id", "t", "value")), F.struct("t"), cell, ahead=True)
+    return rows.select("series_id", F.col("t").alias("t0"), F.col("near.t").alias("t1"), "value")
 
 
-def runs(points: DataFrame, n: int = 2) -> DataFrame:
-    """n consecutive points in a row: (series_id, t0, value0, t1, value1, ...)."""
+def runs(points: DataFrame, n: int = 2, cell: Column | None = None) -> DataFrame:
+    """n consecutive points in a row: (series_id, t0, value0, t1, value1, ...).
+
+    cell: see `model.neighbour`. The points ahead are then handed on one by one, in a pass each, as a cell may hold fewer than n.
+    """
     if n < 1:
         raise ValueError("n must be positive")
+    if cell is not None:
+        rows = points.select("series_id", "t", F.struct("t", "value").alias("p0"))
+        for i in range(1, n):
+            rows = neighbour(rows, F.struct(F.col(f"p{i - 1}").alias("p")), cell, ahead=True).withColumn(f"p{i}", F.col("near.p")).drop("near")
+        return rows.where(F.col(f"p{n - 1}").isNotNull()).select("series_id", *(F.col(f"p{i}.{c}").alias(f"{c}{i}") for i in range(n) for c in ("t", "value")))
     p = F.struct("t", "value")
     rows = points.select("series_id", "t", *((F.lead(p, i).over(in_order()) if i else p).alias(f"p{i}") for i in range(n)))
     return rows.where(F.col(f"p{n - 1}").isNotNull()).select("series_id", *(F.col(f"p{i}.{c}").alias(f"{c}{i}") for i in range(n) for c in ("t", "value")))

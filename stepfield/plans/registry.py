@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -960,6 +961,60 @@ def long_clusters(spark, d):
     return events.clusters(kinds(spark, d), 600, a_day())
 
 
+@query("long_runs", f"with {LONG}, r as (select series_id, t as t0, value as value0, lead(t, 1) over w as t1, lead(value, 1) over w as value1, lead(t, 2) over w as t2, lead(value, 2) over w as value2 from p window w as (partition by series_id order by t)) select * from r where t2 is not null")
+def long_runs(spark, d):
+    return periods.runs(long_series(spark, d), 3, a_day())
+
+
+@query("long_difference", """with n as (select event_type, ts as t, arg_max(value, event_id) as v, arg_max(user_id, event_id) % 2 as odd from events group by 1, 2),
+    a as (select event_type as series_id, t, v from n where odd = 0), b as (select event_type as series_id, t, v from n where odd = 1), u as (select series_id, t from a union select series_id, t from b),
+    x as (select u.series_id, u.t, a.v as x from u asof left join a on u.series_id = a.series_id and u.t >= a.t)
+    select x.series_id, x.t, round(x.x - b.v, 6) as value from x asof left join b on x.series_id = b.series_id and x.t >= b.t""")
+def long_difference(spark, d):
+    n = table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.col("ts").alias("t")).agg(F.max_by("value", "event_id").alias("value"), (F.max_by("user_id", "event_id") % 2).alias("odd"))
+    odd, even = n.where("odd = 1").drop("odd"), n.where("odd = 0").drop("odd")
+    return algebra.difference(even, odd, cell=a_day()).withColumn("value", F.round("value", 6))
+
+
+# --- Many switches: cleaned, added up, and how many are on at which times ---
+
+#: How many users' last value is over 50, from the first event on: 0 before.
+ON = """l as (select ts as t, case when value > 50 then 1 else 0 end as v, case when lag(value) over (partition by user_id order by ts) > 50 then 1 else 0 end as o from events),
+    m as (select t, sum(v - o) as dv from l group by t), p as (select 0 as series_id, t, cast(sum(dv) over (order by t) as bigint) as value from m)"""
+
+
+def on(spark, d) -> DataFrame:
+    """Points of the number of switches that are on, in cells of a day."""
+    switch = points.compact(numbers(spark, d).withColumn("value", (F.col("value") > 50).cast("long")))
+    total = merge.running_sum(switch, a_day())
+    return points.compact(total.select(F.lit(0).alias("series_id"), "t", F.col("sum").alias("value")), a_day())
+
+
+def _on_by(part: str, unit: str, number: str) -> None:
+    masses = f"""h as (with {ON}, {WITHIN}, g as (select coalesce(value, 0) as value, t0, t1, unnest(generate_series(date_trunc('{unit}', t0), t1, interval 1 {unit})) as e from c),
+        x as (select cast({number} as integer) as series_id, value, greatest(t0, e) as t0, least(t1, e + interval 1 {unit}) as t1 from g where e < t1)
+        select series_id, value, cast(sum({US}) as double) as mass from x group by 1, 2)"""
+
+    @query(f"on_by_{part}", _quantile_sql(0.5, "min(mass) over (partition by series_id)", masses))
+    def run(spark, d):
+        h = timeagg.distribution_by(on(spark, d), part, A, B, default=0, normalized=False)
+        return hist.quantiles(h.select(F.col(part).alias("series_id"), "value", "mass"), [0.05, 0.25, 0.5, 0.9]).withColumn("value", F.round("value", 6))
+
+
+_on_by("hour", "hour", "extract(hour from e)")
+_on_by("weekday", "day", "isodow(e) - 1")
+
+
+@query("on_in_business_hours", _quantile_sql(0.5, "min(mass) over (partition by series_id)", f"""h as (with {ON}, {WITHIN}, b as (select unnest(generate_series({A_SQL}, {B_SQL} - interval 1 day, interval 1 day)) as day),
+    x as (select day as series_id, coalesce(value, 0) as value, greatest(t0, day + interval 8 hour) as t0, least(t1, day + interval 18 hour) as t1 from c, b where t1 > day + interval 8 hour and t0 < day + interval 18 hour)
+    select series_id, value, cast(sum({US}) as double) as mass from x group by 1, 2)"""))
+def on_in_business_hours(spark, d):
+    """Quantiles of each day's eight to eighteen o'clock."""
+    hours = timeagg.sweep(reduce(DataFrame.union, (calendar.hour_of_day(spark, A, B, h) for h in range(8, 18))))
+    h = timeagg.bins(on(spark, d), "days", start=A, end=B, default=0, mask=hours, keep_last=True)
+    return hist.quantiles(h.select(F.col("bin_start").alias("series_id"), "value", "mass"), [0.05, 0.25, 0.5, 0.9]).withColumn("value", F.round("value", 6))
+
+
 # --- Calendar ---
 
 FLOORS = {

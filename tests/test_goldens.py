@@ -420,6 +420,14 @@ def test_cells_change_no_result(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(points.compact(p, cell)) == rows(points.compact(p))
     assert rows(merge.transitions(p, 7, cell)) == rows(merge.transitions(p, 7))
+    assert rows(periods.unbounded(p, 5, cell)) == rows(periods.unbounded(p, 5))
+    for n in (1, 2, 4):
+        assert rows(periods.runs(p, n, cell)) == rows(periods.runs(p, n))
+    sparse = p.where("t % 90 < 20")  # cells without a point
+    assert rows(periods.runs(sparse, 3, cell)) == rows(periods.runs(sparse, 3))
+    for f in (algebra.difference, algebra.add, algebra.strict_add, algebra.logical_or, algebra.logical_xor):
+        assert rows(f(p, sparse, cell=cell)) == rows(f(p, sparse))
+    assert rows(algebra.difference(sparse, p, x_default=1, y_default=2, cell=cell)) == rows(algebra.difference(sparse, p, x_default=1, y_default=2))
     for a, b in ((None, None), (10, 400), (None, 333), (100, None)):
         assert rows(periods.periods(p, a, b, 5, cell=cell)) == rows(periods.periods(p, a, b, 5))
     probes = spark.createDataFrame([(s, x) for s in "abc" for x in range(-5, 520, 3)], "series_id string, t int")
@@ -437,7 +445,7 @@ def test_no_task_holds_a_long_series(spark):
     cell = F.floor(F.col("t") / 10_000)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for df in (points.compact(p, cell), periods.periods(p, cell=cell), events.gaps(p.select("series_id", "t"), cell), points.lookup(p, p.select("series_id", "t"), cell=cell)):
+        for df in (points.compact(p, cell), periods.periods(p, cell=cell), periods.runs(p, 2, cell), algebra.difference(p, p.where("t % 2 = 0"), cell=cell), events.gaps(p.select("series_id", "t"), cell), points.lookup(p, p.select("series_id", "t"), cell=cell)):
             plan = df._jdf.queryExecution().executedPlan().toString()
             whole = [line for line in plan.splitlines() if "Window " in line and "_cell" not in line.split("windowspecdefinition")[1].split("ASC")[0]]
             over_cells = [line for line in whole if "_cell" in line]
