@@ -609,3 +609,20 @@ def test_merged_lists_as_changes(spark, tmp_path, monkeypatch):
     assert {r.t: r["values"] for r in merge.expanded(kept).collect()} == want
     assert {r.t: r["values"] for r in merge.expanded(kept, 50, 120).collect()} == {t: v for t, v in want.items() if 50 <= t <= 120}
     assert merge.expanded(merge.merged_changes(p.limit(0))).count() == 0 and merge.expanded(kept, 500).count() == 0
+
+
+def test_merged_changes_of_many_series_expanded_at_once(spark):
+    """Not kept in between: then the sides of the union are dealt by block already, and their partitions are put together at run time."""
+    k = 1000
+    p = spark.range(24 * k).select((F.col("id") % k).alias("series_id"), F.col("id").alias("t"), F.col("id").alias("value"))
+    put = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {name: spark.conf.get(name, None) for name in put}
+    try:
+        for name, x in put.items():
+            spark.conf.set(name, x)
+        rows = merge.expanded(merge.merged_changes(p), 5000, 20000)
+        right = F.col("values") == F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda s: F.col("t") - (F.col("t") - s) % k)
+        assert tuple(rows.agg(F.count("*"), F.count_if(right), F.min("t"), F.max("t")).first()) == (15001, 15001, 5000, 20000)
+    finally:
+        for name, x in before.items():
+            spark.conf.unset(name) if x is None else spark.conf.set(name, x)
