@@ -28,14 +28,16 @@ def lookup(points: DataFrame, probes: DataFrame, default=None, interpolate: str
     order = Window.partitionBy("series_id", "_cell").orderBy("t", "k")
     sides = {"left": F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))}
     if interpolate == "linear":
-        sides["right"] = F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        # Read backwards, as Spark folds a frame up to the last row anew for each row.
+        back = Window.partitionBy("series_id", "_cell").orderBy(F.col("t").desc(), F.col("k").desc())
+        sides["right"] = F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     if cell is None:
         both = both.withColumns(sides)
     else:
         by_cell = Window.partitionBy("series_id").orderBy("_cell")
         of = both.groupBy("series_id", "_cell").agg(F.max_by("p", F.when(F.col("k") == 0, F.col("t"))).alias("a"), F.min_by("p", F.when(F.col("k") == 0, F.col("t"))).alias("b"))
         before = F.last("a", ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first("b", ignorenulls=True).over(by_cell.rowsBetween(1, Window.unboundedFollowing))
+        after = F.last("b", ignorenulls=True).over(Window.partitionBy("series_id").orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1))
         of = of.select(F.col("series_id").alias("_s"), F.col("_cell").alias("_c"), before.alias("_left"), after.alias("_right"))
         both = both.withColumns(sides).join(of, same(F.col("series_id"), F.col("_s")) & same(F.col("_cell"), F.col("_c")))
         both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in sides})

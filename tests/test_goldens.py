@@ -626,3 +626,25 @@ def test_merged_changes_of_many_series_expanded_at_once(spark):
     finally:
         for name, x in before.items():
             spark.conf.unset(name) if x is None else spark.conf.set(name, x)
+
+
+def test_linear_lookup_reads_no_frame_again_for_each_row(spark):
+    """Neighbours ahead over several cells, by a plan without frames up to the last row, which take the square of a cell's points."""
+    rng = random.Random(5)
+    rows = sorted(rng.sample(range(1000), 150))
+    p = series(spark, [(t, rng.choice([None, 1, 4, 9])) for t in rows])
+    probes = spark.createDataFrame([("a", x) for x in range(-3, 1003)], "series_id string, t int")
+    held = dict(pairs(p))
+
+    def want(x):
+        left, right = [t for t in rows if t <= x], [t for t in rows if t > x]
+        if not left or not right or left[-1] == x:
+            v = held[left[-1]] if left else -1
+            return v if v is None else float(v)
+        a, b = held[left[-1]], held[right[0]]
+        return None if a is None or b is None else pytest.approx(a + (x - left[-1]) / (right[0] - left[-1]) * (b - a))
+
+    for cell in (None, F.floor(F.col("t") / 16)):
+        got = points.lookup(p, probes, -1, "linear", cell)
+        assert pairs(got) == [(x, want(x)) for x in range(-3, 1003)]
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
