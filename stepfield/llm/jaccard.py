@@ -3,7 +3,7 @@
 Shingles are hashed to 58 bits. Texts that have too few shingles in common with any others go first, as they have no
 partner: a set with `n` members and a partner share so many of the first members, in any order that is the same for
 all, that it can be seen from the members that occur in other sets at all (`open_texts`: by the least third of hashes;
-`reduce`: by all members of those that are left, from the rarest up, over again as long as that helps). What a set has
+`reduce`: by all members of those that are left, from the rarest up, over again as long as that takes a quarter of them). What a set has
 for itself is then only counted. Sets that are equal without such members are linked to the smallest of them at once.
 
 The others meet by the members in their prefix, from the rarest up: two sets as alike as `share` have one in common.
@@ -39,6 +39,8 @@ BITS = 58
 LOW = (1 << BITS) - 1
 #: Members of the sets of a chunk, beside their number.
 MEMBERS = 1 << 21
+#: `reduce` goes over the sets again where at most this part of them was left: the last ones go one by one, at the price of all.
+HELPS = (3, 4)
 #: Similarity as a fraction.
 SHARE = (4, 5)
 
@@ -382,12 +384,12 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE, chunk:
     least = rows.where("n > 0").groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"), F.count("*").alias("k"))
     texts = scratch.keep(least.where("open").withColumn("node", F.monotonically_increasing_id()).select("t1", "t2", "node", "least"), "open")
     sets = scratch.keep(sets_of(docs, texts, words).join(texts, ["t1", "t2"]).select("node", "n", "tokens"), "sets")
-    known, count = None, None
+    known, count = None, texts.count()
     while True:
         now, sets = settled(reduce(sets, share), share, scratch)
         known = now if known is None else known.union(now)
         size = sets.count()
-        if size == 0 or size == count:
+        if size == 0 or size * HELPS[1] > count * HELPS[0]:
             break
         count = size
         sets = sets.select("node", "n", F.transform("path", lambda x: x.bitwiseAND(F.lit(LOW))).alias("tokens"), "path")

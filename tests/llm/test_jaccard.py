@@ -120,3 +120,15 @@ def test_shingle_sets():
     row, token, n = jaccard.shingle_sets(pa.array(["a b c d e f", None, "", "a b c d", "A B c D e f", "x x x x x x x x"]), 5)
     assert n.tolist() == [2, 0, 0, 1, 2, 1]
     assert token[row == 0].tolist() == token[row == 4].tolist()
+
+
+def test_join_goes_over_the_sets_again_only_where_that_helps(spark, monkeypatch):
+    """A chain of texts, each of which has enough in common with two others together: without its ends one more falls away at each end, and so on."""
+    words = [[f"l{i}_{j}" for j in range(4)] + [f"l{i + 1}_{j}" for j in range(4)] + [f"own{i}_{j}" for j in range(2)] for i in range(16)]
+    near = [[f"n{j}" for j in range(9)] + [x] for x in "xy"]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words + near)]
+    calls, reduce = [], jaccard.reduce
+    monkeypatch.setattr(jaccard, "reduce", lambda *a: calls.append(1) or reduce(*a))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), words=1)
+    assert sorted(map(tuple, got.collect())) == [(i, 10, 16 if i == 17 else i) for i in range(18)]
+    assert len(calls) <= 2
