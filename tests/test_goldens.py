@@ -648,3 +648,43 @@ def test_linear_lookup_reads_no_frame_again_for_each_row(spark):
         got = points.lookup(p, probes, -1, "linear", cell)
         assert pairs(got) == [(x, want(x)) for x in range(-3, 1003)]
         assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_merged_texts(spark, monkeypatch):
+    """Joined lists are those of merged_values: several blocks, more series than are joined together, null ids and values, several series at one t."""
+    monkeypatch.setattr(merge, "BLOCK", 8)
+    rng = random.Random(11)
+    rows = [(s, t, rng.choice([None, 1.0, 2.5, -3.0])) for s in [None, *range(600)] for t in sorted(rng.sample(range(900), 3))]
+    p = spark.createDataFrame(rows, "series_id int, t int, value double")
+    for default in (None, 5):
+        want = {r.t: ";".join("-" if x is None else str(x) for x in r["values"]) for r in merge.merged_values(p, default).collect()}
+        got = merge.merged_texts(p, ";", "-", default, F.floor(F.col("t") / 16)).collect()
+        assert len(got) == len(want) and {r.t: r.text for r in got} == want
+    few = spark.createDataFrame([("a", 2, "x"), ("b", 1, "y"), ("c", 2, "")], "series_id string, t int, value string")
+    d = spark.createDataFrame([("a", "d"), ("b", "e")], "series_id string, default string")
+    assert pairs(merge.merged_texts(few, default=d), "t", "text") == [(1, "d,y,null"), (2, "x,y,")]
+    assert merge.merged_texts(few.limit(0)).count() == 0
+
+
+def test_merge_list_shuffles_in_proportion_to_points(spark, tmp_path, monkeypatch):
+    """Many days with a point or two and many series: no row is exchanged for each day and series."""
+    from stepfield.plans import registry
+
+    monkeypatch.setattr(merge, "BLOCK", 256)
+    series_n, days = 300, 1200
+    rows = [(n % series_n, dt.datetime(2020, 1, 1) + dt.timedelta(days=n, seconds=n), "click", float(n % 97)) for n in range(days)]
+    spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.t: r.l for r in registry.QUERIES["merge_list"](spark, str(tmp_path)).collect()}
+    now, want = ["null"] * series_n, {}
+    for who, t, _, value in rows:
+        now[who] = str(value)
+        want[t] = ",".join(now)
+    assert got == want
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    nodes, totals = store.planGraph(run).allNodes(), store.executionMetrics(run)
+    metrics = [m for n in range(nodes.size()) for x in [nodes.apply(n).metrics()] for m in (x.apply(k) for k in range(x.size()))]
+    sent = {m.accumulatorId(): totals.get(m.accumulatorId()) for m in metrics if m.name() == "shuffle records written"}
+    sent = [int(x.get().replace(",", "")) for x in sent.values() if x.isDefined()]
+    assert sent and sum(sent) < 30 * days
