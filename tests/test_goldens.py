@@ -688,3 +688,66 @@ def test_merge_list_shuffles_in_proportion_to_points(spark, tmp_path, monkeypatc
     sent = {m.accumulatorId(): totals.get(m.accumulatorId()) for m in metrics if m.name() == "shuffle records written"}
     sent = [int(x.get().replace(",", "")) for x in sent.values() if x.isDefined()]
     assert sent and sum(sent) < 30 * days
+
+
+def test_merged_texts_of_a_range(spark, monkeypatch):
+    """What holds when the range begins, series that begin after it, cells larger and smaller than a block, crowded times, defaults."""
+    monkeypatch.setattr(merge, "BLOCK", 16)
+    rng = random.Random(7)
+    rows = [(s, t, rng.choice([None, 1, 2])) for s in [None, *range(20)] for t in rng.sample([*range(0, 300, 25), *range(100, 120), 700], 12)]
+    p = spark.createDataFrame([*rows, (99, 650, 5)], "series_id int, t int, value int")
+    d = spark.createDataFrame([(3, 9), (99, 8), (None, 7)], "series_id int, default int")
+    held = {s: {99: 8, 3: 9, None: 7}.get(s) for s in [None, *range(20), 99]}
+    points_at, want = {}, {}
+    for s, t, value in [*rows, (99, 650, 5)]:
+        points_at.setdefault(t, {})[s] = value
+    for t in sorted(points_at):
+        held.update(points_at[t])
+        want[t] = ",".join("null" if x is None else str(x) for x in held.values())
+    for cell in (None, F.floor(F.col("t") / 10), F.floor(F.col("t") / 200)):
+        for start, end in ((None, None), (101, 250), (None, 110), (275, None), (120, 120), (800, None)):
+            got = merge.merged_texts(p, default=d, cell=cell, start=start, end=end).collect()
+            right = {t: x for t, x in want.items() if (start is None or t >= start) and (end is None or t <= end)}
+            assert len(got) == len(right) and {r.t: r.text for r in got} == right
+
+
+@pytest.mark.parametrize("ids, kind", [([-0.0, 1.5], "double"), ([(1, "a"), (2, None)], "struct<a int, b string>"), (["", "b"], "string")])
+def test_merged_texts_by_kind_of_id(spark, ids, kind):
+    p = spark.createDataFrame([(ids[0], 1, 5), (ids[1], 2, 6), (ids[0], 3, 7)], f"series_id {kind}, t int, value int")
+    assert pairs(merge.merged_texts(p), "t", "text") == [(1, "5,null"), (2, "5,6"), (3, "7,6")]
+    assert pairs(merge.merged_texts(p, start=2), "t", "text") == [(2, "5,6"), (3, "7,6")]
+
+
+def rows_exchanged(spark):
+    """Rows that the last query has shuffled."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    nodes, totals = store.planGraph(run).allNodes(), store.executionMetrics(run)
+    metrics = [m for n in range(nodes.size()) for x in [nodes.apply(n).metrics()] for m in (x.apply(k) for k in range(x.size()))]
+    sent = {m.accumulatorId(): totals.get(m.accumulatorId()) for m in metrics if m.name() == "shuffle records written"}
+    return sum(int(x.get().replace(",", "")) for x in sent.values() if x.isDefined())
+
+
+def many_events(spark, path, n=12000, users=300):
+    rows = [(k * 7919 % users, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=5 * k), "click", float(k % 97)) for k in range(n)]
+    spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, event_type string, value double").write.parquet(f"{path}/events.parquet")
+
+
+def test_merge_list_between_exchanges_points_of_its_range_only(spark, tmp_path, monkeypatch):
+    from stepfield.plans import registry
+
+    monkeypatch.setattr(merge, "BLOCK", 256)
+    many_events(spark, tmp_path)
+    assert len(registry.QUERIES["merge_list_between"](spark, str(tmp_path)).collect()) == 4000
+    assert 0 < rows_exchanged(spark) < 24000  # points twice
+
+
+def test_merge_list_exchanges_points_once(spark, tmp_path, monkeypatch):
+    """Besides them what series hold at the end and the beginning of blocks, and a row for each series or cell and task."""
+    from stepfield.plans import registry
+
+    monkeypatch.setattr(merge, "BLOCK", 256)
+    many_events(spark, tmp_path)
+    assert len(registry.QUERIES["merge_list"](spark, str(tmp_path)).collect()) == 12000
+    assert 0 < rows_exchanged(spark) < 48000  # four times the points
